@@ -95,14 +95,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data))
+def span_hashes(data: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """64-bit hashes of byte spans (starts, ends); equal bytes, but for A-Z as a-z, give equal hashes."""
+    up, down = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return [mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)) for starts, ends in spans]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word."""
+    return span_hashes(data, (starts, ends))[0]
 
 
 def shingle_arrays(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
