@@ -31,7 +31,7 @@ from .wordhash import mix64, shingle_arrays
 
 _TOKEN_BITS = np.uint64(46)  # of a shingle's hash in the candidate search; verification uses 64
 _HEAVY_SHARE = 100_000  # a shingle is heavy from 1/100,000 of all shingles on: at most 100,000 are
-_SHARD_TOKENS = 4_000_000
+_SHARD_TOKENS = 2_000_000
 _ORDER_SEEDS = (0x51ED270B9F3A6D17, 0x2545F4914F6CDD1D)
 
 

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import preference_digest
 from .common import table
+from .mixing import DOMAIN_SQL, WEIGHTS, mixture_digest
 from .ngram_join import ngram_jaccard_classes
 from .packing import pack_best_fit
 from .quality import quality_digest
 from .secrets import secrets_digest
 from .toxicity import toxicity_digest
+from .warc import warc_round_trip
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,14 @@ def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), least_revisit=1000)
+
+
 def op7_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +42,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_digest(table(spark, sf_dir, "conversations"))
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -42,7 +57,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_ngram_jaccard_join, op2_toxicity_cnn, op7_quality_gbt, op8_secret_scan, op10_best_fit_packing)
+    every = (
+        op1_ngram_jaccard_join, op2_toxicity_cnn, op3_weighted_mixing, op5_warc, op7_quality_gbt, op8_secret_scan, op9_preference_format, op10_best_fit_packing,
+    )
     return {f.__name__: f for f in every}
 
 
@@ -65,5 +82,71 @@ FROM sizes z LEFT JOIN reach r ON r.a = z.doc_id GROUP BY z.doc_id, z.n
 """
 
 
+def _weight_sql(level: int) -> str:
+    names = ("domain", "lang", "source")
+    cases = " ".join("WHEN " + " AND ".join(f"{n} = '{v}'" for n, v in zip(names, path)) + f" THEN {w}" for path, w in WEIGHTS.items() if len(path) == level + 1)
+    return f"CAST(CASE {cases} ELSE 1 END AS BIGINT)"
+
+
+def _fill_sql(rows: str, family: str, name: str) -> str:
+    """Shares of a family: children in order of capacity per weight, see the operator."""
+    part = f"PARTITION BY {family}" if family else ""
+    return f"""(
+    SELECT * EXCLUDE (budget, lv), least(capacity, CAST(floor(greatest(0.0, coalesce(max(lv) OVER ({part}), 0.0)) * CAST(weight AS DOUBLE)) AS BIGINT)) budget
+    FROM (SELECT *, CASE WHEN w_after > 0 THEN CAST(budget - c_before AS DOUBLE) / CAST(w_after AS DOUBLE) END lv FROM (
+      SELECT *, CAST(coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) c_before,
+             CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) w_after
+      FROM ({rows}) WINDOW o AS ({part} ORDER BY CAST(capacity AS DOUBLE) / nullif(weight, 0) ASC NULLS FIRST, {name}))))"""
+
+
+_TOP = _fill_sql("SELECT domain, CAST(sum(cap) AS BIGINT) capacity, max(w0) weight, (SELECT CAST(sum(n) * 6 // 10 AS BIGINT) FROM d) budget FROM leaf GROUP BY domain", "", "domain")
+_MID = _fill_sql("SELECT l.domain, l.lang, CAST(sum(cap) AS BIGINT) capacity, max(w1) weight, max(t.budget) budget FROM leaf l JOIN top t ON t.domain = l.domain GROUP BY l.domain, l.lang", "domain", "lang")
+_LOW = _fill_sql("SELECT l.domain, l.lang, l.source, l.tokens, cap capacity, w2 weight, m.budget FROM leaf l JOIN mid m ON m.domain = l.domain AND m.lang = l.lang", "domain, lang", "source")
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce({DOMAIN_SQL}, 'unknown') AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) n FROM documents
+), leaf AS (
+  SELECT *, CASE WHEN w0 > 0 AND w1 > 0 AND w2 > 0 THEN tokens * 3 ELSE 0 END cap FROM (
+    SELECT domain, lang, source, tokens, {_weight_sql(0)} w0, {_weight_sql(1)} w1, {_weight_sql(2)} w2
+    FROM (SELECT domain, lang, source, CAST(sum(n) AS BIGINT) tokens FROM d GROUP BY ALL))
+), top AS (SELECT * FROM {_TOP}), mid AS (SELECT * FROM {_MID}), low AS (SELECT * FROM {_LOW}),
+plan AS (SELECT domain, lang, source, coalesce(budget // nullif(tokens, 0), 0) whole, coalesce(budget % nullif(tokens, 0), 0) rest FROM low),
+run AS (
+  SELECT d.*, whole, rest, sum(n) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('42:' || whole || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) - n AS before
+  FROM d JOIN plan p ON p.domain = d.domain AND p.lang = d.lang AND p.source = d.source
+), taken AS (
+  SELECT doc_id, domain, lang, source, unnest(range(whole)) epoch, n, n take FROM run
+  UNION ALL SELECT doc_id, domain, lang, source, whole, n, least(n, CAST(rest - before AS BIGINT)) FROM run WHERE before < rest
+)
+SELECT doc_id, domain, lang, source, CAST(epoch AS INT) epoch, n n_tokens, take take_tokens FROM taken
+"""
+
+OP9_SQL = """
+WITH t AS (
+  SELECT conv_id // 2 pair_id, conv_id % 2 = 0 chosen, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) i FROM conversations
+), common AS (
+  SELECT c.pair_id, c.i, c.role = r.role AND c.text = r.text same FROM t c JOIN t r ON r.pair_id = c.pair_id AND r.i = c.i AND c.chosen AND NOT r.chosen
+), k AS (SELECT pair_id, coalesce(min(i) FILTER (NOT same) - 1, max(i)) k FROM common GROUP BY pair_id),
+pairs AS (SELECT p.pair_id, coalesce(k, 0) k FROM (SELECT DISTINCT pair_id FROM t) p LEFT JOIN k ON k.pair_id = p.pair_id),
+z AS (
+  SELECT t.*, k, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM t JOIN pairs p ON p.pair_id = t.pair_id
+), o AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, chosen ORDER BY i) - length(body) AS s FROM z WHERE i > k
+), sides AS (
+  SELECT pair_id, chosen, string_agg(head || body, '' ORDER BY i) txt,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN s || ':' || (s + length(body)) END, ',' ORDER BY i), '') loss FROM o GROUP BY ALL
+), there AS (SELECT DISTINCT pair_id, chosen FROM t)
+SELECT p.pair_id, CAST(p.k AS INT) n_prompt_turns,
+       coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM z WHERE z.pair_id = p.pair_id AND z.chosen AND z.i <= p.k), '') prompt,
+       CASE WHEN hc.pair_id IS NOT NULL THEN coalesce(c.txt, '') END AS chosen, CASE WHEN hr.pair_id IS NOT NULL THEN coalesce(r.txt, '') END AS rejected,
+       CASE WHEN hc.pair_id IS NOT NULL THEN coalesce(c.loss, '') END AS chosen_loss, CASE WHEN hr.pair_id IS NOT NULL THEN coalesce(r.loss, '') END AS rejected_loss
+FROM pairs p
+LEFT JOIN sides c ON c.pair_id = p.pair_id AND c.chosen LEFT JOIN sides r ON r.pair_id = p.pair_id AND NOT r.chosen
+LEFT JOIN there hc ON hc.pair_id = p.pair_id AND hc.chosen LEFT JOIN there hr ON hr.pair_id = p.pair_id AND NOT hr.chosen
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_weighted_mixing": OP3_SQL, "op9_preference_format": OP9_SQL}
