@@ -13,6 +13,7 @@ from .ngram_join import ngram_jaccard_classes
 from .packing import pack_best_fit
 from .quality import quality_digest
 from .secrets import secrets_digest
+from .topk import topk_digest
 from .toxicity import toxicity_digest
 from .warc import warc_round_trip
 
@@ -30,6 +31,10 @@ def op3_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_digest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"), least_revisit=1000)
 
@@ -58,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_ngram_jaccard_join, op2_toxicity_cnn, op3_weighted_mixing, op5_warc, op7_quality_gbt, op8_secret_scan, op9_preference_format, op10_best_fit_packing,
+        op1_ngram_jaccard_join, op2_toxicity_cnn, op3_weighted_mixing, op4_exact_topk, op5_warc, op7_quality_gbt, op8_secret_scan, op9_preference_format, op10_best_fit_packing,
     )
     return {f.__name__: f for f in every}
 
@@ -148,5 +153,17 @@ LEFT JOIN there hc ON hc.pair_id = p.pair_id AND hc.chosen LEFT JOIN there hr ON
 """
 
 
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s)
+SELECT query_id, CAST(rank AS INT) rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_weighted_mixing": OP3_SQL, "op9_preference_format": OP9_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_weighted_mixing": OP3_SQL, "op4_exact_topk": OP4_SQL, "op9_preference_format": OP9_SQL}
