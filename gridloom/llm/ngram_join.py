@@ -396,6 +396,21 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, with one document of each group of near copies: its smallest id.
+
+    Rows that repeat an id are one document, of which the first by text stays; rows with a null id stay.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    classes = scratch.save(ngram_jaccard_classes(docs, words=words, percent=percent).select("doc_id", "component_id"), "classes")
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = join_on_id(docs, gone, "doc_id", "left_anti")
+    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", *[F.xxhash64(c) for c in docs.columns])).alias("d")).select("d.*")
+    return one.unionByName(kept.where("doc_id is null"))
+
+
 def _pool(found: DataFrame, scratch: Scratch) -> DataFrame:
     per_id = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component").alias("component"), F.max("component").alias("other"))
     per_id = scratch.save(per_id, "per-id")

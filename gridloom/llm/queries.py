@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import preference_digest
 from .common import table
+from .embedding_dedup import embedding_digest
 from .mixing import DOMAIN_SQL, WEIGHTS, mixture_digest
 from .ngram_join import ngram_jaccard_classes
 from .packing import pack_best_fit
@@ -39,6 +40,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"), least_revisit=1000)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,7 +68,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_ngram_jaccard_join, op2_toxicity_cnn, op3_weighted_mixing, op4_exact_topk, op5_warc, op7_quality_gbt, op8_secret_scan, op9_preference_format, op10_best_fit_packing,
+        op1_ngram_jaccard_join, op2_toxicity_cnn, op3_weighted_mixing, op4_exact_topk, op5_warc, op6_embedding_near_dedup, op7_quality_gbt, op8_secret_scan, op9_preference_format, op10_best_fit_packing,
     )
     return {f.__name__: f for f in every}
 
