@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import anomaly_queries, decision_queries, report_queries
+from .plans.registry import ORACLES, QUERIES
 
-def oracle_sql():
-    return {}
+del anomaly_queries, decision_queries, report_queries
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import uniform
 from .effects import objectives
-from .pareto import crowding, pareto_front, ranked_fronts
+from .pareto import pareto_front
 from .selection import repair
 
 KEYS = ["scenario_id", "sol_id"]
@@ -66,12 +68,43 @@ def exact(decision: DataFrame, cells: DataFrame, k: int, score: str) -> DataFram
     return repair(held, k, score, tuple(KEYS)).select(*KEYS, "pixel_id")
 
 
+def front_and_crowding(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Front number and crowding distance of every row of a population's objective matrix."""
+    n = len(values)
+    none_worse = (values[:, None, :] <= values[None, :, :]).all(axis=2)
+    beats = none_worse & (values[:, None, :] < values[None, :, :]).any(axis=2)
+    front, left, rank = np.full(n, -1), np.ones(n, bool), 0
+    while left.any():
+        now = left & ~beats[left].any(axis=0)
+        front[now] = rank
+        left &= ~now
+        rank += 1
+    distance = np.zeros(n)
+    for f in range(rank):
+        rows = np.flatnonzero(front == f)
+        for column in values[rows].T:
+            order = rows[np.argsort(column, kind="stable")]
+            ordered = np.sort(column)
+            distance[order[[0, -1]]] = np.inf
+            if len(order) > 2 and ordered[-1] > ordered[0]:
+                distance[order[1:-1]] += (ordered[2:] - ordered[:-2]) / (ordered[-1] - ordered[0])
+    return front, distance
+
+
 def survive(points: DataFrame, names: list[str], size: int) -> DataFrame:
-    """The best `size` solutions of each scenario by front, then crowding (NSGA-II)."""
+    """The best `size` solutions of each scenario by front, then crowding (NSGA-II).
+
+    A group is one scenario's parents and children, twice the population at most.
+    """
+
+    def best(population: pd.DataFrame) -> pd.DataFrame:
+        population = population.sort_values("sol_id", ignore_index=True)
+        front, distance = front_and_crowding(population[names].to_numpy(float))
+        kept = population.loc[np.lexsort((population["sol_id"], -distance, front))[:size], KEYS].copy()
+        kept["place"] = np.arange(1, len(kept) + 1)
+        return kept
 
-    ranked = crowding(ranked_fronts(points, names, 4, ("scenario_id",)), names, ("scenario_id", "front"))
-    w = Window.partitionBy("scenario_id").orderBy("front", F.desc("crowding"), "sol_id")
-    return ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size)
+    return points.select(*KEYS, *names).groupBy("scenario_id").applyInPandas(best, "scenario_id int, sol_id int, place int")
 
 
 def search(cells: DataFrame, scenarios: DataFrame, k: int, effects: dict[str, float], score: str, cost: str, population: int = 8, generations: int = 3, seed: int = 42,
@@ -96,8 +129,10 @@ def search(cells: DataFrame, scenarios: DataFrame, k: int, effects: dict[str, fl
         )
         children = exact(bit_flip(hux(decision, pairs, seed + g), free, seed + 1000 + g, prob_bit), free, k, score)
         every = decision.unionByName(children.withColumn("sol_id", F.col("sol_id") + population)).checkpoint()
-        points = objectives(cells, every, effects, cost).checkpoint()
-        best = survive(points, names, population).select(*KEYS, "place")
+        points = objectives(cells, every, effects, cost)
+        if callback:
+            points = points.checkpoint()
+        best = survive(points, names, population)
         decision = every.join(best, KEYS).select("scenario_id", (F.col("place") - 1).alias("sol_id"), "pixel_id").checkpoint()
         if callback:
             callback(g, points)
