@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import uniform
+from ..shipping import ship_package
 from .effects import objectives
 from .pareto import pareto_front
 from .selection import repair
@@ -97,6 +98,8 @@ def survive(points: DataFrame, names: list[str], size: int) -> DataFrame:
     A group is one scenario's parents and children, twice the population at most.
     """
 
+    ship_package(points.sparkSession)
+
     def best(population: pd.DataFrame) -> pd.DataFrame:
         population = population.sort_values("sol_id", ignore_index=True)
         front, distance = front_and_crowding(population[names].to_numpy(float))
