@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from ..shipping import ship_package
 
+__all__ = ["Scratch", "connected_components", "delete_path", "join_on_id", "shared_root", "ship_package", "small_enough", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so Python functions import there."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    base = os.path.dirname(root)
-    path = os.path.join(tempfile.mkdtemp(prefix="pkg-"), f"{os.path.basename(root)}_pkg.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, base))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: the session's spark.checkpoint.dir.
 
