@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
+import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
 
-__all__ = ["Scratch", "connected_components", "delete_path", "join_on_id", "shared_root", "ship_package", "small_enough", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -68,6 +72,53 @@ class Scratch:
         delete_path(self.spark, self.root)
 
 
+_released = -1.0
+
+
+def release() -> None:
+    """Hand free memory back to the system: a reused Python worker otherwise keeps its peak. At most once a second."""
+    global _released
+    if time.monotonic() - _released < 1:
+        return
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+    _released = time.monotonic()
+
+
+def lean(run):
+    """A mapInArrow function that gives its memory back at the end of a partition."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
+def lean_group(run):
+    """An applyInArrow function that gives its memory back after a group."""
+
+    @functools.wraps(run)
+    def wrapped(table):
+        out = run(table)
+        release()
+        return out
+
+    return wrapped
+
+
+def prepare(spark: SparkSession, rows: int = 2000) -> None:
+    """What every operator with Python functions needs: the package on the executors, and Arrow
+    batches of at most so many rows, since rows hold whole documents."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most so many rows; reads no more than it needs to tell."""
     return df.limit(rows + 1).count() <= rows

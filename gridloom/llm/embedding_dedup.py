@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, ship_package
+from .common import Scratch, connected_components, lean, lean_group, prepare
 from .vectors import matrices, usable
 
 
@@ -160,19 +160,19 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, tables: int =
     null id has no links and a null component; an empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    ship_package(spark)
+    prepare(spark)
     scratch = Scratch(spark, "embedding-dedup")
     good = usable(vectors).where(F.exists("v", lambda x: x != 0))
     classes = scratch.save(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
     entered = scratch.save(
-        classes.select("rep", "weight", "v").mapInArrow(_enter(tables, probes, seed), "bucket long, rep long, weight long, unit binary, codes binary"), "entered"
+        classes.select("rep", "weight", "v").mapInArrow(lean(_enter(tables, probes, seed)), "bucket long, rep long, weight long, unit binary, codes binary"), "entered"
     )
     sizes = entered.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     sizes = sizes.withColumn("deal", F.ceil(F.col("size") / block_rows).cast("int"))
     dealt = entered.join(sizes.select("bucket", "deal"), "bucket").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
     dealt = dealt.select("bucket", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "rep", "weight", "unit", "codes")
-    links = scratch.save(dealt.groupBy("bucket", "i", "j").applyInArrow(_blocks(tables, probes, least), _LINK_SCHEMA), "links")
+    links = scratch.save(dealt.groupBy("bucket", "i", "j").applyInArrow(lean_group(_blocks(tables, probes, least)), _LINK_SCHEMA), "links")
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("id", "rep")
     per_class = classes.join(counts, "rep", "left").join(parts, "rep", "left").select(

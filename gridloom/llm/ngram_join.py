@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, join_on_id, ship_package
+from .common import Scratch, connected_components, join_on_id, lean, lean_group, prepare
 from .wordhash import mix64, shingle_arrays
 
 _TOKEN_BITS = np.uint64(46)  # of a shingle's hash in the candidate search; verification uses 64
@@ -308,12 +308,12 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     (each returns as a row of its own); an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     scratch = Scratch(spark, "ngram-join")
     sc = spark.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    scan = scratch.save(texts.mapInArrow(_scan(words), _SCAN_SCHEMA), "scan")
+    scan = scratch.save(texts.mapInArrow(lean(_scan(words)), _SCAN_SCHEMA), "scan")
     sized = scan.where("n is not null").select("doc_id", "n", "low", "high")
     full = sized.where("n > 0 and doc_id is not null")
     classes = scratch.save(full.groupBy("n", "low", "high").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -335,9 +335,9 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shards = max(64, -(-total // _SHARD_TOKENS))
     kept = join_on_id(texts.where("doc_id is not null"), others, "doc_id", "left_anti")
     posts = (
-        kept.mapInArrow(_pack(words, percent, shards, heavy_b), _PACK_SCHEMA)
-        .groupBy("shard").applyInArrow(_count(shards), _PACK_SCHEMA)
-        .groupBy("shard").applyInArrow(_postings(percent), _POST_SCHEMA)
+        kept.mapInArrow(lean(_pack(words, percent, shards, heavy_b)), _PACK_SCHEMA)
+        .groupBy("shard").applyInArrow(lean_group(_count(shards)), _PACK_SCHEMA)
+        .groupBy("shard").applyInArrow(lean_group(_postings(percent)), _POST_SCHEMA)
     )
     posts = scratch.save(posts, "postings")
 
@@ -357,7 +357,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared = posts.join(hubs.select("token"), "token", "left_semi")
     members = scratch.save(shared.select("doc").distinct(), "members")
     sets = scratch.save(
-        join_on_id(kept, members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(words, percent), "doc long, n int, order2 array<long>, order3 array<long>, grams binary"),
+        join_on_id(kept, members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lean(_sets(words, percent)), "doc long, n int, order2 array<long>, order3 array<long>, grams binary"),
         "sets",
     )
     links = scratch.save(_verified(near, sets, percent), "links1")
@@ -431,4 +431,4 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("a", "b")
     )
     whole = passed.join(sets.selectExpr("doc a", "grams x"), "a").join(sets.selectExpr("doc b", "grams y"), "b").select("a", "b", "x", "y")
-    return whole.mapInArrow(_verify(percent), "a long, b long").distinct()
+    return whole.mapInArrow(lean(_verify(percent)), "a long, b long").distinct()

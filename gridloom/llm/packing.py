@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, ship_package
+from .common import Scratch, lean, prepare
 from .tokens import Encoder
 
 _encoders: dict[str, Encoder] = {}
@@ -29,7 +29,7 @@ _encoders: dict[str, Encoder] = {}
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece; whole texts, no shuffle."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches):
         encoder = _encoders.get(tokenizer)
@@ -56,7 +56,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
                 yield _piece_batch(rows, with_ids)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def _piece_batch(rows, with_ids: bool) -> pa.RecordBatch:
@@ -169,5 +169,5 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
 
     ranked = _ranked(pieces, max(16, total // 2_000_000))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    out = ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    out = ranked.mapInArrow(lean(place), f"{schema}, sequence_id long, offset long")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))

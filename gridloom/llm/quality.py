@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import lean, prepare
 from .labelled import fold, training_sample
 from .wordhash import span_hashes, text_chunks, word_spans
 
@@ -165,7 +165,7 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
     null ids return as they came; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -173,7 +173,7 @@ def score_quality(docs: DataFrame, model: dict) -> DataFrame:
             score = predict(sent.value, document_features(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

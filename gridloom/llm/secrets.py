@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import lean, prepare
 from .wordhash import text_chunks
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -164,7 +164,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null or repeated ids return as they came; an empty table gives no rows; other columns are
     ignored.  Whole texts are read, in one pass without a shuffle.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     pattern = "|".join(f"(?:{x})" for x in allow) or r"(?!)"
 
     def run(batches):
@@ -182,7 +182,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns.append(pa.array([[s[2] for s in r] for r in rows], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), _SCHEMA)
 
 
 _NAMES = ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans", "starts", "ends"]
@@ -194,7 +194,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", allow: tuple[str, ...] = ALL
 
     Overlapping spans are masked as one.  A null text stays null; a text without findings is unchanged.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     pattern = "|".join(f"(?:{x})" for x in allow) or r"(?!)"
     at = docs.columns.index("text")
 
@@ -212,7 +212,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", allow: tuple[str, ...] = ALL
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def _masked(text: str, spans, mask: str) -> str:

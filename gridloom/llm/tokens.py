@@ -16,7 +16,7 @@ import numpy as np
 # Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _UNSAFE = re.compile(r"\s ")  # white space before a space: the pattern may cut elsewhere
-_CACHE = 250_000
+_CACHE = 120_000
 
 
 def _byte_letters() -> dict[str, int]:

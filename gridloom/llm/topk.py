@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, ship_package
+from .common import Scratch, lean, prepare
 from .vectors import matrices, usable
 
 _BINS = 256
@@ -117,7 +117,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     vector in order); no queries or no rows give no result; other columns are ignored.
     """
     spark = vectors.sparkSession
-    ship_package(spark)
+    prepare(spark)
     sc = spark.sparkContext
     scratch = Scratch(spark, "topk")
     rows = usable(vectors)
@@ -137,7 +137,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         bounds = [(np.full(len(ids), -reach, np.int64), np.full(len(ids), -(-(2 * reach + 1) // _BINS), np.int64)) for ids, _ in block.parts]
         open_ = [np.ones(len(ids), bool) for ids, _ in block.parts]
         while any(o.any() for o in open_):
-            hist = rows.mapInArrow(_histogram(sent, sc.broadcast(bounds), scale), "part int, q int, bin int, n long").groupBy("part", "q", "bin").agg(F.sum("n").alias("n"))
+            hist = rows.mapInArrow(lean(_histogram(sent, sc.broadcast(bounds), scale)), "part int, q int, bin int, n long").groupBy("part", "q", "bin").agg(F.sum("n").alias("n"))
             # Of each query only the bin in which the count from above passes k comes to the driver.
             down = Window.partitionBy("part", "q").orderBy(F.desc("bin"))
             hist = hist.withColumn("upto", F.sum("n").over(down))
@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
             for o, t in zip(open_, touched):
                 o &= t
         floors = sc.broadcast([low for low, _ in bounds])
-        found = rows.mapInArrow(_winners(sent, floors, scale, k), "query_id long, vec_id long, score long")
+        found = rows.mapInArrow(lean(_winners(sent, floors, scale, k)), "query_id long, vec_id long, score long")
         result = found if result is None else result.union(found)
     if result is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

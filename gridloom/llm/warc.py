@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, StringStartsWith
 from pyspark.sql.types import StructType
 
-from .common import ship_package, shared_root, small_enough
+from .common import lean, prepare, shared_root, small_enough
 
 SCHEMA = "record_id string, type string, uri string, date string, digest string, refers_to string, http_length long, payload binary"
 _HEADER = {"record_id": "warc-record-id", "type": "warc-type", "uri": "warc-target-uri", "date": "warc-date", "digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
@@ -108,7 +108,7 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 1000, date: str
     Payloads are never shuffled as long as the table of revisits (two ids and a digest a row) has
     at most `broadcast_rows` rows; beyond that it is joined by a shuffle.
     """
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
     body = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long")})
@@ -118,7 +118,7 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 1000, date: str
     if small_enough(revisits, broadcast_rows):
         revisits = F.broadcast(revisits)
     out = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "head", "digest", "size")
-    done = out.mapInArrow(_writer(path, date, max_file_bytes, compress), "file string, records long, bytes long")
+    done = out.mapInArrow(lean(_writer(path, date, max_file_bytes, compress)), "file string, records long, bytes long")
     store_list = f"{path}-files"
     done.write.parquet(store_list)
     return pages.sparkSession.read.schema(done.schema).parquet(store_list)
@@ -318,7 +318,7 @@ class WarcDataSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").schema(columns).load(path)

@@ -51,7 +51,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def text_chunks(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a string column: (first row, end row, bytes, row offsets into the bytes).
 
     A slice holds at most max_bytes unless one text alone is longer; a null counts as empty.
