@@ -42,15 +42,26 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def session_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, that goes when the driver's JVM ends."""
+    path = f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(p)
+    store.deleteOnExit(p)
+    return path
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to read a result more than once.
 
-    A lost executor costs only the stage that runs; what is written survives it.
+    A lost executor costs only the stage that runs; what is written survives it.  The tables stay
+    for results that are still to be computed from them, until the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_root(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+        self.root = session_folder(spark, name)
         self.count = 0
 
     def path(self, label: str) -> str:

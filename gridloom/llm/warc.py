@@ -9,7 +9,6 @@ such payloads are inflated no further than needed to find the next record, and n
 from __future__ import annotations
 
 import base64
-import uuid
 import zlib
 from urllib.parse import quote, unquote
 
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, StringStartsWith
 from pyspark.sql.types import StructType
 
-from .common import lean, prepare, shared_root, small_enough
+from .common import lean, prepare, session_folder, small_enough
 
 SCHEMA = "record_id string, type string, uri string, date string, digest string, refers_to string, http_length long, payload binary"
 _HEADER = {"record_id": "warc-record-id", "type": "warc-type", "uri": "warc-target-uri", "date": "warc-date", "digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
@@ -335,7 +334,7 @@ def warc_round_trip(pages: DataFrame, least_revisit: int = 1000) -> DataFrame:
     their headers alone.
     """
     spark = pages.sparkSession
-    path = f"{shared_root(spark)}/warc/{uuid.uuid4().hex}"
+    path = f"{session_folder(spark, 'warc')}/pages"
     write_warc(pages, path, least_revisit)
     heads = "record_id string, type string, uri string, digest string, refers_to string, http_length long"
     whole = read_warc(spark, path, heads + ", payload binary").where("type = 'response'")

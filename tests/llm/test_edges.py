@@ -176,7 +176,7 @@ def test_topk(spark):
 
 
 def test_warc(spark):
-    from gridloom.llm.common import shared_root
+    from gridloom.llm.common import session_folder
     from gridloom.llm.warc import read_warc, warc_round_trip, write_warc
 
     big, other = "ä" * 700, "b" * 999
@@ -191,7 +191,7 @@ def test_warc(spark):
     assert got == want
     assert warc_round_trip(df.where("false")).count() == 0
     for compress in (False, True):
-        path = f"{shared_root(spark)}/warc-test-{compress}"
+        path = f"{session_folder(spark, 'warc-test')}/{compress}"
         assert sum(r.records for r in write_warc(df, path, compress=compress, max_file_bytes=2000).collect()) == len(rows)
         assert read_warc(spark, path, "type string, http_length long").where("type = 'revisit'").groupBy().sum("http_length").first()[0] == 2800
         assert read_warc(spark, path).where("uri like 'http://a/%' and type in ('response', 'revisit')").count() == 2
