@@ -20,6 +20,16 @@ def square_mean(cells: DataFrame, value: str, size: int, out: str = "focal", key
     return held.withColumn(out, total / F.when(n > 0, n)).drop("__s", "__n")
 
 
+def square_variance(cells: DataFrame, value: str, size: int, out: str = "noise", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sample variance in the window around every cell, NULLs left out; from the sums of values and of squares."""
+    h = size // 2
+    along = Window.partitionBy(*keys, "row_idx").orderBy("col_idx").rangeBetween(-h, h)
+    across = Window.partitionBy(*keys, "col_idx").orderBy("row_idx").rangeBetween(-h, h)
+    held = cells.withColumns({"__s": F.sum(value).over(along), "__q": F.sum(F.col(value) * F.col(value)).over(along), "__n": F.count(value).over(along)})
+    s, q, n = F.sum("__s").over(across), F.sum("__q").over(across), F.sum("__n").over(across)
+    return held.withColumn(out, F.greatest(F.lit(0.0), q - s * s / F.when(n > 0, n)) / F.when(n > 1, n - 1)).drop("__s", "__q", "__n")
+
+
 def disc(radius: float, res: float = 1.0) -> list[tuple[int, int]]:
     reach = int(radius // res)
     return [(dr, dc) for dr in range(-reach, reach + 1) for dc in range(-reach, reach + 1) if (dr * dr + dc * dc) * res * res <= radius * radius]

@@ -55,6 +55,37 @@ def burden_share(cells: DataFrame, k: int, seed: int, mode: str = "equal") -> Da
     return ranked.join(F.broadcast(sizes.select("region_id", "quota")), "region_id").where(F.col("__r") <= F.col("quota")).drop("__r", "quota")
 
 
+def burden_plans(cells: DataFrame, solutions: DataFrame, k: int, mode: str = "equal") -> DataFrame:
+    """(sol_id, pixel_id) of k cells for every solution, each within the regions' quotas."""
+    sizes = quotas(cells.groupBy("region_id").agg(F.count("*").alias("n")), k, mode).select("region_id", "quota")
+    held = cells.select("pixel_id", "region_id").crossJoin(F.broadcast(solutions.select("sol_id")))
+    w = Window.partitionBy("sol_id", "region_id").orderBy(uniform(F.col("sol_id"), F.col("pixel_id")), "pixel_id")
+    ranked = held.withColumn("__r", F.row_number().over(w)).join(F.broadcast(sizes), "region_id")
+    return ranked.where(F.col("__r") <= F.col("quota")).select("sol_id", "pixel_id")
+
+
+def clustered_plans(cells: DataFrame, plans: DataFrame, strength: float, k: int) -> DataFrame:
+    """(sol_id, pixel_id): every plan pulled together to k cells by the smoothed density of its own cells."""
+    size = window_of(strength)
+    held = cells.select("pixel_id", "row_idx", "col_idx").crossJoin(F.broadcast(plans.select("sol_id").distinct()))
+    held = held.join(plans.select("sol_id", "pixel_id", F.lit(1.0).alias("__x")), ["sol_id", "pixel_id"], "left").withColumn("__x", F.coalesce("__x", F.lit(0.0)))
+    held = held.withColumn("__f", F.col("__x")) if size is None else square_mean(held, "__x", size, "__f", ("sol_id",))
+    score = F.floor(F.col("__f") * 1e6 + 0.5) + uniform(F.col("sol_id"), F.col("pixel_id"))
+    w = Window.partitionBy("sol_id").orderBy(F.desc("__s"), "pixel_id")
+    return held.withColumn("__s", score).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).select("sol_id", "pixel_id")
+
+
+def sampled_plans(cells: DataFrame, solutions: DataFrame, k: int, clustering: float = 0.0, burden: str = "no") -> DataFrame:
+    """Starting plans by strategy: random, shared among regions, clustered, or shared first and then clustered."""
+    if burden not in ("no", "yes"):
+        raise ValueError(f"unknown burden sharing {burden!r}")
+    if burden == "yes":
+        plans = burden_plans(cells, solutions, k)
+    else:
+        plans = random_subset(cells.select("pixel_id").crossJoin(F.broadcast(solutions.select("sol_id"))), k, F.col("sol_id"), ("sol_id",)).select("sol_id", "pixel_id")
+    return clustered_plans(cells, plans, clustering, k) if clustering > 0 else plans
+
+
 def window_of(strength: float) -> int | None:
     """Size of the smoothing window for a clustering strength: none, 3, 15 or 31 cells."""
     return None if strength <= 0 else 3 if strength <= 0.34 else 15 if strength <= 0.67 else 31

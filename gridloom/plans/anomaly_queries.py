@@ -325,6 +325,13 @@ def focal_mean_15(spark, sf):
     return focal.square_mean(cells(spark, sf), "smd", 15, "m").select("pixel_id", _q("m", 3))
 
 
+@query(f"""WITH {CELL}, r AS (SELECT *, sum(smd) OVER w s, sum(smd * smd) OVER w q, count(smd) OVER w n FROM cell WINDOW w AS (PARTITION BY row_idx ORDER BY col_idx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+v AS (SELECT pixel_id, sum(s) OVER x s, sum(q) OVER x q, sum(n) OVER x n FROM r WINDOW x AS (PARTITION BY col_idx ORDER BY row_idx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+SELECT pixel_id, {q_sql('greatest(0.0, q - s * s / nullif(n, 0)) / CASE WHEN n > 1 THEN n - 1 END', 2)} AS noise FROM v""")
+def focal_variance_3(spark, sf):
+    return focal.square_variance(cells(spark, sf), "smd", 3).select("pixel_id", _q("noise", 2))
+
+
 @query(f"""WITH {CELL}, o AS (SELECT a AS dr, b AS dc FROM (SELECT unnest(range(-3, 4)) a), (SELECT unnest(range(-3, 4)) b) WHERE a * a + b * b <= 9)
 SELECT c.pixel_id, {q_sql('CASE WHEN count(n.smd) = 29 AND any_value(c.smd) IS NOT NULL THEN sum(n.smd) / 29.0 END', 3)} AS influence
 FROM cell c, o LEFT JOIN cell n ON n.row_idx = c.row_idx + dr AND n.col_idx = c.col_idx + dc GROUP BY c.pixel_id""")

@@ -163,6 +163,22 @@ def clustering_topk(spark, sf):
     return selection.cluster(held, chosen, 0.3, chosen.count(), 3).select("pixel_id")
 
 
+@query(_quota_sql("equal").replace("0.2", "0.1") + f""", p AS (SELECT CAST(unnest(range(3)) AS INT) sol_id)
+SELECT sol_id, pixel_id FROM (SELECT p.sol_id, e.pixel_id, quota, row_number() OVER (PARTITION BY p.sol_id, e.region_id ORDER BY {u_sql('p.sol_id', 'e.pixel_id')}, e.pixel_id) rn FROM p, e JOIN q ON q.region_id = e.region_id) WHERE rn <= quota""")
+def burden_sampling(spark, sf):
+    held = anomaly_cells(spark, sf).where("eligible")
+    solutions = spark.range(3).select(F.col("id").cast("int").alias("sol_id"))
+    return selection.sampled_plans(held, solutions, int(0.1 * held.count()), burden="yes").select("sol_id", "pixel_id")
+
+
+@query()
+def combined_sampling(spark, sf):
+    """Rows only: quotas, then clustering; each step has its own SQL above."""
+    held = anomaly_cells(spark, sf).where("eligible")
+    solutions = spark.range(3).select(F.col("id").cast("int").alias("sol_id"))
+    return selection.sampled_plans(held, solutions, int(0.1 * held.count()), 0.3, "yes")
+
+
 def _inside():
     return F.col("ecosystem").isNotNull()
 

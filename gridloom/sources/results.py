@@ -28,3 +28,20 @@ def run_summary(objective: DataFrame) -> DataFrame:
 def slim(df: DataFrame, *heavy: str) -> DataFrame:
     """Without the columns that are not worth keeping, present or not."""
     return df.drop(*heavy)
+
+
+def parameter_document(scenarios: DataFrame) -> DataFrame:
+    """One row: number of scenarios, and for every parameter its distinct values and, if numeric, its range."""
+    parts = []
+    for field in scenarios.schema.fields:
+        if field.name == "scenario_id":
+            continue
+        c = F.col(field.name)
+        numeric = field.dataType.typeName() in ("double", "float", "integer", "long")
+        ends = [F.min(c).alias("min"), F.max(c).alias("max")] if numeric else []
+        parts.append(F.struct(F.sort_array(F.collect_set(c)).alias("sampled"), *ends).alias(field.name))
+    return scenarios.agg(F.count("*").alias("n_scenarios"), F.struct(*parts).alias("parameters"))
+
+
+def save_parameters(scenarios: DataFrame, path: str) -> None:
+    parameter_document(scenarios).write.mode("errorifexists").json(path)

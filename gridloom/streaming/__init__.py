@@ -1,0 +1 @@
+"""No operator here: every source of the modelled workflow is a bounded table."""
