@@ -44,8 +44,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by target weights; one that is taken in several epochs is there as often."""
-    rows, _ = mixture(docs, F.expr(DOMAIN_SQL), WEIGHTS, SHARE, MAX_EPOCHS, SEED)
-    return rows.select(*docs.columns)
+    rows, _ = mixture(docs, F.expr(DOMAIN_SQL), WEIGHTS, SHARE, MAX_EPOCHS, SEED, detail=False)
+    return rows
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

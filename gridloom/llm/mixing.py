@@ -73,25 +73,29 @@ def _order_key(seed: int, epoch: Column, doc_id: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
 
 
-def mixture(docs: DataFrame, domain: Column, weights: dict[tuple, int], share: tuple[int, int], max_epochs: int = 3, seed: int = 42, broadcast_rows: int = 100_000):
+def mixture(docs: DataFrame, domain: Column, weights: dict[tuple, int], share: tuple[int, int], max_epochs: int = 3, seed: int = 42, broadcast_rows: int = 100_000, detail: bool = True):
     """(rows, leaves): selected rows of docs, once per epoch, and the leaf table.
 
-    rows has the columns of docs and, under the names __domain, __lang, __source, __tokens, __epoch
-    and __take, the leaf, the row's tokens, the epoch and the tokens taken (fewer than the row's only
-    for the document at which a leaf's prefix ends).  The total budget is share[0]/share[1] of all
-    tokens.  Nulls in lang, source or domain count as 'unknown'; rows that share an id within a leaf
+    rows has the columns of docs, unchanged whatever their names, and with `detail`, under the names
+    __domain, __lang, __source, __tokens, __epoch and __take, the leaf, the row's tokens, the epoch
+    and the tokens taken (fewer than the row's only for the document at which a leaf's prefix ends).
+    The total budget is share[0]/share[1] of all tokens.  Nulls in lang, source or domain count as 'unknown'; rows that share an id within a leaf
     are taken together; documents without words follow the order like others and cost nothing; an
     empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    named = docs.withColumns({
-        "__domain": F.coalesce(domain.cast("string"), F.lit("unknown")),
-        "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")),
-        "__source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")),
-    })
+    # Columns of docs go by number, so that none of them can clash with the ones added here.
+    number = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    named = docs.select(
+        *(F.col(f"`{name}`").alias(c) for name, c in number.items()),
+        F.coalesce(domain.cast("string"), F.lit("unknown")).alias("__domain"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("__lang"),
+        F.coalesce(F.col("source").cast("string"), F.lit("unknown")).alias("__source"),
+    )
+    doc_id, text = number["doc_id"], number["text"]
     leaf = [F.col(f"__{x}").alias(x) for x in LEVELS]
-    narrow = scratch.save(named.select(F.col("doc_id").cast("long").alias("doc_id"), *leaf, token_count().alias("n")), "narrow")
+    narrow = scratch.save(named.select(F.col(doc_id).cast("long").alias("doc_id"), *leaf, token_count(text).alias("n")), "narrow")
     leaves = narrow.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     budgets = leaf_budgets(leaves, F.lit(total * share[0] // share[1]), max_epochs, weights)
@@ -115,15 +119,16 @@ def mixture(docs: DataFrame, domain: Column, weights: dict[tuple, int], share: t
     plan = budgets.join(cut, list(LEVELS), "left").select(*(F.col(x).alias(f"__{x}") for x in LEVELS), F.struct("whole", "cut_key", "cut_id", "cut_take").alias("__p"))
     plan = scratch.save(plan, "plan")
     rows = named.join(hint(plan), [f"__{x}" for x in LEVELS])
-    key = _order_key(seed, F.col("__p.whole"), "doc_id")
-    at_cut = (key == F.col("__p.cut_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__p.cut_id"))
+    key = _order_key(seed, F.col("__p.whole"), doc_id)
+    at_cut = (key == F.col("__p.cut_key")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__p.cut_id"))
     in_prefix = F.coalesce((key < F.col("__p.cut_key")) | at_cut, F.lit(False))
     rows = rows.withColumns({"__cut": F.coalesce(at_cut, F.lit(False)), "__n": F.col("__p.whole") + in_prefix.cast("long")}).where("__n > 0")
     rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
-    tokens = token_count()
+    tokens = token_count(text)
     take = F.when(F.col("__cut") & (F.col("__epoch") == F.col("__p.whole")), F.least("__tokens", "__p.cut_take")).otherwise(F.col("__tokens"))
     rows = rows.withColumn("__tokens", tokens).withColumn("__take", take)
-    return rows.select(*docs.columns, *(f"__{x}" for x in LEVELS), "__tokens", "__epoch", "__take"), budgets
+    added = [*(f"__{x}" for x in LEVELS), "__tokens", "__epoch", "__take"] if detail else []
+    return rows.select(*(F.col(c).alias(name) for name, c in number.items()), *added), budgets
 
 
 #: The registered mixture: domains by number of source, weights by path in the tree.

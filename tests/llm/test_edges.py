@@ -139,6 +139,10 @@ def test_mixing(docs, none):
 
     rows, leaves = mixture(docs, F.lit("d"), {("d", "en", "src1"): 3}, (3, 2), max_epochs=3)
     assert rows.columns[: len(docs.columns)] == docs.columns
+    assert {r[0] for r in rows.select("__n").collect()} == {3}
+    clash = docs.withColumn("__source", F.lit("own")).withColumn("__p", F.lit(7))
+    plain, _ = mixture(clash, F.lit("d"), {}, (3, 2), max_epochs=3, detail=False)
+    assert plain.columns == clash.columns and {tuple(r) for r in plain.select("__source", "__p").collect()} == {("own", 7)}
     tokens = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in edge_rows()}
     budget = {(r.lang, r.source): (r.budget, r.tokens) for r in leaves.collect()}
     total = sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in edge_rows()) * 3 // 2
