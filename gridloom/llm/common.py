@@ -120,10 +120,16 @@ def lean_group(run):
     return wrapped
 
 
-def prepare(spark: SparkSession, rows: int = 2000) -> None:
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession, rows: int = 2000, size: str = "16MB") -> None:
     """What every operator with Python functions needs: the package on the executors, and Arrow
-    batches of at most so many rows, since rows hold whole documents."""
+    batches of at most so many rows and, unless the session sets a size itself, about so many bytes,
+    since rows hold whole documents."""
     ship_package(spark)
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, size)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name, "10000"))
     if now <= 0 or now > rows:
