@@ -121,6 +121,18 @@ def test_toxicity(docs, none, labels):
     assert toxicity_digest(none, unlabelled).count() == 0
 
 
+def test_scores_that_tell_nothing_reject_nothing():
+    from gridloom.llm.toxicity import _best_cut
+
+    values = np.random.default_rng(0).permutation(200) / 200.0
+    y = np.zeros(200)
+    y[np.argsort(values)[::7]] = 1
+    cut = _best_cut(values, y)
+    assert (values >= cut).sum() <= 2 * y[values >= cut].sum()
+    assert _best_cut(np.zeros(20), np.r_[1.0, np.zeros(19)]) > 0
+    assert 0.5 < _best_cut(np.r_[0.1, 0.2, 0.5, 0.6, 0.9], np.array([0.0, 0, 0, 1, 1])) < 0.6
+
+
 def test_quality(docs, none, labels):
     from gridloom.llm.quality import document_features, fit, predict, quality_digest, score_quality
 
