@@ -21,6 +21,7 @@ from .common import Scratch, lean, prepare
 from .vectors import matrices, usable
 
 _BINS = 256
+_LARGEST = 2.0**60  # of a score: products of integer components up to sqrt(_LARGEST / length) stay below
 
 
 def _integers(matrix: np.ndarray, scale: int) -> np.ndarray:
@@ -112,7 +113,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     Both inputs are (vec_id, embedding); a query's own id is not among its results, and all rows are
     returned where fewer than k exist.  Vectors that are null, empty, or hold null, NaN or infinite
-    components take no part; vectors of another length than the query's are not compared with it;
+    components take no part, nor do those with components so large that a score might not fit 64 bits
+    (_LARGEST; from about 10,000 on in vectors of 10,000 components at a scale of 1024); vectors of another length
+    than the query's are not compared with it;
     rows that repeat an id compete one by one (a repeated query id is searched once, by its first
     vector in order); no queries or no rows give no result; other columns are ignored.
     """
@@ -120,8 +123,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     prepare(spark)
     sc = spark.sparkContext
     scratch = Scratch(spark, "topk")
-    rows = usable(vectors)
-    asked = scratch.save(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    fits = F.expr(f"{scale} * aggregate(v, 0D, (m, x) -> greatest(m, abs(x))) + 1 <= sqrt({_LARGEST}D / size(v))")
+    rows = usable(vectors).where(fits)
+    asked = scratch.save(usable(queries).where(fits).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     n_queries, most = asked.agg(F.count("*"), F.max(F.expr("aggregate(v, 0D, (m, x) -> greatest(m, abs(x)))"))).first()
     blocks = max(1, -(-n_queries // block_rows))
     widest = rows.agg(F.max(F.size("v")), F.max(F.expr("aggregate(v, 0D, (m, x) -> greatest(m, abs(x)))"))).first()
@@ -133,7 +137,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         block = _Block(held, scale)
         sent = sc.broadcast(block)
         # No score is larger than the product of the largest components, for every dimension.
-        reach = int((scale * most + 1) * (scale * widest[1] + 1) * widest[0]) + 1
+        reach = min(int((scale * most + 1) * (scale * widest[1] + 1) * widest[0]), int(_LARGEST)) + 1
         bounds = [(np.full(len(ids), -reach, np.int64), np.full(len(ids), -(-(2 * reach + 1) // _BINS), np.int64)) for ids, _ in block.parts]
         open_ = [np.ones(len(ids), bool) for ids, _ in block.parts]
         while any(o.any() for o in open_):
