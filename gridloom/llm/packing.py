@@ -34,7 +34,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
     def run(batches):
         encoder = _encoders.get(tokenizer)
         if encoder is None:
-            encoder = _encoders[tokenizer] = Encoder(tokenizer)
+            encoder = _encoders[tokenizer] = Encoder(tokenizer, added=True)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []

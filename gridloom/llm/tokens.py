@@ -1,9 +1,10 @@
 """Byte-level BPE ids of texts, by a vocabulary file in the JSON format of the `tokenizers` library.
 
-The ids are those that `tokenizers` gives for the same file without special tokens (tests hold them
-against it).  Text is cut at single spaces, where the pattern below always cuts too; the ids of a
-space-led part depend on nothing else, so they are kept in a cache of bounded size and only parts
-not seen lately are encoded.
+The ids are those that `tokenizers` gives for the same file (tests hold them against it): with
+`added`, the file's added tokens written out in a text are single ids, as the library has it unless
+`encode_special_tokens` is set; without, they are plain text.  Text is cut at single spaces, where
+the pattern below always cuts too; the ids of a space-led part depend on nothing else, so they are
+kept in a cache of bounded size and only parts not seen lately are encoded.
 """
 
 from __future__ import annotations
@@ -38,6 +39,17 @@ def load_encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def load_added(path: str) -> dict[str, int]:
+    """Added token -> id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    tokens = spec.get("added_tokens", ())
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+            raise ValueError(f"added token {t['content']!r}: only tokens matched as they stand are supported")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class _Parts(dict):
     """part -> its ids as little-endian 32-bit numbers; two generations bound the memory."""
 
@@ -58,12 +70,20 @@ class _Parts(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         self.encode = load_encoding(path).encode_ordinary
         self.first, self.led = _Parts(self.encode, ""), _Parts(self.encode, " ")
+        self.added = {token: np.array([i], "<u4").tobytes() for token, i in load_added(path).items()} if added else {}
+        # Of tokens that start at one place the longest counts, as in the library.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit numbers."""
+        if any(token in text for token in self.added):
+            return b"".join([self.added[part] if i % 2 else self._plain(part) for i, part in enumerate(self.cut(text))])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if _UNSAFE.search(text):

@@ -340,6 +340,26 @@ def test_token_ids_equal_the_library():
         assert encoder.ids(text) == struct.pack(f"<{len(bpe.encode(text, add_special_tokens=False).ids)}I", *bpe.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_added_tokens_are_single_ids(spark):
+    from tokenizers import Tokenizer
+
+    from gridloom.llm.packing import cut_pieces
+    from gridloom.llm.tokens import Encoder
+
+    bpe = Tokenizer.from_file(TOKENIZER)
+    end = "<|endoftext|>"
+    assert bpe.encode(f"{end} x", add_special_tokens=False).ids == [50256, 2124]
+    texts = ["", "plain text", end, f"{end} x", f"x {end}", f"a{end}b", f"a {end}{end}  b", f"a  {end}\n{end} ", f"<|endoftext{end}|>", "<|endoftext|", f"é\x85 {end}🙂", f"w {end} " * 900]
+    got = {}
+    for r in cut_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER, with_ids=True).orderBy("doc_id", "start").collect():
+        got[r.doc_id] = got.get(r.doc_id, []) + r.ids
+    assert got == {i: bpe.encode(text, add_special_tokens=False).ids + [2] for i, text in enumerate(texts)}
+    encoder = Encoder(TOKENIZER, added=True)
+    for text in texts:
+        want = bpe.encode(text, add_special_tokens=False).ids
+        assert encoder.ids(text) == struct.pack(f"<{len(want)}I", *want), repr(text)
+
+
 def test_sweep_is_close_to_the_bound():
     from gridloom.llm.packing import sweep
 
