@@ -83,6 +83,14 @@ def scatter_map(spark, sf):
     return C.scatter(held.where("row_idx < 5"), pct, "pct", -1.0).select("pixel_id", "row_idx", "col_idx", _q("pct"))
 
 
+@query(f"WITH {_FREQ} SELECT pixel_id, row_idx, col_idx, {q_sql('coalesce(pct, -1)', 4)} AS pct FROM anom LEFT JOIN f ON p = pixel_id")
+def scatter_map_all(spark, sf):
+    """scatter_map over the whole grid; the SQL of that one stops at five rows of it."""
+    held = anomaly_cells(spark, sf)
+    pct = decisions(held, 0.1, _N).groupBy("pixel_id").agg((F.count("*") * 100.0 / _N).alias("pct"))
+    return C.scatter(held, pct, "pct", -1.0).select("pixel_id", "row_idx", "col_idx", _q("pct"))
+
+
 @query(f"WITH {_O} SELECT fraction, {q_sql('avg(abiotic + biotic + landscape) FILTER (burden = ' + chr(39) + 'no' + chr(39) + ')', 3)} AS no, {q_sql('avg(abiotic + biotic + landscape) FILTER (burden = ' + chr(39) + 'yes' + chr(39) + ')', 3)} AS yes FROM ob GROUP BY 1")
 def effect_summary_pivot(spark, sf):
     held = _objectives(spark, sf).withColumn("total", F.col("abiotic") + F.col("biotic") + F.col("landscape"))
