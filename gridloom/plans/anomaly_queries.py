@@ -305,7 +305,7 @@ def kmeans_clusters(spark, sf):
 @query()
 def fisher_breaks(spark, sf):
     """Rows only: dynamic programme over the distinct values."""
-    bounds = natural_breaks(cells(spark, sf).select(F.floor("smd").cast("double").alias("v")), "v", 5)
+    bounds = natural_breaks(cells(spark, sf).select(F.col("smd").cast("double").alias("v")), "v", 5)
     return spark.createDataFrame(list(enumerate(bounds)), "i int, bound double")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +149,51 @@ def test_natural_breaks(spark):
     assert len(stats.natural_breaks(many, "v", 5, most=500)) == 6
 
 
+def _dense_breaks(counts: dict, classes: int) -> tuple[list[float], float]:
+    """Bounds and within-class sum of squares by the plain dynamic programme."""
+    x = sorted(counts)
+    m, mean = len(x), sum(v * counts[v] for v in x) / sum(counts.values())
+    s = np.cumsum([[0, 0, 0], *([counts[v], counts[v] * (v - mean), counts[v] * (v - mean) ** 2] for v in x)], axis=0)
+    best, starts = np.r_[0, np.full(m, np.inf)], []
+    for _ in range(classes):
+        new, at = np.full(m + 1, np.inf), [0] * (m + 1)
+        for j in range(1, m + 1):
+            d = s[j] - s[:j]
+            cost = best[:j] + d[:, 2] - d[:, 1] ** 2 / d[:, 0]
+            at[j] = int(np.argmin(cost))
+            new[j] = cost[at[j]]
+        best = new
+        starts.append(at)
+    ends, j = [], m
+    for at in reversed(starts):
+        ends.append(x[j - 1])
+        j = at[j]
+    return [x[0], *reversed(ends)], best[m]
+
+
+def test_natural_breaks_are_exact_over_many_values(spark):
+    # Three extreme values are a class each; the rest are cut in the middle.
+    values = [*map(float, range(3000)), 1e6, 2e6, 3e6]
+    df = spark.createDataFrame([(x,) for x in values], "v double")
+    assert stats.natural_breaks(df, "v", 5) == [0.0, 1499.0, 2999.0, 1e6, 2e6, 3e6]
+    rng = np.random.default_rng(7)
+    for size, draw in ((2500, rng.lognormal(3, 1.5, 9000)), (400, rng.normal(0, 1, 3000)), (7, rng.normal(0, 1, 40))):
+        pool = draw[:size]
+        held = collections.Counter(rng.choice(pool, 4000).tolist())
+        df = spark.createDataFrame(list(held.elements()), "double").toDF("v")
+        assert stats.natural_breaks(df, "v", 5) == _dense_breaks(held, 5)[0]
+
+
+def test_fisher_breaks_takes_values_as_they_are(spark):
+    from gridloom import catalogue
+    from gridloom.plans.adapter import cells
+
+    sf = "/root/testdata/sf0.001"
+    held = collections.Counter(r.smd for r in cells(spark, sf).select("smd").collect() if r.smd is not None)
+    got = [r.bound for r in catalogue.queries()["fisher_breaks"](spark, sf).orderBy("i").collect()]
+    assert got == _dense_breaks(held, 5)[0]
+
+
 def test_constant_correlation_is_null(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert df.agg(stats.corr("a", "b")).first()[0] is None
