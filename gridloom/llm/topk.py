@@ -21,19 +21,49 @@ from .common import Scratch, lean, prepare
 from .vectors import matrices, usable
 
 _BINS = 256
-_LARGEST = 2.0**60  # of a score: products of integer components up to sqrt(_LARGEST / length) stay below
+_LARGEST = 2.0**63  # scores are longs
 
 
 def _integers(matrix: np.ndarray, scale: int) -> np.ndarray:
-    return np.floor(scale * matrix)
+    with np.errstate(over="ignore"):
+        out = np.floor(scale * matrix)
+    if not np.isfinite(out).all():
+        raise ValueError("a vector has components that pass the range of doubles when scaled")
+    return out
 
 
-def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles where no sum can pass 2**53, else in integers."""
-    top = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1]
-    if top < 2.0**53:
-        return (queries @ rows.T).astype(np.int64)
-    return queries.astype(np.int64) @ rows.astype(np.int64).T
+def _wrapped(matrix: np.ndarray) -> np.ndarray:
+    """Whole doubles as 64-bit integers, modulo 2**64."""
+    m = np.fmod(matrix, 2.0**64)
+    return np.where(m >= 2.0**63, m - 2.0**64, np.where(m < -(2.0**63), m + 2.0**64, m)).astype(np.int64)
+
+
+def _scores(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Exact integer products, and which of them fit 64 bits (None: all).
+
+    Doubles are exact where no sum of a pair can pass 2**53.  The other pairs are multiplied modulo
+    2**64, which is right for every product that fits; doubles with their error bound tell which do,
+    and Python's integers where that is too close.
+    """
+    d = queries.shape[1]
+    q_top, r_top = np.abs(queries).max(axis=1, initial=0), np.abs(rows).max(axis=1, initial=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        product = queries @ rows.T
+        q = np.flatnonzero(q_top * r_top.max(initial=0) * d >= 2.0**53)
+        r = np.flatnonzero(r_top * q_top.max(initial=0) * d >= 2.0**53)
+        if not len(q) or not len(r):
+            return product.astype(np.int64), None
+        large = np.outer(q_top, r_top) * d >= 2.0**53
+        out = np.where(large, 0.0, product).astype(np.int64)
+        a, b, near = queries[q], rows[r], product[np.ix_(q, r)]
+        error = (np.abs(a) @ np.abs(b).T) * (d + 2) * 2.0**-52
+        fit, unsure = np.abs(near) + error < _LARGEST, ~((np.abs(near) + error < _LARGEST) | (np.abs(near) - error > _LARGEST))
+    out[np.ix_(q, r)] = _wrapped(a) @ _wrapped(b).T
+    for x, y in zip(*np.nonzero(unsure)):
+        fit[x, y] = -(2**63) <= sum(int(u) * int(v) for u, v in zip(a[x], b[y])) < 2**63
+    ok = np.ones(out.shape, bool)
+    ok[np.ix_(q, r)] = fit
+    return out, None if fit.all() else ok
 
 
 class _Block:
@@ -44,7 +74,7 @@ class _Block:
 
 
 def _visit(sent, scale: int, slice_rows: int = 2048):
-    """Shared loop: (part number, query ids, scores, row ids) with a query's own row masked out by the callers."""
+    """Shared loop: (part number, query ids, scores, which of them fit, row ids) with a query's own row masked out by the callers."""
 
     def loop(batches):
         block = sent.value
@@ -55,7 +85,7 @@ def _visit(sent, scale: int, slice_rows: int = 2048):
                         continue
                     for a in range(0, len(ids), slice_rows):
                         rows = ids[a : a + slice_rows]
-                        yield part, qids, _scores(q, _integers(matrix[a : a + slice_rows], scale)), rows
+                        yield part, qids, *_scores(q, _integers(matrix[a : a + slice_rows], scale)), rows
 
     return loop
 
@@ -66,10 +96,13 @@ def _histogram(sent, bounds_sent, scale: int):
     def run(batches):
         bounds = bounds_sent.value
         counts = {}
-        for part, qids, s, rows in _visit(sent, scale)(batches):
+        for part, qids, s, ok, rows in _visit(sent, scale)(batches):
             low, width = bounds[part]
-            at = (s - low[:, None]) // width[:, None]
-            at = np.where(at < 0, -1, np.minimum(at, _BINS))
+            above = s.view(np.uint64) - low.view(np.uint64)[:, None]  # right from low on, even past 2**63
+            at = np.minimum(above // width.view(np.uint64)[:, None], np.uint64(_BINS)).astype(np.int64)
+            at[s < low[:, None]] = -1
+            if ok is not None:
+                at[~ok] = -1
             at[qids[:, None] == rows[None, :]] = -1
             flat = (np.arange(len(qids))[:, None] * (_BINS + 2) + at + 1).ravel()
             c = np.bincount(flat, minlength=len(qids) * (_BINS + 2)).reshape(len(qids), -1)
@@ -87,8 +120,10 @@ def _winners(sent, floor_sent, scale: int, k: int):
     def run(batches):
         floors = floor_sent.value
         best: dict = {}
-        for part, qids, s, rows in _visit(sent, scale)(batches):
+        for part, qids, s, ok, rows in _visit(sent, scale)(batches):
             hit = (s >= floors[part][:, None]) & (qids[:, None] != rows[None, :])
+            if ok is not None:
+                hit &= ok
             q, r = np.nonzero(hit)
             if not len(q):
                 continue
@@ -113,9 +148,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     Both inputs are (vec_id, embedding); a query's own id is not among its results, and all rows are
     returned where fewer than k exist.  Vectors that are null, empty, or hold null, NaN or infinite
-    components take no part, nor do those with components so large that a score might not fit 64 bits
-    (_LARGEST; from about 10,000 on in vectors of 10,000 components at a scale of 1024); vectors of another length
-    than the query's are not compared with it;
+    components take no part; a pair whose score does not fit 64 bits is no result, though both vectors
+    may be in others; vectors of another length than the query's are not compared with it;
     rows that repeat an id compete one by one (a repeated query id is searched once, by its first
     vector in order); no queries or no rows give no result; other columns are ignored.
     """
@@ -123,9 +157,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     prepare(spark)
     sc = spark.sparkContext
     scratch = Scratch(spark, "topk")
-    fits = F.expr(f"{scale} * aggregate(v, 0D, (m, x) -> greatest(m, abs(x))) + 1 <= sqrt({_LARGEST}D / size(v))")
-    rows = usable(vectors).where(fits)
-    asked = scratch.save(usable(queries).where(fits).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    rows = usable(vectors)
+    asked = scratch.save(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     n_queries, most = asked.agg(F.count("*"), F.max(F.expr("aggregate(v, 0D, (m, x) -> greatest(m, abs(x)))"))).first()
     blocks = max(1, -(-n_queries // block_rows))
     widest = rows.agg(F.max(F.size("v")), F.max(F.expr("aggregate(v, 0D, (m, x) -> greatest(m, abs(x)))"))).first()
@@ -137,7 +170,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         block = _Block(held, scale)
         sent = sc.broadcast(block)
         # No score is larger than the product of the largest components, for every dimension.
-        reach = min(int((scale * most + 1) * (scale * widest[1] + 1) * widest[0]), int(_LARGEST)) + 1
+        reach = int(min((scale * most + 1) * (scale * widest[1] + 1) * widest[0] + 1, _LARGEST))
         bounds = [(np.full(len(ids), -reach, np.int64), np.full(len(ids), -(-(2 * reach + 1) // _BINS), np.int64)) for ids, _ in block.parts]
         open_ = [np.ones(len(ids), bool) for ids, _ in block.parts]
         while any(o.any() for o in open_):

@@ -191,6 +191,30 @@ def test_topk(spark):
     assert top_k(few, few.where("vec_id = 0"), 10).count() == 2
 
 
+def test_topk_takes_large_vectors(spark):
+    from gridloom.llm.topk import _scores, top_k
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(200)]
+    rows += [(200, [2e5] * 64), (201, [-3e5] * 64), (202, [1e9] + [0.0] * 63), (203, [1e13] + [0.0] * 63), (204, [0.0] + [8e12] * 2 + [0.0] * 61)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    asked = [0, 1, 200, 201, 202, 203, 204]
+    got = collections.defaultdict(list)
+    for r in top_k(df, df.where(F.col("vec_id").isin(asked)), 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in asked:
+        scores = [(sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q]
+        want = sorted((-s, i) for s, i in scores if -(2**63) <= s < 2**63)[:10]
+        assert got[q] == [(i, -s) for s, i in want], q
+    a, b = np.floor(rng.normal(size=(9, 8)) * 10.0 ** rng.integers(0, 18, (9, 1))), np.floor(rng.normal(size=(11, 8)) * 10.0 ** rng.integers(0, 18, (11, 1)))
+    scores, ok = _scores(a, b)
+    for x in range(9):
+        for y in range(11):
+            exact = sum(int(u) * int(v) for u, v in zip(a[x], b[y]))
+            assert (-(2**63) <= exact < 2**63) == ok[x, y] and (not ok[x, y] or scores[x, y] == exact)
+
+
 def test_warc(spark):
     from gridloom.llm.common import session_folder
     from gridloom.llm.warc import read_warc, warc_round_trip, write_warc
