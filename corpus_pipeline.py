@@ -33,7 +33,7 @@ def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by Jaccard similarity 0.8 or more on five-word shingles."""
-    return keep_one_of_each(docs, words=5, percent=80)
+    return keep_one_of_each(docs, words=5, percent=80, by_row=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

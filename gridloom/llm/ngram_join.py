@@ -396,12 +396,22 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, by_row: bool = False) -> DataFrame:
     """The rows of docs, all columns, with one document of each group of near copies: its smallest id.
 
     Rows that repeat an id are one document, of which the first by text stays; rows with a null id stay.
+    With by_row every row is a document of its own, also those that repeat an id or have none: of a
+    group the row with the smallest id (null last, then by text) stays.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
+    if by_row and not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        # Keys that rise with the id; written once, so that they do not change between reads.
+        rest = [F.xxhash64(c) for c in docs.columns]
+        keyed = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text", *rest).withColumn("__row", F.monotonically_increasing_id())
+        keyed = scratch.save(keyed, "keyed")
+        classes = ngram_jaccard_classes(keyed, id_col="__row", words=words, percent=percent)
+        gone = scratch.save(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__row")), "gone")
+        return join_on_id(keyed, gone, "__row", "left_anti").select(*docs.columns)
     classes = scratch.save(ngram_jaccard_classes(docs, words=words, percent=percent).select("doc_id", "component_id"), "classes")
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     kept = join_on_id(docs, gone, "doc_id", "left_anti")

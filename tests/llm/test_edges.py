@@ -89,6 +89,21 @@ def test_ngram_join(docs, none, words, percent):
         assert kept.columns == docs.columns
 
 
+def test_keep_one_copy_decides_by_row(spark):
+    from corpus_pipeline import keep_one_copy
+
+    a, b, c, d = (" ".join(_base(i)) for i in (21, 22, 23, 24))
+    near = " ".join([*_base(21)[:-1], "changed"])
+    rows = [(3, a, 0), (5, near, 1), (5, b, 2), (None, c, 3), (None, c, 4), (None, d, 5), (7, d, 6), (None, a, 7), (8, None, 8), (8, "", 9), (None, None, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(3)
+    kept = keep_one_copy(spark, df, "")
+    assert kept.columns == df.columns
+    got = sorted(r.place for r in kept.collect())
+    assert got in ([0, 2, 3, 5 + 1, 8, 9, 10], [0, 2, 4, 5 + 1, 8, 9, 10])
+    unique = spark.createDataFrame([(3, a), (5, near), (6, b)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one_copy(spark, unique, "").collect()) == [3, 6]
+
+
 def test_ngram_join_heavy_group(spark):
     """Near copies in a chain, a frequent passage, and hot exact copies, against brute force."""
     from gridloom.llm.ngram_join import ngram_jaccard_classes
