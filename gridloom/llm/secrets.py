@@ -32,6 +32,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _NAME = re.compile(rb"(?i:passw|secret|token|api_?key)")
+_KEY = re.compile(rb"AKIA")
 
 WINDOW = 20
 _CANDIDATE_BYTES = np.zeros(256, bool)
@@ -93,6 +94,19 @@ def _runs(solid: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(starts[keep].tolist(), ends[keep].tolist()))
 
 
+def _rows_with(pattern: re.Pattern, raw: bytes, offsets: np.ndarray) -> set[int]:
+    """Texts that hold a match; one across a text's end is none, and the search goes on at that end."""
+    rows = set()
+    m = pattern.search(raw)
+    while m:
+        row = int(np.searchsorted(offsets, m.start(), side="right")) - 1
+        end = int(offsets[row + 1])
+        if m.end() <= end:
+            rows.add(row)
+        m = pattern.search(raw, end)
+    return rows
+
+
 def _scan(data: np.ndarray, offsets: np.ndarray, allow: re.Pattern) -> list[list[tuple[int, str, int]]]:
     """Spans (start, kind, end) of every text, in code points, sorted by start and kind as listed."""
     n = len(offsets) - 1
@@ -112,12 +126,7 @@ def _scan(data: np.ndarray, offsets: np.ndarray, allow: re.Pattern) -> list[list
                 found[row].append((a, kind, b))
     raw = data.tobytes()
     text_of: dict[int, str] = {}
-    named = {int(np.searchsorted(offsets, m.start(), side="right")) - 1 for m in _NAME.finditer(raw)}
-    at = raw.find(b"AKIA")
-    keyed = set()
-    while at >= 0:
-        keyed.add(int(np.searchsorted(offsets, at, side="right")) - 1)
-        at = raw.find(b"AKIA", at + 4)
+    named, keyed = _rows_with(_NAME, raw, offsets), _rows_with(_KEY, raw, offsets)
     out = []
     for row in range(n):
         if not found[row] and row not in named and row not in keyed:
