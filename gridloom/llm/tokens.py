@@ -2,9 +2,8 @@
 
 The ids are those that `tokenizers` gives for the same file (tests hold them against it): with
 `added`, the file's added tokens written out in a text are single ids, as the library has it unless
-`encode_special_tokens` is set; without, they are plain text.  Text is cut at single spaces, where
-the pattern below always cuts too; the ids of a space-led part depend on nothing else, so they are
-kept in a cache of bounded size and only parts not seen lately are encoded.
+`encode_special_tokens` is set; without, they are plain text.  Whole texts go to the encoder in one
+call; only very long runs of white space, which its pattern matcher cannot take, are encoded apart.
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ import numpy as np
 
 # Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_UNSAFE = re.compile(r"\s ")  # white space before a space: the pattern may cut elsewhere
-_CACHE = 120_000
+_LONG = 50_000
+_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % _LONG)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -50,44 +49,35 @@ def load_added(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in tokens}
 
 
-class _Parts(dict):
-    """part -> its ids as little-endian 32-bit numbers; two generations bound the memory."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead, self.old = encode, lead, {}
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
-        if ids is None:
-            ids = np.array(self.encode(self.lead + part), "<u4").tobytes()
-        if len(part) < 64:
-            if len(self) >= _CACHE:
-                self.old = dict(self)
-                self.clear()
-            self[part] = ids
-        return ids
-
-
 class Encoder:
     def __init__(self, path: str, added: bool = False):
-        self.encode = load_encoding(path).encode_ordinary
-        self.first, self.led = _Parts(self.encode, ""), _Parts(self.encode, " ")
-        self.added = {token: np.array([i], "<u4").tobytes() for token, i in load_added(path).items()} if added else {}
+        self.encoding = load_encoding(path)
+        self.added = load_added(path) if added else {}
         # Of tokens that start at one place the longest counts, as in the library.
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit numbers."""
-        if any(token in text for token in self.added):
-            return b"".join([self.added[part] if i % 2 else self._plain(part) for i, part in enumerate(self.cut(text))])
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _UNSAFE.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
-        head, *parts = text.split(" ")
-        led = self.led
-        return b"".join([self.first[head], *map(led.__getitem__, parts)])
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
+        if not any(token in text for token in self.added):
+            return np.array(self._plain(text), "<u4")
+        out: list[int] = []
+        for i, part in enumerate(self.cut(text)):
+            if i % 2:
+                out.append(self.added[part])
+            else:
+                out += self._plain(part)
+        return np.array(out, "<u4")
+
+    def _plain(self, text: str) -> list[int]:
+        encode = self.encoding.encode_ordinary
+        if len(text) < _LONG:
+            return encode(text)
+        out: list[int] = []
+        done = 0
+        for run in _BLANKS.finditer(text):
+            # The pattern takes a run whole, but for its last character where a word follows.
+            end = run.end() - (run.end() < len(text))
+            out += encode(text[done : run.start()])
+            out += self.encoding._encode_single_piece(text[run.start() : end])
+            done = end
+        return out + encode(text[done:])

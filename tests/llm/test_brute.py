@@ -58,7 +58,6 @@ def brute_pieces(docs) -> collections.Counter:
     from tokenizers import Tokenizer
 
     bpe, want = Tokenizer.from_file(TOKENIZER), collections.Counter()
-    bpe.encode_special_tokens = True
     for doc_id, text in docs:
         ids = bpe.encode(text or "", add_special_tokens=False).ids + [2]
         at, size, piece = 0, len(ids) % 1024 or 1024, 0
