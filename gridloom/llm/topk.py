@@ -162,6 +162,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     n_queries, most = asked.agg(F.count("*"), F.max(F.expr("aggregate(v, 0D, (m, x) -> greatest(m, abs(x)))"))).first()
     blocks = max(1, -(-n_queries // block_rows))
     widest = rows.agg(F.max(F.size("v")), F.max(F.expr("aggregate(v, 0D, (m, x) -> greatest(m, abs(x)))"))).first()
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     result = None
     for b in range(blocks):
         held = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()  # about block_rows rows
@@ -200,12 +201,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
             for o, t in zip(open_, touched):
                 o &= t
         floors = sc.broadcast([low for low, _ in bounds])
+        # Written block by block: no plan holds more than one block's scans, and a lost executor repeats no other block.
         found = rows.mapInArrow(lean(_winners(sent, floors, scale, k)), "query_id long, vec_id long, score long")
+        found = scratch.save(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "winners")
         result = found if result is None else result.union(found)
     if result is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return result.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return result
 
 
 def topk_digest(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
