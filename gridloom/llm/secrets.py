@@ -17,7 +17,9 @@ words of one repeated or consecutive pattern, paths, and spans that a base match
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -135,8 +137,9 @@ def _scan(data: np.ndarray, offsets: np.ndarray, allow: re.Pattern) -> list[list
         begin = int(offsets[row])
         body = raw[begin : int(offsets[row + 1])]
         text = body.decode()
-        ascii_only = len(text) == len(body)
-        point = (lambda b: b - begin) if ascii_only else (lambda b: len(raw[begin:b].decode()))  # noqa: B023
+        # Code points before each byte, where they differ from bytes.
+        lead = None if len(text) == len(body) else np.r_[0, np.cumsum((data[begin : begin + len(body)] & 0xC0) != 0x80)]
+        point = (lambda b: b - begin) if lead is None else (lambda b: int(lead[b - begin]))  # noqa: B023
         spans = []
         if row in named:
             spans += [(m.start(), "assign", m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -149,14 +152,17 @@ def _scan(data: np.ndarray, offsets: np.ndarray, allow: re.Pattern) -> list[list
                 spans.append((a, "hex", b))
             else:
                 candidates.append((a, b))
-        base = list(spans)
+        # Of the base spans that begin at or before a place, the furthest end.
+        base = sorted((a, b) for a, _, b in spans)
+        begins, reach = [a for a, _ in base], list(itertools.accumulate((b for _, b in base), max))
         for a, b in candidates:
             whole = text[a:b]
             if allow.fullmatch(whole):
                 continue
             for x, y in entropy_spans(whole):
                 x, y = a + x, a + y
-                if not allow.fullmatch(text[x:y]) and not any(s <= x and y <= e for s, _, e in base):
+                before = bisect.bisect_right(begins, x)
+                if not allow.fullmatch(text[x:y]) and not (before and reach[before - 1] >= y):
                     spans.append((x, "entropy", y))
         out.append(sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]))))
     return out
@@ -201,7 +207,9 @@ _SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long
 def redact(docs: DataFrame, mask: str = "[SECRET]", allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """The same rows and columns with every span that the scan finds replaced by `mask` in `text`.
 
-    Overlapping spans are masked as one.  A null text stays null; a text without findings is unchanged.
+    Overlapping spans are masked as one.  A null text stays null; a text without findings is unchanged;
+    repeated rows and rows without an id are masked one by one; an empty table gives no rows; columns of
+    any other name pass unchanged.
     """
     prepare(docs.sparkSession)
     pattern = "|".join(f"(?:{x})" for x in allow) or r"(?!)"
