@@ -9,10 +9,14 @@ such payloads are inflated no further than needed to find the next record, and n
 from __future__ import annotations
 
 import base64
+import contextlib
+import quopri
+import re
+import uuid
 import zlib
-from urllib.parse import quote, unquote
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +29,8 @@ SCHEMA = "record_id string, type string, uri string, date string, digest string,
 _HEADER = {"record_id": "warc-record-id", "type": "warc-type", "uri": "warc-target-uri", "date": "warc-date", "digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
+_LIST = "_files"  # table of the files that a write has committed, in the archives' folder
+_WORD = re.compile(r"=\?utf-8\?([bq])\?([^? ]*)\?=", re.IGNORECASE | re.ASCII)
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -34,6 +40,20 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
 
 
+def _field(value: str) -> str:
+    """A header value: the text as it is, or an encoded word (RFC 2047) where it could not be read back so."""
+    plain = value == value.strip(" \t") and not re.search(r"[\x00-\x1f\x7f]", value) and not _WORD.fullmatch(value)
+    return value if plain else f"=?utf-8?B?{base64.b64encode(value.encode()).decode()}?="
+
+
+def _text(value: str) -> str:
+    word = _WORD.fullmatch(value)
+    if word is None:
+        return value
+    raw = base64.b64decode(word[2]) if word[1] in "bB" else quopri.decodestring(word[2].encode(), header=True)
+    return raw.decode("utf-8", "replace")
+
+
 # --- writer ---------------------------------------------------------------------------------------
 
 
@@ -43,7 +63,7 @@ def _record(page, url, payload: bytes, digest: str, length: int, head, date: str
         lines.append(f"WARC-Record-ID: <urn:x-page:{page}>")
     lines.append(f"WARC-Date: {date}")
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=-._~%' + chr(39))}")
+        lines.append(f"WARC-Target-URI: {_field(url)}")
     lines.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     if head is not None:
@@ -60,16 +80,14 @@ def _writer(path: str, date: str, max_file_bytes: int, compress: bool):
         task = TaskContext.get()
         store, root = _filesystem(path)
         store.create_dir(root, recursive=True)
-        part, attempt = task.partitionId(), task.taskAttemptId()
-        state = {"out": None, "n": 0, "bytes": 0, "file": 0}
+        # Each attempt has names of its own: what a failed or second one leaves is in no committed list.
+        part, attempt = task.partitionId(), uuid.uuid4().hex
+        state = {"out": None, "n": 0, "bytes": 0, "file": 0, "name": ""}
         done = []
 
         def finish():
             state["out"].close()
-            # Named by partition: a repeated attempt writes the same bytes and replaces the file.
-            final = f"{root}/part-{part:06d}-{state['file']:04d}.warc{'.gz' if compress else ''}"
-            store.move(state["temp"], final)
-            done.append((final.rpartition("/")[2], state["n"], state["bytes"]))
+            done.append((state["name"], state["n"], state["bytes"]))
             state.update(out=None, n=0, bytes=0, file=state["file"] + 1)
 
         for batch in batches:
@@ -82,8 +100,8 @@ def _writer(path: str, date: str, max_file_bytes: int, compress: bool):
                     gz = zlib.compressobj(1, zlib.DEFLATED, 31)
                     raw = gz.compress(raw) + gz.flush()
                 if state["out"] is None:
-                    state["temp"] = f"{root}/.{part:06d}-{state['file']:04d}-{attempt}.tmp"
-                    state["out"] = store.open_output_stream(state["temp"])
+                    state["name"] = f"part-{part:06d}-{state['file']:04d}-{attempt}.warc{'.gz' if compress else ''}"
+                    state["out"] = store.open_output_stream(f"{root}/{state['name']}", compression=None)
                 state["out"].write(raw)
                 state["n"] += 1
                 state["bytes"] += len(raw)
@@ -104,6 +122,8 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 1000, date: str
     page_id is a response, the others are revisits that refer to it.  A null html is an empty
     payload; rows with a null page_id are always responses without a record id, as are all rows of
     the largest page_id if that repeats; a null url leaves out the header; no rows write no file.
+    The list of files is written last, as a table in the folder, by Spark's commit: a reader takes the
+    files it names and no others, so a repeated or lost task never adds a record twice.
     Payloads are never shuffled as long as the table of revisits (two ids and a digest a row) has
     at most `broadcast_rows` rows; beyond that it is joined by a shuffle.
     """
@@ -118,7 +138,7 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 1000, date: str
         revisits = F.broadcast(revisits)
     out = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "head", "digest", "size")
     done = out.mapInArrow(lean(_writer(path, date, max_file_bytes, compress)), "file string, records long, bytes long")
-    store_list = f"{path}-files"
+    store_list = f"{path}/{_LIST}"
     done.write.parquet(store_list)
     return pages.sparkSession.read.schema(done.schema).parquet(store_list)
 
@@ -142,11 +162,31 @@ def _passes(kind: str, wanted, value) -> bool:
 
 def _value(name: str, headers: dict) -> str | None:
     value = headers.get(_HEADER[name])
-    if value is not None and name == "uri":
-        return unquote(value)
-    if value is not None and name in ("record_id", "refers_to"):
-        return value.strip("<>")
-    return value
+    if value is None:
+        return None
+    return value.strip("<>") if name in ("record_id", "refers_to") else _text(value)
+
+
+def _headers(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-case name; of a repeated one the last; a line that starts with a blank goes on the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip(" \t")
+            continue
+        name, _, value = line.partition(":")
+        name = name.strip(" \t").lower()
+        out[name] = value.strip(" \t")
+    return out
+
+
+@contextlib.contextmanager
+def _named(path: str):
+    try:
+        yield
+    except (ValueError, zlib.error) as wrong:
+        raise ValueError(f"{path}: {wrong}") from wrong
 
 
 class _Plain:
@@ -176,15 +216,21 @@ class _Plain:
             n *= 2
 
     def block(self, n: int) -> bytes:
+        self._within(n)
         raw = self._fill(self.at, n)
         self.at += n + 4
         return raw
 
     def skip(self, n: int, peek: int = 0) -> bytes:
+        self._within(n)
         raw = self._fill(self.at, min(n, peek)) if peek else b""
         self.at += n + 4
         return raw
 
+    def _within(self, n: int) -> None:
+        if self.at + n > self.size:
+            raise ValueError(f"truncated record: its block of {n} bytes begins at byte {self.at} of {self.size}")
+
 
 class _Members:
     """Reader of an archive with one gzip member a record."""
@@ -192,14 +238,15 @@ class _Members:
     def __init__(self, stream, size: int):
         self.stream, self.rest, self.inflate, self.text = stream, b"", None, b""
 
-    def _more(self) -> bool:
+    def _more(self) -> bytes | None:
+        """The next inflated bytes of the member, None at the end of the file."""
         raw = self.rest or self.stream.read(1 << 16)
         self.rest = b""
         if not raw:
-            return False
-        self.text += self.inflate.decompress(raw, 1 << 16)
+            return None
+        text = self.inflate.decompress(raw, 1 << 16)
         self.rest = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
-        return True
+        return text
 
     def head(self) -> bytes | None:
         self.rest = self.rest or self.stream.read(1 << 16)
@@ -207,25 +254,33 @@ class _Members:
             return None
         self.inflate, self.text = zlib.decompressobj(31), b""
         while (end := self.text.find(_END)) < 0:
-            if self.inflate.eof or not self._more():
+            more = None if self.inflate.eof else self._more()
+            if more is None:
                 raise ValueError("no end of a header")
+            self.text += more
         head, self.text = self.text[:end], self.text[end + 4 :]
         return head
 
     def block(self, n: int) -> bytes:
-        while not self.inflate.eof:
-            if not self._more():
-                raise ValueError("truncated member")
-        return self.text[:n]
+        return self._rest(n, n)
 
     def skip(self, n: int, peek: int = 0) -> bytes:
-        raw = b""
+        return self._rest(n, min(n, peek))
+
+    def _rest(self, n: int, keep: int) -> bytes:
+        """The first `keep` bytes of a block of n; inflates to the end of the member."""
+        parts, seen = [self.text[:keep]], len(self.text)
+        self.text = b""
         while not self.inflate.eof:
-            raw = (raw + self.text)[:peek]
-            self.text = b""
-            if not self._more():
+            more = self._more()
+            if more is None:
                 raise ValueError("truncated member")
-        return (raw + self.text)[:peek]
+            if seen < keep:
+                parts.append(more[: keep - seen])
+            seen += len(more)
+        if seen < n:
+            raise ValueError(f"truncated record: {seen} of {n} bytes of its block")
+        return b"".join(parts)
 
 
 class WarcReader(DataSourceReader):
@@ -259,21 +314,29 @@ class WarcReader(DataSourceReader):
         if info.type == pafs.FileType.NotFound:
             return []
         files = [info] if info.is_file else store.get_file_info(pafs.FileSelector(root, recursive=True))
+        listed = f"{root}/{_LIST}"
+        if store.get_file_info(listed).type == pafs.FileType.Directory:
+            if store.get_file_info(f"{listed}/_SUCCESS").type == pafs.FileType.NotFound:
+                raise ValueError(f"{self.path}: the write of these archives has not ended")
+            named = {f"{root}/{x}" for x in pq.read_table(listed, filesystem=store, columns=["file"]).column("file").to_pylist()}
+            files = [f for f in files if f.path in named]
         return [_File(f.path) for f in sorted(files, key=lambda f: f.path) if f.is_file and f.path.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition):
         if partition is None:
             return
         store, _ = _filesystem(self.path)
-        with store.open_input_file(partition.path) as stream:
+        with store.open_input_file(partition.path) as stream, _named(partition.path):
             archive = (_Members if partition.path.endswith(".gz") else _Plain)(stream, stream.size())
             rows: list[tuple] = []
             held = 0
             while (head := archive.head()) is not None:
                 version, *lines = head.decode("utf-8", "replace").split("\r\n")
                 if not version.startswith("WARC/"):
-                    raise ValueError(f"{partition.path}: not a record: {version[:40]!r}")
-                headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+                    raise ValueError(f"not a record: {version[:40]!r}")
+                headers = _headers(lines)
+                if not headers.get("content-length", "").isdigit():
+                    raise ValueError("a record without a length")
                 n = int(headers["content-length"])
                 if not all(_passes(kind, wanted, _value(name, headers)) for name, kind, wanted in self.tests):
                     archive.skip(n)
@@ -317,6 +380,16 @@ class WarcDataSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
+    """The records of the archives at `path` (a file or a folder), with any of SCHEMA's columns.
+
+    Text columns are the headers' values as they stand, but for the brackets around record ids and for
+    encoded words; a header that is not there is null; `payload` is null for revisits, `http_length` is
+    null without an HTTP header of that name.  Records that repeat are rows that repeat; other headers
+    are ignored; a path without archives gives no rows.  An archive that ends inside a record, holds
+    something else than records, or a record without a length, fails with its path.  A folder that
+    write_warc wrote is read by its list of files.  One partition is one file; compressed archives must
+    hold one member a record.  Switches on filter pushdown to Python sources in the session.
+    """
     prepare(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
