@@ -6,7 +6,9 @@ Besides its own bucket a vector enters the next best ones, those that cost the l
 values.  Vectors that meet in a bucket are compared in double precision, block against block; a pair
 counts in the first bucket that its vectors share, so counts need no list of pairs, and a block
 hands on no more than a spanning forest of its links.  Equal vectors are one class.  A bucket of
-more than `block_rows` classes is dealt into blocks, and every two of its blocks meet in one task.
+more than `block_rows` classes is dealt into blocks, and every two of its blocks meet in one task: a
+vector travels once for each block of its bucket.  Up to 16 blocks are cut for the sake of parallel
+tasks, beyond that they grow to 8 * `block_rows` classes, what a task can hold.
 """
 
 from __future__ import annotations
@@ -84,10 +86,10 @@ def _enter(tables: int, probes: int, seed: int):
                     ids = batch.column(0).take(pa.array(np.repeat(rows, per)))
                     table_of = np.tile(np.repeat(np.arange(tables), 1 + probes), n)
                     vectors = pa.array([x.tobytes() for x in unit], pa.binary()).take(pa.array(np.repeat(np.arange(n), per)))
-                    lists = pa.array([x.tobytes() for x in codes.astype(np.int32)], pa.binary()).take(pa.array(np.repeat(np.arange(n), per)))
+                    lists = pa.array([x.tobytes() for x in codes], pa.binary()).take(pa.array(np.repeat(np.arange(n), per)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((np.int64(m.shape[1]) << 38) | (table_of.astype(np.int64) << 32) | codes.reshape(-1)), ids, pa.array(np.repeat(weight_of[rows], per)), vectors, lists],
-                        names=["bucket", "rep", "weight", "unit", "codes"],
+                        [pa.array((np.int64(m.shape[1]) << 6) | table_of.astype(np.int64)), pa.array(codes.reshape(-1)), ids, pa.array(np.repeat(weight_of[rows], per)), vectors, lists],
+                        names=["space", "code", "rep", "weight", "unit", "codes"],
                     )
 
     return run
@@ -96,53 +98,65 @@ def _enter(tables: int, probes: int, seed: int):
 _LINK_SCHEMA = "rep long, n long, root long"
 
 
+def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest place of each one's part under the links p - q."""
+    label = np.arange(n)
+    while True:
+        m = np.minimum(label[p], label[q])
+        old = label.copy()
+        np.minimum.at(label, p, m)
+        np.minimum.at(label, q, m)
+        label = label[label]
+        if (label == old).all():
+            return label
+
+
 def _blocks(tables: int, probes: int, least: float):
     """Links within one block pair of a bucket: per class the weight of linked classes, and a local root."""
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        bucket = group.column("bucket")[0].as_py()
+        space, own = group.column("space")[0].as_py(), group.column("code")[0].as_py()
         low, high = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         rep, weight, salt = (group.column(c).to_numpy() for c in ("rep", "weight", "salt"))
         order = np.lexsort((rep, salt))
         rep, weight, salt = rep[order], weight[order], salt[order]
         unit = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(len(rep), -1)[order]
-        codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.int32).reshape(len(rep), tables, 1 + probes)[order]
-        table_at, code_at = (bucket >> 32) & 63, np.int32(bucket & 0xFFFFFFFF)
+        codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.int64).reshape(len(rep), tables, 1 + probes)[order]
+        table_at, code_at = space & 63, np.int64(own)
         cut = int(np.searchsorted(salt, low, side="right"))
         first, second = (np.arange(len(rep)),) * 2 if low == high else (np.arange(cut), np.arange(cut, len(rep)))
         n = np.zeros(len(rep), np.int64)
         lefts, rights = [], []
-        for a in range(0, len(first), 512):
-            rows = first[a : a + 512]
-            hit = unit[rows] @ unit[second].T >= least
+        # Slices of both sides, so that a block of any size needs a bounded matrix.
+        for rows, others in ((first[a : a + 512], second[b : b + 4096]) for a in range(0, len(first), 512) for b in range(0, len(second), 4096)):
+            if low == high and rows[0] >= others[-1]:
+                continue
+            hit = unit[rows] @ unit[others].T >= least
             if low == high:
-                hit &= rows[:, None] < second[None, :]
+                hit &= rows[:, None] < others[None, :]
             x, y = np.nonzero(hit)
-            x, y = rows[x], second[y]
+            x, y = rows[x], others[y]
             for b in range(0, len(x), 20_000):
                 p, q = x[b : b + 20_000], y[b : b + 20_000]
                 shared = (codes[p][:, : table_at + 1, :, None] == codes[q][:, : table_at + 1, None, :])
                 before = shared[:, :table_at].any(axis=(1, 2, 3)) if table_at else np.zeros(len(p), bool)
-                here = np.where(shared[:, table_at].any(axis=2), codes[p][:, table_at], np.iinfo(np.int32).max).min(axis=1)
+                here = np.where(shared[:, table_at].any(axis=2), codes[p][:, table_at], np.iinfo(np.int64).max).min(axis=1)
                 new = ~before & (here == code_at)
-                lefts.append(p[new])
-                rights.append(q[new])
+                p, q = p[new], q[new]
+                np.add.at(n, p, weight[q])
+                np.add.at(n, q, weight[p])
+                lefts.append(p)
+                rights.append(q)
+            # Of the links so far a forest is enough: each class with the root of its part.
+            if sum(map(len, lefts)) > 1_000_000:
+                root = _roots(len(rep), np.concatenate(lefts), np.concatenate(rights))
+                some = np.flatnonzero(root != np.arange(len(rep)))
+                lefts, rights = [some], [root[some]]
         if not lefts:
             return schema.empty_table()
-        p, q = np.concatenate(lefts), np.concatenate(rights)
-        np.add.at(n, p, weight[q])
-        np.add.at(n, q, weight[p])
-        label = np.arange(len(rep))
-        while True:
-            m = np.minimum(label[p], label[q])
-            old = label.copy()
-            np.minimum.at(label, p, m)
-            np.minimum.at(label, q, m)
-            label = label[label]
-            if (label == old).all():
-                break
+        label = _roots(len(rep), np.concatenate(lefts), np.concatenate(rights))
         some = n > 0
         return pa.Table.from_arrays([pa.array(rep[some]), pa.array(n[some]), pa.array(rep[label[some]])], schema=schema)
 
@@ -165,14 +179,15 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, tables: int =
     good = usable(vectors).where(F.exists("v", lambda x: x != 0))
     classes = scratch.save(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
     entered = scratch.save(
-        classes.select("rep", "weight", "v").mapInArrow(lean(_enter(tables, probes, seed)), "bucket long, rep long, weight long, unit binary, codes binary"), "entered"
+        classes.select("rep", "weight", "v").mapInArrow(lean(_enter(tables, probes, seed)), "space long, code long, rep long, weight long, unit binary, codes binary"), "entered"
     )
-    sizes = entered.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    sizes = sizes.withColumn("deal", F.ceil(F.col("size") / block_rows).cast("int"))
-    dealt = entered.join(sizes.select("bucket", "deal"), "bucket").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int"))
+    sizes = entered.groupBy("space", "code").agg(F.count("*").alias("size")).where("size > 1")
+    block = F.greatest(F.lit(block_rows), F.least(F.lit(8 * block_rows), F.ceil(F.col("size") / 16)))
+    sizes = sizes.withColumn("deal", F.ceil(F.col("size") / block).cast("int"))
+    dealt = entered.join(sizes.select("space", "code", "deal"), ["space", "code"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
-    dealt = dealt.select("bucket", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "rep", "weight", "unit", "codes")
-    links = scratch.save(dealt.groupBy("bucket", "i", "j").applyInArrow(lean_group(_blocks(tables, probes, least)), _LINK_SCHEMA), "links")
+    dealt = dealt.select("space", "code", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "rep", "weight", "unit", "codes")
+    links = scratch.save(dealt.groupBy("space", "code", "i", "j").applyInArrow(lean_group(_blocks(tables, probes, least)), _LINK_SCHEMA), "links")
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("id", "rep")
     per_class = classes.join(counts, "rep", "left").join(parts, "rep", "left").select(
