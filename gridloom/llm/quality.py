@@ -149,13 +149,25 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> dict:
-    """Train on at most max_rows labelled rows outside fold 0; without two classes the share is the score."""
-    sample = training_sample(docs, labels, "quality", max_rows)
+    """Train on at most max_rows labelled rows outside fold 0; without two classes the share is the score.
+
+    The statistics are counted on the executors; the driver gets a row of numbers a document.
+    """
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            values = pa.array(document_features(batch.column(1)).ravel())
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "y", "x"])
+
+    sample = training_sample(docs, labels, "quality", max_rows).select("doc_id", "text", "y").mapInArrow(lean(run), "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
     y = sample.column("y").to_numpy().astype(np.float64)
     if len(set(y)) < 2:
         y = np.append(y, [0.0, 1.0])
         return {"base": float(np.log(y.mean() / (1 - y.mean()))), "feature": np.zeros((0, 15), np.int64), "threshold": np.zeros((0, 15)), "value": np.zeros((0, 16))}
-    return train(document_features(sample.column("text").combine_chunks()), y)
+    x = np.array(sample.column("x").to_pylist())
+    return train(x, y)
 
 
 def score_quality(docs: DataFrame, model: dict) -> DataFrame:
