@@ -45,7 +45,8 @@ def preference_pairs(turns: DataFrame, loss_role: str = "assistant") -> DataFram
     ordered by turn number, ties by role and text; a null role is 'unknown', a null text empty.
     Turns without a pair or a side are left out.  A pair with one side has an empty prompt and a
     null completion for the other; where one conversation is a prefix of the other, the shorter
-    one's completion is empty.  One group is one pair, which becomes one example.
+    one's completion is empty.  Turns that repeat, wholly or in their number, all count, in that order;
+    an empty table gives no rows.  One group is one pair, which becomes one example.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # collect_list leaves out nulls, so each side gets its own turns from one shuffle.

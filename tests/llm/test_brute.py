@@ -110,20 +110,21 @@ def test_held_out_labels(spark, name, label, least):
 def test_warc_query(spark):
     from gridloom.llm.queries import op5_warc
 
-    pages = [(r["page_id"], (r["html"] or "").encode()) for r in rows("sf0.01", "pages")]
+    pages = [(r["page_id"], r["url"], (r["html"] or "").encode()) for r in rows("sf0.01", "pages")]
     best: dict[bytes, int] = {}
-    for page, raw in pages:
+    for page, _, raw in pages:
         if len(raw) >= 1000:
             best[raw] = max(page, best.get(raw, page))
-    want = [(p, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if best.get(raw, p) != p else "response", best[raw] if best.get(raw, p) != p else None) for p, raw in pages]
-    got = op5_warc(spark, f"{ROOT}/sf0.01").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    want = [(p, url, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if best.get(raw, p) != p else "response", best[raw] if best.get(raw, p) != p else None) for p, url, raw in pages]
+    got = op5_warc(spark, f"{ROOT}/sf0.01").select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_embedding_query(spark):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_embedding_query(spark, sf):
     from gridloom.llm.queries import op6_embedding_near_dedup
 
-    held = rows("sf0.01", "embeddings")
+    held = rows(sf, "embeddings")
     x = np.array([r["embedding"] for r in held], np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
     close = x @ x.T >= 0.9
@@ -136,7 +137,7 @@ def test_embedding_query(spark):
             break
         component = lower
     true = dict(zip(ids, component.tolist()))
-    got = {r.vec_id: r for r in op6_embedding_near_dedup(spark, f"{ROOT}/sf0.01").collect()}
+    got = {r.vec_id: r for r in op6_embedding_near_dedup(spark, f"{ROOT}/{sf}").collect()}
     assert set(got) == set(ids) and len(held) == len(got)
     links = {i: int(n) for i, n in zip(ids, close.sum(axis=1))}
     assert all(r.n_links <= links[i] and r.kept == (r.component_id == i) for i, r in got.items())
@@ -160,11 +161,14 @@ def test_secret_query(spark):
         assert sorted(mine.spans.split(",") if mine.spans else []) == sorted([*joined, *(f"entropy:{a}:{b}" for a, b in entropy_only(text, base))])
 
 
-def test_packing_query(spark):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_packing_query(spark, sf):
     from gridloom.llm.queries import op10_best_fit_packing
 
-    got = op10_best_fit_packing(spark, f"{ROOT}/sf0.001").collect()
-    check_packing(got, brute_pieces((r["doc_id"], r["text"]) for r in rows("sf0.001", "documents")))
+    got = op10_best_fit_packing(spark, f"{ROOT}/{sf}").collect()
+    check_packing(got, brute_pieces((r["doc_id"], r["text"]) for r in rows(sf, "documents")))
+    sizes = [r.length for r in got]
+    assert len({r.sequence_id for r in got}) <= max(-(-sum(sizes) // 1024), sum(s > 512 for s in sizes)) + 2
 
 
 def plain_logit(model: dict, text: str) -> float:

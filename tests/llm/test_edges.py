@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -253,6 +254,79 @@ def test_warc(spark):
         assert read_warc(spark, path).where("type = 'response'").agg(F.sum(F.length("payload"))).first()[0] == sum(len((h or "").encode()) for _, _, h in rows) - 2800
 
 
+def test_warc_headers_come_back_as_they_are(spark):
+    from gridloom.llm.common import session_folder
+    from gridloom.llm.warc import read_warc, write_warc
+
+    urls = ["http://a/b%20c%26d", "http://a/b c", "http://a/%", "http://a/ü%C3%BC", "=?utf-8?B?YQ==?=", " led", "trail\t", "x\r\n\r\nWARC/1.1", "", None, "a:b: c", "\u3000x\x85"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("x"))
+    path = f"{session_folder(spark, 'warc-test')}/urls"
+    write_warc(df, path)
+    got = {r.record_id: r.uri for r in read_warc(spark, path).collect()}
+    assert got == {f"urn:x-page:{i}": url for i, url in enumerate(urls)}
+    for url in urls:
+        if url is not None:
+            assert read_warc(spark, path, "record_id string, uri string").where(F.col("uri") == url).count() == 1, url
+    assert read_warc(spark, path, "uri string").where("uri like 'http://a/%'").count() == 4
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_warc_archives_of_others(spark, tmp_path, compress):
+    """Foreign headers, a file that no list names, archives cut short."""
+    import gzip
+
+    from gridloom.llm.warc import read_warc, write_warc
+
+    def record(kind, headers, block):
+        head = "".join(f"{k}: {v}\r\n" for k, v in headers)
+        raw = f"WARC/1.0\r\nwarc-type: {kind}\r\n{head}CONTENT-LENGTH:   {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        return gzip.compress(raw) if compress else raw
+
+    suffix = ".warc.gz" if compress else ".warc"
+    folder = tmp_path / "others"
+    folder.mkdir()
+    info = record("warcinfo", [("WARC-Record-ID", "<urn:uuid:1>")], b"software: x\r\n")
+    page = record("response", [("WARC-Target-URI", "http://x/%7Ea?b=%26"), ("Content-Type", "application/http; msgtype=response"), ("X-Folded", "a\r\n b")], b"HTTP/1.1 200 OK\r\ncontent-length: 5\r\n\r\nhe\x00lo")
+    (folder / f"a{suffix}").write_bytes(info + page)
+    (folder / f"empty{suffix}").write_bytes(b"")
+    got = {r.type: r for r in read_warc(spark, str(folder)).collect()}
+    assert got["response"].uri == "http://x/%7Ea?b=%26" and bytes(got["response"].payload) == b"he\x00lo" and got["response"].http_length == 5
+    assert got["warcinfo"].record_id == "urn:uuid:1" and bytes(got["warcinfo"].payload) == b"software: x\r\n" and got["warcinfo"].uri is None
+    (folder / f"cut{suffix}").write_bytes((info + page)[: -9 if compress else -7])
+    for columns in ("type string, payload binary", "type string"):
+        with pytest.raises(Exception, match=f"cut{suffix}"):
+            read_warc(spark, str(folder), columns).collect()
+    # What a lost attempt left behind is in no list.
+    ours = str(tmp_path / "ours")
+    write_warc(spark.createDataFrame([(1, "u", "x"), (2, "u", "y")], "page_id long, url string, html string").repartition(2), ours, compress=compress)
+    stray = [f for f in os.listdir(ours) if f.startswith("part-")][0]
+    (tmp_path / "ours" / f"part-000000-0000-stray{suffix}").write_bytes((tmp_path / "ours" / stray).read_bytes())
+    assert sorted(r.record_id for r in read_warc(spark, ours).collect()) == ["urn:x-page:1", "urn:x-page:2"]
+
+
+def test_long_vectors(spark):
+    from gridloom.llm.embedding_dedup import bucket_codes, near_duplicate_vectors
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=20_000), rng.normal(size=20_000)
+    rows = [(1, a.tolist()), (2, (a + 0.01 * b).tolist()), (3, b.tolist()), (4, a[:100].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.component_id for r in near_duplicate_vectors(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert bucket_codes(np.array([a]) / np.linalg.norm(a), 2, 3, 1).max() < 2**40
+
+
+def test_a_hot_bucket_in_blocks_counts_every_link(spark):
+    from gridloom.llm.embedding_dedup import near_duplicate_vectors
+
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=32)
+    rows = [(i, (centre + 0.001 * rng.normal(size=32)).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block in (3, 50, 2000):
+        got = near_duplicate_vectors(df, block_rows=block).collect()
+        assert len(got) == 700 and {(r.n_links, r.component_id) for r in got} == {(699, 0)}
+
+
 def test_vectors(spark):
     from gridloom.llm.embedding_dedup import near_duplicate_vectors
 
