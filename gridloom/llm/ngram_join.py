@@ -16,7 +16,9 @@ packed, some bytes each, first to shards by shingle (to count documents) and the
 two or more documents share, to blocks by document (to cut prefixes).  Very frequent shingles are
 known beforehand from a bounded table and never reach a shard.  In a token's list no pair within
 one component is ever compared: a first pass links each class to one hub, a second one compares
-what is left across components, each member of a smaller component against the others.
+what is left across components, each member of a smaller component against the others.  Lists of
+frequent tokens are joined without a shuffle, their pairs are dealt to shares, and the sets of a
+document in many pairs travel in several copies.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .wordhash import mix64, shingle_arrays
 _TOKEN_BITS = np.uint64(46)  # of a shingle's hash in the candidate search; verification uses 64
 _HEAVY_SHARE = 100_000  # a shingle is heavy from 1/100,000 of all shingles on: at most 100,000 are
 _SHARD_TOKENS = 2_000_000
+_HOT_ROWS, _HOT_KEYS = 1_000, 100_000  # a key is hot beyond this many rows, or this share of all if that is more
+_TASK_PAIRS = 1_000_000
 _ORDER_SEEDS = (0x51ED270B9F3A6D17, 0x2545F4914F6CDD1D)
 
 
@@ -299,7 +303,8 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Components of documents linked by shingle sets of Jaccard similarity >= percent / 100.
 
     Returns one row per input row: doc_id, n_shingles (size of the set), class_id (smallest id with
-    an equal set), component_id (smallest id reachable over links, itself included).
+    an equal set), component_id (smallest id reachable over links, itself included).  Shingles stand
+    for their 64-bit hashes in counts and comparisons.
 
     Edge cases: a null or empty text, or one of white space only, has an empty set, links with
     nothing and is its own component; a text with fewer words than a shingle has its whole sequence
@@ -311,7 +316,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prepare(spark)
     scratch = Scratch(spark, "ngram-join")
     sc = spark.sparkContext
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(_column(id_col).cast("long").alias("doc_id"), _column(text_col).cast("string").alias("text"))
 
     scan = scratch.save(texts.mapInArrow(lean(_scan(words)), _SCAN_SCHEMA), "scan")
     sized = scan.where("n is not null").select("doc_id", "n", "low", "high")
@@ -343,9 +348,9 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # First pass: each class to one hub, the class in whose prefix the shared token stands foremost.
     hubs = posts.groupBy("token").agg(F.count("*").alias("docs"), F.min_by(F.struct(F.col("doc").alias("hub"), "n", "place"), F.struct("place", "doc")).alias("h")).where("docs > 1")
+    shared = scratch.save(_by_token(posts, scratch.save(hubs, "hubs")), "shared")
     near = (
-        posts.join(hubs, "token")
-        .selectExpr("doc", "h.hub hub", "n na", "place pa", "h.n nb", "h.place pb")
+        shared.selectExpr("doc", "h.hub hub", "n na", "place pa", "h.n nb", "h.place pb")
         .where("doc <> hub")
         .withColumn("need", F.expr(_need(percent)))
         .where("need <= least(na, nb) and pa <= na - need + 1 and pb <= nb - need + 1")
@@ -354,7 +359,6 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
     )
     near = scratch.save(near, "hub-pairs")
-    shared = posts.join(hubs.select("token"), "token", "left_semi")
     members = scratch.save(shared.select("doc").distinct(), "members")
     sets = scratch.save(
         join_on_id(kept, members.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lean(_sets(words, percent)), "doc long, n int, order2 array<long>, order3 array<long>, grams binary"),
@@ -364,15 +368,19 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     part = connected_components(links, scratch, rounds=1, settle=False)
 
     # Second pass: whatever is left between components, exactly.
-    placed = scratch.save(
-        shared.join(part.withColumnRenamed("id", "doc"), "doc", "left").select("token", "doc", "n", "place", F.coalesce("component", "doc").alias("part")), "placed"
+    placed = shared.select("token", "doc", "n", "place").join(part.withColumnRenamed("id", "doc"), "doc", "left")
+    placed = scratch.save(placed.select("token", "doc", "n", "place", F.coalesce("component", "doc").alias("part")), "placed")
+    spans = placed.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.max_by(F.struct("part", "c"), F.struct("c", "part")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("docs")
     )
-    spans = placed.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("part", F.struct("c", "part")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    placed = placed.join(spans.select("token", "major"), "token")
-    minor = placed.where("part <> major")
-    x, y = minor.selectExpr("token", "doc a", "n na", "place pa", "part qa"), placed.selectExpr("token", "doc b", "n nb", "place pb", "part qb", "major")
+    # A token's pairs are dealt out by the second document, about _TASK_PAIRS to a share.
+    pairs_of = (F.col("docs") - F.col("most.c")).cast("double") * F.col("docs")
+    spans = spans.where("parts > 1").select("token", "docs", F.col("most.part").alias("major"), F.least("docs", F.ceil(pairs_of / _TASK_PAIRS)).cast("int").alias("shares"))
+    placed = _by_token(placed, scratch.save(spans, "spans"))
+    x = placed.where("part <> major").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).selectExpr("token", "share", "doc a", "n na", "place pa", "part qa")
+    y = placed.withColumn("share", F.pmod(F.xxhash64("doc"), F.col("shares")).cast("int")).selectExpr("token", "share", "doc b", "n nb", "place pb", "part qb", "major")
     left = (
-        x.join(y, "token")
+        x.join(y, ["token", "share"])
         .where("qa <> qb and (qb = major or a < b)")
         .where(f"{_need(percent)} <= least(na, nb) and pa <= na - ({_need(percent)}) + 1 and pb <= nb - ({_need(percent)}) + 1")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -387,7 +395,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = _pool(found, scratch)
     found = scratch.save(found, "found")
     out = sized.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
-    for used in (near, left, sets, posts):
+    for used in (near, left, sets, posts, shared):
         scratch.drop(used)
     return out.select(
         "doc_id", "n_shingles",
@@ -396,29 +404,39 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
+def _column(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, by_row: bool = False) -> DataFrame:
     """The rows of docs, all columns, with one document of each group of near copies: its smallest id.
 
     Rows that repeat an id are one document, of which the first by text stays; rows with a null id stay.
     With by_row every row is a document of its own, also those that repeat an id or have none: of a
-    group the row with the smallest id (null last, then by text) stays.
+    group the row with the smallest id (null last, then by text) stays.  Null and empty texts have no
+    copies; an empty table gives no rows; columns of any other name pass unchanged.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
+    every = [_column(c) for c in docs.columns]
     if by_row and not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         # Keys that rise with the id; written once, so that they do not change between reads.
-        rest = [F.xxhash64(c) for c in docs.columns]
-        keyed = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text", *rest).withColumn("__row", F.monotonically_increasing_id())
+        row = "__row"
+        while row in docs.columns:
+            row += "_"
+        keyed = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text", *(F.xxhash64(c) for c in every)).withColumn(row, F.monotonically_increasing_id())
         keyed = scratch.save(keyed, "keyed")
-        classes = ngram_jaccard_classes(keyed, id_col="__row", words=words, percent=percent)
-        gone = scratch.save(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__row")), "gone")
-        return join_on_id(keyed, gone, "__row", "left_anti").select(*docs.columns)
+        classes = ngram_jaccard_classes(keyed, id_col=row, words=words, percent=percent)
+        gone = scratch.save(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), "gone")
+        return join_on_id(keyed, gone, row, "left_anti").select(*every)
     classes = scratch.save(ngram_jaccard_classes(docs, words=words, percent=percent).select("doc_id", "component_id"), "classes")
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     kept = join_on_id(docs, gone, "doc_id", "left_anti")
     if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", *[F.xxhash64(c) for c in docs.columns])).alias("d")).select("d.*")
-    return one.unionByName(kept.where("doc_id is null"))
+    number = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    whole = F.struct(*(_column(c).alias(n) for c, n in number.items()))
+    one = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(whole, F.struct("text", *[F.xxhash64(c) for c in every])).alias("d"))
+    return one.select(*(F.col(f"d.{n}").alias(c) for c, n in number.items())).unionByName(kept.where("doc_id is null").select(*every))
 
 
 def _pool(found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -431,14 +449,35 @@ def _pool(found: DataFrame, scratch: Scratch) -> DataFrame:
     return per_id.join(joined, "component", "left").select("doc_id", "class_id", F.coalesce("root", "component").alias("component"))
 
 
+def _by_token(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with what is known of their token (facts: token, docs, the number of its rows, and more).
+
+    Tokens of many rows are joined by broadcast, so their rows stay where they are: at most _HOT_KEYS of
+    them exist, since each holds that share of all rows.  The others are shuffled.
+    """
+    most = max(_HOT_ROWS, rows.count() // _HOT_KEYS)
+    hot = facts.where(F.col("docs") > most)
+    rest = rows.join(F.broadcast(hot.select("token")), "token", "left_anti")
+    return rows.join(F.broadcast(hot), "token").unionByName(rest.join(facts.where(F.col("docs") <= most), "token"))
+
+
+def _with(pairs: DataFrame, values: DataFrame, key: str, other: str) -> DataFrame:
+    """Pairs joined with the values of one side; the values of an id in many pairs are sent in several copies.
+
+    At most _HOT_KEYS ids have copies, and all copies together are no more than that number.
+    """
+    most = max(_HOT_ROWS, pairs.count() // _HOT_KEYS)
+    hot = F.broadcast(pairs.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("copies")).where("copies > 1"))
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(hot, key, "left").withColumn("copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("copies")
+    sent = values.join(hot, key, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    return dealt.join(sent, [key, "copy"]).drop("copy")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that pass orders 2 and 3 and then reach the threshold on their full sets."""
-    short = sets.select("doc", "order2", "order3")
-    passed = (
-        pairs.join(short.selectExpr("doc a", "order2 a2", "order3 a3"), "a")
-        .join(short.selectExpr("doc b", "order2 b2", "order3 b3"), "b")
-        .where("arrays_overlap(a2, b2) and arrays_overlap(a3, b3)")
-        .select("a", "b")
-    )
-    whole = passed.join(sets.selectExpr("doc a", "grams x"), "a").join(sets.selectExpr("doc b", "grams y"), "b").select("a", "b", "x", "y")
-    return whole.mapInArrow(lean(_verify(percent)), "a long, b long").distinct()
+    """Pairs (a written table) that pass orders 2 and 3 and then reach the threshold on their full sets."""
+    passed = _with(_with(pairs, sets.selectExpr("doc a", "order2 a2", "order3 a3"), "a", "b"), sets.selectExpr("doc b", "order2 b2", "order3 b3"), "b", "a")
+    passed = passed.where("arrays_overlap(a2, b2) and arrays_overlap(a3, b3)").select("a", "b")
+    passed = Scratch(pairs.sparkSession, "ngram-passed").save(passed, "passed")
+    whole = _with(_with(passed, sets.selectExpr("doc a", "grams x"), "a", "b"), sets.selectExpr("doc b", "grams y"), "b", "a")
+    return whole.select("a", "b", "x", "y").mapInArrow(lean(_verify(percent)), "a long, b long").distinct()
