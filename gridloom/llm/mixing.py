@@ -6,11 +6,13 @@ leaves is shared among its siblings, by weight again, until they are full.  Sinc
 more than all below it can hold, a shortage is made up by siblings first and reaches other
 branches only when the whole branch is short.  The shares of a family follow in closed form: with
 children in order of capacity per weight, the common level is the largest value of
-(budget - capacities before) / (weights from here on), and a child gets min(capacity, level * weight).
+(budget - capacities before) / (weights from here on), and a child gets min(capacity, level * weight),
+rounded down; the few single tokens left over by that go to the first children with room.
 
 A leaf takes its documents in whole epochs and then a prefix of one more epoch, in an order seeded
-by epoch.  Where a prefix ends is found by token counts over 4096 ranges of the order, then inside
-one range of each leaf; the selection itself is a filter, so no text is shuffled and no window
+by epoch; the document in which the prefix ends is cut there.  The place is found by token counts over
+256 ranges of the order, then over 256 ranges of that range, and once more, then among the documents
+of one range of each leaf; the selection itself is a filter, so no text is shuffled and no window
 holds a leaf.
 """
 
@@ -51,7 +53,12 @@ def _fill(children: DataFrame, parents: list[str], name: str) -> DataFrame:
     after = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     step = children.withColumn("level", F.when(after > 0, (F.col("budget") - before).cast("double") / after.cast("double")))
     level = F.greatest(F.lit(0.0), F.coalesce(F.max("level").over(family), F.lit(0.0)))
-    return step.withColumn("budget", F.least("capacity", F.floor(level * F.col("weight").cast("double")).cast("long"))).drop("level")
+    step = step.withColumn("share", F.least("capacity", F.floor(level * F.col("weight").cast("double")).cast("long")))
+    # Single tokens that rounding down left over go to the first children, by name, that can take one.
+    room = F.col("share") < F.col("capacity")
+    spare = F.least(F.col("budget"), F.sum("capacity").over(family)) - F.sum("share").over(family)
+    step = step.withColumns({"spare": spare, "turn": F.row_number().over(family.orderBy(room.desc(), name))})
+    return step.withColumn("budget", F.col("share") + F.when(room & (F.col("turn") <= F.col("spare")), 1).otherwise(0)).drop("level", "share", "spare", "turn")
 
 
 def leaf_budgets(leaves: DataFrame, total: Column, max_epochs: int, weights: dict[tuple, int]) -> DataFrame:
@@ -76,9 +83,10 @@ def _order_key(seed: int, epoch: Column, doc_id: str) -> Column:
 def mixture(docs: DataFrame, domain: Column, weights: dict[tuple, int], share: tuple[int, int], max_epochs: int = 3, seed: int = 42, broadcast_rows: int = 100_000, detail: bool = True):
     """(rows, leaves): selected rows of docs, once per epoch, and the leaf table.
 
-    rows has the columns of docs, unchanged whatever their names, and with `detail`, under the names
+    rows has the columns of docs, whatever their names, and with `detail`, under the names
     __domain, __lang, __source, __tokens, __epoch and __take, the leaf, the row's tokens, the epoch
-    and the tokens taken (fewer than the row's only for the document at which a leaf's prefix ends).
+    and the tokens taken (fewer than the row's only for the document at which a leaf's prefix ends;
+    its text ends with the last token taken, all other texts and columns are unchanged).
     The total budget is share[0]/share[1] of all tokens.  Nulls in lang, source or domain count as 'unknown'; rows that share an id within a leaf
     are taken together; documents without words follow the order like others and cost nothing; an
     empty table gives no rows.
@@ -105,14 +113,16 @@ def mixture(docs: DataFrame, domain: Column, weights: dict[tuple, int], share: t
     hint = F.broadcast if small else lambda df: df
 
     keyed = narrow.join(hint(budgets.where("rest > 0")), list(LEVELS)).withColumn("key", _order_key(seed, F.col("whole"), "doc_id"))
-    keyed = scratch.save(keyed.groupBy(*LEVELS, "rest", "key", "doc_id").agg(F.sum("n").alias("n")).withColumn("range", F.substring("key", 1, 3)), "keyed")
-    ranges = keyed.groupBy(*LEVELS, "rest", "range").agg(F.sum("n").alias("n"))
-    by_range = Window.partitionBy(*LEVELS).orderBy("range")
-    ranges = ranges.withColumn("base", F.sum("n").over(by_range) - F.col("n")).where("base < rest and base + n >= rest")
+    held = keyed.groupBy(*LEVELS, "rest", "key", "doc_id").agg(F.sum("n").alias("n")).withColumn("base", F.lit(0).cast("long"))
+    for depth in range(3):
+        held = scratch.save(held.withColumn("range", F.substring("key", 1 + 2 * depth, 2)), "keyed")
+        ranges = held.groupBy(*LEVELS, "rest", "base", "range").agg(F.sum("n").alias("n"))
+        before = F.col("base") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("range")) - F.col("n")
+        ranges = ranges.withColumn("before", before).where("before < rest and before + n >= rest").select(*LEVELS, "range", F.col("before").alias("base"))
+        held = held.drop("base").join(hint(ranges), [*LEVELS, "range"]).drop("range")
     inside = Window.partitionBy(*LEVELS).orderBy("key", F.col("doc_id").asc_nulls_first())
     cut = (
-        keyed.join(hint(ranges.select(*LEVELS, "range", "base")), [*LEVELS, "range"])
-        .withColumn("before", F.expr("base") + F.sum("n").over(inside) - F.col("n"))
+        held.withColumn("before", F.expr("base") + F.sum("n").over(inside) - F.col("n"))
         .where("before < rest and before + n >= rest")
         .select(*LEVELS, F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), F.expr("rest - before").alias("cut_take"))
     )
@@ -127,6 +137,9 @@ def mixture(docs: DataFrame, domain: Column, weights: dict[tuple, int], share: t
     tokens = token_count(text)
     take = F.when(F.col("__cut") & (F.col("__epoch") == F.col("__p.whole")), F.least("__tokens", "__p.cut_take")).otherwise(F.col("__tokens"))
     rows = rows.withColumn("__tokens", tokens).withColumn("__take", take)
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut_text = F.array_join(F.slice(words, F.lit(1), F.col("__take").cast("int")), "")
+    rows = rows.withColumn(text, F.when(F.col("__take") < F.col("__tokens"), cut_text).otherwise(F.col(text)))
     added = [*(f"__{x}" for x in LEVELS), "__tokens", "__epoch", "__take"] if detail else []
     return rows.select(*(F.col(c).alias(name) for name, c in number.items()), *added), budgets
 

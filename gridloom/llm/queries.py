@@ -102,11 +102,14 @@ def _fill_sql(rows: str, family: str, name: str) -> str:
     """Shares of a family: children in order of capacity per weight, see the operator."""
     part = f"PARTITION BY {family}" if family else ""
     return f"""(
-    SELECT * EXCLUDE (budget, lv), least(capacity, CAST(floor(greatest(0.0, coalesce(max(lv) OVER ({part}), 0.0)) * CAST(weight AS DOUBLE)) AS BIGINT)) budget
+    SELECT * EXCLUDE (share, spare, turn, given), share + CASE WHEN share < capacity AND turn <= spare THEN 1 ELSE 0 END budget
+    FROM (SELECT *, row_number() OVER ({part} ORDER BY CAST(share < capacity AS INT) DESC, {name}) turn,
+             CAST(least(given, sum(capacity) OVER ({part})) - sum(share) OVER ({part}) AS BIGINT) spare
+    FROM (SELECT * EXCLUDE (budget, lv), budget given, least(capacity, CAST(floor(greatest(0.0, coalesce(max(lv) OVER ({part}), 0.0)) * CAST(weight AS DOUBLE)) AS BIGINT)) share
     FROM (SELECT *, CASE WHEN w_after > 0 THEN CAST(budget - c_before AS DOUBLE) / CAST(w_after AS DOUBLE) END lv FROM (
       SELECT *, CAST(coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) c_before,
              CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) w_after
-      FROM ({rows}) WINDOW o AS ({part} ORDER BY CAST(capacity AS DOUBLE) / nullif(weight, 0) ASC NULLS FIRST, {name}))))"""
+      FROM ({rows}) WINDOW o AS ({part} ORDER BY CAST(capacity AS DOUBLE) / nullif(weight, 0) ASC NULLS FIRST, {name}))))))"""
 
 
 _TOP = _fill_sql("SELECT domain, CAST(sum(cap) AS BIGINT) capacity, max(w0) weight, (SELECT CAST(sum(n) * 6 // 10 AS BIGINT) FROM d) budget FROM leaf GROUP BY domain", "", "domain")
