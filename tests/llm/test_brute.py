@@ -196,7 +196,9 @@ def shares(budget: int, children: dict) -> dict:
         level = budget / sum(w for w, _ in left.values())
         full = [c for c, (w, cap) in left.items() if cap <= level * w]
         if not full:
-            return out | {c: math.floor(level * w) for c, (w, _) in left.items()}
+            floors = {c: math.floor(level * w) for c, (w, _) in left.items()}
+            spare = budget - sum(floors.values())
+            return out | {c: n + (i < spare) for i, (c, n) in enumerate(sorted(floors.items()))}
         for c in full:
             out[c] = left.pop(c)[1]
             budget -= out[c]
@@ -226,8 +228,9 @@ def brute_mixture(docs: list[dict]) -> list[dict]:
                 for d in sorted(leaves[leaf], key=lambda d: hashlib.md5(f"{p.SEED}:{whole}:{d['doc_id']}".encode()).hexdigest()):
                     if rest <= 0:
                         break
-                    out.append(d)
-                    rest -= len(WORD.findall(d["text"]))
+                    ends = [m.end() for m in WORD.finditer(d["text"])]
+                    out.append(d if len(ends) <= rest else d | {"text": d["text"][: ends[rest - 1]]})
+                    rest -= len(ends)
     return out
 
 

@@ -90,6 +90,36 @@ def test_ngram_join(docs, none, words, percent):
         assert kept.columns == docs.columns
 
 
+def test_ngram_join_with_every_key_hot(spark, docs, monkeypatch):
+    """Tokens joined by broadcast, pairs dealt to shares, sets sent in copies."""
+    from gridloom.llm import ngram_join
+
+    for name, value in (("_HOT_ROWS", 2), ("_HOT_KEYS", 5), ("_TASK_PAIRS", 4)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(i, t) for i, t, *_ in edge_rows()]
+    shared = _base(50, 40)
+    for i in range(100, 190):
+        words = [*shared, *_base(i % 7 + 200, 30)]
+        words[rng.integers(0, 70)] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for words, percent in ((3, 90), (5, 80)):
+        out = ngram_join.ngram_jaccard_classes(df, words=words, percent=percent).collect()
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in out)
+        assert got == brute_components(rows, words, percent)
+
+
+def test_keep_one_with_odd_names(spark):
+    from corpus_pipeline import keep_one_copy
+    from gridloom.llm.ngram_join import keep_one_of_each
+
+    a, b = " ".join(_base(31)), " ".join(_base(32))
+    df = spark.createDataFrame([(1, a, 1, 1), (1, b, 2, 2), (2, a, 3, 3)], "doc_id long, text string, `a.b` int, __row int")
+    for kept in (keep_one_of_each(df), keep_one_copy(spark, df, "")):
+        assert kept.columns == df.columns and 1 <= kept.count() <= 2
+
+
 def test_keep_one_copy_decides_by_row(spark):
     from corpus_pipeline import keep_one_copy
 
@@ -174,7 +204,9 @@ def test_mixing(docs, none):
     tokens = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in edge_rows()}
     budget = {(r.lang, r.source): (r.budget, r.tokens) for r in leaves.collect()}
     total = sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, *_ in edge_rows()) * 3 // 2
-    assert total - len(budget) - 2 <= sum(b for b, _ in budget.values()) <= total
+    assert sum(b for b, _ in budget.values()) == min(total, sum(3 * t for _, t in budget.values()))
+    for r in rows.where("__take < __tokens").select("text", "__take").collect():
+        assert len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) == r["__take"]
     assert all(b <= 3 * t for b, t in budget.values())
     taken = collections.Counter()
     for r in rows.select("__lang", "__source", "__take").collect():
