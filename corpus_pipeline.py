@@ -26,30 +26,50 @@ MAX_EPOCHS = 2
 SEED = 42
 
 
+def _with_length(docs: DataFrame) -> DataFrame:
+    """n_chars, where the table has it, follows the text; that of a null text stays."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+
+
+# Every stage returns the columns of its input (the last one those of pieces), gives no rows for an
+# empty table, and takes rows that repeat, or have no id, one by one unless it says otherwise.
+
+
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, does not reject."""
+    """Documents that the classifier, trained on the labelled ones, does not reject.
+
+    Null and empty texts are judged as texts without words; without labels of both kinds all stay.
+    """
     return drop_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by Jaccard similarity 0.8 or more on five-word shingles."""
+    """One document of each group linked by Jaccard similarity 0.8 or more on five-word shingles.
+
+    The row with the smallest id stays; null and empty texts are linked with nothing and stay.
+    """
     return keep_one_of_each(docs, words=5, percent=80, by_row=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with secrets masked; n_chars follows the text."""
-    out = redact(docs)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    """The same documents with secrets masked; n_chars follows the text, a null text stays null."""
+    return _with_length(redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by target weights; one that is taken in several epochs is there as often."""
+    """Documents by target weights; one that is taken in several epochs is there as often.
+
+    Where a source's budget ends within a document, that document is cut there.  Nulls in lang or
+    source count as 'unknown'; rows of one id in one source are taken together.
+    """
     rows, _ = mixture(docs, F.expr(DOMAIN_SQL), WEIGHTS, SHARE, MAX_EPOCHS, SEED, detail=False)
-    return rows
+    return _with_length(rows)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents placed in sequences of 1024 tokens."""
+    """Pieces of the documents placed in sequences of 1024 tokens; a null or empty text is its end id alone."""
     return pack_best_fit(docs, default_tokenizer(), capacity=1024, end_id=2)
 
 
@@ -66,7 +86,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, from the documents of sf_dir."""
+    """All stages in turn, from the documents of sf_dir; no documents give no rows."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
