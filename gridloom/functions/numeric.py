@@ -28,15 +28,20 @@ def or_zero(value: Column) -> Column:
     return F.coalesce(F.when(F.abs(value) != F.lit(float("inf")), value), F.lit(0.0))
 
 
-def weight(anomaly: Column, shape: str = "exponential", scale: float = 1.0) -> Column:
-    """Weight in [0, 1] of an intervention on a cell: largest at anomaly 0."""
-    if shape == "exponential":
-        raw = F.exp(-F.abs(anomaly) / F.lit(scale))
-    elif shape == "gaussian":
-        raw = F.exp(-(anomaly * anomaly) / F.lit(2.0 * scale * scale))
+def weight(anomaly: Column, shape: str | Column = "exponential", scale: float | Column = 1.0) -> Column:
+    """Weight in [0, 1] of an intervention on a cell: largest at anomaly 0.
+
+    Shape and scale may be columns, as where every scenario has its own; an unknown shape in a column gives NULL.
+    """
+    scale = scale if isinstance(scale, Column) else F.lit(scale)
+    raw = {"exponential": F.exp(-F.abs(anomaly) / scale), "gaussian": F.exp(-(anomaly * anomaly) / (F.lit(2.0) * scale * scale))}
+    if isinstance(shape, Column):
+        chosen = F.coalesce(*(F.when(shape == name, value) for name, value in raw.items()))
+    elif shape in raw:
+        chosen = raw[shape]
     else:
         raise ValueError(f"unknown weight shape {shape!r}")
-    return F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0))
+    return F.when(chosen.isNotNull(), F.least(F.greatest(chosen, F.lit(0.0)), F.lit(1.0)))
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -44,6 +49,15 @@ def ratio(top: Column, bottom: Column) -> Column:
     return top / F.when(bottom != 0, bottom)
 
 
+def percent_improvement(base: Column, new: Column, absolute: bool = False) -> Column:
+    """100 * (base - new) / base, for objectives that are minimised; 0 where base is 0.
+
+    With `absolute` the divisor is |base|, so that the sign tells the direction for a negative base too.
+    """
+    part = F.coalesce(ratio(base - new, F.abs(base) if absolute else base), F.when(base == 0, F.lit(0.0)))
+    return part * 100.0
+
+
 def min_max(value: Column, low: Column, high: Column, constant: float = 0.5) -> Column:
     """Value scaled to [0, 1]; a constant column gives `constant`."""
     return F.when(value.isNotNull(), F.coalesce(ratio(value - low, high - low), F.lit(constant)))

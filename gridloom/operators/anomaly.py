@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import category_of, ecosystem_of
+from .catalog import CATEGORY_CODES, category_of, ecosystem_of
 
 
 def to_long(cells: DataFrame, layers: list[str], keys: list[str], name: str = "variable", value: str = "value", drop_null: bool = True) -> DataFrame:
@@ -51,10 +53,28 @@ def category_means(long: DataFrame, keys: list[str], landscape_mode: str = "list
     return held.groupBy(*keys, "category").agg(F.avg("z").alias("anomaly"))
 
 
+def with_anomalies(cells: DataFrame, layers: list[str]) -> DataFrame:
+    """All cells with ecosystem, abiotic, biotic and landscape, NULL where a cell has none.
+
+    The same numbers as category_means(anomalies(...)), without turning cells into rows: one partial
+    aggregation for the statistics (a row an ecosystem, so they are broadcast), and one projection.
+    """
+    held = cells.withColumn("ecosystem", ecosystem_of(F.col("lulc")))
+    stats = held.where("ecosystem is not null").groupBy("ecosystem").agg(*(f(x).alias(f"__{n}_{x}") for x in layers for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    held = held.join(F.broadcast(stats), "ecosystem", "left")
+    z = {x: F.when(F.col(f"__s_{x}") > 0, (F.col(x) - F.col(f"__m_{x}")) / F.col(f"__s_{x}")) for x in layers}
+    means = []
+    for category, codes in CATEGORY_CODES.items():
+        mine = [z[x] for x in layers if x in codes]
+        total = reduce(lambda a, b: a + b, (F.coalesce(v, F.lit(0.0)) for v in mine), F.lit(0.0))
+        count = reduce(lambda a, b: a + b, (v.isNotNull().cast("int") for v in mine), F.lit(0))
+        means.append((total / F.when(count > 0, count)).alias(category))
+    return held.select(*cells.columns, "ecosystem", *means)
+
+
 def anomaly_layers(cells: DataFrame, layers: list[str]) -> DataFrame:
-    """Wide result: pixel_id, ecosystem, abiotic, biotic, landscape."""
-    means = category_means(anomalies(cells, layers), ["pixel_id", "ecosystem"])
-    return to_wide(means, ["pixel_id", "ecosystem"], "category", "anomaly", ["abiotic", "biotic", "landscape"])
+    """Wide result: pixel_id, ecosystem, abiotic, biotic, landscape of the cells that have any of the three."""
+    return with_anomalies(cells, layers).select("pixel_id", "ecosystem", *CATEGORY_CODES).where(F.coalesce(*map(F.col, CATEGORY_CODES)).isNotNull())
 
 
 def mosaic(layers: list[DataFrame], value: str) -> DataFrame:

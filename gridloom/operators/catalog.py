@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,15 @@ LABELS = {
     "smd": "Soil Moisture Deficit", "sbd": "Soil Bulk Density", "soc": "Soil Organic Carbon", "tsd": "Tree Species Diversity", "can": "Canopy Height",
     "lai": "Leaf Area Index", "frag": "Forest Fragmentation", "uzl": "UZL Species", "cdi": "Crop Diversity Index", "swf_h": "Small Woody Features (Hedgerows)",
     "swf_t": "Small Woody Features (Trees)", "ndvi": "NDVI", "snh": "Semi-natural Habitat Density",
+    "forest_index": "Forest EC Index", "agricultural_index": "Agricultural EC Index", "grass_index": "Grassland & Pastures EC Index",
+}
+# Codes of the indicator layers, in order of loading, and the one with a nodata value.
+INDICATOR_LAYERS = ["forest_index", "agricultural_index", "grass_index", "smd", "sbd", "soc", "uzl", "swf_h", "swf_t", "ndvi", "cdi", "snh", "md", "tsd", "can", "lai", "frag"]
+NODATA = {"tsd": -128.0}
+# Layers that the objectives are read from.
+OBJECTIVES = {
+    "abiotic": "abiotic_anomaly", "biotic": "biotic_anomaly", "landscape": "landscape_anomaly",
+    "cost": "implementation_cost", "population_proximity": "population_proximity",
 }
 
 
@@ -77,6 +88,17 @@ def indicator_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "indicator string, class string, ecosystem string, input_pos int")
 
 
+def layers_of(names: list[str], variables: list[str]) -> list[str]:
+    """Names of a stack's layers that begin with a wanted variable and `_anom`, by variable, then in the stack's order."""
+    return [name for variable in variables for name in names if re.match(re.escape(variable) + "_anom", name)]
+
+
+def region_rows(spark: SparkSession) -> DataFrame:
+    """The regions as a table: name, crs, bounds and the expected shape, NULL where none is."""
+    rows = [(name, r["crs"], *map(float, r["bounds"]), *(r["shape"] or (None, None))) for name, r in REGIONS.items()]
+    return spark.createDataFrame(rows, "region string, crs string, xmin double, ymin double, xmax double, ymax double, n_rows int, n_cols int")
+
+
 def region_reference(name: str) -> dict | None:
     """What is known of a region; an unknown one has none."""
     return REGIONS.get(name)

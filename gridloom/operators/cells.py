@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog import codes_of
+from .catalog import ECOSYSTEM_CODES, codes_of
 
 
 def ecosystem_mask(cells: DataFrame, ecosystem: str) -> DataFrame:
@@ -47,20 +47,39 @@ def polygon_edges(spark, polygons: dict[str, list[tuple[float, float]]]) -> Data
     return spark.createDataFrame(rows, "region string, x1 double, y1 double, x2 double, y2 double")
 
 
-def in_polygons(cells: DataFrame, edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+def ring_edges(vertices: DataFrame, attribute: str | None = None, wanted: str | None = None) -> DataFrame:
+    """(region, x1, y1, x2, y2) from a table of vertices: name, ring_id, seq, x, y; rings close by themselves.
+
+    `attribute` = `wanted` picks polygons before anything else is done (a predicate for the scan).
+    A window holds one ring.
+    """
+    held = vertices if attribute is None else vertices.where(F.col(attribute) == wanted)
+    ring = Window.partitionBy("name", "ring_id").orderBy("seq")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole)).cast("double")
+    edges = held.select(F.col("name").alias("region"), F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"), after("x").alias("x2"), after("y").alias("y2"))
+    return edges.where("x1 <> x2 or y1 <> y2")
+
+
+def in_polygons(cells: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", band: float = 100.0) -> DataFrame:
     """(pixel_id, region) of cells whose centre lies in a region: an odd number of edges to its right.
 
-    Cells outside the bounding box of all edges are cut off by a range predicate first, and edges,
-    one row for each side of a boundary, are the small side of the range join.
+    Edges are laid into horizontal bands of height `band` (a cell's, so that a band is a row of the grid)
+    and joined on the band's number: a cell meets the few edges of its row, not all of them.  Cells
+    outside the bounding box of all edges are cut off by a range predicate first.
     """
     box = edges.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
     if box[0] is None:
         return cells.select("pixel_id", F.lit(None).cast("string").alias("region")).limit(0)
-    near = cells.where(F.col(x).between(box[0], box[1]) & F.col(y).between(box[2], box[3]))
-    crosses = ((F.col("y1") > F.col(y)) != (F.col("y2") > F.col(y))) & (
-        F.col(x) < (F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1")
+    number = lambda c: F.floor((c - F.lit(box[2])) / F.lit(band)).cast("long")
+    bands = F.explode(F.sequence(number(F.least("y1", "y2")), number(F.greatest("y1", "y2"))))
+    laid = edges.where("y1 <> y2").withColumn("__band", bands)
+    near = cells.where(F.col(x).between(box[0], box[1]) & F.col(y).between(box[2], box[3])).select("pixel_id", F.col(x).alias("__x"), F.col(y).alias("__y"))
+    near = near.withColumn("__band", number(F.col("__y")))
+    crosses = ((F.col("y1") > F.col("__y")) != (F.col("y2") > F.col("__y"))) & (
+        F.col("__x") < (F.col("x2") - F.col("x1")) * (F.col("__y") - F.col("y1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1")
     )
-    hits = near.join(edges, crosses).groupBy("pixel_id", "region").agg(F.count("*").alias("n"))
+    hits = near.join(laid, "__band").where(crosses).groupBy("pixel_id", "region").agg(F.count("*").alias("n"))
     return hits.where("n % 2 = 1").select("pixel_id", "region")
 
 
@@ -68,6 +87,19 @@ def polygon_mask(cells: DataFrame, edges: DataFrame, region: str, x: str = "x",
     return cells.join(in_polygons(cells, edges.where(F.col("region") == region), x, y), "pixel_id", "left_semi")
 
 
+def polygon_clip(cells: DataFrame, edges: DataFrame, within: str, x: str = "x", y: str = "y") -> DataFrame:
+    """(pixel_id, region) of the parts of all other regions that lie within the region `within`."""
+    inside = in_polygons(cells, edges, x, y)
+    outer = inside.where(F.col("region") == within).select("pixel_id")
+    return inside.where(F.col("region") != within).join(outer, "pixel_id", "left_semi")
+
+
+def region_ecosystem_mask(cells: DataFrame, ecosystem: str, edges: DataFrame | None = None, region: str | None = None) -> DataFrame:
+    """Cells of an ecosystem within a polygon; 'no_mask', or an ecosystem that is not known, lets every cell of the polygon pass."""
+    held = cells if region is None else polygon_mask(cells, edges, region)
+    return ecosystem_mask(held, ecosystem) if ecosystem == "all" or ecosystem in ECOSYSTEM_CODES else held
+
+
 def scatter(cells: DataFrame, sparse: DataFrame, value: str, default=None) -> DataFrame:
     """All cells with a sparse value, `default` where there is none."""
     column = F.col(value) if default is None else F.coalesce(F.col(value), F.lit(default))

@@ -8,23 +8,31 @@ from pyspark.sql import functions as F
 from ..functions.numeric import if_else, weight
 
 
-def improved(anomaly: Column, effect: float | Column, shape: str = "exponential", scale: float = 1.0) -> Column:
+def improved(anomaly: Column, effect: float | Column, shape: str | Column = "exponential", scale: float | Column = 1.0) -> Column:
     """Anomaly after restoration: raised by effect times weight."""
     effect = effect if isinstance(effect, Column) else F.lit(effect)
     return anomaly + effect * weight(anomaly, shape, scale)
 
 
-def gain(anomaly: Column, effect: float | Column, shape: str = "exponential", scale: float = 1.0) -> Column:
+def gain(anomaly: Column, effect: float | Column, shape: str | Column = "exponential", scale: float | Column = 1.0) -> Column:
     """1 if restoring the cell lifts it above 0, else 0."""
     return F.when((anomaly <= 0) & (improved(anomaly, effect, shape, scale) > 0), 1).otherwise(0)
 
 
-def repair_scores(cells: DataFrame, effects: dict[str, float], cost: str, shape: str = "exponential", scale: float = 1.0, out: str = "score") -> DataFrame:
-    """Sum of effect * weight over the layers that are there, less a millionth of the cost relative to its mean."""
+def _of(value) -> Column:
+    """A parameter: a number, or the name of a column that holds one."""
+    return F.col(value) if isinstance(value, str) else F.lit(value)
+
+
+def repair_scores(cells: DataFrame, effects: dict[str, float | str], cost: str, shape: str | Column = "exponential", scale: float | Column = 1.0, out: str = "score") -> DataFrame:
+    """Sum of effect * weight over the layers that are there, less a millionth of the cost relative to its mean.
+
+    Effects, shape and scale may be columns of `cells`.
+    """
     total = F.lit(0.0)
     for layer, effect in effects.items():
         if layer in cells.columns:
-            total = total + F.coalesce(F.lit(effect) * weight(F.col(layer), shape, scale), F.lit(0.0))
+            total = total + F.coalesce(_of(effect) * weight(F.col(layer), shape, scale), F.lit(0.0))
     mean = cells.agg(F.avg(cost).alias("__mean"))
     return cells.crossJoin(F.broadcast(mean)).withColumn(out, total - F.lit(1e-6) * F.col(cost) / (F.col("__mean") + F.lit(1e-12))).drop("__mean")
 
@@ -51,31 +59,40 @@ def restored(cells: DataFrame, decision: DataFrame, effects: dict[str, float], d
     return held.withColumn("selected", F.col("__f").isNotNull()).drop("__f", "__r")
 
 
-def objectives(cells: DataFrame, decision: DataFrame, effects: dict[str, float], cost: str | None = None, proximity: str | None = None, decay: float = 0.0, scope: str = "grid", shape: str = "exponential", scale: float = 1.0) -> DataFrame:
+def objectives(cells: DataFrame, decision: DataFrame, effects: dict[str, float | str], cost: str | None = None, proximity: str | None = None, decay: float = 0.0, scope: str = "grid",
+               shape: str | Column = "exponential", scale: float | Column = 1.0, settings: DataFrame | None = None, solutions: DataFrame | None = None, k: int | str | None = None) -> DataFrame:
     """Objective values of all solutions at once, in the gain form.
 
     A layer's objective is minus the number of its cells above 0: those that are so anyway plus the
     gains of selected cells (with a decay, of ring cells too).  One join of the sparse decision with
-    the cells' gains and one aggregation serve every solution.
+    the cells and one aggregation serve every solution.  Effects, shape, scale and k may be columns of
+    `settings`, one row a scenario, so that every scenario is judged by its own parameters.
+
+    Every solution of the decision has a row, also one whose cells are all ineligible; with `solutions`
+    (scenario_id, sol_id) also those without any cell.  With k the constraint's value is added as
+    `violation`: how far the number of selected cells is from k.
     """
     from .focal import ring
 
     keys = ["scenario_id", "sol_id"]
+    with_settings = lambda df: df if settings is None else df.join(F.broadcast(settings), "scenario_id")
     counted = cells if scope == "grid" else cells.where("eligible")
     base = counted.agg(*(F.count_if(F.col(x) > 0).alias(f"__b_{x}") for x in effects))
-    columns = [gain(F.col(x), e, shape, scale).alias(f"__g_{x}") for x, e in effects.items()]
     extra = [F.col(c).alias(f"__{n}") for n, c in (("cost", cost), ("prox", proximity)) if c]
-    hit = decision.join(cells.where("eligible").select("pixel_id", *columns, *extra), "pixel_id")
-    sums = [F.sum(f"__g_{x}").alias(f"__g_{x}") for x in effects]
+    free = cells.where("eligible")
+    hit = with_settings(decision.select(*keys, "pixel_id").join(free.select("pixel_id", *effects, *extra, F.lit(1).alias("__e")), "pixel_id", "left"))
+    sums = [F.coalesce(F.sum(gain(F.col(x), _of(e), shape, scale)), F.lit(0)).alias(f"__g_{x}") for x, e in effects.items()]
     if cost:
         sums.append(F.coalesce(F.sum("__cost"), F.lit(0.0)).alias(cost))
     if proximity:
         sums.append(F.coalesce(F.avg("__prox"), F.lit(0.0)).alias(proximity))
-    out = hit.groupBy(*keys).agg(*sums, F.count("*").alias("n_selected"))
+    out = hit.groupBy(*keys).agg(*sums, F.count("__e").alias("n_selected"))
+    if solutions is not None:
+        out = solutions.select(*keys).join(out, keys, "left").fillna(0)
     if decay:
         near = ring(decision.join(cells.select("pixel_id", "row_idx", "col_idx"), "pixel_id"), tuple(keys))
-        ring_gain = [gain(F.col(x), e * decay, shape, scale).alias(f"__r_{x}") for x, e in effects.items()]
-        ring_sum = near.join(cells.where("eligible").select("row_idx", "col_idx", *ring_gain), ["row_idx", "col_idx"]).groupBy(*keys).agg(*(F.sum(f"__r_{x}").alias(f"__r_{x}") for x in effects))
+        near = with_settings(near.join(free.select("row_idx", "col_idx", *effects), ["row_idx", "col_idx"]))
+        ring_sum = near.groupBy(*keys).agg(*(F.sum(gain(F.col(x), _of(e) * F.lit(decay), shape, scale)).alias(f"__r_{x}") for x, e in effects.items()))
         out = out.join(ring_sum, keys, "left")
     out = out.crossJoin(F.broadcast(base))
     values = []
@@ -84,6 +101,9 @@ def objectives(cells: DataFrame, decision: DataFrame, effects: dict[str, float],
         if decay:
             total = total + F.coalesce(F.col(f"__r_{x}"), F.lit(0))
         values.append((-total).cast("long").alias(x))
+    if k is not None:
+        out = with_settings(out) if isinstance(k, str) else out
+        values.append(F.abs(F.col("n_selected") - _of(k)).cast("long").alias("violation"))
     return out.select(*keys, *values, *([cost] if cost else []), *([proximity] if proximity else []), "n_selected")
 
 

@@ -14,38 +14,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import uniform
+from ..shared import stored
 from ..shipping import ship_package
-from .effects import objectives
+from .effects import objectives, repair_scores
 from .pareto import pareto_front
-from .selection import repair
+from .selection import best_by, burden_repair, clustering_repair, first_by, random_starts
 
 KEYS = ["scenario_id", "sol_id"]
 
 
 def initial(cells: DataFrame, scenarios: DataFrame, population: int, seed: int) -> DataFrame:
     """Candidate bits with p = 1/2 for every scenario and solution: rows that are 1."""
-    solutions = scenarios.select("scenario_id").distinct().withColumn("sol_id", F.explode(F.sequence(F.lit(0), F.lit(population - 1))))
-    held = cells.select("pixel_id").crossJoin(F.broadcast(solutions))
+    held = cells.select("pixel_id").crossJoin(F.broadcast(numbered(scenarios, population)))
     return held.where(uniform(seed, F.col("scenario_id"), F.col("sol_id"), F.col("pixel_id")) < 0.5).select(*KEYS, "pixel_id")
 
 
+def numbered(scenarios: DataFrame, population: int) -> DataFrame:
+    """(scenario_id, sol_id) of every solution of a population."""
+    return scenarios.select("scenario_id").distinct().withColumn("sol_id", F.explode(F.sequence(F.lit(0), F.lit(population - 1))))
+
+
 def hux(parents: DataFrame, pairs: DataFrame, seed: int | Column) -> DataFrame:
     """Children of paired parents (scenario_id, child_id, mother, father): half of the differing cells are swapped.
 
     Each pair gives two children, 2 * child_id and 2 * child_id + 1; the swapped half of the
     symmetric difference is chosen by seeded order.
     """
-    mother = pairs.join(parents.withColumnRenamed("sol_id", "mother"), ["scenario_id", "mother"]).select("scenario_id", "child_id", "pixel_id", F.lit(1).alias("m"))
-    father = pairs.join(parents.withColumnRenamed("sol_id", "father"), ["scenario_id", "father"]).select("scenario_id", "child_id", "pixel_id", F.lit(1).alias("f"))
-    both = mother.join(father, ["scenario_id", "child_id", "pixel_id"], "full").withColumns({"m": F.coalesce("m", F.lit(0)), "f": F.coalesce("f", F.lit(0))})
+    child = ("scenario_id", "child_id")
+    mother = pairs.join(parents.withColumnRenamed("sol_id", "mother"), ["scenario_id", "mother"]).select(*child, "pixel_id", F.lit(1).alias("m"))
+    father = pairs.join(parents.withColumnRenamed("sol_id", "father"), ["scenario_id", "father"]).select(*child, "pixel_id", F.lit(1).alias("f"))
+    both = mother.join(father, [*child, "pixel_id"], "full").withColumns({"m": F.coalesce("m", F.lit(0)), "f": F.coalesce("f", F.lit(0))})
     same = both.where("m = f")
     differ = both.where("m <> f").withColumn("u", uniform(seed, F.col("scenario_id"), F.col("child_id"), F.col("pixel_id")))
-
-    w = Window.partitionBy("scenario_id", "child_id")
-    ranked = differ.withColumns({"r": F.row_number().over(w.orderBy("u", "pixel_id")), "d": F.count("*").over(w)})
-    swap = F.col("r") <= F.floor(F.col("d") / 2)
-    first = ranked.where(F.when(swap, F.col("f")).otherwise(F.col("m")) == 1).select("scenario_id", (F.col("child_id") * 2).alias("sol_id"), "pixel_id")
-    second = ranked.where(F.when(swap, F.col("m")).otherwise(F.col("f")) == 1).select("scenario_id", (F.col("child_id") * 2 + 1).alias("sol_id"), "pixel_id")
+    half = differ.groupBy(*child).agg(F.floor(F.count("*") / 2).alias("half"))  # a row a pair of parents
+    swapped = first_by(differ.join(F.broadcast(half), list(child)), F.col("half"), F.col("u"), ["u", "pixel_id"], child, flag="swap")
+    first = swapped.where(F.when(F.col("swap"), F.col("f")).otherwise(F.col("m")) == 1).select("scenario_id", (F.col("child_id") * 2).alias("sol_id"), "pixel_id")
+    second = swapped.where(F.when(F.col("swap"), F.col("m")).otherwise(F.col("f")) == 1).select("scenario_id", (F.col("child_id") * 2 + 1).alias("sol_id"), "pixel_id")
     kept = same.withColumn("sol_id", F.explode(F.array(F.col("child_id") * 2, F.col("child_id") * 2 + 1))).select("scenario_id", "sol_id", "pixel_id")
     return kept.unionByName(first).unionByName(second)
 
@@ -53,8 +57,8 @@ def hux(parents: DataFrame, pairs: DataFrame, seed: int | Column) -> DataFrame:
 def bit_flip(decision: DataFrame, cells: DataFrame, seed: int, prob_bit: float, prob_ind: float = 1.0) -> DataFrame:
     """Flips bits of mutated solutions by seeded draws.
 
-    Each cell of each solution is drawn by its own number, so flipped cells are generated by a
-    filter and combined with the sparse decision; unchanged zeros never become rows.
+    Each cell of each mutated solution is drawn by its own number, in a filter without a shuffle; only
+    flipped cells and the sparse decision are joined.
     """
     solutions = decision.select(*KEYS).distinct().where(uniform(seed, F.lit("ind"), *map(F.col, KEYS)) < prob_ind)
     flips = cells.select("pixel_id").crossJoin(F.broadcast(solutions)).where(uniform(seed, F.lit("bit"), *map(F.col, KEYS), F.col("pixel_id")) < prob_bit)
@@ -62,11 +66,81 @@ def bit_flip(decision: DataFrame, cells: DataFrame, seed: int, prob_bit: float,
     return both.where(F.coalesce("x", F.lit(0)) != F.coalesce("y", F.lit(0))).select(*KEYS, "pixel_id")
 
 
-def exact(decision: DataFrame, cells: DataFrame, k: int, score: str) -> DataFrame:
-    """Repairs every solution to exactly k cells, by score."""
-    solutions = decision.select(*KEYS).distinct()
-    held = cells.select("pixel_id", score).crossJoin(F.broadcast(solutions)).join(decision.withColumn("x", F.lit(1)), [*KEYS, "pixel_id"], "left").withColumn("x", F.coalesce("x", F.lit(0)))
-    return repair(held, k, score, tuple(KEYS)).select(*KEYS, "pixel_id")
+def exact(decision: DataFrame, cells: DataFrame, settings: DataFrame, score: str, solutions: DataFrame | None = None) -> DataFrame:
+    """Repairs every solution to exactly its scenario's k cells, by score.
+
+    `cells` has pixel_id and the score, by scenario if it has a scenario_id; `settings` scenario_id and k.
+    The best k cells of a scenario are ranked once: a solution that is short of cells finds what it
+    lacks among them, so only those and its own cells become rows, never the whole grid.
+    """
+    settings = F.broadcast(settings.select("scenario_id", "k"))
+    solutions = decision.select(*KEYS).distinct() if solutions is None else solutions.select(*KEYS)
+    scored = cells.join(settings, "scenario_id") if "scenario_id" in cells.columns else cells.crossJoin(settings)
+    top = best_by(scored, F.col("k"), score, ("scenario_id",)).select("scenario_id", "pixel_id", score)
+    spare = top.join(F.broadcast(solutions), "scenario_id").select(*KEYS, "pixel_id", F.lit(0).alias("x"), score)
+    own = ["scenario_id", "pixel_id"] if "scenario_id" in cells.columns else ["pixel_id"]
+    held = decision.select(*KEYS, "pixel_id", F.lit(1).alias("x")).join(cells.select(*own, score), own).select(*KEYS, "pixel_id", "x", score)
+    held = held.unionByName(spare).groupBy(*KEYS, "pixel_id").agg(F.max("x").alias("x"), F.max(score).alias(score))
+    return best_by(held.join(settings, "scenario_id"), F.col("k"), score, tuple(KEYS), chosen="x").select(*KEYS, "pixel_id")
+
+
+STRATEGIES = ("random", "clustering", "burden", "combined")
+
+
+def strategy_of(clustering: float, burden: str) -> str:
+    """Which sampling and repair a scenario's parameters ask for."""
+    if burden not in ("no", "yes"):
+        raise ValueError(f"unknown burden sharing {burden!r}")
+    return STRATEGIES[(clustering > 0) + 2 * (burden == "yes")]
+
+
+def _by_strategy(settings: DataFrame) -> dict[tuple[str, float], list[int]]:
+    """Scenarios by strategy and clustering strength; settings has a row a scenario."""
+    groups: dict[tuple[str, float], list[int]] = {}
+    for r in settings.select("scenario_id", "spatial_clustering", "burden_sharing").collect():
+        groups.setdefault((strategy_of(r[1], r[2]), float(r[1])), []).append(r[0])
+    return groups
+
+
+def repaired(decision: DataFrame, cells: DataFrame, settings: DataFrame, score: str, seed: int, solutions: DataFrame) -> DataFrame:
+    """Every solution brought to its scenario's k cells by its scenario's strategy.
+
+    random: by score.  burden: within the regions' quotas.  clustering: by smoothed density.
+    combined: quotas first, then density.  `cells` has scenario_id, pixel_id, row_idx, col_idx,
+    region_id and the score; smoothing and quotas need all cells of a solution, scores do not.
+    """
+    out = None
+    for (strategy, strength), ids in _by_strategy(settings).items():
+        mine = lambda df: df.where(F.col("scenario_id").isin(ids))  # noqa: B023, E731
+        plan, wanted = mine(decision), mine(settings).select("scenario_id", "k")
+        if strategy == "random":
+            part = exact(plan, mine(cells).select("scenario_id", "pixel_id", score), wanted, score, mine(solutions))
+        else:
+            who = F.broadcast(mine(solutions).join(F.broadcast(wanted), "scenario_id"))
+            every = mine(cells).select("scenario_id", "pixel_id", "row_idx", "col_idx", "region_id").join(who, "scenario_id")
+            mark = lambda p: every.join(p.select(*KEYS, "pixel_id", F.lit(1).alias("x")), [*KEYS, "pixel_id"], "left").withColumn("x", F.coalesce("x", F.lit(0)))  # noqa: B023, E731
+            part = plan
+            if strategy != "clustering":
+                part = burden_repair(mark(part), F.col("k"), seed, tuple(KEYS))
+            if strategy != "burden":
+                part = clustering_repair(mark(part), F.col("k"), strength, tuple(KEYS))
+            part = part.select(*KEYS, "pixel_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def starts(cells: DataFrame, settings: DataFrame, population: int, seed: int) -> DataFrame:
+    """Unrepaired first plans: single bits with p = 1/2, or, for the other strategies, a random number of cells up to k."""
+    out = None
+    for (strategy, _), ids in _by_strategy(settings).items():
+        mine = settings.where(F.col("scenario_id").isin(ids))
+        if strategy == "random":
+            part = initial(cells, mine, population, seed)
+        else:
+            solutions = numbered(mine, population).join(F.broadcast(mine.select("scenario_id", "k")), "scenario_id")
+            part = random_starts(cells, solutions, F.col("k"), seed, tuple(KEYS))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def front_and_crowding(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,35 +184,49 @@ def survive(points: DataFrame, names: list[str], size: int) -> DataFrame:
     return points.select(*KEYS, *names).groupBy("scenario_id").applyInPandas(best, "scenario_id int, sol_id int, place int")
 
 
-def search(cells: DataFrame, scenarios: DataFrame, k: int, effects: dict[str, float], score: str, cost: str, population: int = 8, generations: int = 3, seed: int = 42,
-           prob_bit: float = 0.01, callback: Callable[[int, DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(decision, objective) of the last population's first front, for every scenario.
+def settings_of(cells: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Scenarios with k, the number of cells that each restores: its fraction of the eligible ones, rounded down."""
+    n = cells.where("eligible").count()
+    return scenarios.withColumn("k", F.floor(F.col("max_restoration_fraction").cast("double") * F.lit(n)).cast("long"))
+
 
-    `cells` has pixel_id, row_idx, col_idx, eligible, the layers, the cost and the repair score.
-    Each generation is one job; its result is checkpointed, which cuts the lineage and survives the
-    loss of an executor.  `callback` is told each generation's number and objective values.
+def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | str], cost: str, population: int = 8, generations: int = 3, seed: int = 42,
+           prob_bit: float = 0.01, callback: Callable[[int, DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(decision, objective) of the last population's first front, for every scenario, all in the same jobs.
+
+    `cells` has pixel_id, row_idx, col_idx, region_id, eligible, the layers and the cost; `scenarios` the
+    columns of scenario_grid, one row a scenario (broadcast).  A scenario's fraction gives its number of
+    cells, its clustering and burden sharing its sampling and repair, its effects (columns that `effects`
+    names by layer), weight shape and scale its scores and objectives.  Each generation's result is
+    written to the shared folder, which cuts the lineage and survives the loss of an executor.
+    `callback` is told each generation's number and objective values.
     """
     names = [*effects, cost]
-    free = cells.where("eligible").select("pixel_id", score)
-    decision = exact(initial(free, scenarios, population, seed), free, k, score).checkpoint()
+    settings = stored(settings_of(cells, scenarios), "settings")
+    shape, scale = F.col("anomaly_weight_shape"), F.col("anomaly_weight_scale").cast("double")
+    free = cells.where("eligible").select("pixel_id", "row_idx", "col_idx", "region_id", cost, *effects)
+    scored = repair_scores(free.crossJoin(F.broadcast(settings)), effects, cost, shape, scale)
+    scored = stored(scored.select("scenario_id", "pixel_id", "row_idx", "col_idx", "region_id", "score"), "scores")
+    ids = free.select("pixel_id")
+    everyone = numbered(settings, population)
+    judged = lambda plans, who: objectives(cells, plans, effects, cost, shape=shape, scale=scale, settings=settings, solutions=who, k="k")
+    decision = stored(repaired(starts(ids, settings, population, seed), scored, settings, "score", seed, everyone), "decision")
     for g in range(generations):
         half = population // 2
         order = uniform(seed + g, F.lit("mate"), *map(F.col, KEYS))
-
         place = F.row_number().over(Window.partitionBy("scenario_id").orderBy(order, "sol_id"))
-        mates = decision.select(*KEYS).distinct().withColumn("place", place)
+        mates = everyone.withColumn("place", place)
         pairs = mates.where(F.col("place") <= half).select("scenario_id", (F.col("place") - 1).alias("child_id"), F.col("sol_id").alias("mother")).join(
             mates.where(F.col("place") > half).select("scenario_id", (F.col("place") - 1 - half).alias("child_id"), F.col("sol_id").alias("father")), ["scenario_id", "child_id"]
         )
-        children = exact(bit_flip(hux(decision, pairs, seed + g), free, seed + 1000 + g, prob_bit), free, k, score)
-        every = decision.unionByName(children.withColumn("sol_id", F.col("sol_id") + population)).checkpoint()
-        points = objectives(cells, every, effects, cost)
-        if callback:
-            points = points.checkpoint()
+        young = stored(bit_flip(hux(decision, pairs, seed + g), ids, seed + 1000 + g, prob_bit), "young")
+        children = repaired(young, scored, settings, "score", seed + 2000 + g, numbered(settings, 2 * half))
+        every = stored(decision.unionByName(children.withColumn("sol_id", F.col("sol_id") + population)), "generation")
+        points = stored(judged(every, numbered(settings, population + 2 * half)), "points")
         best = survive(points, names, population)
-        decision = every.join(best, KEYS).select("scenario_id", (F.col("place") - 1).alias("sol_id"), "pixel_id").checkpoint()
+        decision = stored(every.join(F.broadcast(best), KEYS).select("scenario_id", (F.col("place") - 1).cast("int").alias("sol_id"), "pixel_id"), "decision")
         if callback:
             callback(g, points)
-    points = objectives(cells, decision, effects, cost)
-    front = pareto_front(points.where(F.col("n_selected") == k), names, ("scenario_id",))
-    return decision.join(front.select(*KEYS), KEYS, "left_semi"), front
+    points = stored(judged(decision, everyone), "points")
+    front = pareto_front(points.where("violation = 0"), names, ("scenario_id",))
+    return decision.join(F.broadcast(front.select(*KEYS)), KEYS, "left_semi"), front

@@ -1,4 +1,9 @@
-"""Selecting cells: portable random subsets, exact-count repair, quotas, clustering, decision layers."""
+"""Selecting cells: portable random subsets, exact-count repair, quotas, clustering, decision layers.
+
+Taking the first k cells of every key in some order never sorts a key's cells in one task.  A place
+in [0, 1) that follows the order deals them into ranges, ranges are counted, and only the range in
+which the k-th cell lies is ranked; the ranges before it are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -6,73 +11,150 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import uniform
+from ..shared import stored
 from .focal import square_mean
 
+RANGES = 256
+
 
 def truncated(fraction: float, n: Column) -> Column:
     return F.floor(F.lit(fraction).cast("double") * n).cast("long")
 
 
-def random_subset(cells: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
-    """k cells of each key with the smallest seeded random numbers.
+def first_by(cells: DataFrame, k: int | Column, place: Column, order: list, keys: tuple[str, ...] = (), ranges: int = RANGES, flag: str | None = None) -> DataFrame:
+    """The first k cells of each key in `order`; `place` in [0, 1) never falls along that order.
 
-    The numbers are uniform, so ranges of them are counted first: only the range in which a key's
-    k-th cell lies is ranked, the ranges before it are taken whole.
+    With `flag` all cells, and in that column whether a cell is one of those.  The table of cuts that
+    is broadcast has one row a key (a solution, a region of a solution).
     """
-    held = cells.withColumn("__u", uniform(seed, F.col("pixel_id"))).withColumn("__b", F.floor(F.col("__u") * buckets).cast("int"))
-    sizes = held.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    at = F.least(F.floor(place * ranges), F.lit(ranges - 1)).cast("int")
+    held = cells.withColumns({"__k": (k if isinstance(k, Column) else F.lit(k)).cast("long"), "__b": at})
+    sizes = held.groupBy(*keys, "__b").agg(F.count("*").alias("__n"), F.max("__k").alias("__k"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "__b", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    k = k if isinstance(k, Column) else F.lit(k)
-    held = held.join(F.broadcast(sizes) if not keys else sizes, [*keys, "__b"]).where(F.col("__base") < k)
-    inside = Window.partitionBy(*keys, "__b").orderBy("__u", "pixel_id")
-    return held.withColumn("__r", F.col("__base") + F.row_number().over(inside)).where(F.col("__r") <= k).drop("__u", "__b", "__n", "__base", "__r")
+    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    open_ = F.when(F.col("__base") < F.col("__k"), F.col("__b"))
+    cut = F.broadcast(sizes.groupBy(*keys).agg(F.max(open_).alias("__cut"), F.max_by("__base", open_).alias("__base")))
+    held = held.join(cut, list(keys)) if keys else held.crossJoin(cut)
+    if not flag:
+        held = held.where(F.col("__b") <= F.col("__cut"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))
+    taken = F.coalesce((F.col("__b") < F.col("__cut")) | ((F.col("__b") == F.col("__cut")) & (F.col("__r") <= F.col("__k"))), F.lit(False))
+    held = held.withColumn("__r", F.col("__base") + rank)
+    held = held.withColumn(flag, taken) if flag else held.where(taken)
+    return held.drop("__k", "__b", "__cut", "__base", "__r")
+
+
+def random_subset(cells: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
+    """k cells of each key with the smallest seeded random numbers."""
+    held = cells.withColumn("__u", uniform(seed, F.col("pixel_id")))
+    return first_by(held, k, F.col("__u"), ["__u", "pixel_id"], keys, ranges).drop("__u")
+
+
+def best_by(cells: DataFrame, k: int | Column, score: str, keys: tuple[str, ...] = (), ranges: int = RANGES, chosen: str | None = None) -> DataFrame:
+    """k cells of each key: those with `chosen` = 1 first (if given), then by score from the highest; ties by pixel_id.
+
+    A missing score counts as the lowest.
+    """
+    ends = cells.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    held = cells.crossJoin(F.broadcast(ends))
+    held = held.withColumn("__s", F.coalesce(F.col(score), F.col("__lo"), F.lit(0.0)))
+    depth = F.coalesce((F.col("__hi") - F.col("__s")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)), F.lit(0.0))
+    order = [F.desc("__s"), F.col("pixel_id")]
+    if chosen:
+        depth, order = (depth + 1 - F.col(chosen)) / 2, [F.desc(chosen), *order]
+    return first_by(held, k, depth, order, keys, ranges).drop("__lo", "__hi", "__s")
 
 
-def repair(candidates: DataFrame, k: int, score: str, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
+def repair(candidates: DataFrame, k: int | Column, score: str, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
     """Exactly k cells a solution: the chosen ones (x = 1) with the best scores, filled up by the best others."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("x"), F.desc(score), "pixel_id")
-    return candidates.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+    return best_by(candidates, k, score, keys, chosen="x")
 
 
-def quotas(regions: DataFrame, k: int, mode: str = "equal") -> DataFrame:
-    """Quota of each region (region_id, n): equal or proportional, capped by size, the remainder by region id."""
-    total = regions.agg(F.count("*").alias("m"), F.sum("n").alias("t"))
-    held = regions.crossJoin(F.broadcast(total))
-    first = F.floor(F.lit(k) / F.col("m")) if mode == "equal" else F.floor(F.lit(k).cast("double") * F.col("n") / F.col("t"))
+def random_repair(candidates: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
+    """Exactly k cells a solution by random draws: of too many chosen (x = 1) some are dropped, of too few others are added."""
+    held = candidates.withColumn("__u", uniform(seed, *map(F.col, keys), F.col("pixel_id")))
+    return first_by(held, k, (F.col("__u") + 1 - F.col("x")) / 2, [F.desc("x"), "__u", "pixel_id"], keys).drop("__u")
+
+
+def quotas(regions: DataFrame, k: int | Column, mode: str = "equal", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Quota of each region (region_id, n): equal or proportional, capped by size, the remainder by region id.
+
+    With keys, every key has the regions of its own, and k may be one of its columns.  One row a region
+    (and key): windows are over that table, never over cells.
+    """
+    k = (k if isinstance(k, Column) else F.lit(k)).cast("long")
+    family = Window.partitionBy(*(keys or [F.lit(0)]))
+    held = regions.withColumns({"__k": k, "__m": F.count("*").over(family), "__t": F.sum("n").over(family)})
+    first = F.floor(F.col("__k") / F.col("__m")) if mode == "equal" else F.floor(F.col("__k").cast("double") * F.col("n") / F.col("__t"))
     held = held.withColumn("__q", F.least(first.cast("long"), F.col("n")))
-    order = Window.orderBy("region_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = family.orderBy("region_id").rowsBetween(Window.unboundedPreceding, -1)
     room = F.coalesce(F.sum(F.col("n") - F.col("__q")).over(order), F.lit(0))
-    left = F.lit(k) - F.sum("__q").over(Window.partitionBy(F.lit(0)))
-    return held.withColumn("quota", F.col("__q") + F.greatest(F.lit(0), F.least(F.col("n") - F.col("__q"), left - room))).select("region_id", "n", F.col("quota").cast("long"))
+    left = F.col("__k") - F.sum("__q").over(family)
+    quota = F.col("__q") + F.greatest(F.lit(0), F.least(F.col("n") - F.col("__q"), left - room))
+    return held.withColumn("quota", quota.cast("long")).select(*keys, "region_id", "n", "quota")
 
 
 def burden_share(cells: DataFrame, k: int, seed: int, mode: str = "equal") -> DataFrame:
     """Cells (with region_id) chosen at random within each region's quota."""
-    sizes = quotas(cells.groupBy("region_id").agg(F.count("*").alias("n")), k, mode)
-    w = Window.partitionBy("region_id").orderBy(uniform(seed, F.col("pixel_id")), "pixel_id")
-    ranked = cells.withColumn("__r", F.row_number().over(w))
-    return ranked.join(F.broadcast(sizes.select("region_id", "quota")), "region_id").where(F.col("__r") <= F.col("quota")).drop("__r", "quota")
+    sizes = quotas(cells.groupBy("region_id").agg(F.count("*").alias("n")), k, mode).select("region_id", "quota")
+    held = cells.join(F.broadcast(sizes), "region_id")
+    return random_subset(held, F.col("quota"), seed, ("region_id",)).drop("quota")
+
+
+def burden_repair(candidates: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = ("sol_id",), mode: str = "equal") -> DataFrame:
+    """Exactly k cells a solution, each region (region_id) within its quota: its chosen cells (x = 1) first, both kinds at random.
+
+    k may be a column of the candidates; the table of quotas that is broadcast has a row a region and key.
+    """
+    k = k if isinstance(k, Column) else F.lit(k)
+    sizes = candidates.groupBy(*keys, "region_id").agg(F.count("*").alias("n"), F.max(k).alias("__w"))
+    sizes = quotas(sizes, F.col("__w"), mode, keys).select(*keys, "region_id", "quota")
+    held = candidates.join(F.broadcast(sizes), [*keys, "region_id"])
+    return random_repair(held, F.col("quota"), seed, (*keys, "region_id")).drop("quota")
 
 
 def burden_plans(cells: DataFrame, solutions: DataFrame, k: int, mode: str = "equal") -> DataFrame:
     """(sol_id, pixel_id) of k cells for every solution, each within the regions' quotas."""
     sizes = quotas(cells.groupBy("region_id").agg(F.count("*").alias("n")), k, mode).select("region_id", "quota")
-    held = cells.select("pixel_id", "region_id").crossJoin(F.broadcast(solutions.select("sol_id")))
-    w = Window.partitionBy("sol_id", "region_id").orderBy(uniform(F.col("sol_id"), F.col("pixel_id")), "pixel_id")
-    ranked = held.withColumn("__r", F.row_number().over(w)).join(F.broadcast(sizes), "region_id")
-    return ranked.where(F.col("__r") <= F.col("quota")).select("sol_id", "pixel_id")
+    held = cells.select("pixel_id", "region_id").join(F.broadcast(sizes), "region_id").crossJoin(F.broadcast(solutions.select("sol_id")))
+    return random_subset(held, F.col("quota"), F.col("sol_id"), ("sol_id", "region_id")).select("sol_id", "pixel_id")
+
+
+def random_starts(cells: DataFrame, solutions: DataFrame, k: int | Column, seed: int, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
+    """(keys, pixel_id) of a random number of cells, 0 to k, for every solution; one of 0 cells has no rows.
+
+    k may be a column of the solutions.
+    """
+    names = list(map(F.col, keys))
+    k = k if isinstance(k, Column) else F.lit(k)
+    count = F.floor(uniform(seed, F.lit("start"), *names) * (k + 1)).cast("long")
+    held = cells.select("pixel_id").crossJoin(F.broadcast(solutions.select(*keys, count.alias("__c"))))
+    return random_subset(held, F.col("__c"), F.concat_ws(":", F.lit(seed), *names), keys).select(*keys, "pixel_id")
+
+
+def dense(cells: DataFrame, plans: DataFrame, solutions: DataFrame, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
+    """All cells of every solution with x, 1 for those of its plan."""
+    held = cells.crossJoin(F.broadcast(solutions)).join(plans.select(*keys, "pixel_id", F.lit(1).alias("x")), [*keys, "pixel_id"], "left")
+    return held.withColumn("x", F.coalesce("x", F.lit(0)))
+
+
+def smoothed_score(held: DataFrame, value: str, strength: float, seed: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds __s: the density of `value` in the window of a clustering strength, and a small seeded noise for ties."""
+    size = window_of(strength)
+    held = held.withColumn("__f", F.col(value).cast("double")) if size is None else square_mean(held, value, size, "__f", keys)
+    return held.withColumn("__s", F.floor(F.col("__f") * 1e6 + 0.5) + uniform(seed, F.col("pixel_id"))).drop("__f")
+
+
+def clustering_repair(candidates: DataFrame, k: int | Column, strength: float, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
+    """Exactly k cells a solution by the smoothed density of its chosen ones (x = 1)."""
+    held = smoothed_score(candidates, "x", strength, F.col(keys[-1]), keys)
+    return best_by(held, k, "__s", keys).drop("__s")
 
 
 def clustered_plans(cells: DataFrame, plans: DataFrame, strength: float, k: int) -> DataFrame:
     """(sol_id, pixel_id): every plan pulled together to k cells by the smoothed density of its own cells."""
-    size = window_of(strength)
-    held = cells.select("pixel_id", "row_idx", "col_idx").crossJoin(F.broadcast(plans.select("sol_id").distinct()))
-    held = held.join(plans.select("sol_id", "pixel_id", F.lit(1.0).alias("__x")), ["sol_id", "pixel_id"], "left").withColumn("__x", F.coalesce("__x", F.lit(0.0)))
-    held = held.withColumn("__f", F.col("__x")) if size is None else square_mean(held, "__x", size, "__f", ("sol_id",))
-    score = F.floor(F.col("__f") * 1e6 + 0.5) + uniform(F.col("sol_id"), F.col("pixel_id"))
-    w = Window.partitionBy("sol_id").orderBy(F.desc("__s"), "pixel_id")
-    return held.withColumn("__s", score).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).select("sol_id", "pixel_id")
+    held = dense(cells.select("pixel_id", "row_idx", "col_idx"), plans, plans.select("sol_id").distinct())
+    return clustering_repair(held, k, strength).select("sol_id", "pixel_id")
 
 
 def sampled_plans(cells: DataFrame, solutions: DataFrame, k: int, clustering: float = 0.0, burden: str = "no") -> DataFrame:
@@ -93,20 +175,40 @@ def window_of(strength: float) -> int | None:
 
 def cluster(cells: DataFrame, chosen: DataFrame, strength: float, k: int, seed: int) -> DataFrame:
     """k cells by smoothed density of the chosen ones, ties broken by a small seeded noise."""
-    size = window_of(strength)
-    held = cells.join(chosen.select("pixel_id", F.lit(1.0).alias("__x")), "pixel_id", "left").withColumn("__x", F.coalesce("__x", F.lit(0.0)))
-    held = held.withColumn("__f", F.col("__x")) if size is None else square_mean(held, "__x", size, "__f")
-    score = F.floor(F.col("__f") * 1e6 + 0.5) + uniform(seed, F.col("pixel_id"))
-    return held.withColumn("__score", score).orderBy(F.desc("__score"), "pixel_id").limit(k).drop("__x", "__f", "__score")
+    held = cells.join(chosen.select("pixel_id", F.lit(1).alias("__x")), "pixel_id", "left").withColumn("__x", F.coalesce("__x", F.lit(0)))
+    return best_by(smoothed_score(held, "__x", strength, F.lit(seed)), k, "__s").drop("__x", "__s")
+
+
+def quantile_by(cells: DataFrame, value: str, p: float, keys: tuple[str, ...], ranges: int = 1024) -> DataFrame:
+    """(keys, cut): the p quantile of values in [0, 1] of each key, interpolated; exact, by counts of ranges.
+
+    Only the two values around the quantile's place are looked for, in the ranges that hold them.
+    """
+    held = cells.select(*keys, F.col(value).alias("__v")).where("__v is not null")
+    held = held.withColumn("__b", F.least(F.floor(F.col("__v") * ranges), F.lit(ranges - 1)).cast("int"))
+    sizes = held.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    family = Window.partitionBy(*keys)
+    upto = F.sum("__n").over(family.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sizes = sizes.withColumns({"__base": upto - F.col("__n"), "__at": (F.sum("__n").over(family) - 1) * F.lit(float(p))})
+    low, high = F.floor(F.col("__at")), F.ceil(F.col("__at"))
+    near = sizes.where((F.col("__base") <= high) & (F.col("__base") + F.col("__n") > low)).select(*keys, "__b", "__base", "__at")
+    # A key has few such ranges: those of two neighbours in rank.
+    ranked = held.join(F.broadcast(near), [*keys, "__b"])
+    ranked = ranked.withColumn("__i", F.col("__base") + F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__v")) - 1)
+    both = ranked.where((F.col("__i") == low) | (F.col("__i") == high))
+    part = F.max("__at") - F.floor(F.max("__at"))
+    return both.groupBy(*keys).agg((F.min("__v") * (1 - part) + F.max("__v") * part).alias("cut"))
 
 
 def decision_layers(cells: DataFrame, seeds: DataFrame, p: float, size: int | None, inside: Column) -> DataFrame:
     """(dv_id, cells, dv): seeded noise, smoothed if a window is given, cut at the 1 - p quantile of the cells inside.
 
-    dv is 1 at or above the cut, 0 below, NULL outside the decision area.
+    dv is 1 at or above the cut, 0 below, NULL outside the decision area.  Smoothed noise is written
+    once, since it is read for the quantile and for the layer.
     """
     held = cells.crossJoin(F.broadcast(seeds)).withColumn("noise", uniform(F.col("dv_id"), F.col("pixel_id")))
     if size:
         held = square_mean(held, "noise", size, "noise_s", ("dv_id",)).withColumn("noise", F.floor(F.col("noise_s") * 1e9 + 0.5) / 1e9).drop("noise_s")
-    cut = held.where(inside).groupBy("dv_id").agg(F.expr(f"percentile(noise, CAST({1 - p!r} AS DOUBLE))").alias("cut"))
+        held = stored(held, "noise")
+    cut = quantile_by(held.where(inside), "noise", 1 - p, ("dv_id",))
     return held.join(F.broadcast(cut), "dv_id").withColumn("dv", F.when(inside, (F.col("noise") >= F.col("cut")).cast("int"))).drop("cut")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.anomaly import anomaly_layers
-from ..operators.catalog import ecosystem_of
+from ..operators.anomaly import with_anomalies
 from ..operators.selection import random_subset
+from ..shared import stored
 from ..sources.grid import GridSpec
 
 LAYERS = ["smd", "sbd", "soc", "uzl", "ndvi", "tsd", "snh", "frag"]
@@ -44,11 +44,13 @@ def with_xy(df: DataFrame) -> DataFrame:
 
 
 def anomaly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All cells with their category anomalies, cost, region and eligibility."""
-    held = cells(spark, sf_dir)
-    layers = anomaly_layers(held, LAYERS).drop("ecosystem")
-    out = held.select("pixel_id", "row_idx", "col_idx", "lulc", "region_id", COST, ecosystem_of(F.col("lulc")).alias("ecosystem")).join(layers, "pixel_id", "left")
-    return out.withColumn("eligible", F.expr("abiotic IS NOT NULL AND biotic IS NOT NULL AND landscape IS NOT NULL"))
+    """All cells with their category anomalies, cost, region and eligibility, written once.
+
+    Queries read it several times, a few columns each; the grid under it is aggregated once.
+    """
+    held = with_anomalies(stored(cells(spark, sf_dir), "cells"), LAYERS)
+    held = held.select("pixel_id", "row_idx", "col_idx", "lulc", "region_id", COST, "ecosystem", *ANOMALIES)
+    return stored(held.withColumn("eligible", F.expr("abiotic IS NOT NULL AND biotic IS NOT NULL AND landscape IS NOT NULL")), "anomalies")
 
 
 def decisions(held: DataFrame, fraction: float, n: int = 10) -> DataFrame:

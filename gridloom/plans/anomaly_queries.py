@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..operators import anomaly, catalog, focal
 from ..operators import cells as C
-from ..operators.stats import corr, kmeans_classes, natural_breaks
+from ..operators.stats import corr, kmeans_classes
 from ..sources.grid import GridSpec, crop, nearest_resample, scan_layers
-from .adapter import ANOM, ANOMALIES, CELL, COST, LAYERS, LONG, anomaly_cells, cells, q_sql, with_xy
+from .adapter import ANOM, ANOMALIES, CELL, COST, LAYERS, LONG, anomaly_cells, cells, decisions, decisions_sql, q_sql, with_xy
 from .registry import query
 
 
@@ -115,13 +115,13 @@ def row_mean_skipna(spark, sf):
     return held.groupBy("pixel_id").agg(N.quant(F.avg("z"), 4).alias("m"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {CELL} SELECT regexp_replace(v, '_anom_(forest|agricultural|grassland)$', '') AS variable, CASE WHEN ends_with(v, '_forest') THEN 'Forest' WHEN ends_with(v, '_grassland') THEN 'Grassland' ELSE 'Unknown' END AS label, count(a) AS n, count(*) AS n_all
-FROM (SELECT unnest(['smd_anom_forest', 'uzl_anom_grassland', 'snh_anom_none']) v, unnest([smd, uzl, snh]) a FROM cell) GROUP BY 1, 2""")
+@query(f"""WITH {CELL} SELECT regexp_replace(regexp_replace(v, '_anom_(forest|agricultural|grassland)$', ''), '_anom$', '') AS variable, CASE WHEN ends_with(v, '_forest') THEN 'Forest' WHEN ends_with(v, '_grassland') THEN 'Grassland' ELSE 'Unknown' END AS label, count(a) AS n, count(*) AS n_all
+FROM (SELECT unnest(['smd_anom_forest', 'uzl_anom_grassland', 'snh_anom_none', 'ndvi_anom']) v, unnest([smd, uzl, snh, ndvi]) a FROM cell) GROUP BY 1, 2""")
 def anomaly_long_unpivot(spark, sf):
-    held = cells(spark, sf).selectExpr("pixel_id", "smd AS smd_anom_forest", "uzl AS uzl_anom_grassland", "snh AS snh_anom_none")
-    long = anomaly.to_long(held, ["smd_anom_forest", "uzl_anom_grassland", "snh_anom_none"], ["pixel_id"], "v", "a", drop_null=False)
+    held = cells(spark, sf).selectExpr("pixel_id", "smd AS smd_anom_forest", "uzl AS uzl_anom_grassland", "snh AS snh_anom_none", "ndvi AS ndvi_anom")
+    long = anomaly.to_long(held, ["smd_anom_forest", "uzl_anom_grassland", "snh_anom_none", "ndvi_anom"], ["pixel_id"], "v", "a", drop_null=False)
     label = F.when(F.col("v").endswith("_forest"), "Forest").when(F.col("v").endswith("_grassland"), "Grassland").otherwise("Unknown")
-    name = F.regexp_replace("v", "_anom_(forest|agricultural|grassland)$", "")
+    name = F.regexp_replace(F.regexp_replace("v", "_anom_(forest|agricultural|grassland)$", ""), "_anom$", "")
     return long.groupBy(name.alias("variable"), label.alias("label")).agg(F.count("a").alias("n"), F.count("*").alias("n_all"))
 
 
@@ -161,15 +161,6 @@ def bivariate_legend_join(spark, sf):
     return held.groupBy("ecosystem", "ab", "fill").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_CLASSED}, d AS (SELECT pixel_id, fill, CAST(split_part(ab, ' - ', 1) AS INT) a, CAST(split_part(ab, ' - ', 2) AS INT) b, CASE WHEN col_idx % 4 <> 0 THEN 1 + col_idx % 5 END o FROM cl LEFT JOIN legend ON grp = ab)
-SELECT a AS class_a, b AS class_b, CASE WHEN o IS NULL THEN NULL WHEN o >= 3 THEN 'grey70' ELSE fill END AS shown, count(*) AS n FROM d GROUP BY ALL""")
-def greyed_good_condition(spark, sf):
-    held = _classed(spark, sf).join(F.broadcast(catalog.legend(spark, "ab")), F.col("ab") == F.col("grp"), "left")
-    ab, out = F.split("ab", " - "), F.when(F.col("col_idx") % 4 != 0, 1 + F.col("col_idx") % 5)
-    shown = N.if_else(out >= 3, F.lit("grey70"), F.col("fill"))
-    return held.groupBy(ab[0].cast("int").alias("class_a"), ab[1].cast("int").alias("class_b"), shown.alias("shown")).agg(F.count("*").alias("n"))
-
-
 _BREAKS = [0.0, 10.0, 20.0, 26.0, 32.0, 50.0]
 
 
@@ -287,12 +278,16 @@ def tricolor_triangle(spark, sf):
     return g.select("i", "j", N.quant(w2 + 0.5 * w3, 6).alias("x"), N.quant(half * w3, 6).alias("y"), N.hex_colour(w1, w2, F.greatest(w3, F.lit(0.0))).alias("fill"))
 
 
-@query(f"""WITH {CELL}, a AS (SELECT row_idx, col_idx, ecosystem, smd FROM eco)
-SELECT ecosystem, 'smd' AS code, count(smd) AS n, {q_sql('min(smd)', 2)} || ' - ' || {q_sql('max(smd)', 2)} AS span, 'Soil Moisture Deficit' AS label FROM a WHERE ecosystem IS NOT NULL GROUP BY 1""")
+_KIND = "CASE WHEN variable IN ('smd','sbd','soc') THEN 'abiotic' WHEN variable IN ('uzl','tsd','ndvi') THEN 'biotic' WHEN variable IN ('snh','frag') THEN 'landscape' END"
+_NAMED = f"labels(code, label) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in catalog.LABELS.items())})"
+
+
+@query(f"""WITH {LONG}, {_NAMED} SELECT ecosystem, variable AS code, count(*) AS n, {q_sql('min(value)', 2)} AS lo, {q_sql('max(value)', 2)} AS hi, {q_sql('avg(value)', 2)} AS mean, {_KIND} AS kind, any_value(label) AS label
+FROM long LEFT JOIN labels ON code = variable GROUP BY ecosystem, variable""")
 def variable_profile(spark, sf):
-    held = cells(spark, sf).withColumn("ecosystem", catalog.ecosystem_of(F.col("lulc"))).where("ecosystem IS NOT NULL")
-    span = F.concat_ws(" - ", N.quant(F.min("smd"), 2), N.quant(F.max("smd"), 2))
-    return held.groupBy("ecosystem").agg(F.lit("smd").alias("code"), F.count("smd").alias("n"), span.alias("span")).withColumn("label", catalog.label_of(F.col("code"), catalog.LABELS))
+    """Range and mean of every variable, with what is known of it."""
+    held = _long(spark, sf).groupBy("ecosystem", F.col("variable").alias("code")).agg(F.count("*").alias("n"), *(N.quant(f("value"), 2).alias(n) for n, f in (("lo", F.min), ("hi", F.max), ("mean", F.avg))))
+    return held.withColumns({"kind": catalog.category_of(F.col("code")), "label": catalog.label_of(F.col("code"), catalog.LABELS)})
 
 
 @query()
@@ -302,13 +297,6 @@ def kmeans_clusters(spark, sf):
     return held.groupBy("cluster").agg(*(F.avg(x).alias(x) for x in ANOMALIES), F.count("*").alias("n"))
 
 
-@query()
-def fisher_breaks(spark, sf):
-    """Rows only: dynamic programme over the distinct values."""
-    bounds = natural_breaks(cells(spark, sf).select(F.col("smd").cast("double").alias("v")), "v", 5)
-    return spark.createDataFrame(list(enumerate(bounds)), "i int, bound double")
-
-
 def _focal_sql(size: int, digits: int) -> str:
     h = size // 2
     return f"""WITH {CELL}, r AS (SELECT *, sum(smd) OVER w s, count(smd) OVER w n FROM cell WINDOW w AS (PARTITION BY row_idx ORDER BY col_idx RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING))
@@ -325,6 +313,11 @@ def focal_mean_15(spark, sf):
     return focal.square_mean(cells(spark, sf), "smd", 15, "m").select("pixel_id", _q("m", 3))
 
 
+@query(_focal_sql(31, 3))
+def focal_mean_31(spark, sf):
+    return focal.square_mean(cells(spark, sf), "smd", 31, "m").select("pixel_id", _q("m", 3))
+
+
 @query(f"""WITH {CELL}, r AS (SELECT *, sum(smd) OVER w s, sum(smd * smd) OVER w q, count(smd) OVER w n FROM cell WINDOW w AS (PARTITION BY row_idx ORDER BY col_idx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 v AS (SELECT pixel_id, sum(s) OVER x s, sum(q) OVER x q, sum(n) OVER x n FROM r WINDOW x AS (PARTITION BY col_idx ORDER BY row_idx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING))
 SELECT pixel_id, {q_sql('greatest(0.0, q - s * s / nullif(n, 0)) / CASE WHEN n > 1 THEN n - 1 END', 2)} AS noise FROM v""")
@@ -339,7 +332,9 @@ def focal_circle_sum(spark, sf):
     return focal.offset_sum(cells(spark, sf), "smd", focal.disc(300.0, 100.0)).select("pixel_id", _q("influence", 3))
 
 
-@query(f"""WITH {CELL}, s AS (SELECT row_idx, col_idx FROM cell WHERE pixel_id % 7 = 0), o(dr, dc) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)),
-n AS (SELECT DISTINCT row_idx + dr AS row_idx, col_idx + dc AS col_idx FROM s, o) SELECT * FROM n EXCEPT SELECT * FROM s""")
+@query(f"""WITH {decisions_sql(0.1, 2)}, s AS (SELECT sol_id, row_idx, col_idx FROM dec d JOIN anom a ON a.pixel_id = d.pixel_id), o(dr, dc) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)),
+n AS (SELECT DISTINCT sol_id, row_idx + dr AS row_idx, col_idx + dc AS col_idx FROM s, o) SELECT * FROM n EXCEPT SELECT * FROM s""")
 def neighbour_ring(spark, sf):
-    return focal.ring(cells(spark, sf).where("pixel_id % 7 = 0")).select("row_idx", "col_idx")
+    held = anomaly_cells(spark, sf)
+    chosen = decisions(held, 0.1, 2).join(held.select("pixel_id", "row_idx", "col_idx"), "pixel_id")
+    return focal.ring(chosen, ("sol_id",)).select("sol_id", "row_idx", "col_idx")

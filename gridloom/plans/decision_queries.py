@@ -10,7 +10,7 @@ from ..operators import cells as C
 from ..operators import effects as E
 from ..operators import evolve, pareto, scenario, selection
 from ..operators.focal import disc
-from .adapter import ANOM, ANOMALIES, CELL, COST, EFFECTS, OBJ_SQL, anomaly_cells, cells, decisions, decisions_sql, gain_sql, q_sql, u_sql, weight_sql
+from .adapter import ANOM, ANOMALIES, COST, EFFECTS, GRID, OBJ_SQL, anomaly_cells, decisions, decisions_sql, gain_sql, q_sql, u_sql, weight_sql
 from .registry import query
 
 
@@ -112,8 +112,8 @@ def hash_topk_selection(spark, sf):
     return decisions(anomaly_cells(spark, sf), 0.2, 5).select("sol_id", "pixel_id")
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    held = _scored(spark, sf).select("pixel_id", N.quant(F.col("score"), 7).alias("score"))
+def _candidates(spark: SparkSession, scored: DataFrame) -> DataFrame:
+    held = scored.select("pixel_id", N.quant(F.col("score"), 7).alias("score"))
     plans = held.crossJoin(F.broadcast(spark.range(3).select(F.col("id").cast("int").alias("sol_id"))))
     limit = F.element_at(F.array(F.lit(0.02), F.lit(0.10), F.lit(0.30)), F.col("sol_id") + 1)
     return plans.withColumn("x", (N.uniform(F.col("sol_id"), F.col("pixel_id")) < limit).cast("int"))
@@ -126,9 +126,8 @@ _CAND = f"""cand AS (SELECT sol_id, pixel_id, {q_sql(_SCORE, 7)} AS score, CAST(
 @query(f"""WITH {ANOM}, {_CAND} SELECT sol_id, pixel_id, x FROM (SELECT *, row_number() OVER (PARTITION BY sol_id ORDER BY x DESC, score DESC, pixel_id) r FROM cand)
 WHERE r <= (SELECT floor(CAST(0.1 AS DOUBLE) * count(*)) FROM anom WHERE eligible)""")
 def repair_add_drop(spark, sf):
-    held = _candidates(spark, sf)
-    k = int(0.1 * anomaly_cells(spark, sf).where("eligible").count())
-    return selection.repair(held, k, "score").select("sol_id", "pixel_id", "x")
+    scored = _scored(spark, sf)
+    return selection.repair(_candidates(spark, scored), int(0.1 * scored.count()), "score").select("sol_id", "pixel_id", "x")
 
 
 def _quota_sql(mode: str) -> str:
@@ -171,9 +170,22 @@ def burden_sampling(spark, sf):
     return selection.sampled_plans(held, solutions, int(0.1 * held.count()), burden="yes").select("sol_id", "pixel_id")
 
 
-@query()
+def _pull_sql(plan: str, size: int | None, cells: str, k: str, seed: str = "sol_id") -> str:
+    """(sol_id, pixel_id) of the k densest cells of every plan's smoothed map; `plan` and `cells` are CTEs."""
+    h = (size or 1) // 2
+    smooth = f"""gr AS (SELECT *, sum(xx) OVER w s, count(xx) OVER w n FROM g WINDOW w AS (PARTITION BY sol_id, row_idx ORDER BY col_idx RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING)),
+gf AS (SELECT sol_id, pixel_id, sum(s) OVER v / sum(n) OVER v AS f FROM gr WINDOW v AS (PARTITION BY sol_id, col_idx ORDER BY row_idx RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING))"""
+    return f"""g AS (SELECT i.sol_id, c.pixel_id, c.row_idx, c.col_idx, CAST(CASE WHEN p.pixel_id IS NULL THEN 0 ELSE 1 END AS DOUBLE) xx
+  FROM {cells} c, (SELECT DISTINCT sol_id FROM {plan}) i LEFT JOIN {plan} p ON p.sol_id = i.sol_id AND p.pixel_id = c.pixel_id),
+{smooth}, pulled AS (SELECT sol_id, pixel_id FROM (SELECT sol_id, pixel_id, row_number() OVER (PARTITION BY sol_id ORDER BY floor(f * 1e6 + 0.5) + {u_sql(seed, 'pixel_id')} DESC, pixel_id) rn FROM gf) WHERE rn <= {k})"""
+
+
+_SHARED = _quota_sql("equal").replace("0.2", "0.1") + f""", p3 AS (SELECT CAST(unnest(range(3)) AS INT) sol_id),
+plan AS (SELECT sol_id, pixel_id FROM (SELECT p3.sol_id, e.pixel_id, quota, row_number() OVER (PARTITION BY p3.sol_id, e.region_id ORDER BY {u_sql('p3.sol_id', 'e.pixel_id')}, e.pixel_id) rn FROM p3, e JOIN q ON q.region_id = e.region_id) WHERE rn <= quota)"""
+
+
+@query(f"{_SHARED}, {_pull_sql('plan', 3, 'e', '(SELECT k FROM t)')} SELECT sol_id, pixel_id FROM pulled")
 def combined_sampling(spark, sf):
-    """Rows only: quotas, then clustering; each step has its own SQL above."""
     held = anomaly_cells(spark, sf).where("eligible")
     solutions = spark.range(3).select(F.col("id").cast("int").alias("sol_id"))
     return selection.sampled_plans(held, solutions, int(0.1 * held.count()), 0.3, "yes")
@@ -191,15 +203,15 @@ def _seeds(spark, n):
     return spark.range(1, n + 1).select(F.col("id").cast("int").alias("dv_id"))
 
 
-def _dv_sql(n: int, size: int | None) -> str:
-    noise = f"SELECT a.*, dv_id, {u_sql('dv_id', 'pixel_id')} AS noise FROM anom a, (SELECT CAST(unnest(range(1, {n + 1})) AS INT) dv_id)"
+def _dv_sql(n: int, size: int | None, area: str = "ecosystem IS NOT NULL", head: str = ANOM, held: str = "anom") -> str:
+    noise = f"SELECT a.*, dv_id, {u_sql('dv_id', 'pixel_id')} AS noise FROM {held} a, (SELECT CAST(unnest(range(1, {n + 1})) AS INT) dv_id)"
     if size:
         h = size // 2
         noise = f"""SELECT * REPLACE (floor(m * 1e9 + 0.5) / 1e9 AS noise) FROM (SELECT *, sum(s) OVER v / nullif(sum(c) OVER v, 0) AS m FROM (
 SELECT *, sum(noise) OVER w s, count(noise) OVER w c FROM ({noise}) WINDOW w AS (PARTITION BY dv_id, row_idx ORDER BY col_idx RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING))
 WINDOW v AS (PARTITION BY dv_id, col_idx ORDER BY row_idx RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING))"""
-    return f"""{ANOM}, nz AS ({noise}), cut AS (SELECT dv_id d, quantile_cont(noise, CAST(0.8 AS DOUBLE)) q FROM nz WHERE ecosystem IS NOT NULL GROUP BY 1),
-dv AS (SELECT nz.*, CASE WHEN ecosystem IS NOT NULL THEN CAST(noise >= q AS INT) END AS dv FROM nz JOIN cut ON d = dv_id)"""
+    return f"""{head}, nz AS ({noise}), cut AS (SELECT dv_id d, quantile_cont(noise, CAST(0.8 AS DOUBLE)) q FROM nz WHERE {area} GROUP BY 1),
+dv AS (SELECT nz.*, CASE WHEN {area} THEN CAST(noise >= q AS INT) END AS dv FROM nz JOIN cut ON d = dv_id)"""
 
 
 @query(f"WITH {_dv_sql(2, None)} SELECT dv_id, pixel_id, dv FROM dv")
@@ -218,6 +230,12 @@ def dv_ensemble(spark, sf):
     return held.groupBy("dv_id").agg(F.count_if(F.col("dv") == 1).alias("n1"), F.count_if(F.col("dv") == 0).alias("n0"), F.count_if(F.col("dv").isNull()).alias("n_out"))
 
 
+@query(f"WITH {_dv_sql(100, 3)} SELECT dv_id, count(*) FILTER (dv = 1) AS n1, count(*) FILTER (dv = 0) AS n0, count(*) FILTER (dv IS NULL) AS n_out FROM dv GROUP BY 1")
+def dv_ensemble_100(spark, sf):
+    held = selection.decision_layers(_dv_cells(spark, sf), _seeds(spark, 100), 0.2, 3, _inside())
+    return held.groupBy("dv_id").agg(F.count_if(F.col("dv") == 1).alias("n1"), F.count_if(F.col("dv") == 0).alias("n0"), F.count_if(F.col("dv").isNull()).alias("n_out"))
+
+
 @query(f"WITH {_dv_sql(6, 3)} SELECT dv_id, {', '.join(q_sql(f'coalesce(sum({x}), 0) - coalesce(sum(CASE WHEN dv IS NULL THEN NULL WHEN dv = 1 THEN 0 ELSE {x} END), 0)', 4) + f' AS {x}' for x in ANOMALIES)} FROM dv GROUP BY 1")
 def experiment_all_to_good(spark, sf):
     held = selection.decision_layers(_dv_cells(spark, sf), _seeds(spark, 6), 0.2, 3, _inside())
@@ -238,14 +256,14 @@ def experiment_prop_above(spark, sf):
     return E.proportion_above(held, ANOMALIES).select("dv_id", *(_q(x, 5) for x in ANOMALIES))
 
 
-@query(f"""WITH {_dv_sql(3, 3)}, o AS (SELECT a AS dr, b AS dc FROM (SELECT unnest(range(-1, 2)) a), (SELECT unnest(range(-1, 2)) b) WHERE a * a + b * b <= 1),
-i AS (SELECT c.dv_id d, c.pixel_id p, CASE WHEN count(n.dv) = 5 AND any_value(c.dv) IS NOT NULL THEN sum(CASE WHEN n.dv = 0 THEN 1.0 ELSE 0.0 END) / 5.0 END AS infl
+@query(f"""WITH {_dv_sql(3, 3, "true")}, o AS (SELECT a AS dr, b AS dc FROM (SELECT unnest(range(-3, 4)) a), (SELECT unnest(range(-3, 4)) b) WHERE a * a + b * b <= 9),
+i AS (SELECT c.dv_id d, c.pixel_id p, CASE WHEN count(n.dv) = 29 AND any_value(c.dv) IS NOT NULL THEN sum(CASE WHEN n.dv = 0 THEN 1.0 ELSE 0.0 END) / 29.0 END AS infl
  FROM dv c, o LEFT JOIN dv n ON n.dv_id = c.dv_id AND n.row_idx = c.row_idx + dr AND n.col_idx = c.col_idx + dc GROUP BY 1, 2)
-SELECT dv_id, {q_sql(f'{_share(_raised("abiotic"))} - {_share("abiotic")}', 5)} AS abiotic, {q_sql(f'{_share("landscape + CAST(1.05 AS DOUBLE) * infl * abs(landscape)")} - {_share("landscape")}', 5)} AS landscape
+SELECT dv_id, {', '.join(q_sql(f'{_share(_raised(x))} - {_share(x)}', 5) + f' AS {x}' for x in ('abiotic', 'biotic'))}, {q_sql(f'{_share("landscape + CAST(1.05 AS DOUBLE) * infl * abs(landscape)")} - {_share("landscape")}', 5)} AS landscape
 FROM dv JOIN i ON d = dv_id AND p = pixel_id GROUP BY 1""")
 def experiment_spillover(spark, sf):
-    held = selection.decision_layers(_dv_cells(spark, sf), _seeds(spark, 3), 0.2, 3, _inside())
-    return E.spillover(held, ["abiotic"], "landscape", disc(1)).select("dv_id", _q("abiotic", 5), _q("landscape", 5))
+    held = selection.decision_layers(_dv_cells(spark, sf), _seeds(spark, 3), 0.2, 3, F.lit(True))
+    return E.spillover(held, ["abiotic", "biotic"], "landscape", disc(300.0, GRID.res)).select("dv_id", *(_q(x, 5) for x in ANOMALIES))
 
 
 # --- diagnostics ----------------------------------------------------------------------------------
@@ -268,15 +286,10 @@ SELECT fraction, count(*) AS k, CAST(sum({gain_sql('abiotic', 0.01)}) AS BIGINT)
 def diagnostics_sensitivity(spark, sf):
     held = anomaly_cells(spark, sf).where("eligible")
     n = held.count()
-    fractions = [0.05, 0.1, 0.15, 0.2]
-    # The largest plan is ranked; smaller ones are its prefixes.
-    most = selection.random_subset(held, int(max(fractions) * n), 11)
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.orderBy(N.uniform(11, F.col("pixel_id")), "pixel_id"))
-    wanted = F.explode(F.array(*(F.struct(F.lit(f).alias("fraction"), F.lit(int(f * n)).alias("k")) for f in fractions)))
-    ranked = most.withColumn("rn", rank).withColumn("f", wanted).where("rn <= f.k")
-    return ranked.groupBy("f.fraction").agg(F.count("*").alias("k"), F.sum(E.gain(F.col("abiotic"), 0.01)).cast("long").alias("gained"), N.quant(F.sum(COST), 2).alias("cost"))
+    # One seed for all fractions, so smaller plans are part of larger ones.
+    wanted = spark.createDataFrame([(f, int(f * n)) for f in (0.05, 0.1, 0.15, 0.2)], "fraction double, k long")
+    plans = selection.random_subset(held.crossJoin(F.broadcast(wanted)), F.col("k"), 11, ("fraction",))
+    return plans.groupBy("fraction").agg(F.count("*").alias("k"), F.sum(E.gain(F.col("abiotic"), 0.01)).cast("long").alias("gained"), N.quant(F.sum(COST), 2).alias("cost"))
 
 
 @query(f"""WITH {decisions_sql(0.1, 3)}, b AS (SELECT sol_id, abiotic a0, abiotic + CAST(0.01 AS DOUBLE) * {weight_sql('abiotic')} a1 FROM dec d JOIN anom a ON a.pixel_id = d.pixel_id)
@@ -312,12 +325,10 @@ def bitflip_mutation(spark, sf):
 
 @query()
 def evolve_small(spark, sf):
-    """Rows only: the end of an iterative search, for two scenarios in one run."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="search-"))
-    held = E.repair_scores(anomaly_cells(spark, sf), {"abiotic": 0.01, "biotic": 0.015}, COST).checkpoint()
-    scenarios = spark.range(2).select(F.col("id").cast("int").alias("scenario_id"))
-    k = int(0.05 * held.where("eligible").count())
-    return evolve.search(held, scenarios, k, EFFECTS, "score", COST, population=4, generations=2)[1]
+    """Rows only: the end of an iterative search, for scenarios that differ in every parameter; its steps have their SQL or brute-force tests."""
+    rows = [
+        (0, 0.05, 0.0, "no", 0.01, 0.015, 0.02, "exponential", 1.0), (1, 0.1, 0.0, "yes", 0.02, 0.01, 0.02, "gaussian", 0.5),
+        (2, 0.1, 0.3, "no", 0.01, 0.015, 0.01, "exponential", 1.0), (3, 0.05, 0.3, "yes", 0.02, 0.02, 0.01, "exponential", 2.0),
+    ]
+    names = "scenario_id int, max_restoration_fraction double, spatial_clustering double, burden_sharing string, abiotic_effect double, biotic_effect double, landscape_effect double, anomaly_weight_shape string, anomaly_weight_scale double"
+    return evolve.search(anomaly_cells(spark, sf), spark.createDataFrame(rows, names), {x: f"{x}_effect" for x in ANOMALIES}, COST)[1]

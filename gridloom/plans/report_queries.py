@@ -10,6 +10,7 @@ from ..operators import cells as C
 from ..operators import effects as E
 from ..operators import pareto, stats
 from ..operators.anomaly import to_long
+from ..shared import stored
 from ..sources.results import run_summary as summary_of
 from .adapter import ANOMALIES, COST, EFFECTS, OBJ_SQL, anomaly_cells, decisions, decisions_sql, q_sql
 from .registry import query
@@ -22,14 +23,14 @@ def _q(column: str, digits: int = 4):
     return N.quant(F.col(column), digits).alias(column)
 
 
-def _objectives(spark: SparkSession, sf: str) -> DataFrame:
-    """24 plans as 4 scenarios of 6 solutions, with the parameters that the scenarios stand for."""
-    held = anomaly_cells(spark, sf)
-    out = E.objectives(held, decisions(held, 0.1, _N), EFFECTS, COST)
-    return out.select(
+def _objectives(spark: SparkSession, sf: str, held: DataFrame | None = None, plans: DataFrame | None = None) -> DataFrame:
+    """24 plans as 4 scenarios of 6 solutions, with the parameters that the scenarios stand for; written once."""
+    held = anomaly_cells(spark, sf) if held is None else held
+    out = E.objectives(held, decisions(held, 0.1, _N) if plans is None else plans, EFFECTS, COST)
+    return stored(out.select(
         (F.col("sol_id") % 4).cast("int").alias("scenario_id"), "sol_id", *ANOMALIES, N.quant(F.col(COST), 2).alias(COST),
         F.when(F.col("sol_id") % 4 < 2, 0.1).otherwise(0.3).alias("fraction"), F.when(F.col("sol_id") % 2 == 0, "no").otherwise("yes").alias("burden"),
-    )
+    ), "objectives")
 
 
 _O = f"""{decisions_sql(0.1, _N)}, {OBJ_SQL}, ob AS (SELECT CAST(sol_id % 4 AS INT) AS scenario_id, sol_id, abiotic, biotic, landscape, {q_sql('implementation_cost', 2)} AS implementation_cost,
@@ -76,16 +77,8 @@ def selection_frequency(spark, sf):
     return out.select("pixel_id", _q("pct"))
 
 
-@query(f"WITH {_FREQ} SELECT pixel_id, row_idx, col_idx, {q_sql('coalesce(pct, -1)', 4)} AS pct FROM anom LEFT JOIN f ON p = pixel_id WHERE row_idx < 5")
-def scatter_map(spark, sf):
-    held = anomaly_cells(spark, sf)
-    pct = decisions(held, 0.1, _N).groupBy("pixel_id").agg((F.count("*") * 100.0 / _N).alias("pct"))
-    return C.scatter(held.where("row_idx < 5"), pct, "pct", -1.0).select("pixel_id", "row_idx", "col_idx", _q("pct"))
-
-
 @query(f"WITH {_FREQ} SELECT pixel_id, row_idx, col_idx, {q_sql('coalesce(pct, -1)', 4)} AS pct FROM anom LEFT JOIN f ON p = pixel_id")
-def scatter_map_all(spark, sf):
-    """scatter_map over the whole grid; the SQL of that one stops at five rows of it."""
+def scatter_map(spark, sf):
     held = anomaly_cells(spark, sf)
     pct = decisions(held, 0.1, _N).groupBy("pixel_id").agg((F.count("*") * 100.0 / _N).alias("pct"))
     return C.scatter(held, pct, "pct", -1.0).select("pixel_id", "row_idx", "col_idx", _q("pct"))
@@ -158,11 +151,40 @@ def population_spread(spark, sf):
     return _objectives(spark, sf).agg(*(N.quant(F.stddev_pop(x), 3).alias(x) for x in _NAMES), N.quant(stats.corr("abiotic", COST), 5).alias("r"))
 
 
-@query(f"""WITH {_O}, b AS (SELECT *, {_SUM} AS total FROM ob), m AS (SELECT sol_id FROM b WHERE fraction = 0.1 AND burden = 'yes' ORDER BY total, sol_id LIMIT 1)
-SELECT a.pixel_id, CAST(CASE WHEN d.pixel_id IS NULL THEN 0 ELSE 1 END AS INT) AS chosen FROM anom a LEFT JOIN (SELECT pixel_id FROM dec WHERE sol_id = (SELECT sol_id FROM m)) d ON d.pixel_id = a.pixel_id WHERE eligible""")
-def key_contrast_map(spark, sf):
+@query(f"""WITH {_O}, b AS (SELECT *, {_SUM} AS total FROM ob), m AS (SELECT fraction, burden, arg_min(sol_id, row(total, sol_id)) AS best FROM b GROUP BY 1, 2)
+SELECT fraction, burden, a.pixel_id, CAST(CASE WHEN d.pixel_id IS NULL THEN 0 ELSE 1 END AS INT) AS chosen FROM anom a CROSS JOIN m LEFT JOIN dec d ON d.pixel_id = a.pixel_id AND d.sol_id = best WHERE eligible""")
+def key_contrast_maps(spark, sf):
+    """A map for every contrast of fraction and burden sharing: the cells of its best solution."""
     held = anomaly_cells(spark, sf)
-    wanted = _objectives(spark, sf).where("fraction = 0.1 AND burden = 'yes'").withColumn("g", F.lit(0))
-    best = pareto.best_solution(wanted, _NAMES, ("g",)).select("sol_id")
-    chosen = decisions(held, 0.1, _N).join(F.broadcast(best), "sol_id").select("pixel_id", F.lit(1).alias("chosen"))
-    return C.scatter(held.where("eligible"), chosen, "chosen", 0).select("pixel_id", "chosen")
+    plans = stored(decisions(held, 0.1, _N), "plans")
+    best = pareto.best_solution(_objectives(spark, sf, held, plans), _NAMES, ("fraction", "burden")).select("fraction", "burden", "sol_id")
+    chosen = plans.join(F.broadcast(best), "sol_id").select("fraction", "burden", "pixel_id", F.lit(1).alias("chosen"))
+    every = held.where("eligible").select("pixel_id").crossJoin(F.broadcast(best.select("fraction", "burden")))
+    return every.join(chosen, ["fraction", "burden", "pixel_id"], "left").select("fraction", "burden", "pixel_id", F.coalesce("chosen", F.lit(0)).alias("chosen"))
+
+
+@query(f"""WITH {_FREQ} SELECT count(*) AS n_eligible, count(*) FILTER (p IS NULL) AS never_selected, {q_sql('min(coalesce(pct, 0))', 4)} AS least, {q_sql('max(coalesce(pct, 0))', 4)} AS most,
+{q_sql('100.0 * count(*) FILTER (p IS NULL) / count(*)', 4)} AS never_pct FROM anom LEFT JOIN f ON p = pixel_id WHERE eligible""")
+def selection_summary(spark, sf):
+    held = anomaly_cells(spark, sf)
+    pct = decisions(held, 0.1, _N).groupBy("pixel_id").agg((F.count("*") * 100.0 / _N).alias("pct"))
+    never = F.count_if(F.col("pct") == 0)
+    return C.scatter(held.where("eligible"), pct, "pct", 0.0).agg(
+        F.count("*").alias("n_eligible"), never.alias("never_selected"), N.quant(F.min("pct"), 4).alias("least"), N.quant(F.max("pct"), 4).alias("most"),
+        N.quant(100.0 * never / F.count("*"), 4).alias("never_pct"),
+    )
+
+
+_T = "(avg(v) FILTER (burden = 'no') - avg(v) FILTER (burden = 'yes'))"
+_POOLED = "((count(v) FILTER (burden = 'no') - 1) * var_samp(v) FILTER (burden = 'no') + (count(v) FILTER (burden = 'yes') - 1) * var_samp(v) FILTER (burden = 'yes')) / (count(v) - 2)"
+
+
+@query(f"""WITH {_O}, l AS ({' UNION ALL '.join(f"SELECT '{n}' AS objective, burden, fraction, {v} AS v FROM ob" for n, v in _V.items())})
+SELECT objective, {q_sql(f"{_T} / sqrt({_POOLED} * (1.0 / count(v) FILTER (burden = 'no') + 1.0 / count(v) FILTER (burden = 'yes')))", 4)} AS t, {q_sql('corr(fraction, v)', 5)} AS r,
+{q_sql('corr(fraction, v) * sqrt((count(v) - 2) / (1 - corr(fraction, v) ** 2))', 4)} AS t_of_r FROM l GROUP BY 1""")
+def param_effect_statistics(spark, sf):
+    """The statistics behind param_effect_pvalues."""
+    held = _objectives(spark, sf).withColumn("total_anomaly", (F.col("abiotic") + F.col("biotic") + F.col("landscape")).cast("double"))
+    long = to_long(held, list(_V), ["burden", "fraction"], "objective", "v")
+    found = long.groupBy("objective").agg(stats.t_statistic("v", "burden", "no", "yes").alias("t"), stats.corr("fraction", "v").alias("r"), F.count("v").alias("n"))
+    return found.select("objective", _q("t", 4), _q("r", 5), N.quant(F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))), 4).alias("t_of_r"))

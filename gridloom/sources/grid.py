@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean
+from ..operators.catalog import INDICATOR_LAYERS, NODATA, OBJECTIVES
 
 KEYS = ("pixel_id", "row_idx", "col_idx")
 
@@ -71,17 +72,35 @@ def scan_layers(cells: DataFrame, layers: list[str], keep: tuple[str, ...] = (),
     return cells.select(*columns)
 
 
+def scan_objectives(cells: DataFrame, objectives: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Keys and the layers of the named objectives, all of them by default; an unknown one is an error, layers that are missing are named together."""
+    wanted = list(OBJECTIVES) if objectives is None else objectives
+    unknown = [x for x in wanted if x not in OBJECTIVES]
+    if unknown:
+        raise ValueError(f"unknown objectives {unknown}; there are {list(OBJECTIVES)}")
+    return scan_layers(cells, [OBJECTIVES[x] for x in wanted], keep)
+
+
+def scan_indicators(cells: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Keys and whatever of the named indicator layers the grid has, nodata as NULL."""
+    return scan_layers(cells, INDICATOR_LAYERS, keep, tolerant=True, nodata=NODATA)
+
+
 def crop(cells: DataFrame, extent: tuple[float, float, float, float], x: str = "x", y: str = "y") -> DataFrame:
     """Cells with x and y in (xmin, xmax, ymin, ymax): a range predicate for the scan."""
     return cells.where(F.col(x).between(extent[0], extent[1]) & F.col(y).between(extent[2], extent[3]))
 
 
-def check_geometry(cells: DataFrame, grid: GridSpec) -> None:
-    """Raise if cells lie outside the grid or do not sit at their row-major index."""
-    bad = cells.where(
+def misplaced(cells: DataFrame, grid: GridSpec) -> DataFrame:
+    """Cells that lie outside the grid or do not sit at their row-major index."""
+    return cells.where(
         ~F.col("row_idx").between(0, grid.n_rows - 1) | ~F.col("col_idx").between(0, grid.n_cols - 1) | (F.col("pixel_id") != grid.pixel(F.col("row_idx"), F.col("col_idx")))
-    )
-    found = bad.select("pixel_id", "row_idx", "col_idx").take(3)
+    ).select("pixel_id", "row_idx", "col_idx")
+
+
+def check_geometry(cells: DataFrame, grid: GridSpec) -> None:
+    """Raise if any cell is misplaced."""
+    found = misplaced(cells, grid).take(3)
     if found:
         raise ValueError(f"cells do not fit the grid {grid}: {found}")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,27 @@ def save_run(decision: DataFrame, objective: DataFrame, scenario: DataFrame, pat
     run_summary(objective).write.mode("errorifexists").json(f"{path}/summary")
 
 
+def run_path(spark: SparkSession, folder: str, day: datetime.date, ecosystem: str = "all") -> str:
+    """The first free path results[_ecosystem]_ddmm_n in the folder, n from 1, claimed for this run.
+
+    A path is claimed by creating its marker file, which only one of several runs can do.
+    """
+    jvm = spark.sparkContext._jvm
+    base = f"{folder.rstrip('/')}/results{'' if ecosystem == 'all' else '_' + ecosystem}_{day:%d%m}"
+    n = 1
+    while True:
+        marker = jvm.org.apache.hadoop.fs.Path(f"{base}_{n}/_claimed")
+        store = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not store.exists(marker.getParent()):
+            try:
+                if store.createNewFile(marker):
+                    return f"{base}_{n}"
+            except Py4JJavaError:
+                if not store.exists(marker):
+                    raise
+        n += 1
+
+
 def load_run(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"decision": spark.read.parquet(f"{path}/decision"), "objective": spark.read.parquet(f"{path}/objective"), "scenario": spark.read.json(f"{path}/scenario")}
 

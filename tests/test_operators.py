@@ -237,3 +237,141 @@ def test_extent_predicate_reaches_the_scan(spark, tmp_path):
     _grid(spark, np.ones((4, 4))).withColumns({"x": F.col("col_idx") * 1.0, "y": F.col("row_idx") * 1.0}).write.parquet(str(tmp_path / "g"))
     plan = G.crop(spark.read.parquet(str(tmp_path / "g")), (0, 1, 0, 1)).select("pixel_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(x), IsNotNull(y), GreaterThanOrEqual(x" in plan and "v:" not in plan.split("ReadSchema")[1]
+
+
+def grid_cells(spark, n=400, columns=20):
+    return spark.range(n).selectExpr(
+        "id AS pixel_id", f"CAST(id div {columns} AS int) AS row_idx", f"CAST(id % {columns} AS int) AS col_idx", "CAST(id % 7 AS int) AS region_id", "true AS eligible",
+        "sin(id) AS abiotic", "cos(id * 1.3) AS biotic", "sin(id * 0.7 + 1) AS landscape", "100.0 + id % 13 AS implementation_cost",
+    )
+
+
+def test_first_by_equals_a_sort(spark):
+    from gridloom.operators.selection import best_by, first_by, quantile_by
+
+    rng = np.random.default_rng(3)
+    rows = [(int(k), i, float(v), int(rng.integers(0, 2))) for k in range(3) for i, v in enumerate(np.round(rng.random(300) ** 3, 2))] + [(0, 900, None, 0), (1, 901, None, 1)]
+    df = spark.createDataFrame(rows, "sol_id int, pixel_id int, score double, x int").repartition(3)
+    for ranges in (1, 7, 256):
+        for k in (0, 1, 50, 299, 1000):
+            got = {(r.sol_id, r.pixel_id) for r in best_by(df, k, "score", ("sol_id",), ranges, "x").collect()}
+            want = set()
+            for key in range(3):
+                mine = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[3], -(r[2] if r[2] is not None else min(v for _, _, v, _ in rows if v is not None)), r[1]))
+                want |= {(key, r[1]) for r in mine[:k]}
+            assert got == want
+        flagged = first_by(df.where("score is not null"), 10, F.col("score"), ["score", "pixel_id"], ("sol_id",), ranges, "first").collect()
+        assert len(flagged) == 900 and sum(r["first"] for r in flagged) == 30
+        cuts = {r.sol_id: r.cut for r in quantile_by(df, "score", 0.8, ("sol_id",), ranges).collect()}
+        for key in range(3):
+            assert cuts[key] == pytest.approx(np.quantile([r[2] for r in rows if r[0] == key and r[2] is not None], 0.8), abs=1e-12)
+
+
+def test_repairs_give_exact_counts(spark):
+    from gridloom.operators.selection import burden_repair, clustering_repair, random_repair
+
+    cells = grid_cells(spark)
+    plans = cells.crossJoin(spark.range(3).selectExpr("CAST(id AS int) AS sol_id")).withColumn("x", (F.col("pixel_id") % (F.col("sol_id") * 6 + 2) == 0).cast("int"))
+    for out in (random_repair(plans, 40, 1), burden_repair(plans, 40, 1), clustering_repair(plans, 40, 0.3)):
+        assert {r["count"] for r in out.groupBy("sol_id").count().collect()} == {40}
+    shares = burden_repair(plans, 40, 1).groupBy("sol_id", "region_id").count().collect()
+    assert {r["count"] for r in shares} == {5, 10}
+    kept = random_repair(plans, 40, 1).groupBy("sol_id").agg(F.sum("x").alias("x"), F.count("*").alias("n")).collect()
+    had = {r.sol_id: r.x for r in plans.groupBy("sol_id").agg(F.sum("x").alias("x")).collect()}
+    assert all(r.x == min(had[r.sol_id], 40) for r in kept)
+
+
+def test_exact_needs_no_more_than_the_best_cells(spark):
+    cells = grid_cells(spark).withColumn("score", F.sin(F.col("pixel_id") * 3.0))
+    score = {r.pixel_id: r.score for r in cells.collect()}
+    sparse = [(0, 0, p) for p in range(0, 400, 3)] + [(0, 1, p) for p in range(5)] + [(1, 0, p) for p in range(100, 160)]
+    decision = spark.createDataFrame(sparse, "scenario_id int, sol_id int, pixel_id long")
+    settings = spark.createDataFrame([(0, 30), (1, 60)], "scenario_id int, k long")
+    everyone = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 0)], "scenario_id int, sol_id int")
+    got = {}
+    for r in evolve.exact(decision, cells, settings, "score", everyone).collect():
+        got.setdefault((r.scenario_id, r.sol_id), set()).add(r.pixel_id)
+    for (s, i), k in {(0, 0): 30, (0, 1): 30, (0, 2): 30, (1, 0): 60}.items():
+        own = {p for a, b, p in sparse if (a, b) == (s, i)}
+        order = sorted(score, key=lambda p: (p not in own, -score[p], p))
+        assert got[s, i] == set(order[:k])
+
+
+def test_objectives_of_plans_without_eligible_cells(spark):
+    from gridloom.operators.effects import objectives
+
+    cells = grid_cells(spark, 40).withColumn("eligible", F.col("pixel_id") >= 10)
+    decision = spark.createDataFrame([(0, 0, 3), (0, 1, 12), (0, 1, 13)], "scenario_id int, sol_id int, pixel_id long")
+    everyone = spark.createDataFrame([(0, i) for i in range(3)], "scenario_id int, sol_id int")
+    out = {r.sol_id: r for r in objectives(cells, decision, {"abiotic": 0.5}, "implementation_cost", solutions=everyone, k=2).collect()}
+    base = -cells.where("abiotic > 0").count()
+    assert {i: (r.n_selected, r.violation) for i, r in out.items()} == {0: (0, 2), 1: (2, 0), 2: (0, 2)}
+    assert out[0].abiotic == out[2].abiotic == base and out[1].implementation_cost == 212.0
+    assert {r.sol_id for r in objectives(cells, decision, {"abiotic": 0.5}).collect()} == {0, 1}
+
+
+def test_survivors_equal_a_plain_sort(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, i, *map(float, rng.integers(0, 6, 3))) for s in range(2) for i in range(24)]
+    points = spark.createDataFrame(rows, "scenario_id int, sol_id int, a double, b double, c double")
+    got = {(r.scenario_id, r.sol_id): r.place for r in evolve.survive(points, ["a", "b", "c"], 10).collect()}
+    for s in range(2):
+        mine = [r for r in rows if r[0] == s]
+        front, left, rank = {}, list(mine), 0
+        while left:
+            now = [p for p in left if not any(all(x <= y for x, y in zip(q[2:], p[2:])) and q[2:] != p[2:] for q in left)]
+            front |= {p[1]: rank for p in now}
+            left, rank = [p for p in left if p not in now], rank + 1
+        kept = sorted((i for k, i in got if k == s), key=lambda i: got[s, i])
+        assert len(kept) == 10 and [front[i] for i in kept] == sorted(front[i] for i in kept)
+        assert max(front[i] for i in kept) <= min(front[i] for _, i, *_ in mine if i not in kept)
+
+
+def test_search_follows_its_scenarios(spark):
+    names = "scenario_id int, max_restoration_fraction double, spatial_clustering double, burden_sharing string, abiotic_effect double, biotic_effect double, landscape_effect double, anomaly_weight_shape string, anomaly_weight_scale double"
+    rows = [
+        (0, 0.05, 0.0, "no", 0.1, 0.1, 0.1, "exponential", 1.0), (1, 0.1, 0.0, "yes", 0.1, 0.1, 0.1, "gaussian", 0.5),
+        (2, 0.2, 0.3, "no", 0.1, 0.1, 0.1, "exponential", 1.0), (3, 0.15, 0.3, "yes", 0.4, 0.1, 0.1, "exponential", 1.0),
+    ]
+    cells, told = grid_cells(spark), []
+    effects = {x: f"{x}_effect" for x in ("abiotic", "biotic", "landscape")}
+    decision, front = evolve.search(cells, spark.createDataFrame(rows, names), effects, "implementation_cost", population=4, generations=2, callback=lambda g, p: told.append((g, p.count())))
+    found = front.collect()
+    assert {r.scenario_id: r.n_selected for r in found} == {0: 20, 1: 40, 2: 80, 3: 60} and all(r.violation == 0 for r in found)
+    assert told == [(0, 32), (1, 32)]
+    sizes = decision.groupBy("scenario_id", "sol_id").agg(F.count("*").alias("n"), F.countDistinct("pixel_id").alias("d")).collect()
+    assert {(r.scenario_id, r.n, r.d) for r in sizes} == {(0, 20, 20), (1, 40, 40), (2, 80, 80), (3, 60, 60)}
+    shares = decision.where("scenario_id = 1").join(cells, "pixel_id").groupBy("sol_id", "region_id").count().collect()
+    assert {r["count"] for r in shares} == {5, 10}
+
+
+def test_scans_name_what_is_wrong(spark):
+    from gridloom.sources.grid import scan_indicators, scan_objectives
+
+    cells = grid_cells(spark, 4).withColumn("tsd", F.when(F.col("pixel_id") == 1, -128.0).otherwise(2.0))
+    with pytest.raises(ValueError, match="unknown objectives.*forest"):
+        scan_objectives(cells, ["forest"])
+    with pytest.raises(KeyError, match="abiotic_anomaly.*population_proximity"):
+        scan_objectives(cells)
+    held = scan_indicators(cells)
+    assert held.columns == ["pixel_id", "row_idx", "col_idx", "tsd"] and held.where("tsd is null").count() == 1
+
+
+def test_plans_read_the_grid_once(spark):
+    """No query on anomalies scans line items in its final plan, no polygon query multiplies cells with edges."""
+    from gridloom import catalogue
+
+    plan = lambda name: catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    for name in ("pareto_front", "objective_eval", "selection_frequency", "dv_smoothed", "repair_add_drop"):
+        text = plan(name)
+        assert text.count("lineitem.parquet") == 0 and "CartesianProduct" not in text, name
+    for name in ("polygon_mask", "polygon_clip", "region_ecosystem_mask"):
+        text = plan(name)
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text.split("== Physical Plan ==")[1], name
+
+
+def test_percent_improvement(spark):
+    from gridloom.functions.numeric import percent_improvement
+
+    row = spark.sql("select -50.0D a, -60.0D b, 0.0D z").select(percent_improvement(F.col("a"), F.col("b"), True), percent_improvement(F.col("a"), F.col("b")), percent_improvement(F.col("z"), F.col("b"))).first()
+    assert row[0] == pytest.approx(20.0) and row[1] == pytest.approx(-20.0) and row[2] == 0.0

@@ -37,6 +37,6 @@ def test_entry_module(spark):
 
 def test_a_scatter_has_every_cell(spark):
     ids = lambda df: sorted(r.pixel_id for r in df.select("pixel_id").collect())
-    got = QUERIES["scatter_map_all"](spark, SF)
+    got = QUERIES["scatter_map"](spark, SF)
     orders = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("o_orderkey AS pixel_id")
     assert ids(got) == ids(orders) and got.where("row_idx >= 5").count() > 0
