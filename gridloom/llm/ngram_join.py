@@ -321,7 +321,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scan = scratch.save(texts.mapInArrow(lean(_scan(words)), _SCAN_SCHEMA), "scan")
     sized = scan.where("n is not null").select("doc_id", "n", "low", "high")
     full = sized.where("n > 0 and doc_id is not null")
-    classes = scratch.save(full.groupBy("n", "low", "high").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = scratch.save(full.groupBy("n", "low", "high").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("docs")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
 
     frequent = scan.where("token is not null").groupBy("token").agg(F.sum("count").alias("count"))
@@ -348,7 +348,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # First pass: each class to one hub, the class in whose prefix the shared token stands foremost.
     hubs = posts.groupBy("token").agg(F.count("*").alias("docs"), F.min_by(F.struct(F.col("doc").alias("hub"), "n", "place"), F.struct("place", "doc")).alias("h")).where("docs > 1")
-    shared = scratch.save(_by_token(posts, scratch.save(hubs, "hubs")), "shared")
+    shared = scratch.save(_by_key(posts, scratch.save(hubs, "hubs")), "shared")
     near = (
         shared.selectExpr("doc", "h.hub hub", "n na", "place pa", "h.n nb", "h.place pb")
         .where("doc <> hub")
@@ -376,7 +376,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # A token's pairs are dealt out by the second document, about _TASK_PAIRS to a share.
     pairs_of = (F.col("docs") - F.col("most.c")).cast("double") * F.col("docs")
     spans = spans.where("parts > 1").select("token", "docs", F.col("most.part").alias("major"), F.least("docs", F.ceil(pairs_of / _TASK_PAIRS)).cast("int").alias("shares"))
-    placed = _by_token(placed, scratch.save(spans, "spans"))
+    placed = _by_key(placed, scratch.save(spans, "spans"))
     x = placed.where("part <> major").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).selectExpr("token", "share", "doc a", "n na", "place pa", "part qa")
     y = placed.withColumn("share", F.pmod(F.xxhash64("doc"), F.col("shares")).cast("int")).selectExpr("token", "share", "doc b", "n nb", "place pb", "part qb", "major")
     left = (
@@ -389,8 +389,9 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = links.union(scratch.save(_verified(left, sets, percent), "links2"))
     part = connected_components(links, scratch).withColumnRenamed("id", "class_id")
 
-    found = full.join(classes, ["n", "low", "high"]).select("doc_id", "class_id").join(part, "class_id", "left")
-    found = found.select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component"))
+    # Documents with the component of their class; a class may hold a large share of them.
+    whole = classes.join(part, "class_id", "left").select("n", "low", "high", "docs", "class_id", F.coalesce("component", "class_id").alias("component"))
+    found = _by_key(full, scratch.save(whole, "whole"), ("n", "low", "high")).select("doc_id", "class_id", "component")
     # Rows of one id with different texts pool their links, so their classes meet over the id.
     found = _pool(found, scratch)
     found = scratch.save(found, "found")
@@ -449,16 +450,16 @@ def _pool(found: DataFrame, scratch: Scratch) -> DataFrame:
     return per_id.join(joined, "component", "left").select("doc_id", "class_id", F.coalesce("root", "component").alias("component"))
 
 
-def _by_token(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows with what is known of their token (facts: token, docs, the number of its rows, and more).
+def _by_key(rows: DataFrame, facts: DataFrame, on: tuple[str, ...] = ("token",)) -> DataFrame:
+    """Rows with what is known of their key (facts: the key, docs, the number of its rows, and more).
 
-    Tokens of many rows are joined by broadcast, so their rows stay where they are: at most _HOT_KEYS of
+    Keys of many rows are joined by broadcast, so their rows stay where they are: at most _HOT_KEYS of
     them exist, since each holds that share of all rows.  The others are shuffled.
     """
     most = max(_HOT_ROWS, rows.count() // _HOT_KEYS)
     hot = facts.where(F.col("docs") > most)
-    rest = rows.join(F.broadcast(hot.select("token")), "token", "left_anti")
-    return rows.join(F.broadcast(hot), "token").unionByName(rest.join(facts.where(F.col("docs") <= most), "token"))
+    rest = rows.join(F.broadcast(hot.select(*on)), list(on), "left_anti")
+    return rows.join(F.broadcast(hot), list(on)).unionByName(rest.join(facts.where(F.col("docs") <= most), list(on)))
 
 
 def _with(pairs: DataFrame, values: DataFrame, key: str, other: str) -> DataFrame:
