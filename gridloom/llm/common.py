@@ -5,14 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import tempfile
 import time
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import session_folder
 from ..shipping import ship_package
 
 
@@ -20,38 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only where that is unset (a local session, as in tests) a folder of our own is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def session_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder in the shared one, that goes when the driver's JVM ends."""
-    path = f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.mkdirs(p)
-    store.deleteOnExit(p)
-    return path
-
-
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to read a result more than once.
 

@@ -188,6 +188,110 @@ def plain_logit(model: dict, text: str) -> float:
     return total
 
 
+def plain_hash(raw: bytes) -> int:
+    """The hash of a word, byte by byte."""
+    from gridloom.llm import wordhash
+
+    mask, total, power = (1 << 64) - 1, 0, 1
+    for b in raw:
+        total = (total + int(wordhash._BYTE[b]) * power) & mask
+        power = power * wordhash._BASE & mask
+    x = (total + len(raw)) & mask
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & mask
+    return x ^ x >> 31
+
+
+def plain_rows(text: str) -> list[list[int]]:
+    """Table rows of every word, then padding as long as the widest filter less one; a text without words has one more."""
+    from gridloom.llm.toxicity import PREFIXES, TABLE_BITS, WIDTHS
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    rows = [[1 + plain_hash(part) % (2**TABLE_BITS - 1) + (k << TABLE_BITS) for k, part in enumerate([w, *(w[:n] for n in PREFIXES)])] for w in words]
+    return rows + [[0] * (1 + len(PREFIXES))] * (max(WIDTHS) - 1 + (not words))
+
+
+def test_toxicity_scores_equal_a_plain_network(spark):
+    from gridloom.llm.common import table
+    from gridloom.llm.queries import op2_toxicity_cnn
+    from gridloom.llm.toxicity import FILTERS, WIDTHS, _blocks, fit
+
+    sf = f"{ROOT}/sf0.001"
+    model = fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    got = {r.doc_id: r for r in op2_toxicity_cnn(spark, sf).collect()}
+    docs = rows("sf0.001", "documents")
+    assert len(got) == len(docs)
+    for d in docs:
+        coded = np.array(plain_rows(d["text"] or ""))
+        x = model["table"][coded].astype(np.float64).sum(axis=1)
+        total = float(model["out_bias"][0])
+        for w, width in enumerate(WIDTHS):
+            windows = [x[i : i + width] for i in range(len(x) - width + 1)]
+            for f in range(FILTERS):
+                columns = [at + f for wide, _, at in _blocks() if wide == width]
+                best = max(sum(float(v @ model["filters"][:, c]) for v, c in zip(window, columns)) for window in windows)
+                total += max(0.0, best + float(model["bias"][w * FILTERS + f])) * float(model["out"][w * FILTERS + f])
+        mine = got[d["doc_id"]]
+        assert mine.score == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), abs=1e-4)
+        assert mine.toxic == (mine.score >= mine.threshold)
+
+
+def plain_features(text: str) -> list[float]:
+    """The statistics of a document, counted one by one."""
+    from gridloom.llm.quality import _CLASSES
+
+    raw = text.encode()
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    inside = [sum(b in kind for b in raw) for kind in _CLASSES.values()]
+    high = sum(b >= 128 for b in raw)
+    out = [n / max(len(raw), 1) for n in (*inside, len(raw) - sum(inside) - high, high)]
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = re.findall(rb"[^\x20\x09-\x0D]+", lower)
+    lines = lower.split(b"\n")
+    lines = lines[:-1] if not lines[-1] else lines
+    filled = [x for x in lines if x]
+    per_word, per_line = max(len(words), 1), max(len(filled), 1)
+    mean = sum(map(len, words)) / per_word
+    seen, repeated = set(), 0
+    for x in filled:
+        repeated += len(x) * (x in seen)
+        seen.add(x)
+    odd = set(_CLASSES["pipe"] + _CLASSES["mark"] + _CLASSES["bracket"])
+    return out + [
+        math.log1p(len(raw)), math.log1p(len(words)), math.log1p(len(lines)), mean, math.sqrt(max(sum(len(w) ** 2 for w in words) / per_word - mean**2, 0)),
+        max(map(len, words), default=0), sum(len(w) >= 14 for w in words) / per_word, sum(bool(odd & set(w)) for w in words) / per_word, sum(65 <= w[0] <= 90 for w in words) / per_word,
+        len(set(low)) / per_word, len(set(zip(low, low[1:]))) / max(len(words) - 1, 1), len(seen) / per_line, len(words) / per_line, repeated / max(len(raw), 1),
+        sum(x.endswith(b".") for x in filled) / per_line, max(collections.Counter(low).values(), default=0) / per_word,
+    ]
+
+
+def test_quality_scores_equal_a_plain_tree_walk(spark):
+    import pyarrow as pa
+
+    from gridloom.llm.common import table
+    from gridloom.llm.quality import document_features, fit
+    from gridloom.llm.queries import op7_quality_gbt
+
+    sf = f"{ROOT}/sf0.001"
+    docs = rows("sf0.001", "documents")
+    odd = ["", "\n", "\n\n", "A a\nB b.\n", " x\n x\nX", "|a [b] {c}", "é\té\r\nü.", "word", "two Words"]
+    texts = [d["text"] or "" for d in docs] + odd
+    want = np.array([plain_features(t) for t in texts])
+    assert np.allclose(document_features(pa.array(texts)), want, rtol=1e-9, atol=1e-7)
+    model = fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    inner = model["feature"].shape[1]
+    got = {r.doc_id: r.score for r in op7_quality_gbt(spark, sf).collect()}
+    x = document_features(pa.array([d["text"] or "" for d in docs]))
+    for d, row in zip(docs, x):
+        logit = model["base"]
+        for feature, threshold, value in zip(model["feature"], model["threshold"], model["value"]):
+            node = 0
+            while node < inner:
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            logit += value[node - inner]
+        assert got[d["doc_id"]] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-9)
+
+
 def shares(budget: int, children: dict) -> dict:
     """Budget among children (name -> (weight, capacity)): full ones leave, the rest share again by weight."""
     out = {}
