@@ -33,6 +33,8 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+_PACK_ROWS = 30_000
+
 # Perturbations of a pair of hashes: ranks of the axis taken in the first and in the second.
 _STEPS = ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2))
 
@@ -67,6 +69,31 @@ def bucket_codes(matrix: np.ndarray, tables: int, probes: int, seed: int) -> np.
     return out
 
 
+def _units(matrix: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; by the largest component first, which keeps the squares of any finite vector finite."""
+    unit = matrix / np.abs(matrix).max(axis=1, keepdims=True)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+def _sent(matrix: np.ndarray) -> list[bytes]:
+    """Each row as doubles, or as single floats where those say the same."""
+    with np.errstate(over="ignore"):
+        short = matrix.astype(np.float32)
+    same = (short == matrix).all(axis=1)
+    return [(a if ok else b).tobytes() for a, b, ok in zip(short, matrix, same)]
+
+
+def _received(rows: list[bytes], d: int) -> np.ndarray:
+    if all(len(x) == 4 * d for x in rows):
+        return np.frombuffer(b"".join(rows), np.float32).reshape(-1, d).astype(np.float64)
+    return np.array([np.frombuffer(x, np.float32 if len(x) == 4 * d else np.float64) for x in rows], np.float64)
+
+
+def _code_type(d: int):
+    """Codes of short vectors fit 32 bits."""
+    return np.int32 if d <= 16_384 else np.int64
+
+
 def _enter(tables: int, probes: int, seed: int):
     """Class vectors to one row for every bucket they enter."""
 
@@ -77,19 +104,17 @@ def _enter(tables: int, probes: int, seed: int):
                 for a in range(0, len(at), 2048):
                     rows = at[a : a + 2048]
                     m = matrix[a : a + 2048]
-                    # Scaling by the largest component first keeps the squares of any finite vector finite.
-                    unit = m / np.abs(m).max(axis=1, keepdims=True)
-                    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    codes = bucket_codes(unit, tables, probes, seed)
+                    codes = bucket_codes(_units(m), tables, probes, seed)
                     per = tables * (1 + probes)
                     n = len(rows)
                     ids = batch.column(0).take(pa.array(np.repeat(rows, per)))
                     table_of = np.tile(np.repeat(np.arange(tables), 1 + probes), n)
-                    vectors = pa.array([x.tobytes() for x in unit], pa.binary()).take(pa.array(np.repeat(np.arange(n), per)))
-                    lists = pa.array([x.tobytes() for x in codes], pa.binary()).take(pa.array(np.repeat(np.arange(n), per)))
+                    again = pa.array(np.repeat(np.arange(n), per))
+                    vectors = pa.array(_sent(m), pa.binary()).take(again)
+                    lists = pa.array([x.tobytes() for x in codes.astype(_code_type(m.shape[1]))], pa.binary()).take(again)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array((np.int64(m.shape[1]) << 6) | table_of.astype(np.int64)), pa.array(codes.reshape(-1)), ids, pa.array(np.repeat(weight_of[rows], per)), vectors, lists],
-                        names=["space", "code", "rep", "weight", "unit", "codes"],
+                        names=["space", "code", "rep", "weight", "vector", "codes"],
                     )
 
     return run
@@ -111,39 +136,33 @@ def _roots(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
             return label
 
 
+_SMALL = 24  # buckets of at most so many classes are compared all together
+
+
 def _blocks(tables: int, probes: int, least: float):
-    """Links within one block pair of a bucket: per class the weight of linked classes, and a local root."""
+    """Links within a pack of buckets, or one block pair of a bucket: per class the weight of linked classes, and a local root."""
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        space, own = group.column("space")[0].as_py(), group.column("code")[0].as_py()
-        low, high = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        rep, weight, salt = (group.column(c).to_numpy() for c in ("rep", "weight", "salt"))
-        order = np.lexsort((rep, salt))
-        rep, weight, salt = rep[order], weight[order], salt[order]
-        unit = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(len(rep), -1)[order]
-        codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), np.int64).reshape(len(rep), tables, 1 + probes)[order]
-        table_at, code_at = space & 63, np.int64(own)
-        cut = int(np.searchsorted(salt, low, side="right"))
-        first, second = (np.arange(len(rep)),) * 2 if low == high else (np.arange(cut), np.arange(cut, len(rep)))
+        space, low, high = (group.column(c)[0].as_py() for c in ("space", "i", "j"))
+        d, table_at = space >> 6, space & 63
+        code, rep, weight, salt = (group.column(c).to_numpy() for c in ("code", "rep", "weight", "salt"))
+        order = np.lexsort((rep, salt, code))
+        code, rep, weight, salt = code[order], rep[order], weight[order], salt[order]
+        unit = _units(_received(group.column("vector").to_pylist(), d))[order]
+        codes = np.frombuffer(b"".join(group.column("codes").to_pylist()), _code_type(d)).reshape(len(rep), tables, 1 + probes)[order]
         n = np.zeros(len(rep), np.int64)
-        lefts, rights = [], []
-        # Slices of both sides, so that a block of any size needs a bounded matrix.
-        for rows, others in ((first[a : a + 512], second[b : b + 4096]) for a in range(0, len(first), 512) for b in range(0, len(second), 4096)):
-            if low == high and rows[0] >= others[-1]:
-                continue
-            hit = unit[rows] @ unit[others].T >= least
-            if low == high:
-                hit &= rows[:, None] < others[None, :]
-            x, y = np.nonzero(hit)
-            x, y = rows[x], others[y]
+        lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def take(x: np.ndarray, y: np.ndarray) -> None:
+            """Links between places x and y, each counted in the first bucket that both of its vectors enter."""
             for b in range(0, len(x), 20_000):
                 p, q = x[b : b + 20_000], y[b : b + 20_000]
-                shared = (codes[p][:, : table_at + 1, :, None] == codes[q][:, : table_at + 1, None, :])
+                shared = codes[p][:, : table_at + 1, :, None] == codes[q][:, : table_at + 1, None, :]
                 before = shared[:, :table_at].any(axis=(1, 2, 3)) if table_at else np.zeros(len(p), bool)
-                here = np.where(shared[:, table_at].any(axis=2), codes[p][:, table_at], np.iinfo(np.int64).max).min(axis=1)
-                new = ~before & (here == code_at)
+                here = np.where(shared[:, table_at].any(axis=2), codes[p][:, table_at], np.iinfo(codes.dtype).max).min(axis=1)
+                new = ~before & (here == code[p])
                 p, q = p[new], q[new]
                 np.add.at(n, p, weight[q])
                 np.add.at(n, q, weight[p])
@@ -153,9 +172,31 @@ def _blocks(tables: int, probes: int, least: float):
             if sum(map(len, lefts)) > 1_000_000:
                 root = _roots(len(rep), np.concatenate(lefts), np.concatenate(rights))
                 some = np.flatnonzero(root != np.arange(len(rep)))
-                lefts, rights = [some], [root[some]]
-        if not lefts:
-            return schema.empty_table()
+                lefts[:], rights[:] = [some], [root[some]]
+
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        size = np.diff(np.r_[first, len(code)])
+        small = np.repeat((size <= _SMALL) & (low == high), size)
+        for gap in range(1, min(_SMALL, len(code))):
+            p = np.flatnonzero((code[gap:] == code[:-gap]) & small[:-gap])
+            for b in range(0, len(p), 20_000):
+                x = p[b : b + 20_000]
+                hit = np.einsum("ij,ij->i", unit[x], unit[x + gap]) >= least
+                take(x[hit], x[hit] + gap)
+        for a, k in zip(first.tolist(), size.tolist()):
+            if small[a]:
+                continue
+            cut = a + int(np.searchsorted(salt[a : a + k], low, side="right"))
+            lhs, rhs = (np.arange(a, a + k),) * 2 if low == high else (np.arange(a, cut), np.arange(cut, a + k))
+            # Slices of both sides, so that a block of any size needs a bounded matrix.
+            for rows, others in ((lhs[x : x + 512], rhs[y : y + 4096]) for x in range(0, len(lhs), 512) for y in range(0, len(rhs), 4096)):
+                if low == high and rows[0] >= others[-1]:
+                    continue
+                hit = unit[rows] @ unit[others].T >= least
+                if low == high:
+                    hit &= rows[:, None] < others[None, :]
+                x, y = np.nonzero(hit)
+                take(rows[x], others[y])
         label = _roots(len(rep), np.concatenate(lefts), np.concatenate(rights))
         some = n > 0
         return pa.Table.from_arrays([pa.array(rep[some]), pa.array(n[some]), pa.array(rep[label[some]])], schema=schema)
@@ -179,15 +220,18 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, tables: int =
     good = usable(vectors).where(F.exists("v", lambda x: x != 0))
     classes = scratch.save(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
     entered = scratch.save(
-        classes.select("rep", "weight", "v").mapInArrow(lean(_enter(tables, probes, seed)), "space long, code long, rep long, weight long, unit binary, codes binary"), "entered"
+        classes.select("rep", "weight", "v").mapInArrow(lean(_enter(tables, probes, seed)), "space long, code long, rep long, weight long, vector binary, codes binary"), "entered"
     )
     sizes = entered.groupBy("space", "code").agg(F.count("*").alias("size")).where("size > 1")
     block = F.greatest(F.lit(block_rows), F.least(F.lit(8 * block_rows), F.ceil(F.col("size") / 16)))
     sizes = sizes.withColumn("deal", F.ceil(F.col("size") / block).cast("int"))
-    dealt = entered.join(sizes.select("space", "code", "deal"), ["space", "code"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int"))
+    # Buckets of one block share tasks, about _PACK_ROWS rows together; one of more blocks has tasks of its own.
+    packs = max(1, entered.count() // _PACK_ROWS)
+    pack = F.when(F.col("deal") == 1, F.pmod(F.xxhash64("code"), F.lit(packs))).otherwise(-1 - F.col("code"))
+    dealt = entered.join(sizes.select("space", "code", "deal"), ["space", "code"]).withColumns({"pack": pack, "salt": F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int")})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
-    dealt = dealt.select("space", "code", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "rep", "weight", "unit", "codes")
-    links = scratch.save(dealt.groupBy("space", "code", "i", "j").applyInArrow(lean_group(_blocks(tables, probes, least)), _LINK_SCHEMA), "links")
+    dealt = dealt.select("space", "pack", "code", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "rep", "weight", "vector", "codes")
+    links = scratch.save(dealt.groupBy("space", "pack", "i", "j").applyInArrow(lean_group(_blocks(tables, probes, least)), _LINK_SCHEMA), "links")
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("id", "rep")
     per_class = classes.join(counts, "rep", "left").join(parts, "rep", "left").select(
