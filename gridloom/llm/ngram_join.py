@@ -34,6 +34,7 @@ from .wordhash import mix64, shingle_arrays
 _TOKEN_BITS = np.uint64(46)  # of a shingle's hash in the candidate search; verification uses 64
 _HEAVY_SHARE = 100_000  # a shingle is heavy from 1/100,000 of all shingles on: at most 100,000 are
 _SHARD_TOKENS = 2_000_000
+_FANOUT = 2_048  # shards that one task packs for
 _HOT_ROWS, _HOT_KEYS = 1_000, 100_000  # a key is hot beyond this many rows, or this share of all if that is more
 _TASK_PAIRS = 1_000_000
 _ORDER_SEEDS = (0x51ED270B9F3A6D17, 0x2545F4914F6CDD1D)
@@ -87,8 +88,8 @@ _SCAN_NAMES = ["doc_id", "n", "low", "high", "token", "count"]
 _SCAN_SCHEMA = ", ".join(f"{x} long" for x in _SCAN_NAMES)
 
 
-def _pack(words: int, percent: int, shards: int, heavy):
-    """Texts of class representatives to packed shingles by shard.
+def _pack(words: int, percent: int, shards: int, groups: int, heavy):
+    """Texts of class representatives to packed shingles by shard, or by group of shards where there are many.
 
     A row holds, for one shard: documents (id, size, light shingles, shingles here) and the shingles.
     Shingles of a prefix that heavy ones are needed for leave as finished postings, at shard -1.
@@ -119,10 +120,10 @@ def _pack(words: int, percent: int, shards: int, heavy):
                     parts.append(light)
                 held += len(light)
                 if held >= _SHARD_TOKENS // 4:
-                    yield from _shards(rows, parts, shards)
+                    yield from _shards(rows, parts, shards, groups)
                     rows, parts, held = [], [], 0
             if parts:
-                yield from _shards(rows, parts, shards)
+                yield from _shards(rows, parts, shards, groups)
             for first in range(0, len(ready), 4096):
                 some = ready[first : first + 4096]
                 places = np.concatenate([np.arange(x[2] + 1, x[2] + 1 + len(x[3])) for x in some])
@@ -145,16 +146,16 @@ def _packed(key: int, docs, sizes, light, runs, tokens: bytes) -> pa.RecordBatch
     )
 
 
-def _shards(rows, parts, shards: int):
+def _shards(rows, parts, shards: int, groups: int):
     lengths = np.array([len(x) for x in parts])
     docs = np.repeat(np.arange(len(parts)), lengths)
     tokens = np.concatenate(parts)
     ids, sizes, light = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-    shard = (mix64(tokens) % np.uint64(shards)).astype(np.int64)
+    shard = (mix64(tokens) % np.uint64(shards) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     tokens, docs, shard = tokens[order], docs[order], shard[order]
-    cuts = np.searchsorted(shard, np.arange(shards + 1))
-    for k in range(shards):
+    cuts = np.searchsorted(shard, np.arange(groups + 1))
+    for k in range(groups):
         a, b = cuts[k], cuts[k + 1]
         if a < b:
             d = docs[a:b]
@@ -174,8 +175,63 @@ def _cells(table: pa.Table) -> list[list[bytes]]:
     return [table.column(k).to_pylist() for k in range(1, 6)]
 
 
-def _count(blocks: int):
-    """A shard's shingles to those that several documents share, packed by block of documents."""
+def _spread(shards: int, by_doc: bool):
+    """Rows of packed shingles by group of shards to rows by shard (or, of shared ones, by block of documents).
+
+    Runs over a partition as it comes, holding some million shingles, so that rows by shard are as long
+    as if one task had packed them all.
+    """
+
+    def run(batches):
+        held: dict[int, list] = {}
+        counts: dict[int, int] = {}
+
+        def flush(key: int):
+            cells = [list(c) for c in zip(*held.pop(key))]
+            counts.pop(key)
+            docs, sizes, light, runs = (np.concatenate([np.frombuffer(x, kind) for x in cells[c]]) for c, kind in enumerate((np.int64, np.int32, np.int32, np.int32)))
+            tokens = np.concatenate([np.frombuffer(x, np.uint64) if by_doc else _six(x) for x in cells[4]])
+            docs, sizes, light = (np.repeat(x, runs) for x in (docs, sizes, light))
+            shard = (mix64(docs.view(np.uint64) if by_doc else tokens) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((docs, shard))
+            docs, sizes, light, tokens, shard = (x[order] for x in (docs, sizes, light, tokens, shard))
+            cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                d = docs[a:b]
+                at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                raw = tokens[a:b]
+                raw = raw.tobytes() if by_doc else raw.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                yield _packed(int(shard[a]), d[at], sizes[a:b][at], light[a:b][at], np.diff(np.r_[at, b - a]), raw)
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key = batch.column(0)[row].as_py()
+                if key < 0:  # finished postings
+                    yield batch.slice(row, 1)
+                    continue
+                cells = [batch.column(c)[row].as_py() for c in range(1, 6)]
+                held.setdefault(key, []).append(cells)
+                counts[key] = counts.get(key, 0) + len(cells[4]) // (8 if by_doc else 6)
+                while sum(counts.values()) > _SHARD_TOKENS:
+                    yield from flush(max(counts, key=counts.get))
+        for key in list(held):
+            yield from flush(key)
+
+    return run
+
+
+def _by_shard(packed: DataFrame, shards: int, by_doc: bool) -> DataFrame:
+    """Packed rows by shard.  Beyond _FANOUT shards they come by group of shards and are dealt out in a second step.
+
+    A task that packs for every shard at once would otherwise write rows of single shingles.
+    """
+    if shards <= _FANOUT:
+        return packed
+    return packed.repartition(_FANOUT, "shard").mapInArrow(lean(_spread(shards, by_doc)), _PACK_SCHEMA)
+
+
+def _count(blocks: int, groups: int):
+    """A shard's shingles to those that several documents share, packed by block, or group of blocks, of documents."""
 
     def run(table: pa.Table) -> pa.Table:
         key = table.column(0)[0].as_py()
@@ -197,12 +253,12 @@ def _count(blocks: int):
         docs, sizes, light = docs[order], sizes[order], light[order]
         # An order value: frequency (16 bits, saturated) before the shingle's own bits.
         value = (np.minimum(df, 0xFFFF).astype(np.uint64) << _TOKEN_BITS) | tokens
-        block = (mix64(docs.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        block = (mix64(docs.view(np.uint64)) % np.uint64(blocks) % np.uint64(groups)).astype(np.int64)
         order = np.lexsort((docs, block))
         docs, sizes, light, value, block = docs[order], sizes[order], light[order], value[order], block[order]
-        cuts = np.searchsorted(block, np.arange(blocks + 1))
+        cuts = np.searchsorted(block, np.arange(groups + 1))
         out = []
-        for k in range(blocks):
+        for k in range(groups):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 d = docs[a:b]
@@ -339,12 +395,10 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     others = sized.where("n > 0 and doc_id is not null").select("doc_id").join(heads, "doc_id", "left_anti").distinct()
     shards = max(64, -(-total // _SHARD_TOKENS))
     kept = join_on_id(texts.where("doc_id is not null"), others, "doc_id", "left_anti")
-    posts = (
-        kept.mapInArrow(lean(_pack(words, percent, shards, heavy_b)), _PACK_SCHEMA)
-        .groupBy("shard").applyInArrow(lean_group(_count(shards)), _PACK_SCHEMA)
-        .groupBy("shard").applyInArrow(lean_group(_postings(percent)), _POST_SCHEMA)
-    )
-    posts = scratch.save(posts, "postings")
+    groups = min(shards, _FANOUT)
+    packed = _by_shard(kept.mapInArrow(lean(_pack(words, percent, shards, groups, heavy_b)), _PACK_SCHEMA), shards, False)
+    packed = _by_shard(packed.groupBy("shard").applyInArrow(lean_group(_count(shards, groups)), _PACK_SCHEMA), shards, True)
+    posts = scratch.save(packed.groupBy("shard").applyInArrow(lean_group(_postings(percent)), _POST_SCHEMA), "postings")
 
     # First pass: each class to one hub, the class in whose prefix the shared token stands foremost.
     hubs = posts.groupBy("token").agg(F.count("*").alias("docs"), F.min_by(F.struct(F.col("doc").alias("hub"), "n", "place"), F.struct("place", "doc")).alias("h")).where("docs > 1")

@@ -94,7 +94,8 @@ def test_ngram_join_with_every_key_hot(spark, docs, monkeypatch):
     """Tokens joined by broadcast, pairs dealt to shares, sets sent in copies."""
     from gridloom.llm import ngram_join
 
-    for name, value in (("_HOT_ROWS", 2), ("_HOT_KEYS", 5), ("_TASK_PAIRS", 4)):
+    # Besides, more shards (64) than one task packs for, and few shingles held at once.
+    for name, value in (("_HOT_ROWS", 2), ("_HOT_KEYS", 5), ("_TASK_PAIRS", 4), ("_FANOUT", 5), ("_SHARD_TOKENS", 3_000)):
         monkeypatch.setattr(ngram_join, name, value)
     rng = np.random.default_rng(8)
     rows = [(i, t) for i, t, *_ in edge_rows()]
