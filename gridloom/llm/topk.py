@@ -21,6 +21,7 @@ from .common import Scratch, lean, prepare
 from .vectors import matrices, usable
 
 _BINS = 256
+_BLOCK_BYTES = 64_000_000
 _LARGEST = 2.0**63  # scores are longs
 
 
@@ -83,9 +84,10 @@ def _visit(sent, scale: int, slice_rows: int = 2048):
                 for part, (qids, q) in enumerate(block.parts):
                     if q.shape[1] != matrix.shape[1]:
                         continue
-                    for a in range(0, len(ids), slice_rows):
-                        rows = ids[a : a + slice_rows]
-                        yield part, qids, *_scores(q, _integers(matrix[a : a + slice_rows], scale)), rows
+                    some = max(1, min(slice_rows, _BLOCK_BYTES // (8 * max(matrix.shape[1], len(qids), 1))))
+                    for a in range(0, len(ids), some):
+                        rows = ids[a : a + some]
+                        yield part, qids, *_scores(q, _integers(matrix[a : a + some], scale)), rows
 
     return loop
 
@@ -160,8 +162,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     rows = usable(vectors)
     asked = scratch.save(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     n_queries, most = asked.agg(F.count("*"), F.max(F.expr("aggregate(v, 0D, (m, x) -> greatest(m, abs(x)))"))).first()
-    blocks = max(1, -(-n_queries // block_rows))
     widest = rows.agg(F.max(F.size("v")), F.max(F.expr("aggregate(v, 0D, (m, x) -> greatest(m, abs(x)))"))).first()
+    # Long vectors make blocks smaller: a block is broadcast.
+    blocks = max(1, -(-n_queries // max(1, min(block_rows, _BLOCK_BYTES // (8 * (widest[0] or 1))))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     result = None
     for b in range(blocks):
