@@ -8,7 +8,7 @@ counts in the first bucket that its vectors share, so counts need no list of pai
 hands on no more than a spanning forest of its links.  Equal vectors are one class.  A bucket of
 more than `block_rows` classes is dealt into blocks, and every two of its blocks meet in one task: a
 vector travels once for each block of its bucket.  Up to 16 blocks are cut for the sake of parallel
-tasks, beyond that they grow to 8 * `block_rows` classes, what a task can hold.
+tasks, beyond that they grow to 8 * `block_rows` classes; long vectors make them smaller.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-_PACK_ROWS = 30_000
+_PACK_BYTES, _BLOCK_BYTES = 16_000_000, 64_000_000  # of vectors in doubles that one task holds of a pack, and of a block
 
 # Perturbations of a pair of hashes: ranks of the axis taken in the first and in the second.
 _STEPS = ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2))
@@ -223,10 +223,12 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, tables: int =
         classes.select("rep", "weight", "v").mapInArrow(lean(_enter(tables, probes, seed)), "space long, code long, rep long, weight long, vector binary, codes binary"), "entered"
     )
     sizes = entered.groupBy("space", "code").agg(F.count("*").alias("size")).where("size > 1")
+    width = F.shiftright("space", 6) * 8  # bytes of a vector
     block = F.greatest(F.lit(block_rows), F.least(F.lit(8 * block_rows), F.ceil(F.col("size") / 16)))
+    block = F.greatest(F.lit(1), F.least(block, F.floor(F.lit(_BLOCK_BYTES) / width)))
     sizes = sizes.withColumn("deal", F.ceil(F.col("size") / block).cast("int"))
-    # Buckets of one block share tasks, about _PACK_ROWS rows together; one of more blocks has tasks of its own.
-    packs = max(1, entered.count() // _PACK_ROWS)
+    # Buckets of one block share tasks, about _PACK_BYTES together; one of more blocks has tasks of its own.
+    packs = max(1, (entered.agg(F.sum(width)).first()[0] or 0) // _PACK_BYTES)
     pack = F.when(F.col("deal") == 1, F.pmod(F.xxhash64("code"), F.lit(packs))).otherwise(-1 - F.col("code"))
     dealt = entered.join(sizes.select("space", "code", "deal"), ["space", "code"]).withColumns({"pack": pack, "salt": F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int")})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
