@@ -203,12 +203,13 @@ def quantile_by(cells: DataFrame, value: str, p: float, keys: tuple[str, ...], r
 def decision_layers(cells: DataFrame, seeds: DataFrame, p: float, size: int | None, inside: Column) -> DataFrame:
     """(dv_id, cells, dv): seeded noise, smoothed if a window is given, cut at the 1 - p quantile of the cells inside.
 
-    dv is 1 at or above the cut, 0 below, NULL outside the decision area.  Smoothed noise is written
-    once, since it is read for the quantile and for the layer.
+    dv is 1 at or above the cut, 0 below, NULL outside the decision area.  Only keys and noise go through
+    the windows; smoothed noise is written once, since it is read for the quantile and for the layer.
     """
-    held = cells.crossJoin(F.broadcast(seeds)).withColumn("noise", uniform(F.col("dv_id"), F.col("pixel_id")))
+    held = cells.select("pixel_id", "row_idx", "col_idx", inside.alias("__in")).crossJoin(F.broadcast(seeds)).withColumn("noise", uniform(F.col("dv_id"), F.col("pixel_id")))
     if size:
-        held = square_mean(held, "noise", size, "noise_s", ("dv_id",)).withColumn("noise", F.floor(F.col("noise_s") * 1e9 + 0.5) / 1e9).drop("noise_s")
-        held = stored(held, "noise")
-    cut = quantile_by(held.where(inside), "noise", 1 - p, ("dv_id",))
-    return held.join(F.broadcast(cut), "dv_id").withColumn("dv", F.when(inside, (F.col("noise") >= F.col("cut")).cast("int"))).drop("cut")
+        held = square_mean(held, "noise", size, "__m", ("dv_id",)).withColumn("noise", F.floor(F.col("__m") * 1e9 + 0.5) / 1e9)
+        held = stored(held.select("dv_id", "pixel_id", "__in", "noise"), "noise")
+    cut = quantile_by(held.where("__in"), "noise", 1 - p, ("dv_id",))
+    layer = held.join(F.broadcast(cut), "dv_id").select("dv_id", "pixel_id", F.when(F.col("__in"), (F.col("noise") >= F.col("cut")).cast("int")).alias("dv"))
+    return cells.join(layer, "pixel_id")

@@ -48,7 +48,7 @@ def anomaly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Queries read it several times, a few columns each; the grid under it is aggregated once.
     """
-    held = with_anomalies(stored(cells(spark, sf_dir), "cells"), LAYERS)
+    held = with_anomalies(stored(cells(spark, sf_dir), "cells", spread=True), LAYERS)
     held = held.select("pixel_id", "row_idx", "col_idx", "lulc", "region_id", COST, "ecosystem", *ANOMALIES)
     return stored(held.withColumn("eligible", F.expr("abiotic IS NOT NULL AND biotic IS NOT NULL AND landscape IS NOT NULL")), "anomalies")
 

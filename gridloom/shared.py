@@ -34,8 +34,18 @@ def session_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def stored(df: DataFrame, kind: str = "table") -> DataFrame:
-    """The rows of df from a Parquet copy: its lineage is cut, and readers take the columns they need."""
-    path = f"{session_folder(df.sparkSession, kind)}/data"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, kind: str = "table", spread: bool = False) -> DataFrame:
+    """The rows of df from a Parquet copy: its lineage is cut, and readers take the columns they need.
+
+    With `spread`, for tables that much work follows on, a copy of fewer files than the cluster has cores
+    (as a small or unsplittable source gives) is written again in as many.
+    """
+    spark = df.sparkSession
+    folder = session_folder(spark, kind)
+    df.write.parquet(f"{folder}/data")
+    back = spark.read.schema(df.schema).parquet(f"{folder}/data")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and back._jdf.rdd().getNumPartitions() < cores:
+        back.repartition(cores).write.parquet(f"{folder}/spread")
+        back = spark.read.schema(df.schema).parquet(f"{folder}/spread")
+    return back
