@@ -422,8 +422,8 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     part = connected_components(links, scratch, rounds=1, settle=False)
 
     # Second pass: whatever is left between components, exactly.
-    placed = shared.select("token", "doc", "n", "place").join(part.withColumnRenamed("id", "doc"), "doc", "left")
-    placed = scratch.save(placed.select("token", "doc", "n", "place", F.coalesce("component", "doc").alias("part")), "placed")
+    parts = members.join(part.withColumnRenamed("id", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("part"))
+    placed = scratch.save(_with(shared.select("token", "doc", "n", "place"), scratch.save(parts, "parts"), "doc", "token"), "placed")
     spans = placed.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(
         F.max_by(F.struct("part", "c"), F.struct("c", "part")).alias("most"), F.count("*").alias("parts"), F.sum("c").alias("docs")
     )
@@ -517,7 +517,7 @@ def _by_key(rows: DataFrame, facts: DataFrame, on: tuple[str, ...] = ("token",))
 
 
 def _with(pairs: DataFrame, values: DataFrame, key: str, other: str) -> DataFrame:
-    """Pairs joined with the values of one side; the values of an id in many pairs are sent in several copies.
+    """Pairs (a written table) joined with the values of one side; the values of an id in many pairs are sent in several copies.
 
     At most _HOT_KEYS ids have copies, and all copies together are no more than that number.
     """
