@@ -161,6 +161,14 @@ def test_secret_query(spark):
         assert sorted(mine.spans.split(",") if mine.spans else []) == sorted([*joined, *(f"entropy:{a}:{b}" for a, b in entropy_only(text, base))])
 
 
+def test_base_secrets_at_a_larger_size(spark):
+    from gridloom.llm.queries import op8_secret_scan
+
+    got = {r.doc_id: r.base_sha256 for r in op8_secret_scan(spark, f"{ROOT}/sf0.1").select("doc_id", "base_sha256").collect()}
+    want = {r["doc_id"]: hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in base_spans(r["text"] or "")).encode()).hexdigest() for r in rows("sf0.1", "documents")}
+    assert got == want
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_packing_query(spark, sf):
     from gridloom.llm.queries import op10_best_fit_packing
