@@ -6,6 +6,8 @@ scenario as a key, so one job advances all scenarios by a generation.  Randomnes
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -184,6 +186,18 @@ def survive(points: DataFrame, names: list[str], size: int) -> DataFrame:
     return points.select(*KEYS, *names).groupBy("scenario_id").applyInPandas(best, "scenario_id int, sol_id int, place int")
 
 
+def progress_log(generations: int, say: Callable[[str], None] | None = None, clock: Callable[[], float] = time.monotonic) -> Callable[[int, DataFrame], None]:
+    """A callback for `search` that says which generation has ended and how long the rest will take at that pace."""
+    say = say or logging.getLogger(__name__).info
+    began = clock()
+
+    def told(generation: int, points: DataFrame) -> None:
+        done, spent = generation + 1, clock() - began
+        say(f"generation {done} of {generations}, {spent:.0f} s, about {spent / done * (generations - done):.0f} s left")
+
+    return told
+
+
 def settings_of(cells: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Scenarios with k, the number of cells that each restores: its fraction of the eligible ones, rounded down."""
     n = cells.where("eligible").count()

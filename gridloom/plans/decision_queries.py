@@ -76,6 +76,24 @@ def restoration_effect_cells(spark, sf):
     return out.select("sol_id", "pixel_id", *(_q(x, 5) for x in ANOMALIES))
 
 
+_RING = """pos AS (SELECT sol_id, row_idx, col_idx FROM dec d JOIN anom a ON a.pixel_id = d.pixel_id),
+near AS (SELECT DISTINCT sol_id, row_idx + dr AS row_idx, col_idx + dc AS col_idx FROM pos, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dr, dc)), ring AS (SELECT * FROM near EXCEPT SELECT * FROM pos)"""
+
+
+def _decayed(x: str, e: float) -> str:
+    return f"CASE WHEN eligible AND f > 0 THEN {x} + CAST({e} AS DOUBLE) * f * {weight_sql(x)} ELSE {x} END"
+
+
+@query(f"""WITH {decisions_sql(0.05, 2)}, {_RING}, held AS (SELECT s.sol_id, a.*, CAST(CASE WHEN d.pixel_id IS NOT NULL THEN 1 WHEN r.row_idx IS NOT NULL THEN 0.5 ELSE 0 END AS DOUBLE) AS f, d.pixel_id IS NOT NULL AS selected
+ FROM anom a CROSS JOIN (SELECT DISTINCT sol_id FROM dec) s LEFT JOIN dec d ON d.sol_id = s.sol_id AND d.pixel_id = a.pixel_id LEFT JOIN ring r ON r.sol_id = s.sol_id AND r.row_idx = a.row_idx AND r.col_idx = a.col_idx)
+SELECT sol_id, pixel_id, selected, {', '.join(q_sql(_decayed(x, e), 5) + f' AS {x}' for x, e in EFFECTS.items())} FROM held""")
+def restoration_effect_decay(spark, sf):
+    """All cells after restoration, with half the effect on cells next to a selected one."""
+    held = anomaly_cells(spark, sf)
+    out = E.restored(held, decisions(held, 0.05, 2), EFFECTS, decay=0.5)
+    return out.select("sol_id", "pixel_id", "selected", *(_q(x, 5) for x in ANOMALIES))
+
+
 @query(f"WITH {decisions_sql(0.1)}, {OBJ_SQL} SELECT scenario_id, sol_id, abiotic, biotic, landscape, {q_sql('implementation_cost', 2)} AS implementation_cost, n_selected FROM obj")
 def objective_eval(spark, sf):
     held = anomaly_cells(spark, sf)

@@ -118,6 +118,24 @@ def time_series_table(spark, sf):
     return metadata.time_series_table(_sheet(spark))
 
 
+# --- cell values ------------------------------------------------------------------------------------
+
+_ODD = "CASE col_idx % 5 WHEN 0 THEN CAST('nan' AS DOUBLE) WHEN 1 THEN CAST('inf' AS DOUBLE) WHEN 2 THEN NULL WHEN 3 THEN CAST('-inf' AS DOUBLE) ELSE smd END"
+
+
+@query(f"WITH {CELL} SELECT pixel_id, {q_sql('CASE WHEN col_idx % 5 = 4 THEN coalesce(smd, 0) ELSE 0 END', 3)} AS v, col_idx % 5 IN (0, 2) OR smd IS NULL AND col_idx % 5 = 4 AS missing FROM cell")
+def sanitised_layer(spark, sf):
+    """A layer with NaN and infinities: as 0 throughout, and which cells count as missing."""
+    held = cells(spark, sf).select("pixel_id", F.expr(_ODD).alias("odd"))
+    return held.select("pixel_id", N.quant(N.or_zero(F.col("odd")), 3).alias("v"), N.clean(F.col("odd")).isNull().alias("missing"))
+
+
+@query(f"WITH {CELL}, p AS (SELECT CASE WHEN pixel_id % 10 < 9 THEN (pixel_id % 90) / 1000.0 END AS p FROM cell) SELECT CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' WHEN p IS NOT NULL THEN 'ns' END AS stars, count(*) AS n FROM p GROUP BY 1")
+def significance_stars(spark, sf):
+    p = F.when(F.col("pixel_id") % 10 < 9, (F.col("pixel_id") % 90) / 1000.0)
+    return cells(spark, sf).groupBy(N.stars(p).alias("stars")).agg(F.count("*").alias("n"))
+
+
 # --- regions --------------------------------------------------------------------------------------
 
 _RINGS = {

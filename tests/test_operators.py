@@ -375,3 +375,24 @@ def test_percent_improvement(spark):
 
     row = spark.sql("select -50.0D a, -60.0D b, 0.0D z").select(percent_improvement(F.col("a"), F.col("b"), True), percent_improvement(F.col("a"), F.col("b")), percent_improvement(F.col("z"), F.col("b"))).first()
     assert row[0] == pytest.approx(20.0) and row[1] == pytest.approx(-20.0) and row[2] == 0.0
+
+
+def test_progress_tells_the_time_left():
+    said, now = [], iter([0.0, 10.0, 30.0])
+    told = evolve.progress_log(3, said.append, lambda: next(now))
+    told(0, None)
+    told(1, None)
+    assert said == ["generation 1 of 3, 10 s, about 20 s left", "generation 2 of 3, 30 s, about 15 s left"]
+
+
+def test_run_paths_are_claimed_once(spark, tmp_path):
+    import datetime
+
+    day = datetime.date(2024, 2, 9)
+    got = [results.run_path(spark, str(tmp_path), day, e) for e in ("all", "all", "forest", "all")]
+    assert [g.rsplit("/", 1)[1] for g in got] == ["results_0902_1", "results_0902_2", "results_forest_0902_1", "results_0902_3"]
+
+
+def test_layers_by_prefix():
+    names = ["smd_anom_forest", "smdx_anom_forest", "soc_anom_grassland", "smd_anom_grassland", "smd_raw"]
+    assert catalog.layers_of(names, ["soc", "smd", "none"]) == ["soc_anom_grassland", "smd_anom_forest", "smd_anom_grassland"]
