@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def _dominates(names: list[str], x: str, y: str):
     none_worse = reduce(lambda a, b: a & b, (F.col(f"{x}.{n}") <= F.col(f"{y}.{n}") for n in names))
@@ -14,20 +16,32 @@ def _dominates(names: list[str], x: str, y: str):
     return none_worse & one_better
 
 
-def pareto_front(points: DataFrame, names: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+def _undominated(points: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """Points that no point with the same `by` dominates: all pairs of those, so they have to be few."""
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by]
+    rivals = points.select(*by, *names).distinct()
+    return points.alias("a").join(rivals.alias("b"), reduce(lambda p, q: p & q, same, _dominates(names, "b", "a")), "left_anti")
+
+
+def pareto_front(points: DataFrame, names: list[str], keys: tuple[str, ...] = (), block: int = 2000) -> DataFrame:
     """Points that no other point of their key dominates; equal points all stay.
 
-    Before the comparison, points that are worse than a sum-minimal point of their key in every
-    objective go, by an aggregated filter, so the anti-join sees what can still be in the front.
+    Points that are worse than a sum-minimal point of their key in every objective go first, by an
+    aggregated filter.  More than two blocks of points are then thinned out in rounds: each block of
+    about `block` points, dealt anew every round, keeps its own front, until a round removes few.  What
+    is left is compared as a whole.  `points` is read twice, so it should be a written table.
     """
     total = reduce(lambda a, b: a + b, (F.col(n).cast("double") for n in names))
     best = points.groupBy(*keys).agg(F.min_by(F.struct(*names), total).alias("__best"))
     near = points.join(F.broadcast(best), list(keys)) if keys else points.crossJoin(F.broadcast(best))
     worse = reduce(lambda a, b: a & b, (F.col(n) > F.col(f"__best.{n}") for n in names))
     near = near.where(~worse).drop("__best")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    rivals = near.select(*keys, *names).distinct()
-    return near.alias("a").join(rivals.alias("b"), reduce(lambda p, q: p & q, same, _dominates(names, "b", "a")), "left_anti")
+    size, before, turn = points.count(), None, 0
+    while size > 2 * block and (before is None or size < 0.8 * before):
+        deal = F.pmod(F.xxhash64(F.lit(turn), *names), F.lit(-(-size // block)))
+        near = stored(_undominated(near.withColumn("__block", deal), names, [*keys, "__block"]).drop("__block"), "front")
+        size, before, turn = near.count(), size, turn + 1
+    return _undominated(near, names, list(keys))
 
 
 def ranked_fronts(points: DataFrame, names: list[str], most: int, keys: tuple[str, ...] = ()) -> DataFrame:

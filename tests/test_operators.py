@@ -396,3 +396,15 @@ def test_run_paths_are_claimed_once(spark, tmp_path):
 def test_layers_by_prefix():
     names = ["smd_anom_forest", "smdx_anom_forest", "soc_anom_grassland", "smd_anom_grassland", "smd_raw"]
     assert catalog.layers_of(names, ["soc", "smd", "none"]) == ["soc_anom_grassland", "smd_anom_forest", "smd_anom_grassland"]
+
+
+@pytest.mark.parametrize("block", [5, 40, 2000])
+def test_fronts_in_blocks_equal_all_pairs(spark, block):
+    rng = np.random.default_rng(12)
+    rows = [(int(k), i, *map(float, rng.integers(0, 25, 3))) for k in range(2) for i in range(150)]
+    df = spark.createDataFrame(rows, "scenario_id int, sol_id int, a double, b double, c double").repartition(3)
+    beats = lambda q, p: q[2:] != p[2:] and all(x <= y for x, y in zip(q[2:], p[2:]))
+    by_key = {(p[0], p[1]) for p in rows if not any(q[0] == p[0] and beats(q, p) for q in rows)}
+    assert {(r.scenario_id, r.sol_id) for r in pareto.pareto_front(df, ["a", "b", "c"], ("scenario_id",), block).collect()} == by_key
+    overall = {(p[0], p[1]) for p in rows if not any(beats(q, p) for q in rows)}
+    assert {(r.scenario_id, r.sol_id) for r in pareto.pareto_front(df, ["a", "b", "c"], (), block).collect()} == overall
