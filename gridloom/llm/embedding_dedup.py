@@ -5,10 +5,12 @@ axis, with its sign, that the result lies closest to.  A bucket of a table joins
 Besides its own bucket a vector enters the next best ones, those that cost the least in the rotated
 values.  Vectors that meet in a bucket are compared in double precision, block against block; a pair
 counts in the first bucket that its vectors share, so counts need no list of pairs, and a block
-hands on no more than a spanning forest of its links.  Equal vectors are one class.  A bucket of
-more than `block_rows` classes is dealt into blocks, and every two of its blocks meet in one task: a
-vector travels once for each block of its bucket.  Up to 16 blocks are cut for the sake of parallel
-tasks, beyond that they grow to 8 * `block_rows` classes; long vectors make them smaller.
+hands on no more than a spanning forest of its links.  Equal vectors are one class.
+
+Buckets share tasks in packs, so rows are shuffled once, by pack.  A bucket of more than `block_rows`
+classes is dealt into blocks, and every two of its blocks meet in one task: a vector travels once for
+each block of its bucket.  Up to 16 blocks are cut for the sake of parallel tasks, beyond that they
+grow to 8 * `block_rows` classes; long vectors make them smaller.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 _PACK_BYTES, _BLOCK_BYTES = 16_000_000, 64_000_000  # of vectors in doubles that one task holds of a pack, and of a block
+_HOT_BUCKETS = 200_000
 
 # Perturbations of a pair of hashes: ranks of the axis taken in the first and in the second.
 _STEPS = ((1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2))
@@ -222,15 +225,18 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, tables: int =
     entered = scratch.save(
         classes.select("rep", "weight", "v").mapInArrow(lean(_enter(tables, probes, seed)), "space long, code long, rep long, weight long, vector binary, codes binary"), "entered"
     )
-    sizes = entered.groupBy("space", "code").agg(F.count("*").alias("size")).where("size > 1")
     width = F.shiftright("space", 6) * 8  # bytes of a vector
-    block = F.greatest(F.lit(block_rows), F.least(F.lit(8 * block_rows), F.ceil(F.col("size") / 16)))
-    block = F.greatest(F.lit(1), F.least(block, F.floor(F.lit(_BLOCK_BYTES) / width)))
-    sizes = sizes.withColumn("deal", F.ceil(F.col("size") / block).cast("int"))
-    # Buckets of one block share tasks, about _PACK_BYTES together; one of more blocks has tasks of its own.
-    packs = max(1, (entered.agg(F.sum(width)).first()[0] or 0) // _PACK_BYTES)
-    pack = F.when(F.col("deal") == 1, F.pmod(F.xxhash64("code"), F.lit(packs))).otherwise(-1 - F.col("code"))
-    dealt = entered.join(sizes.select("space", "code", "deal"), ["space", "code"]).withColumns({"pack": pack, "salt": F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int")})
+    rows, volume = entered.agg(F.count("*"), F.sum(width)).first()
+    fits = F.greatest(F.lit(1), F.least(F.lit(block_rows), F.floor(F.lit(_BLOCK_BYTES) / width)))
+    block = F.greatest(fits, F.least(8 * fits, F.ceil(F.col("size") / 16), F.floor(F.lit(_BLOCK_BYTES) / width)))
+    # Large buckets: at most _HOT_BUCKETS, since each holds that share of all rows.  The others stay together in packs.
+    large = entered.groupBy("space", "code").agg(F.count("*").alias("size")).where(F.col("size") > F.greatest(fits, F.lit(rows // _HOT_BUCKETS)))
+    large = F.broadcast(large.select("space", "code", F.ceil(F.col("size") / block).cast("int").alias("deal")))
+    packs = max(1, (volume or 0) // _PACK_BYTES)
+    dealt = entered.join(large, ["space", "code"], "left")
+    pack = F.when(F.col("deal").isNull(), F.pmod(F.xxhash64("code"), F.lit(packs))).otherwise(-1 - F.col("code"))
+    dealt = dealt.withColumn("pack", pack).withColumn("deal", F.coalesce("deal", F.lit(1)))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("deal")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
     dealt = dealt.select("space", "pack", "code", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "rep", "weight", "vector", "codes")
     links = scratch.save(dealt.groupBy("space", "pack", "i", "j").applyInArrow(lean_group(_blocks(tables, probes, least)), _LINK_SCHEMA), "links")
