@@ -173,5 +173,13 @@ SELECT query_id, CAST(rank AS INT) rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+q AS (SELECT *, CAST(strlen(h) AS BIGINT) AS n, max(page_id) OVER (PARTITION BY h) AS head FROM p)
+SELECT page_id, url, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < head THEN head END AS refers_to FROM q
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_weighted_mixing": OP3_SQL, "op4_exact_topk": OP4_SQL, "op9_preference_format": OP9_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_weighted_mixing": OP3_SQL, "op4_exact_topk": OP4_SQL, "op5_warc": OP5_SQL, "op9_preference_format": OP9_SQL}
