@@ -37,7 +37,8 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it: any store that pyarrow opens by URI, or a local path."""
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    return (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
+    store, inside = (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
+    return store, inside.rstrip("/")
 
 
 def _field(value: str) -> str:

@@ -334,7 +334,8 @@ def test_warc_archives_of_others(spark, tmp_path, compress):
     write_warc(spark.createDataFrame([(1, "u", "x"), (2, "u", "y")], "page_id long, url string, html string").repartition(2), ours, compress=compress)
     stray = [f for f in os.listdir(ours) if f.startswith("part-")][0]
     (tmp_path / "ours" / f"part-000000-0000-stray{suffix}").write_bytes((tmp_path / "ours" / stray).read_bytes())
-    assert sorted(r.record_id for r in read_warc(spark, ours).collect()) == ["urn:x-page:1", "urn:x-page:2"]
+    for path in (ours, ours + "/", "file:" + ours):
+        assert sorted(r.record_id for r in read_warc(spark, path).collect()) == ["urn:x-page:1", "urn:x-page:2"]
 
 
 def test_long_vectors(spark):
