@@ -18,6 +18,7 @@ words of one repeated or consecutive pattern, paths, and spans that a base match
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import itertools
 import re
@@ -48,9 +49,14 @@ CLASSES = (
     ("base32", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567="), 3.7),
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.9),
 )
-# Allow-list: plain words (letters of one case, with joints), dates, numbers, paths of words.
-ALLOW = (r"[A-Za-z]?[a-z]+(?:[/_=+-]+[A-Za-z]?[a-z]+)*[/_=+-]*", r"[A-Z]+(?:[/_=+-]+[A-Z]+)*[/_=+-]*", r"[0-9/_=+-]+", r"[/_=+-]*")
-_LOG = [0.0, *(c * float(np.log2(c)) for c in range(1, WINDOW + 1))]
+# Allow-list: plain words (letters of one case, with joints), dates, numbers, paths of words.  Possessive
+# quantifiers: a string is read once, whatever it holds.
+ALLOW = (r"[A-Z]?+[a-z]++(?:[/_=+-]++[A-Z]?+[a-z]++)*+[/_=+-]*+", r"[A-Z]++(?:[/_=+-]++[A-Z]++)*+[/_=+-]*+", r"[0-9/_=+-]++", r"[/_=+-]*+")
+
+
+@functools.cache
+def _log_table(window: int) -> list[float]:
+    return [0.0, *(c * float(np.log2(c)) for c in range(1, window + 1))]
 
 
 def entropy_spans(text: str, limits=CLASSES, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -59,21 +65,22 @@ def entropy_spans(text: str, limits=CLASSES, window: int = WINDOW) -> list[tuple
     spans: list[tuple[int, int]] = []
     if n < window:
         return spans
+    log = _log_table(window)
     for _, alphabet, limit in limits:
         counts: dict[str, int] = {}
         total, outside = 0.0, 0
         for i, new in enumerate(text):
-            c = counts.get(new, 0)
-            total += _LOG[c + 1] - _LOG[c]
-            counts[new] = c + 1
-            outside += new not in alphabet
             if i >= window:
                 old = text[i - window]
                 c = counts[old]
-                total += _LOG[c - 1] - _LOG[c]
+                total += log[c - 1] - log[c]
                 counts[old] = c - 1
                 outside -= old not in alphabet
-            if i >= window - 1 and not outside and _LOG[window] / window - total / window >= limit - 1e-9:
+            c = counts.get(new, 0)
+            total += log[c + 1] - log[c]
+            counts[new] = c + 1
+            outside += new not in alphabet
+            if i >= window - 1 and not outside and log[window] / window - total / window >= limit - 1e-9:
                 start = i - window + 1
                 if spans and spans[-1][1] >= start and spans[-1][0] <= start:
                     spans[-1] = (spans[-1][0], i + 1)
@@ -177,7 +184,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     spans lists kind:start:end in code points, end exclusive.  A null text counts as empty; rows with
     null or repeated ids return as they came; an empty table gives no rows; other columns are
-    ignored.  Whole texts are read, in one pass without a shuffle.
+    ignored.  Whole texts are read, in one pass without a shuffle.  Patterns of a caller's `allow` see
+    candidates of any length, so they should be free of nested repeats that match one string in
+    several ways (possessive quantifiers are, as in ALLOW).
     """
     prepare(docs.sparkSession)
     pattern = "|".join(f"(?:{x})" for x in allow) or r"(?!)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import os
 import re
 import struct
@@ -111,6 +112,22 @@ def test_ngram_join_with_every_key_hot(spark, docs, monkeypatch):
         assert got == brute_components(rows, words, percent)
 
 
+def test_words_of_structured_bytes_stay_apart(spark):
+    """Thue-Morse words and their complements, which polynomial hashes modulo 2**64 cannot tell apart."""
+    from gridloom.llm.ngram_join import ngram_jaccard_classes
+
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    rows = []
+    for n in (1024, 2048, 4096):
+        for pair in ("ab", "ba"):
+            word = "".join(pair[b] for b in bits[:n])
+            rows += [word, f"{word} x y", f"{word} x y z", f"p {word} q {word} r"]
+    rows += ["q" * 6_000_000 + " a b", "a b c " * 800_000 + "d", "a b c " * 800_001 + "d"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_classes(df, words=3, percent=90).collect()}
+    assert got.pop(26) == 25 and all(i == c for i, c in got.items())
+
+
 def test_keep_one_with_odd_names(spark):
     from corpus_pipeline import keep_one_copy
     from gridloom.llm.ngram_join import keep_one_of_each
@@ -223,9 +240,10 @@ def test_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
     rows += [(300 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(60)]  # ties
-    rows += [(400, None), (401, []), (402, [float("nan")] * 6), (403, [float("inf")] + [0.0] * 5), (404, [None] * 6), (405, [1.0, 2.0]), (406, [1e30] + [0.0] * 5), (None, [0.1] * 6)]
+    rows += [(400, None), (401, []), (402, [float("nan")] * 6), (403, [float("inf")] + [0.0] * 5), (404, [None] * 6), (405, [1.0, 2.0]), (406, [0.0] * 5 + [-1e30]), (None, [0.1] * 6)]
+    rows = [(i, [*v[:5], abs(v[5]) + 0.01] if v and len(v) == 6 and i is not None and i < 400 else v) for i, v in rows]  # 406 comes last for all
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int").repartition(4)
-    asked = df.where("vec_id % 100 = 0 or vec_id in (301, 401, 405, 406)")
+    asked = df.where("vec_id % 100 = 0 or vec_id in (301, 401, 405)")
     good = [(i, np.floor(1024 * np.array(v))) for i, v in rows if i is not None and v and i < 402]
     got = collections.defaultdict(list)
     for r in top_k(df, asked, 10).orderBy("query_id", "rank").collect():
@@ -241,27 +259,47 @@ def test_topk(spark):
 
 
 def test_topk_takes_large_vectors(spark):
-    from gridloom.llm.topk import _scores, top_k
+    from gridloom.llm.topk import _Rows, _scores, top_k
 
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=64).tolist()) for i in range(200)]
-    rows += [(200, [2e5] * 64), (201, [-3e5] * 64), (202, [1e9] + [0.0] * 63), (203, [1e13] + [0.0] * 63), (204, [0.0] + [8e12] * 2 + [0.0] * 61)]
+    rows += [(200, [2e5] * 64), (201, [-3e5] * 64), (202, [1e6] + [0.0] * 63), (203, [-1e12] + [0.0] * 63), (204, [0.0] + [-8e5] * 2 + [0.0] * 61)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
-    asked = [0, 1, 200, 201, 202, 203, 204]
+    asked = [0, 1, 200, 202, 204]
     got = collections.defaultdict(list)
     for r in top_k(df, df.where(F.col("vec_id").isin(asked)), 10).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     for q in asked:
         scores = [(sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q]
-        want = sorted((-s, i) for s, i in scores if -(2**63) <= s < 2**63)[:10]
+        want = sorted((-s, i) for s, i in scores)[:10]
         assert got[q] == [(i, -s) for s, i in want], q
     a, b = np.floor(rng.normal(size=(9, 8)) * 10.0 ** rng.integers(0, 18, (9, 1))), np.floor(rng.normal(size=(11, 8)) * 10.0 ** rng.integers(0, 18, (11, 1)))
-    scores, ok = _scores(a, b)
+    b[3] = [1e306, -1e306, 0, 1, 2, 3, 4, 5]
+    a[2, 0], a[4] = a[2, 1], 0.0
+    a[5] = [1e305] + [0.0] * 7
+    whole = [[[math.floor(7 * x) if abs(7 * x) < 1e308 else 7 * int(x) for x in v] for v in m.tolist()] for m in (a, b)]
+    scores, beyond = _scores(_Rows(a, 7), _Rows(b, 7), 7)
     for x in range(9):
         for y in range(11):
-            exact = sum(int(u) * int(v) for u, v in zip(a[x], b[y]))
-            assert (-(2**63) <= exact < 2**63) == ok[x, y] and (not ok[x, y] or scores[x, y] == exact)
+            want = sum(u * v for u, v in zip(whole[0][x], whole[1][y]))
+            assert (beyond[x, y], int(scores[x, y])) == ((want >= 2**63) - (want < -(2**63)), max(-(2**63), min(2**63 - 1, want))), (x, y)
+
+
+def test_topk_names_a_pair_that_fits_no_long(spark):
+    from gridloom.llm.topk import top_k
+
+    table = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(0, [3e9, 0.0]), (1, [4e9, 0.0]), (2, [0.5, 0.0]), (3, [-4e9, 0.0])]
+    asked = table(rows[:1])
+    with pytest.raises(OverflowError, match="query 0 and vector 1"):
+        top_k(table(rows), asked, 1)
+    got = top_k(table([rows[0], rows[2], rows[3], (4, [-1e306, 5.0])]), asked, 1).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 1024 * 3 * 10**9 * 512)]
+    with pytest.raises(OverflowError, match="query 0 and vector 3"):  # asked for both, so the one that fits no long belongs to them
+        top_k(table([rows[0], rows[2], rows[3]]), asked, 2)
+    got = top_k(table([(i, [float(i % 7), 1.0]) for i in range(300)]), table([(i, [float(i % 7), 1.0]) for i in range(0, 300, 3)]), 5, block_bytes=40_000)
+    assert got.count() == 500 and got.select("query_id").distinct().count() == 100
 
 
 def test_warc(spark):
@@ -423,6 +461,27 @@ def test_secrets(docs, none):
         assert {p for a, b in entropy_spans(text) for p in range(a, b)} == brute(text)
 
 
+def test_secrets_in_long_paths(docs):
+    """The allow-list reads a candidate once: paths of thousands of words, ended by what no word has."""
+    from gridloom.llm.secrets import redact, scan_secrets
+
+    spark = docs.sparkSession
+    texts = ["data/" * 5000 + "9", "data/data/" * 30 + "9x", "Ab+" * 4000 + "!", "X" * 30_000 + "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in scan_secrets(df).collect()}
+    assert got[0] == got[1] == got[3] == "" and len(got) == 4
+    assert {r.doc_id: r.text for r in redact(df).collect()}[0] == texts[0]
+    # Linear patterns allow what the plain ones allowed.
+    from gridloom.llm.secrets import ALLOW
+
+    plain = re.compile(r"[A-Za-z]?[a-z]+(?:[/_=+-]+[A-Za-z]?[a-z]+)*[/_=+-]*|[A-Z]+(?:[/_=+-]+[A-Z]+)*[/_=+-]*|[0-9/_=+-]+|[/_=+-]*")
+    linear = re.compile("|".join(f"(?:{x})" for x in ALLOW))
+    rng = np.random.default_rng(3)
+    for n in rng.integers(0, 9, 4000):
+        word = "".join(rng.choice(list("abAB/_7"), n))
+        assert bool(plain.fullmatch(word)) == bool(linear.fullmatch(word)), word
+
+
 def test_chat(spark):
     from gridloom.llm.chat import preference_digest, preference_pairs
 
