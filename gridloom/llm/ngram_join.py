@@ -23,6 +23,10 @@ document in many pairs travel in several copies.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +49,15 @@ def _prefix(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _single(text: str, words: int) -> int:
+    """64-bit digest of the only shingle of a text: its first words."""
+    first = " ".join(m[0] for m in itertools.islice(_WORD.finditer(text), words))
+    return int.from_bytes(hashlib.blake2b(first.encode().lower(), digest_size=8).digest(), "little", signed=True)
+
+
 def _scan(words: int):
     """Per text: id, set size and a 128-bit signature; per task: shingles frequent in it."""
 
@@ -70,7 +83,10 @@ def _scan(words: int):
             for row, grams in shingle_arrays(batch.column(1), words):
                 sizes[row] = len(grams)
                 low[row] = np.bitwise_xor.reduce(grams, initial=np.uint64(0)).view(np.int64) if len(grams) else 0
-                high[row] = np.sum(mix64(grams ^ np.uint64(_ORDER_SEEDS[0])), dtype=np.uint64).view(np.int64) if len(grams) else 0
+                if len(grams) == 1:  # nothing but this one shingle tells such texts apart
+                    high[row] = _single(batch.column(1)[row].as_py(), words)
+                else:
+                    high[row] = np.sum(mix64(grams ^ np.uint64(_ORDER_SEEDS[0])), dtype=np.uint64).view(np.int64) if len(grams) else 0
                 held.append(grams >> (np.uint64(64) - _TOKEN_BITS))
                 tokens += len(grams)
             null = pa.nulls(batch.num_rows, pa.int64())
@@ -360,7 +376,7 @@ def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Returns one row per input row: doc_id, n_shingles (size of the set), class_id (smallest id with
     an equal set), component_id (smallest id reachable over links, itself included).  Shingles stand
-    for their 64-bit hashes in counts and comparisons.
+    for their 64-bit hashes in counts and comparisons, sets for 128 bits when they are taken as equal.
 
     Edge cases: a null or empty text, or one of white space only, has an empty set, links with
     nothing and is its own component; a text with fewer words than a shingle has its whole sequence

@@ -1,8 +1,9 @@
 """Vectorised word and shingle hashing over Arrow string buffers.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z.  Hashes are
-64-bit: every byte is replaced by a fixed random number and a polynomial over those numbers is
-evaluated for all words of a batch at once from one running sum, so no Python code runs per word.
+64-bit and computed for all words of a batch at once, so no Python code runs per word.  Equality of
+words and shingles rests on `word_hashes`; `span_hashes`, a polynomial evaluated from one running sum,
+is for features of models, where a collision does no harm.
 """
 
 from __future__ import annotations
@@ -103,9 +104,64 @@ def span_hashes(data: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list
     return [mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)) for starts, ends in spans]
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word."""
-    return span_hashes(data, (starts, ends))[0]
+    """64-bit hash of each word, of its length and its blocks of eight bytes.
+
+    A block is mixed with a key of its place before blocks are added, so no pattern in a word's bytes
+    carries over into the hash; words of up to eight bytes and of one length never collide.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    low = np.zeros(len(data) + 8, np.uint8)
+    np.take(_LOWER, data, out=low[: len(data)])
+    blocks = np.lib.stride_tricks.as_strided(low, (len(data) + 1, 8), (1, 1))
+
+    def mixed(at, left, key):
+        x = blocks[at].view("<u8").ravel() & _FIRST_BYTES[np.minimum(left, 8)]
+        return mix64(x ^ key)
+
+    length = ends - starts
+    total = mixed(starts, length, np.uint64(_BASE))
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        more = (length[long] - 1) // 8
+        first = np.cumsum(more) - more
+        word = np.repeat(np.arange(len(long)), more)
+        place = np.arange(len(word)) - first[word] + 1
+        at = starts[long][word] + 8 * place
+        key = mix64((place.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+        total[long] += np.add.reduceat(mixed(at, ends[long][word] - at, key), first)
+    return mix64(total + length.astype(np.uint64) * np.uint64(_BASE_INV))
+
+
+_SLICE = 4 << 20
+
+
+def _all_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the index of each row's first word.
+
+    One text of more than some MB is read in slices that end where a word ends, so that beside the text
+    only its words' hashes are held.
+    """
+    if len(offsets) > 2 or len(data) <= _SLICE:
+        starts, ends, index = word_spans(data, offsets)
+        return word_hashes(data, starts, ends), index
+    parts, at = [], 0
+    while at < len(data):
+        end = min(at + _SLICE, len(data))
+        while end < len(data) and not SPACE[data[end]]:  # to the next blank, in strides
+            stop = np.flatnonzero(SPACE[data[end : end + _SLICE]])
+            end = end + int(stop[0]) if len(stop) else min(end + _SLICE, len(data))
+        starts, ends, _ = word_spans(data[at:end], np.array([0, end - at]))
+        parts.append(word_hashes(data[at:end], starts, ends))
+        at = end
+    hashes = np.concatenate(parts)
+    return hashes, np.array([0, len(hashes)])
 
 
 def shingle_arrays(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -115,8 +171,7 @@ def shingle_arrays(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarr
     a text without words gives none.
     """
     for first, end, data, offsets in text_chunks(column):
-        starts, ends, index = word_spans(data, offsets)
-        hashes = word_hashes(data, starts, ends)
+        hashes, index = _all_hashes(data, offsets)
         n = len(hashes)
         if n >= words:
             grams = np.zeros(n - words + 1, np.uint64)
