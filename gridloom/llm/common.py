@@ -123,6 +123,18 @@ def join_on_id(big: DataFrame, ids: DataFrame, key: str, how: str, limit: int =
     return big.join(F.broadcast(ids) if small_enough(ids, limit) else ids, key, how)
 
 
+def hot_join(rows: DataFrame, facts: DataFrame, on: list[str], most: int = 1000, share: int = 100_000) -> DataFrame:
+    """Rows (a written table) with the facts of their key: the key, docs (the number of its rows) and more.
+
+    Keys of more than `most` rows, or more than one in `share` of all rows if that is more, are joined by
+    broadcast, so that their rows stay where they are: no more than `share` keys can be.  The others are shuffled.
+    """
+    floor = max(most, rows.count() // share)
+    hot = facts.where(F.col("docs") > floor)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(facts.where(F.col("docs") <= floor), on))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60, settle: bool = True) -> DataFrame:
     """(id, component) for every node of the edges (a, b); component is the smallest id reachable.
 

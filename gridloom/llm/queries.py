@@ -12,6 +12,7 @@ from .embedding_dedup import embedding_digest
 from .mixing import DOMAIN_SQL, WEIGHTS, mixture_digest
 from .ngram_join import ngram_jaccard_classes
 from .packing import pack_best_fit
+from .prefix_trie import trie_digest
 from .quality import quality_digest
 from .secrets import secrets_digest
 from .topk import topk_digest
@@ -66,9 +67,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), default_tokenizer(), capacity=1024, end_id=2)
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard_join, op2_toxicity_cnn, op3_weighted_mixing, op4_exact_topk, op5_warc, op6_embedding_near_dedup, op7_quality_gbt, op8_secret_scan, op9_preference_format, op10_best_fit_packing,
+        op12_conversation_prefix_trie,
     )
     return {f.__name__: f for f in every}
 
