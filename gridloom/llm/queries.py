@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import preference_digest
 from .common import table
 from .embedding_dedup import embedding_digest
+from .imatch import imatch_digest
 from .mixing import DOMAIN_SQL, WEIGHTS, mixture_digest
 from .ngram_join import ngram_jaccard_classes
 from .packing import pack_best_fit
@@ -17,6 +18,7 @@ from .quality import quality_digest
 from .secrets import secrets_digest
 from .topk import topk_digest
 from .toxicity import toxicity_digest
+from .turn_repair import repair_conversations
 from .warc import warc_round_trip
 
 
@@ -67,14 +69,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), default_tokenizer(), capacity=1024, end_id=2)
 
 
+def op11_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_digest(table(spark, sf_dir, "conversations"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ngram_jaccard_join, op2_toxicity_cnn, op3_weighted_mixing, op4_exact_topk, op5_warc, op6_embedding_near_dedup, op7_quality_gbt, op8_secret_scan, op9_preference_format, op10_best_fit_packing,
-        op12_conversation_prefix_trie,
+        op11_imatch_fingerprints, op12_conversation_prefix_trie, op13_conversation_repair,
     )
     return {f.__name__: f for f in every}
 
