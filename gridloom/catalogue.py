@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import anomaly_queries, decision_queries, report_queries, workflow_queries
+from .plans import anomaly_queries, decision_queries, raster_queries, report_queries, workflow_queries
 from .plans.registry import ORACLES, QUERIES
 
-del anomaly_queries, decision_queries, report_queries, workflow_queries
+del anomaly_queries, decision_queries, raster_queries, report_queries, workflow_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,6 +24,11 @@ def shared_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def hadoop_delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def session_folder(spark: SparkSession, kind: str) -> str:
     """A new folder in the shared one, that goes when the driver's JVM ends."""
     path = f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean
+from ..functions.projection import transformed
 from ..operators.catalog import INDICATOR_LAYERS, NODATA, OBJECTIVES
 
 KEYS = ("pixel_id", "row_idx", "col_idx")
@@ -45,11 +46,15 @@ class GridSpec:
 
 
 def first_existing(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The grid at the first path that exists; an error names them all."""
+    """The grid at the first path that exists, GeoTIFF if it is named so, else Parquet; an error names them all."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         if p.getFileSystem(conf).exists(p):
+            if path.rstrip("/").lower().endswith((".tif", ".tiff")):
+                from .geotiff import read_geotiff
+
+                return read_geotiff(spark, path)
             return spark.read.parquet(path)
     raise FileNotFoundError(f"no grid at any of {paths}")
 
@@ -106,13 +111,22 @@ def check_geometry(cells: DataFrame, grid: GridSpec) -> None:
 
 
 def nearest_resample(target: DataFrame, source: DataFrame, target_grid: GridSpec, source_grid: GridSpec, layers: list[str]) -> DataFrame:
-    """Layers of the source cell in which each target cell's centre lies (same reference system)."""
-    if target_grid.crs != source_grid.crs:
-        raise ValueError("reprojection between reference systems is not supported")
-    col = F.floor((target_grid.x(F.col("col_idx")) - source_grid.x0) / source_grid.res).cast("int")
-    row = F.floor((source_grid.y0 - target_grid.y(F.col("row_idx"))) / source_grid.res).cast("int")
+    """Layers of the source cell in which each target cell's centre lies, NULL outside the source.
+
+    Where reference systems differ, the centre is projected back to the source's; either way the source's
+    row and column are computed and joined on.
+    """
+    held = transformed(target, target_grid.x(F.col("col_idx")), target_grid.y(F.col("row_idx")), target_grid.crs, source_grid.crs, ("__x", "__y"))
+    col = F.floor((F.col("__x") - source_grid.x0) / source_grid.res).cast("int")
+    row = F.floor((source_grid.y0 - F.col("__y")) / source_grid.res).cast("int")
     picked = source.select(F.col("row_idx").alias("__r"), F.col("col_idx").alias("__c"), *layers)
-    return target.withColumns({"__r": row, "__c": col}).join(picked, ["__r", "__c"], "left").drop("__r", "__c")
+    return held.withColumns({"__r": row, "__c": col}).join(picked, ["__r", "__c"], "left").drop("__r", "__c", "__x", "__y")
+
+
+def grid_cells(spark: SparkSession, grid: GridSpec) -> DataFrame:
+    """All cells of a grid: pixel_id, row_idx, col_idx."""
+    pixel = F.col("id")
+    return spark.range(grid.n_rows * grid.n_cols).select(pixel.alias("pixel_id"), grid.row(pixel).alias("row_idx"), grid.col(pixel).alias("col_idx"))
 
 
 def write_grid(cells: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
