@@ -43,7 +43,7 @@ def _term_sets(column: pa.Array):
 
 
 def _frequencies(batches):
-    """Texts to (term, texts) by task, and once a batch (null, texts in all, bytes)."""
+    """Texts to (term, texts) by task, and once a batch the texts, their bytes and their distinct terms in all."""
     terms, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     held, size = [], 0
 
@@ -56,19 +56,21 @@ def _frequencies(batches):
         return every[first], np.add.reduceat(weight, first) if len(first) else weight
 
     def told():
-        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts), pa.array(np.zeros(len(terms), np.int64))], names=["term", "n", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.nulls(len(terms), pa.int32()), pa.array(terms.view(np.int64)), pa.array(counts)], names=["total", "term", "n"])
 
     for batch in batches:
+        every = 0
         for found in _term_sets(batch.column(0)):
             held.append(found)
             size += len(found)
+            every += len(found)
             if size > _HELD:
                 terms, counts = merged()
                 held, size = [], 0
                 if len(terms) > _HELD:
                     yield told()
                     terms, counts = terms[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([batch.num_rows], pa.int64()), pa.array([batch.column(0).nbytes], pa.int64())], names=["term", "n", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1, 2], pa.int32()), pa.nulls(3, pa.int64()), pa.array([batch.num_rows, batch.column(0).nbytes, every], pa.int64())], names=["total", "term", "n"])
     terms, counts = merged()
     if len(terms):
         yield told()
@@ -89,14 +91,14 @@ class Lexicon:
 
 def lexicon(texts: DataFrame, scratch: Scratch, rare: int = 20_000, common: int = 10, most: int = 2_000_000) -> tuple[Lexicon, int, int]:
     """The lexicon of a column of texts, the number of texts, and their bytes."""
-    scan = scratch.save(texts.mapInArrow(lean(_frequencies), "term long, n long, bytes long"), "scan")
-    total, texts_, size = scan.agg(
-        F.sum(F.when(F.col("term").isNotNull(), F.col("n"))), F.sum(F.when(F.col("term").isNull(), F.col("n"))), F.sum("bytes")
-    ).first()
-    low = max(2, -(-(texts_ or 0) // rare), -(-(total or 0) // most))
-    high = max(low, (texts_ or 0) // common)
-    band = scan.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n").between(low, high)).select("term").toArrow()
-    return Lexicon(band.column("term").to_numpy().astype(np.int64).view(np.uint64)), texts_ or 0, size or 0
+    counted = texts.mapInArrow(lean(_frequencies), "total int, term long, n long").groupBy("total", "term").agg(F.sum("n").alias("n"))
+    counted = scratch.save(counted.where("n > 1 or total is not null"), "frequencies")
+    totals = {r["total"]: r["n"] for r in counted.where("total is not null").collect()}  # three rows
+    texts_, size, every = (totals.get(k, 0) for k in range(3))
+    low = max(2, -(-texts_ // rare), -(-every // most))
+    high = max(low, texts_ // common)
+    band = counted.where(F.col("total").isNull() & F.col("n").between(low, high)).select("term").toArrow()
+    return Lexicon(band.column("term").to_numpy().astype(np.int64).view(np.uint64)), texts_, size
 
 
 def _hashes(terms: np.ndarray, level: int) -> np.ndarray:
