@@ -78,6 +78,23 @@ def uniform(seed: int | Column, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def ordered_bits(value: Column) -> Column:
+    """A long that rises with a double: its bits, negated below zero.  NULL and NaN give NULL.
+
+    Exponent and mantissa are taken by exact steps: powers of two, and divisions by them.
+    """
+    value = value.cast("double")
+    size = F.abs(value)
+    near = F.floor(F.log2(size)).cast("double")
+    exponent = F.when(F.pow(F.lit(2.0), near) > size, near - 1).when(F.pow(F.lit(2.0), near + 1) <= size, near + 1).otherwise(near)
+    exponent = F.greatest(exponent, F.lit(-1022.0))
+    part = size / F.pow(F.lit(2.0), exponent)  # in [1, 2), or below 1 for the smallest numbers
+    whole = (exponent + 1023).cast("long") * F.lit(2**52)
+    bits = F.when(part >= 1, whole + ((part - 1) * F.lit(2.0**52)).cast("long")).otherwise((part * F.lit(2.0**52)).cast("long"))
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == F.lit(float("inf")), F.lit(2047 * 2**52)).when(~F.isnan(value), bits)
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
 def linspace(low: float, high: float, n: int) -> list[float]:
     return [low + i * (high - low) / (n - 1) for i in range(n)] if n > 1 else [low]
 

@@ -7,6 +7,7 @@ scenario as a key, so one job advances all scenarios by a generation.  Randomnes
 from __future__ import annotations
 
 import logging
+import math
 import time
 from collections.abc import Callable
 
@@ -20,7 +21,7 @@ from ..shared import stored
 from ..shipping import ship_package
 from .effects import objectives, repair_scores
 from .pareto import pareto_front
-from .selection import best_by, burden_repair, clustering_repair, first_by, random_starts
+from .selection import best_by, burdened, clustered, first_by, random_starts
 
 KEYS = ["scenario_id", "sol_id"]
 
@@ -31,6 +32,38 @@ def initial(cells: DataFrame, scenarios: DataFrame, population: int, seed: int)
     return held.where(uniform(seed, F.col("scenario_id"), F.col("sol_id"), F.col("pixel_id")) < 0.5).select(*KEYS, "pixel_id")
 
 
+def skipped(cells: DataFrame, solutions: DataFrame, p: float, seed: int | Column, tag: str = "skip") -> DataFrame:
+    """Cells of every solution (KEYS) with probability p each, by seeded skips: KEYS and pixel_id.
+
+    Pixel numbers are cut into stretches of about a thousand hits.  In each the number of pixels up to the
+    next hit is geometric, floor(ln(1 - u) / ln(1 - p)), u being the draw's seeded number: draws are made for
+    hits alone, not for cells.  Hits on numbers without a cell are dropped.
+    """
+    if not 0 <= p < 1:
+        raise ValueError("p lies in [0, 1)")
+    last = cells.agg(F.max("pixel_id")).first()[0]
+    if last is None or p == 0:
+        return solutions.select(*KEYS).crossJoin(cells.select("pixel_id").limit(0))
+    length = stretch(p)
+    mean = length * p
+    draws = int(mean + 10 * (mean + 1) ** 0.5 + 30)  # more than a stretch can need
+    runs = solutions.select(*KEYS).crossJoin(F.broadcast(cells.sparkSession.range(last // length + 1).select(F.col("id").alias("__run"))))
+    rows = runs.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = uniform(seed, F.lit(tag), *map(F.col, KEYS), F.col("__run"), F.col("__draw"))
+    skip = F.floor(F.ln(1 - u) / F.lit(math.log(1 - p))).cast("long")
+    line = Window.partitionBy(*KEYS, "__run").orderBy("__draw")
+    rows = rows.withColumn("__place", F.sum(skip + 1).over(line.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    few = F.raise_error(F.lit("a stretch has more hits than draws"))
+    rows = rows.withColumn("__place", F.when((F.col("__draw") == draws - 1) & (F.col("__place") < length), few.cast("long")).otherwise(F.col("__place")))
+    hits = rows.where(F.col("__place") < length).select(*KEYS, (F.col("__run") * length + F.col("__place")).alias("pixel_id"))
+    return hits.join(cells.select("pixel_id"), "pixel_id", "left_semi").select(*KEYS, "pixel_id")
+
+
+def stretch(p: float) -> int:
+    """Pixels of a stretch in which `skipped` draws: about a thousand hits."""
+    return max(1, int(1000 / p))
+
+
 def numbered(scenarios: DataFrame, population: int) -> DataFrame:
     """(scenario_id, sol_id) of every solution of a population."""
     return scenarios.select("scenario_id").distinct().withColumn("sol_id", F.explode(F.sequence(F.lit(0), F.lit(population - 1))))
@@ -56,14 +89,14 @@ def hux(parents: DataFrame, pairs: DataFrame, seed: int | Column) -> DataFrame:
     return kept.unionByName(first).unionByName(second)
 
 
-def bit_flip(decision: DataFrame, cells: DataFrame, seed: int, prob_bit: float, prob_ind: float = 1.0) -> DataFrame:
+def bit_flip(decision: DataFrame, cells: DataFrame, seed: int, prob_bit: float, prob_ind: float = 1.0, skip: bool = False) -> DataFrame:
     """Flips bits of mutated solutions by seeded draws.
 
-    Each cell of each mutated solution is drawn by its own number, in a filter without a shuffle; only
-    flipped cells and the sparse decision are joined.
+    With `skip` draws are made for flips alone (see skipped); else each cell of each mutated solution is
+    drawn by its own number, in a filter without a shuffle.  Only flipped cells and the sparse decision are joined.
     """
     solutions = decision.select(*KEYS).distinct().where(uniform(seed, F.lit("ind"), *map(F.col, KEYS)) < prob_ind)
-    flips = cells.select("pixel_id").crossJoin(F.broadcast(solutions)).where(uniform(seed, F.lit("bit"), *map(F.col, KEYS), F.col("pixel_id")) < prob_bit)
+    flips = skipped(cells, solutions, prob_bit, seed) if skip else cells.select("pixel_id").crossJoin(F.broadcast(solutions)).where(uniform(seed, F.lit("bit"), *map(F.col, KEYS), F.col("pixel_id")) < prob_bit)
     both = decision.select(*KEYS, "pixel_id", F.lit(1).alias("x")).join(flips.withColumn("y", F.lit(1)), [*KEYS, "pixel_id"], "full")
     return both.where(F.coalesce("x", F.lit(0)) != F.coalesce("y", F.lit(0))).select(*KEYS, "pixel_id")
 
@@ -109,7 +142,7 @@ def repaired(decision: DataFrame, cells: DataFrame, settings: DataFrame, score:
 
     random: by score.  burden: within the regions' quotas.  clustering: by smoothed density.
     combined: quotas first, then density.  `cells` has scenario_id, pixel_id, row_idx, col_idx,
-    region_id and the score; smoothing and quotas need all cells of a solution, scores do not.
+    region_id and the score, the same cells for every scenario.
     """
     out = None
     for (strategy, strength), ids in _by_strategy(settings).items():
@@ -118,14 +151,14 @@ def repaired(decision: DataFrame, cells: DataFrame, settings: DataFrame, score:
         if strategy == "random":
             part = exact(plan, mine(cells).select("scenario_id", "pixel_id", score), wanted, score, mine(solutions))
         else:
-            who = F.broadcast(mine(solutions).join(F.broadcast(wanted), "scenario_id"))
-            every = mine(cells).select("scenario_id", "pixel_id", "row_idx", "col_idx", "region_id").join(who, "scenario_id")
-            mark = lambda p: every.join(p.select(*KEYS, "pixel_id", F.lit(1).alias("x")), [*KEYS, "pixel_id"], "left").withColumn("x", F.coalesce("x", F.lit(0)))  # noqa: B023, E731
+            who = mine(solutions).join(F.broadcast(wanted), "scenario_id").select(*KEYS, "k")
+            # Cells are the same for all scenarios; only their scores differ.
+            free = cells.where(F.col("scenario_id") == ids[0]).select("pixel_id", "row_idx", "col_idx", "region_id")
             part = plan
             if strategy != "clustering":
-                part = burden_repair(mark(part), F.col("k"), seed, tuple(KEYS))
+                part = burdened(free, part, who, seed, tuple(KEYS))
             if strategy != "burden":
-                part = clustering_repair(mark(part), F.col("k"), strength, tuple(KEYS))
+                part = clustered(free, part, who, strength, F.col("sol_id"), tuple(KEYS))
             part = part.select(*KEYS, "pixel_id")
         out = part if out is None else out.unionByName(part)
     return out
@@ -137,7 +170,7 @@ def starts(cells: DataFrame, settings: DataFrame, population: int, seed: int) ->
     for (strategy, _), ids in _by_strategy(settings).items():
         mine = settings.where(F.col("scenario_id").isin(ids))
         if strategy == "random":
-            part = initial(cells, mine, population, seed)
+            part = skipped(cells, numbered(mine, population), 0.5, seed, "start")
         else:
             solutions = numbered(mine, population).join(F.broadcast(mine.select("scenario_id", "k")), "scenario_id")
             part = random_starts(cells, solutions, F.col("k"), seed, tuple(KEYS))
@@ -233,7 +266,7 @@ def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | st
         pairs = mates.where(F.col("place") <= half).select("scenario_id", (F.col("place") - 1).alias("child_id"), F.col("sol_id").alias("mother")).join(
             mates.where(F.col("place") > half).select("scenario_id", (F.col("place") - 1 - half).alias("child_id"), F.col("sol_id").alias("father")), ["scenario_id", "child_id"]
         )
-        young = stored(bit_flip(hux(decision, pairs, seed + g), ids, seed + 1000 + g, prob_bit), "young")
+        young = stored(bit_flip(hux(decision, pairs, seed + g), ids, seed + 1000 + g, prob_bit, skip=True), "young")
         children = repaired(young, scored, settings, "score", seed + 2000 + g, numbered(settings, 2 * half))
         every = stored(decision.unionByName(children.withColumn("sol_id", F.col("sol_id") + population)), "generation")
         points = stored(judged(every, numbered(settings, population + 2 * half)), "points")

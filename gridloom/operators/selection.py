@@ -1,47 +1,110 @@
 """Selecting cells: portable random subsets, exact-count repair, quotas, clustering, decision layers.
 
 Taking the first k cells of every key in some order never sorts a key's cells in one task.  A place
-in [0, 1) that follows the order deals them into ranges, ranges are counted, and only the range in
-which the k-th cell lies is ranked; the ranges before it are taken whole.
+in [0, 1) that follows the order deals them into ranges, and ranges are counted.  Where the range of
+the k-th cell holds too many, as with outliers or ties, it is split by the bits of the order's columns,
+again and again, until few cells are left to rank.  What is then known of a key is the k-th cell; which
+cells come before it is a filter.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import uniform
+from ..functions.numeric import ordered_bits, uniform
 from ..shared import stored
-from .focal import square_mean
+from .focal import square_mean, window_shares
+from .quantiles import quantiles
 
 RANGES = 256
+RANKED = 10_000  # cells of a key that a window may rank
+_SPLIT = 1024
+_PLANS = 16  # plans that are smoothed beside one copy of the cells
 
 
 def truncated(fraction: float, n: Column) -> Column:
     return F.floor(F.lit(fraction).cast("double") * n).cast("long")
 
 
-def first_by(cells: DataFrame, k: int | Column, place: Column, order: list, keys: tuple[str, ...] = (), ranges: int = RANGES, flag: str | None = None) -> DataFrame:
-    """The first k cells of each key in `order`; `place` in [0, 1) never falls along that order.
+def _code(cells: DataFrame, column) -> Column:
+    """A long that rises with a column of numbers."""
+    column = column if isinstance(column, Column) else F.col(column)
+    kind = cells.select(column).schema[0].dataType.simpleString()
+    return ordered_bits(column) if kind in ("double", "float") else column.cast("long")
+
+
+def _with(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows with the facts of their key; facts have one row a key."""
+    if keys:
+        return rows.join(F.broadcast(facts), keys, how)
+    return rows.join(F.broadcast(facts), F.lit(True), how) if how != "inner" else rows.crossJoin(F.broadcast(facts))
+
+
+def _range_of_kth(sizes: DataFrame, keys: list[str], codes: list[str], extra: list[str]) -> DataFrame:
+    """Of counted ranges (__at, __n, __need, least and greatest codes) the one that the k-th cell of each key lies in."""
+    family = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.coalesce(F.sum("__n").over(family.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = sizes.withColumns({"__before": before, "__need": F.least(F.max("__need").over(family), F.sum("__n").over(family))})
+    held = held.where("__need > __before and __need <= __before + __n").withColumn("__need", F.col("__need") - F.col("__before"))
+    return held.select(*keys, *extra, "__n", "__need", *(f"{e}{c}" for c in codes for e in ("__lo", "__hi")))
+
+
+def _inside(codes: list[str]) -> Column:
+    """Whether a cell belongs to the range of its key."""
+    return reduce(lambda a, b: a & b, (F.col(c).between(F.col(f"__lo{c}"), F.col(f"__hi{c}")) for c in codes), F.col("__b") == F.col("__bin"))
+
+
+def kth_cells(held: DataFrame, keys: list[str], codes: list[str], ranked: int = RANKED) -> DataFrame:
+    """(keys, __bin, codes of the k-th cell) of rows with __b, the range of their place, __need and codes.
 
-    With `flag` all cells, and in that column whether a cell is one of those.  The table of cuts that
-    is broadcast has one row a key (a solution, a region of a solution).
+    __bin is the k-th cell's range of places; where a whole range is taken, the codes are its greatest ones.
     """
+    facts = lambda: [F.count("*").alias("__n"), F.max("__need").alias("__need"), *(f(c).alias(f"{e}{c}") for c in codes for e, f in (("__lo", F.min), ("__hi", F.max)))]
+    sizes = held.groupBy(*keys, F.col("__b").alias("__at")).agg(*facts())
+    state = _range_of_kth(sizes.withColumn("__bin", F.col("__at")), keys, codes, ["__bin"])
+    state = stored(state.withColumn("__whole", F.col("__need") == F.col("__n")), "ranges")
+    differ = reduce(lambda a, b: a | b, (F.col(f"__lo{c}") < F.col(f"__hi{c}") for c in codes))
+    large = (F.col("__n") > ranked) & (F.col("__need") < F.col("__n")) & differ
+    while not state.where(large).isEmpty():
+        # The first column that tells cells of the range apart, and how many of its low bits may be left out.
+        first = lambda e: F.coalesce(*(F.when(F.col(f"__lo{c}") < F.col(f"__hi{c}"), F.col(f"{e}{c}") if e else F.col(c)) for c in codes))
+        wide = state.where(large).withColumns({"__l": first("__lo"), "__h": first("__hi")})
+        wide = wide.withColumn("__shift", F.expr(f"element_at(filter(sequence(0, 62), s -> coalesce(try_subtract(shiftright(__h, s), shiftright(__l, s)) < {_SPLIT}, false)), 1)"))
+        rows = _with(held.drop("__need"), wide.drop("__n"), keys).where(_inside(codes)).withColumn("__at", first(""))
+        rows = rows.withColumn("__at", F.expr("shiftright(__at, __shift) - shiftright(__l, __shift)"))
+        sizes = rows.groupBy(*keys, "__at", "__bin").agg(*facts())
+        split = _range_of_kth(sizes, keys, codes, ["__bin"]).withColumn("__whole", F.lit(False))
+        state = stored(state.where(~large).unionByName(split), "ranges")
+    most = F.lit(2**63 - 1)
+    done = state.where("__need = __n").select(*keys, "__bin", *(F.when(F.col("__whole"), most).otherwise(F.col(f"__hi{c}")).alias(f"__k{c}") for c in codes))
+    part = _with(held.drop("__need"), state.where("__need < __n").drop("__n"), keys).where(_inside(codes))
+    rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*codes))
+    part = part.withColumn("__rank", rank).where("__rank = __need").select(*keys, "__bin", *(F.col(c).alias(f"__k{c}") for c in codes))
+    return done.unionByName(part)
+
+
+def first_by(cells: DataFrame, k: int | Column, place: Column, order: list, keys: tuple[str, ...] = (), ranges: int = RANGES, flag: str | None = None, ranked: int = RANKED) -> DataFrame:
+    """The first k cells of each key in ascending `order`; `place` in [0, 1) never falls along that order.
+
+    `order` holds numbers, without NULLs, that together tell a key's cells apart.  With `flag` all cells, and
+    in that column whether a cell is one of those.  What is broadcast has one row a key (a solution, a
+    region of a solution).  `cells` are read two or three times.
+    """
+    keys_, codes = list(keys), [f"__c{i}" for i in range(len(order))]
     at = F.least(F.floor(place * ranges), F.lit(ranges - 1)).cast("int")
-    held = cells.withColumns({"__k": (k if isinstance(k, Column) else F.lit(k)).cast("long"), "__b": at})
-    sizes = held.groupBy(*keys, "__b").agg(F.count("*").alias("__n"), F.max("__k").alias("__k"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    open_ = F.when(F.col("__base") < F.col("__k"), F.col("__b"))
-    cut = F.broadcast(sizes.groupBy(*keys).agg(F.max(open_).alias("__cut"), F.max_by("__base", open_).alias("__base")))
-    held = held.join(cut, list(keys)) if keys else held.crossJoin(cut)
-    if not flag:
-        held = held.where(F.col("__b") <= F.col("__cut"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))
-    taken = F.coalesce((F.col("__b") < F.col("__cut")) | ((F.col("__b") == F.col("__cut")) & (F.col("__r") <= F.col("__k"))), F.lit(False))
-    held = held.withColumn("__r", F.col("__base") + rank)
-    held = held.withColumn(flag, taken) if flag else held.where(taken)
-    return held.drop("__k", "__b", "__cut", "__base", "__r")
+    need = F.greatest((k if isinstance(k, Column) else F.lit(k)).cast("long"), F.lit(0).cast("long"))
+    held = cells.withColumns({"__need": need, "__b": at, **{c: _code(cells, o) for c, o in zip(codes, order)}})
+    cut = kth_cells(held.select(*keys_, "__need", "__b", *codes), keys_, codes, ranked)
+    upto = F.lit(True)
+    for c in reversed(codes):
+        upto = (F.col(c) < F.col(f"__k{c}")) | ((F.col(c) == F.col(f"__k{c}")) & upto)
+    taken = (F.col("__b") < F.col("__bin")) | ((F.col("__b") == F.col("__bin")) & upto)
+    held = _with(held, cut, keys_, "left" if flag else "inner")
+    held = held.withColumn(flag, F.coalesce(taken, F.lit(False))) if flag else held.where(taken)
+    return held.drop("__need", "__b", "__bin", *codes, *(f"__k{c}" for c in codes))
 
 
 def random_subset(cells: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
@@ -55,14 +118,14 @@ def best_by(cells: DataFrame, k: int | Column, score: str, keys: tuple[str, ...]
 
     A missing score counts as the lowest.
     """
-    ends = cells.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    held = cells.crossJoin(F.broadcast(ends))
-    held = held.withColumn("__s", F.coalesce(F.col(score), F.col("__lo"), F.lit(0.0)))
-    depth = F.coalesce((F.col("__hi") - F.col("__s")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)), F.lit(0.0))
-    order = [F.desc("__s"), F.col("pixel_id")]
+    low, high = cells.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
+    held = cells.withColumn("__s", F.coalesce(F.col(score).cast("double"), F.lit(low), F.lit(0.0)))
+    wide = None if low is None or not high > low else high - low
+    depth = F.least((F.lit(high) - F.col("__s")) / F.lit(wide), F.lit(1.0)) if wide else F.lit(0.0)
+    order = [-F.col("__s"), F.col("pixel_id")]
     if chosen:
-        depth, order = (depth + 1 - F.col(chosen)) / 2, [F.desc(chosen), *order]
-    return first_by(held, k, depth, order, keys, ranges).drop("__lo", "__hi", "__s")
+        depth, order = (depth + 1 - F.col(chosen)) / 2, [1 - F.col(chosen), *order]
+    return first_by(held, k, depth, order, keys, ranges).drop("__s")
 
 
 def repair(candidates: DataFrame, k: int | Column, score: str, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
@@ -73,7 +136,7 @@ def repair(candidates: DataFrame, k: int | Column, score: str, keys: tuple[str,
 def random_repair(candidates: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
     """Exactly k cells a solution by random draws: of too many chosen (x = 1) some are dropped, of too few others are added."""
     held = candidates.withColumn("__u", uniform(seed, *map(F.col, keys), F.col("pixel_id")))
-    return first_by(held, k, (F.col("__u") + 1 - F.col("x")) / 2, [F.desc("x"), "__u", "pixel_id"], keys).drop("__u")
+    return first_by(held, k, (F.col("__u") + 1 - F.col("x")) / 2, [1 - F.col("x"), "__u", "pixel_id"], keys).drop("__u")
 
 
 def quotas(regions: DataFrame, k: int | Column, mode: str = "equal", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -141,7 +204,7 @@ def dense(cells: DataFrame, plans: DataFrame, solutions: DataFrame, keys: tuple[
 def smoothed_score(held: DataFrame, value: str, strength: float, seed: Column, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds __s: the density of `value` in the window of a clustering strength, and a small seeded noise for ties."""
     size = window_of(strength)
-    held = held.withColumn("__f", F.col(value).cast("double")) if size is None else square_mean(held, value, size, "__f", keys)
+    held = held.withColumn("__f", F.col(value).cast("double")) if size is None else square_mean(held, value, size, "__f", keys, whole=False)
     return held.withColumn("__s", F.floor(F.col("__f") * 1e6 + 0.5) + uniform(seed, F.col("pixel_id"))).drop("__f")
 
 
@@ -151,10 +214,50 @@ def clustering_repair(candidates: DataFrame, k: int | Column, strength: float, k
     return best_by(held, k, "__s", keys).drop("__s")
 
 
+def clustered(cells: DataFrame, plans: DataFrame, wanted: DataFrame, strength: float, seed: Column, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
+    """(keys, pixel_id): every plan pulled together to its k cells by the smoothed density of its own cells.
+
+    `wanted` has the keys and k, a row a solution; `cells` pixel_id, row_idx and col_idx.  Same as
+    clustering_repair over all cells of every solution, but only cells with a chosen one in their window become
+    rows; a solution that has fewer of them than k also draws from the others, which all have density 0.
+    """
+    size, keys_ = window_of(strength), list(keys)
+    own = plans.select(*keys, "pixel_id").join(cells.select("pixel_id", "row_idx", "col_idx"), "pixel_id")
+    if size is None:
+        near = own.select(*keys, "pixel_id", F.lit(1.0).alias("__f"))
+    else:
+        near = window_shares(cells, own, size, keys, -(-wanted.count() // _PLANS)).select(*keys, "pixel_id", F.col("share").alias("__f"))
+    near = stored(near, "dense")
+    found = near.groupBy(*keys).agg(F.count("*").alias("__n"))
+    short = stored(wanted.join(found, keys_, "left").where(F.coalesce("__n", F.lit(0)) < F.col("k")).select(*keys, F.least(F.col("k"), F.lit(1)).alias("__any")), "short")
+    if not short.isEmpty():
+        others = cells.select("pixel_id").crossJoin(F.broadcast(short.select(*keys))).join(near.select(*keys, "pixel_id"), [*keys_, "pixel_id"], "left_anti")
+        near = near.unionByName(others.select(*keys, "pixel_id", F.lit(0.0).alias("__f")))
+    scored = near.join(F.broadcast(wanted.select(*keys, "k")), keys_).withColumn("__s", F.floor(F.col("__f") * 1e6 + 0.5) + uniform(seed, F.col("pixel_id")))
+    return best_by(scored, F.col("k"), "__s", keys).select(*keys, "pixel_id")
+
+
+def burdened(cells: DataFrame, plans: DataFrame, wanted: DataFrame, seed: int | Column, keys: tuple[str, ...] = ("sol_id",), mode: str = "equal") -> DataFrame:
+    """(keys, pixel_id): every plan brought to its k cells within the regions' quotas, at random.
+
+    Same as burden_repair over all cells of every solution, but cells that are not chosen become rows only in
+    regions where a plan has fewer than its quota.  `cells` has pixel_id and region_id, `wanted` the keys and k.
+    """
+    keys_ = list(keys)
+    sizes = cells.groupBy("region_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(wanted.select(*keys, "k")))
+    quota = quotas(sizes, F.col("k"), mode, keys).select(*keys, "region_id", "quota")
+    held = plans.select(*keys, "pixel_id").join(cells.select("pixel_id", "region_id"), "pixel_id").withColumn("x", F.lit(1))
+    have = held.groupBy(*keys, "region_id").agg(F.count("*").alias("__n"))
+    short = quota.join(have, [*keys_, "region_id"], "left").where(F.coalesce("__n", F.lit(0)) < F.col("quota")).select(*keys, "region_id")
+    others = cells.select("pixel_id", "region_id").join(F.broadcast(short), "region_id").join(held.select(*keys, "pixel_id"), [*keys_, "pixel_id"], "left_anti")
+    every = held.select(*keys, "region_id", "pixel_id", "x").unionByName(others.select(*keys, "region_id", "pixel_id", F.lit(0).alias("x")))
+    every = every.join(F.broadcast(quota), [*keys_, "region_id"])
+    return random_repair(every, F.col("quota"), seed, (*keys, "region_id")).select(*keys, "pixel_id")
+
+
 def clustered_plans(cells: DataFrame, plans: DataFrame, strength: float, k: int) -> DataFrame:
     """(sol_id, pixel_id): every plan pulled together to k cells by the smoothed density of its own cells."""
-    held = dense(cells.select("pixel_id", "row_idx", "col_idx"), plans, plans.select("sol_id").distinct())
-    return clustering_repair(held, k, strength).select("sol_id", "pixel_id")
+    return clustered(cells, plans, plans.select("sol_id").distinct().withColumn("k", F.lit(k).cast("long")), strength, F.col("sol_id"))
 
 
 def sampled_plans(cells: DataFrame, solutions: DataFrame, k: int, clustering: float = 0.0, burden: str = "no") -> DataFrame:
@@ -175,41 +278,26 @@ def window_of(strength: float) -> int | None:
 
 def cluster(cells: DataFrame, chosen: DataFrame, strength: float, k: int, seed: int) -> DataFrame:
     """k cells by smoothed density of the chosen ones, ties broken by a small seeded noise."""
-    held = cells.join(chosen.select("pixel_id", F.lit(1).alias("__x")), "pixel_id", "left").withColumn("__x", F.coalesce("__x", F.lit(0)))
-    return best_by(smoothed_score(held, "__x", strength, F.lit(seed)), k, "__s").drop("__x", "__s")
+    one = chosen.select(F.lit(0).alias("__plan"), "pixel_id")
+    wanted = cells.sparkSession.range(1).select(F.lit(0).alias("__plan"), F.lit(k).cast("long").alias("k"))
+    return cells.join(clustered(cells, one, wanted, strength, F.lit(seed), ("__plan",)).drop("__plan"), "pixel_id", "left_semi")
 
 
-def quantile_by(cells: DataFrame, value: str, p: float, keys: tuple[str, ...], ranges: int = 1024) -> DataFrame:
-    """(keys, cut): the p quantile of values in [0, 1] of each key, interpolated; exact, by counts of ranges.
-
-    Only the two values around the quantile's place are looked for, in the ranges that hold them.
-    """
-    held = cells.select(*keys, F.col(value).alias("__v")).where("__v is not null")
-    held = held.withColumn("__b", F.least(F.floor(F.col("__v") * ranges), F.lit(ranges - 1)).cast("int"))
-    sizes = held.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-    family = Window.partitionBy(*keys)
-    upto = F.sum("__n").over(family.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sizes = sizes.withColumns({"__base": upto - F.col("__n"), "__at": (F.sum("__n").over(family) - 1) * F.lit(float(p))})
-    low, high = F.floor(F.col("__at")), F.ceil(F.col("__at"))
-    near = sizes.where((F.col("__base") <= high) & (F.col("__base") + F.col("__n") > low)).select(*keys, "__b", "__base", "__at")
-    # A key has few such ranges: those of two neighbours in rank.
-    ranked = held.join(F.broadcast(near), [*keys, "__b"])
-    ranked = ranked.withColumn("__i", F.col("__base") + F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__v")) - 1)
-    both = ranked.where((F.col("__i") == low) | (F.col("__i") == high))
-    part = F.max("__at") - F.floor(F.max("__at"))
-    return both.groupBy(*keys).agg((F.min("__v") * (1 - part) + F.max("__v") * part).alias("cut"))
+def quantile_by(cells: DataFrame, value: str, p: float, keys: tuple[str, ...], ranked: int = RANKED) -> DataFrame:
+    """(keys, cut): the p quantile of each key's values, interpolated."""
+    return quantiles(cells, value, [p], keys, ranked).select(*keys, F.col("q").alias("cut"))
 
 
 def decision_layers(cells: DataFrame, seeds: DataFrame, p: float, size: int | None, inside: Column) -> DataFrame:
     """(dv_id, cells, dv): seeded noise, smoothed if a window is given, cut at the 1 - p quantile of the cells inside.
 
     dv is 1 at or above the cut, 0 below, NULL outside the decision area.  Only keys and noise go through
-    the windows; smoothed noise is written once, since it is read for the quantile and for the layer.
+    the windows; noise is written once, since it is read for the quantile and for the layer.
     """
     held = cells.select("pixel_id", "row_idx", "col_idx", inside.alias("__in")).crossJoin(F.broadcast(seeds)).withColumn("noise", uniform(F.col("dv_id"), F.col("pixel_id")))
     if size:
         held = square_mean(held, "noise", size, "__m", ("dv_id",)).withColumn("noise", F.floor(F.col("__m") * 1e9 + 0.5) / 1e9)
-        held = stored(held.select("dv_id", "pixel_id", "__in", "noise"), "noise")
+    held = stored(held.select("dv_id", "pixel_id", "__in", "noise"), "noise")
     cut = quantile_by(held.where("__in"), "noise", 1 - p, ("dv_id",))
     layer = held.join(F.broadcast(cut), "dv_id").select("dv_id", "pixel_id", F.when(F.col("__in"), (F.col("noise") >= F.col("cut")).cast("int")).alias("dv"))
     return cells.join(layer, "pixel_id")

@@ -341,6 +341,32 @@ def bitflip_mutation(spark, sf):
     return evolve.bit_flip(decisions(held, 0.05, 3), held.where("eligible"), 9, 0.02, 0.7).select("sol_id", "pixel_id")
 
 
+def _skips_sql(solutions: str, p: float, seed: str, tag: str) -> str:
+    """CTEs up to hits(sol_id, pixel_id): the recursion from one hit of a stretch to the next."""
+    length = evolve.stretch(p)
+    u = u_sql(seed, f"'{tag}'", "'0'", "sol_id", "run", "draw")
+    step = f"CAST(floor(ln(1 - {u}) / ln(1 - CAST({p} AS DOUBLE))) AS BIGINT)"
+    return f"""runs AS (SELECT sol_id, unnest(range((SELECT max(pixel_id) FROM anom WHERE eligible) // {length} + 1)) AS run FROM {solutions}),
+skips(sol_id, run, draw, place) AS (SELECT sol_id, run, 0, {step.replace('draw', '0')} FROM runs UNION ALL
+  SELECT sol_id, run, draw, place + 1 + {step} FROM (SELECT sol_id, run, draw + 1 AS draw, place FROM skips WHERE place < {length})),
+hits AS (SELECT sol_id, a.pixel_id FROM skips JOIN anom a ON a.pixel_id = run * {length} + place AND eligible WHERE place < {length})"""
+
+
+@query(f"WITH RECURSIVE {decisions_sql(0.05, 3)}, d AS (SELECT sol_id, pixel_id FROM dec), m AS (SELECT DISTINCT sol_id FROM dec), {_skips_sql('m', 0.02, '9', 'skip')} (SELECT * FROM d EXCEPT SELECT * FROM hits) UNION ALL (SELECT * FROM hits EXCEPT SELECT * FROM d)")
+def skip_mutation(spark, sf):
+    """Bit flips of which only the flips are drawn."""
+    held = anomaly_cells(spark, sf)
+    return evolve.bit_flip(decisions(held, 0.05, 3), held.where("eligible"), 9, 0.02, skip=True).select("sol_id", "pixel_id")
+
+
+@query(f"WITH RECURSIVE {ANOM}, m AS (SELECT CAST(unnest(range(3)) AS INT) sol_id), {_skips_sql('m', 0.5, '42', 'start')} SELECT sol_id, pixel_id FROM hits")
+def random_start(spark, sf):
+    """First plans of a search: every bit with probability one half."""
+    held = anomaly_cells(spark, sf).where("eligible")
+    solutions = spark.range(3).select(F.lit(0).alias("scenario_id"), F.col("id").cast("int").alias("sol_id"))
+    return evolve.skipped(held, solutions, 0.5, 42, "start").select("sol_id", "pixel_id")
+
+
 @query()
 def evolve_small(spark, sf):
     """Rows only: the end of an iterative search, for scenarios that differ in every parameter; its steps have their SQL or brute-force tests."""

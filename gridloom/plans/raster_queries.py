@@ -1,4 +1,4 @@
-"""Queries on raster files: GeoTIFF written and read, windows, other reference systems."""
+"""Queries on rasters: GeoTIFF written and read, neighbourhoods, quantiles, other reference systems."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import projection as P
-from ..shared import session_folder
+from ..operators import catalog
+from ..operators.anomaly import to_long
+from ..operators.focal import focal
+from ..operators.quantiles import quantiles
+from ..shared import session_folder, stored
 from ..sources import grid as G
 from ..sources.geotiff import read_geotiff, write_geotiff
-from .adapter import ANOM, ANOMALIES, CELL, GRID, anomaly_cells, cells, q_sql, with_xy
+from .adapter import ANOM, ANOMALIES, CELL, GRID, LAYERS, LONG, anomaly_cells, cells, q_sql, with_xy
 from .registry import query
 
 
@@ -55,6 +59,41 @@ def anomaly_rasters(spark, sf):
     return out
 
 
+# --- neighbourhoods and quantiles -------------------------------------------------------------------
+
+
+def _focal_sql(size: int) -> str:
+    h = size // 2
+    along, across = (f"(PARTITION BY {a} ORDER BY {b} RANGE BETWEEN {h} PRECEDING AND {h} FOLLOWING)" for a, b in (("row_idx", "col_idx"), ("col_idx", "row_idx")))
+    rows = f"SELECT *, sum(smd) OVER w s, sum(smd * smd) OVER w q, count(smd) OVER w n, max(smd) OVER w hi, min(smd) OVER w lo FROM cell WINDOW w AS {along}"
+    whole = f"SELECT pixel_id, sum(s) OVER v s, sum(q) OVER v q, sum(n) OVER v n, max(hi) OVER v hi, min(lo) OVER v lo FROM ({rows}) WINDOW v AS {across}"
+    return f"""SELECT {size} AS size, pixel_id, {q_sql('s / nullif(n, 0)', 3)} AS mean, {q_sql('s', 2)} AS total, {q_sql('hi', 3)} AS hi, {q_sql('lo', 3)} AS lo,
+{q_sql('CASE WHEN n > 1 THEN greatest(0.0, (q - s * s / n) / (n - 1)) END', 2)} AS variance FROM ({whole})"""
+
+
+@query(f"WITH {CELL} " + " UNION ALL ".join(_focal_sql(size) for size in (3, 15, 31)))
+def focal_reducers(spark, sf):
+    """Mean, sum, maximum, minimum and variance over windows of 3, 15 and 31 cells."""
+    held, out = stored(cells(spark, sf).select("pixel_id", "row_idx", "col_idx", "smd"), "smd"), None
+    for size in (3, 15, 31):
+        got = focal(held, "smd", size, {"mean": "mean", "total": "sum", "hi": "max", "lo": "min", "variance": "variance"})
+        one = got.select(F.lit(size).alias("size"), "pixel_id", *_quant("mean", "hi", "lo"), *_quant("total", "variance", digits=2))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_SHARES = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
+
+
+@query(f"""WITH {LONG}, p AS (SELECT CAST(unnest({list(_SHARES)}) AS DOUBLE) p) SELECT variable, p, {q_sql('q', 4)} AS q FROM (
+{' UNION ALL '.join(f'SELECT variable, CAST({p} AS DOUBLE) AS p, quantile_cont(value, CAST({p} AS DOUBLE)) AS q FROM long GROUP BY 1' for p in _SHARES)})""")
+def layer_quantiles(spark, sf):
+    """Quantiles of every layer, whatever its range."""
+    held = cells(spark, sf).withColumn("ecosystem", catalog.ecosystem_of(F.col("lulc"))).where("ecosystem IS NOT NULL")
+    long = stored(to_long(held, LAYERS, ["pixel_id"], "variable", "value"), "long")
+    return quantiles(long, "value", list(_SHARES), ("variable",)).select("variable", "p", *_quant("q", digits=4))
+
+
 # --- other reference systems ------------------------------------------------------------------------
 
 _CENTRES = f"SELECT *, x AS east, y AS north FROM (SELECT pixel_id, {_XY} FROM cell)"

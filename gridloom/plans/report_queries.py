@@ -10,6 +10,7 @@ from ..operators import cells as C
 from ..operators import effects as E
 from ..operators import pareto, stats
 from ..operators.anomaly import to_long
+from ..operators.quantiles import quantiles
 from ..shared import stored
 from ..sources.results import run_summary as summary_of
 from .adapter import ANOMALIES, COST, EFFECTS, OBJ_SQL, anomaly_cells, decisions, decisions_sql, q_sql
@@ -95,8 +96,10 @@ SELECT burden, metric, {', '.join(f'{q_sql(f"quantile_cont(v, CAST({p} AS DOUBLE
 def effect_boxplot(spark, sf):
     total = F.col("abiotic") + F.col("biotic") + F.col("landscape")
     held = _objectives(spark, sf).withColumns({"total": total.cast("double"), "efficiency": N.ratio(F.col(COST), total)})
-    long = to_long(held, ["total", "efficiency"], ["burden"], "metric", "v")
-    return long.groupBy("burden", "metric").agg(F.expr("percentile(v, array(0, 0.25, 0.5, 0.75, 1))").alias("q")).select("burden", "metric", *(N.quant(F.col("q")[i], 2).alias(f"q{i}") for i in range(5)))
+    long = stored(to_long(held, ["total", "efficiency"], ["burden"], "metric", "v"), "metrics")
+    shares = (0.0, 0.25, 0.5, 0.75, 1.0)
+    found = quantiles(long, "v", list(shares), ("burden", "metric")).groupBy("burden", "metric")
+    return found.agg(*(N.quant(F.max(F.when(F.col("p") == p, F.col("q"))), 2).alias(f"q{i}") for i, p in enumerate(shares)))
 
 
 @query(f"WITH {_O} SELECT sol_id, " + ", ".join(q_sql(f"coalesce(CAST({x} - min({x}) OVER () AS DOUBLE) / nullif(max({x}) OVER () - min({x}) OVER (), 0), 0.5)", 5) + f" AS {x}" for x in _NAMES) + " FROM ob")

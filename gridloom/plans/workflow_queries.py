@@ -14,7 +14,8 @@ from ..operators.stats import corr, natural_breaks
 from ..shared import session_folder, stored
 from ..sources import grid as G
 from ..sources import metadata, results
-from .adapter import ANOM, ANOMALIES, CELL, COST, EFFECTS, LONG, OBJ_SQL, anomaly_cells, cells, decisions, decisions_sql, gain_sql, q_sql, table, u_sql, weight_sql, with_xy
+from ..sources.geotiff import write_geotiff
+from .adapter import ANOM, ANOMALIES, CELL, COST, EFFECTS, GRID, LONG, OBJ_SQL, anomaly_cells, cells, decisions, decisions_sql, gain_sql, q_sql, table, u_sql, weight_sql, with_xy
 from .decision_queries import _dv_sql, _pull_sql, _seeds
 from .registry import query
 
@@ -26,9 +27,13 @@ def _q(column: str, digits: int = 4):
 # --- sources and sinks ----------------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query(f"WITH {CELL} SELECT pixel_id, row_idx, col_idx, lulc FROM cell")
 def scan_first_existing(spark, sf):
-    return G.first_existing(spark, [f"{sf}/no_such_grid.parquet", f"{sf}/nation.parquet", f"{sf}/region.parquet"]).select("n_nationkey", "n_name")
+    """A land cover raster that is at the second of the paths it may be at."""
+    folder = session_folder(spark, "lulc")
+    write_geotiff(cells(spark, sf), f"{folder}/lulc.tif", GRID, ["lulc"], tile=64, block=2)
+    held = G.first_existing(spark, [f"{folder}/no_such_grid.tif", f"{folder}/lulc.tif", f"{sf}/nation.parquet"])
+    return held.select("pixel_id", "row_idx", "col_idx", F.col("lulc").cast("int").alias("lulc"))
 
 
 @query(f"WITH {CELL} SELECT pixel_id, row_idx, col_idx FROM cell WHERE col_idx >= 90 OR pixel_id <> row_idx * 90 + col_idx")
@@ -346,9 +351,9 @@ def clustering_repair(spark, sf):
 def combined_repair(spark, sf):
     """Quotas of the regions first, then the densest cells."""
     held, k = _eligible(spark, sf)
-    plan = selection.burden_repair(_bits(spark, held), k, 17).select("sol_id", "pixel_id")
-    every = selection.dense(held.select("pixel_id", "row_idx", "col_idx"), plan, spark.range(3).select(F.col("id").cast("int").alias("sol_id")))
-    return selection.clustering_repair(every, k, 0.3).select("sol_id", "pixel_id")
+    wanted = spark.range(3).select(F.col("id").cast("int").alias("sol_id"), F.lit(k).cast("long").alias("k"))
+    plan = selection.burdened(held, _bits(spark, held).where("x = 1"), wanted, 17)
+    return selection.clustered(held, plan, wanted, 0.3, F.col("sol_id"))
 
 
 @query(f"""WITH {ANOM}, e AS (SELECT * FROM anom WHERE eligible), t0 AS (SELECT floor(CAST(0.1 AS DOUBLE) * count(*)) k FROM e), s AS (SELECT CAST(unnest(range(3)) AS INT) sol_id),
