@@ -197,5 +197,89 @@ SELECT page_id, url, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n
 """
 
 
+# CRC-32 of an ASCII text, from a table by rule: tab is a list of its 256 entries.
+_CRC_TABLE = """crc_table AS (SELECT list(v ORDER BY i) tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) v FROM (SELECT unnest(range(256)) i)))"""
+
+
+def _crc_sql(text: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda a, b: xor(a // 256, tab[1 + xor(a % 256, b)])), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH {_CRC_TABLE},
+r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+coded AS (SELECT *, substr(sha256(length(role) || ':' || role || text), 1, 32) code FROM r),
+turns AS (SELECT conv_id, code, length(text) chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, code) i FROM coded),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 base, {_crc_sql('CAST(conv_id AS VARCHAR)')} % 6 h FROM (SELECT DISTINCT conv_id FROM r), crc_table),
+heads AS (SELECT c.conv_id, b.i, b.code, b.chars FROM convs c JOIN turns b ON b.conv_id = c.base AND b.i <= c.h),
+taken AS (SELECT c.conv_id, any_value(h) h, count(x.i) k FROM convs c LEFT JOIN heads x ON x.conv_id = c.conv_id GROUP BY 1),
+rebuilt AS (SELECT conv_id, i d, code, chars FROM heads UNION ALL SELECT t.conv_id, k + i - h, code, chars FROM turns t JOIN taken c ON c.conv_id = t.conv_id AND t.i > h),
+members AS (SELECT conv_id, d, string_agg(code, ',') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING) p, chars FROM rebuilt UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+nodes AS (SELECT p, d, min(conv_id) conv_id, count(*) n, max(chars) chars FROM members GROUP BY 1, 2),
+ends AS (SELECT p, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) ids FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) z FROM members) WHERE z = 1 GROUP BY 1),
+up AS (SELECT x.p, m.p above, y.conv_id parent FROM nodes x JOIN members m ON m.conv_id = x.conv_id AND m.d = x.d - 1 JOIN nodes y ON y.p = m.p AND y.d = m.d),
+kids AS (SELECT above, count(*) k FROM up GROUP BY 1),
+sums AS (SELECT a.p, sum((x.n - 1) * x.chars) saved, count(*) FILTER (kids.k IS NULL) leaves FROM nodes x LEFT JOIN kids ON kids.above = x.p JOIN members a ON a.conv_id = x.conv_id AND a.d <= x.d GROUP BY 1)
+SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, up.parent AS parent_conv_id, CAST(x.n AS BIGINT) AS n_convs, CAST(coalesce(kids.k, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes x JOIN sums ON sums.p = x.p LEFT JOIN up ON up.p = x.p LEFT JOIN kids ON kids.above = x.p LEFT JOIN ends ON ends.p = x.p
+"""
+
+
+def _least_sql(*options: str) -> str:
+    return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))"
+
+
+def _after_sql(state: str, cost: str, letters: str, when: str = "true") -> str:
+    """An element (cost c, audit a) after more edits; NULL where there is none or the edits do not fit."""
+    return f"CASE WHEN {state} IS NOT NULL AND ({when}) THEN {{'c': {state}.c + {cost}, 'a': {state}.a || {letters}}} END"
+
+
+_CLOSED = f"""s0, s1, {_least_sql('s2', *(_after_sql(x, '5', "'I'") for x in ('s0', 's1', 's3')))} s2, {_least_sql('s3', _after_sql('s2', '5', "'I'"), _after_sql('s0', '10', "'II'"), _after_sql('s1', '10', "'II'"))} s3"""
+_STAYS = "f NOT IN ('blank', 'duplicate')"
+
+
+def _step_sql(state: str, initial: str, sources: tuple[str, ...]) -> str:
+    extra = "CASE WHEN f = 'truncated' THEN 5 ELSE 0 END"
+    ways = [_after_sql(state, "2", "'D'")]
+    for x in sources:
+        if initial == "s":
+            ways.append(_after_sql(x, extra, "'K'", f"{_STAYS} AND ini = 's'"))
+        else:
+            ways.append(_after_sql(x, f"{extra} + CASE WHEN ini = '{initial}' THEN 0 ELSE 1 END", f"CASE WHEN ini = '{initial}' THEN 'K' ELSE 'R' END", _STAYS))
+    return _least_sql(*ways)
+
+
+_NO = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR))"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT r.*, {_crc_sql("conv_id || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 kind FROM r, crc_table),
+damaged AS (SELECT conv_id, turn, role r0, text t0, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) copy FROM k WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r0, t0, copy) i, rtrim(text, {_BLANKS}) solid, substr(role, 1, 1) ini FROM damaged),
+marked AS (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END f,
+  lag(ini) OVER (PARTITION BY conv_id ORDER BY i) before FROM placed),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(*) FILTER (f = 'blank') blank, count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') truncated,
+  count(*) FILTER (before || ini NOT IN ('su', 'ua', 'au')) illegal, max(i) n FROM marked GROUP BY 1),
+walk(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), CAST({{'c': 0, 'a': ''}} AS STRUCT(c BIGINT, a VARCHAR)), {_NO}, {_NO}, {_NO} FROM told
+  UNION ALL
+  SELECT conv_id, i, {_step_sql('s0', 's', ())}, {_step_sql('s1', 's', ('s0',))}, {_step_sql('s2', 'u', ('s0', 's1', 's3'))}, {_step_sql('s3', 'a', ('s2',))}
+  FROM (SELECT w.conv_id, m.i, m.f, m.ini, {_CLOSED} FROM walk w JOIN marked m ON m.conv_id = w.conv_id AND m.i = w.i + 1)),
+best AS (SELECT conv_id, {_least_sql('s0', 's3')} e FROM (SELECT w.conv_id, {_CLOSED} FROM walk w JOIN told t ON t.conv_id = w.conv_id AND t.n = w.i)),
+letters AS (SELECT conv_id, unnest(range(1, length(e.a) + 1)) j, e.a audit FROM best),
+edits AS (SELECT conv_id, j, substr(audit, j, 1) x, count(*) FILTER (substr(audit, j, 1) <> 'I') OVER w i, count(*) FILTER (substr(audit, j, 1) <> 'D') OVER w - 1 AS place, length(replace(audit, 'D', '')) % 2 odd FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+lines AS (SELECT e.conv_id, j, CASE WHEN x = 'K' THEN m.role WHEN (place - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE m.text END line FROM edits e LEFT JOIN marked m ON m.conv_id = e.conv_id AND m.i = e.i WHERE x <> 'D'),
+repaired AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY j) body FROM lines GROUP BY 1)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce("duplicate", 0) AS BIGINT) AS "duplicate", CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+       CAST(coalesce(e.c, 0) AS BIGINT) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM r) c LEFT JOIN told ON told.conv_id = c.conv_id LEFT JOIN best ON best.conv_id = c.conv_id LEFT JOIN repaired ON repaired.conv_id = c.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_weighted_mixing": OP3_SQL, "op4_exact_topk": OP4_SQL, "op5_warc": OP5_SQL, "op9_preference_format": OP9_SQL}
+    return {
+        "op1_ngram_jaccard_join": OP1_SQL, "op3_weighted_mixing": OP3_SQL, "op4_exact_topk": OP4_SQL, "op5_warc": OP5_SQL, "op9_preference_format": OP9_SQL,
+        "op12_conversation_prefix_trie": OP12_SQL, "op13_conversation_repair": OP13_SQL,
+    }
