@@ -108,6 +108,13 @@ def class_of(value: Column, breaks: list[float], include_lowest: bool = True) ->
     return out
 
 
+def class_among(value: Column, breaks: Column, include_lowest: bool = True) -> Column:
+    """class_of for breaks in an array column, as where every row's group has its own."""
+    below = F.size(F.filter(breaks, lambda b: b < value))
+    inside = (value <= F.element_at(breaks, -1)) & (value >= breaks[0]) & (F.size(breaks) > 1)
+    return F.when(inside, F.greatest(below, F.lit(1)) if include_lowest else F.nullif(below, F.lit(0))).cast("int")
+
+
 def class3(value: Column, sd: Column) -> Column:
     """'3' up to -sd, '2' up to sd, '1' above: right-closed classes of condition."""
     return F.when(value <= -sd, "3").when(value <= sd, "2").when(value.isNotNull() & sd.isNotNull(), "1")

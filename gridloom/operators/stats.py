@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .breaks import breaks_of, natural_breaks_by
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz evaluation)."""
@@ -57,82 +59,30 @@ def t_statistic(value: str, group: str, zero: str, one: str) -> Column:
     return (F.avg(v0) - F.avg(v1)) / F.nullif(F.sqrt(pooled * (1 / F.nullif(n0, F.lit(0)) + 1 / F.nullif(n1, F.lit(0)))), F.lit(0.0))
 
 
-def _last_starts(best: np.ndarray, sw: np.ndarray, sx: np.ndarray, sq: np.ndarray, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """For every end j the least best[i] + cost of one more class over values i..j-1, and that i.
+def natural_breaks(df: DataFrame, value: str, classes: int = 5, most: int | None = None, local: int = 1_000_000) -> list[float]:
+    """Fisher's natural breaks of a column: class bounds of least within-class variance.
 
-    The best start never falls as j grows, so the middle of a range of ends is solved first and
-    bounds the starts of both halves; all ranges of a level are solved together, by chunks.
-    """
-    m = len(best) - 1
-    new, at = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-    a, b, lo, hi = (np.array([x]) for x in (1, m, 0, m - 1))  # ends a..b, starts lo..hi
-    while len(a):
-        mid = (a + b) // 2
-        top = np.minimum(hi, mid - 1)
-        size = top - lo + 1
-        part = np.cumsum(size) // chunk
-        for nodes in np.split(np.arange(len(a)), np.flatnonzero(np.diff(part)) + 1):
-            n = size[nodes]
-            first = np.cumsum(n) - n
-            i = np.arange(n.sum()) + np.repeat(lo[nodes] - first, n)
-            j = np.repeat(mid[nodes], n)
-            cost = best[i] + (sq[j] - sq[i]) - (sx[j] - sx[i]) ** 2 / (sw[j] - sw[i])
-            least = np.minimum.reduceat(cost, first)
-            hit = np.flatnonzero(cost == np.repeat(least, n))
-            hit = hit[np.searchsorted(hit, first)]  # the first of equal ones
-            new[mid[nodes]], at[mid[nodes]] = cost[hit], i[hit]
-        found = at[mid]
-        a, b, lo, hi = (np.concatenate(x) for x in ((a, mid + 1), (mid - 1, b), (lo, found), (found, hi)))
-        open_ = a <= b
-        a, b, lo, hi = a[open_], b[open_], lo[open_], hi[open_]
-    return new, at
-
-
-def natural_breaks(df: DataFrame, value: str, classes: int = 5, most: int | None = None) -> list[float]:
-    """Fisher's natural breaks: class bounds of least within-class variance, exact over all distinct values.
-
-    The driver holds the distinct values and their counts.  With `most`, more distinct values than that
-    are first merged into `most` equal-count groups (their weights and means are kept), so the driver
-    holds a bounded table and the bounds are approximate.
+    Exact over all distinct values, none of which come to the driver (see breaks).  With `most`, more distinct
+    values than that are first merged into `most` equal-count groups, each told by its mean, and the bounds
+    are approximate: the greatest values of groups.
     """
-    held = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("w"))
-    n = held.count() if most is not None else 0
-    if most is not None and n > most:
-        cuts = df.agg(F.percentile_approx(value, [i / most for i in range(1, most)], most * 4)).first()[0]
-        spark = df.sparkSession
-        bins = spark.sparkContext.broadcast(np.unique(np.array(cuts)))
-
-        @F.pandas_udf("int")
-        def bin_of(v):
-            import pandas as pd
-
-            return pd.Series(np.searchsorted(bins.value, v.to_numpy(), side="left").astype("int32"))
-
-        held = held.groupBy(bin_of(F.col(value)).alias("b")).agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("m"), F.sum("w").alias("w"), F.max(value).alias("hi"), F.min(value).alias("lo"))
-        rows = held.orderBy("lo").collect()
-        x, w, hi, lo = (np.array([r[c] for r in rows], float) for c in ("m", "w", "hi", "lo"))
-    else:
-        rows = held.select(F.col(value).cast("double").alias("x"), F.col("w").cast("double").alias("w")).toArrow()
-        x, w = (rows.column(c).to_numpy() for c in ("x", "w"))
-        order = np.argsort(x)
-        x, w = x[order], w[order]
-        hi = lo = x
-    if not len(x):
-        return []
-    far = x - x[np.searchsorted(np.cumsum(w), w.sum() / 2)]  # sums around the median keep digits beside extreme values
-    sw, sx, sq = (np.concatenate([[0], np.cumsum(v)]) for v in (w, w * far, w * far * far))
-    m = len(x)
-    best = np.full(m + 1, np.inf)
-    best[0] = 0
-    starts = []
-    for _ in range(min(classes, m)):
-        best, at = _last_starts(best, sw, sx, sq)
-        starts.append(at)
-    ends, j = [], m
-    for at in reversed(starts):
-        ends.append(hi[j - 1])
-        j = at[j]
-    return [float(lo[0]), *map(float, reversed(ends))]
+    if most is not None:
+        held = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+        if held.select("v").distinct().count() > most:
+            cuts = np.unique(np.array(held.agg(F.percentile_approx("v", [i / most for i in range(1, most)], most * 4)).first()[0]))
+
+            @F.pandas_udf("int")
+            def bin_of(v):
+                import pandas as pd
+
+                return pd.Series(np.searchsorted(cuts, v.to_numpy(), side="left").astype("int32"))
+
+            rows = held.groupBy(bin_of(F.col("v")).alias("b")).agg(F.avg("v").alias("m"), F.count("*").alias("w"), F.max("v").alias("hi"), F.min("v").alias("lo")).orderBy("lo").collect()
+            found = breaks_of(np.array([r["m"] for r in rows]), np.array([float(r["w"]) for r in rows]), classes)
+            high = {r["m"]: r["hi"] for r in rows}
+            return [rows[0]["lo"], *(high[m] for m in found[1:])]
+    found = natural_breaks_by(df, value, classes, (), local).first()
+    return list(found["breaks"]) if found else []
 
 
 def kmeans_classes(df: DataFrame, columns: list[str], k: int = 3, seed: int = 42) -> DataFrame:

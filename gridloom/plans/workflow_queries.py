@@ -10,7 +10,8 @@ from ..functions import numeric as N
 from ..operators import anomaly, catalog, selection
 from ..operators import cells as C
 from ..operators import effects as E
-from ..operators.stats import corr, natural_breaks
+from ..operators.breaks import natural_breaks_by
+from ..operators.stats import corr
 from ..shared import session_folder, stored
 from ..sources import grid as G
 from ..sources import metadata, results
@@ -218,18 +219,16 @@ _SMD = "SELECT 0 AS g, smd AS v FROM cell"
 
 @query(f"WITH {CELL}, {_breaks_sql(_SMD)} SELECT i, bound FROM brk")
 def fisher_breaks(spark, sf):
-    bounds = natural_breaks(cells(spark, sf).select(F.col("smd").cast("double").alias("v")), "v", 5)
-    return spark.createDataFrame(list(enumerate(bounds)), "i int, bound double")
+    bounds = natural_breaks_by(cells(spark, sf).select(F.col("smd").cast("double").alias("v")), "v", 5)
+    return bounds.select(F.posexplode("breaks").alias("i", "bound"))
 
 
 def _composite(spark, held):
     """(pixel_id, row_idx, col_idx, ecosystem, out): the condition index of each ecosystem in its own five natural classes, as one map."""
-    classed = []
-    for name in catalog.ECOSYSTEM_CODES:
-        mine = held.where(F.col("ecosystem") == name).select(F.col("smd").cast("double").alias("v"))
-        bounds = natural_breaks(mine, "v", 5)
-        classed.append(F.when(F.col("ecosystem") == name, N.class_of(F.col("smd"), bounds)) if len(bounds) > 1 else F.lit(None).cast("int"))
-    return held.where("ecosystem IS NOT NULL").select("pixel_id", "row_idx", "col_idx", "ecosystem", F.coalesce(*classed).alias("out"))
+    mine = held.where("ecosystem IS NOT NULL")
+    bounds = natural_breaks_by(mine.select("ecosystem", F.col("smd").cast("double").alias("v")), "v", 5, ("ecosystem",))
+    mine = mine.join(F.broadcast(bounds), "ecosystem", "left")  # a row an ecosystem
+    return mine.select("pixel_id", "row_idx", "col_idx", "ecosystem", N.class_among(F.col("smd"), F.col("breaks")).alias("out"))
 
 
 _CLASSES = f"""{_breaks_sql('SELECT ecosystem AS g, smd AS v FROM eco WHERE ecosystem IS NOT NULL')},
