@@ -21,7 +21,8 @@ from ..shared import stored
 from ..shipping import ship_package
 from .effects import objectives, repair_scores
 from .pareto import pareto_front
-from .selection import best_by, burdened, clustered, first_by, random_starts
+from .selection import best_by, first_by
+from .strategy import ByScore, Spread, Strategy, checked, of_scenario
 
 KEYS = ["scenario_id", "sol_id"]
 
@@ -119,63 +120,42 @@ def exact(decision: DataFrame, cells: DataFrame, settings: DataFrame, score: str
     return best_by(held.join(settings, "scenario_id"), F.col("k"), score, tuple(KEYS), chosen="x").select(*KEYS, "pixel_id")
 
 
-STRATEGIES = ("random", "clustering", "burden", "combined")
-
-
-def strategy_of(clustering: float, burden: str) -> str:
-    """Which sampling and repair a scenario's parameters ask for."""
-    if burden not in ("no", "yes"):
-        raise ValueError(f"unknown burden sharing {burden!r}")
-    return STRATEGIES[(clustering > 0) + 2 * (burden == "yes")]
-
-
-def _by_strategy(settings: DataFrame) -> dict[tuple[str, float], list[int]]:
-    """Scenarios by strategy and clustering strength; settings has a row a scenario."""
-    groups: dict[tuple[str, float], list[int]] = {}
-    for r in settings.select("scenario_id", "spatial_clustering", "burden_sharing").collect():
-        groups.setdefault((strategy_of(r[1], r[2]), float(r[1])), []).append(r[0])
+def _by_strategy(settings: DataFrame, choose: Callable) -> dict[Strategy, list[int]]:
+    """Scenarios by the strategy that is chosen for them; settings has a row a scenario."""
+    groups: dict[Strategy, list[int]] = {}
+    for row in settings.collect():
+        found = choose(row)
+        if not isinstance(found, Strategy):
+            raise TypeError(f"{found!r} has no sample and repair")
+        groups.setdefault(found, []).append(row["scenario_id"])
     return groups
 
 
-def repaired(decision: DataFrame, cells: DataFrame, settings: DataFrame, score: str, seed: int, solutions: DataFrame) -> DataFrame:
-    """Every solution brought to its scenario's k cells by its scenario's strategy.
-
-    random: by score.  burden: within the regions' quotas.  clustering: by smoothed density.
-    combined: quotas first, then density.  `cells` has scenario_id, pixel_id, row_idx, col_idx,
-    region_id and the score, the same cells for every scenario.
-    """
+def _for_each(settings: DataFrame, cells: DataFrame, solutions: DataFrame, choose: Callable, make: Callable) -> DataFrame:
+    """What `make` gives for each strategy's cells and wanted solutions, together."""
     out = None
-    for (strategy, strength), ids in _by_strategy(settings).items():
+    for strategy, ids in _by_strategy(settings, choose).items():
         mine = lambda df: df.where(F.col("scenario_id").isin(ids))  # noqa: B023, E731
-        plan, wanted = mine(decision), mine(settings).select("scenario_id", "k")
-        if strategy == "random":
-            part = exact(plan, mine(cells).select("scenario_id", "pixel_id", score), wanted, score, mine(solutions))
-        else:
-            who = mine(solutions).join(F.broadcast(wanted), "scenario_id").select(*KEYS, "k")
-            # Cells are the same for all scenarios; only their scores differ.
-            free = cells.where(F.col("scenario_id") == ids[0]).select("pixel_id", "row_idx", "col_idx", "region_id")
-            part = plan
-            if strategy != "clustering":
-                part = burdened(free, part, who, seed, tuple(KEYS))
-            if strategy != "burden":
-                part = clustered(free, part, who, strength, F.col("sol_id"), tuple(KEYS))
-            part = part.select(*KEYS, "pixel_id")
+        wanted = mine(solutions).join(F.broadcast(mine(settings).select("scenario_id", "k")), "scenario_id").select(*KEYS, "k")
+        part = make(strategy, mine, mine(cells), wanted).select(*KEYS, "pixel_id")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def starts(cells: DataFrame, settings: DataFrame, population: int, seed: int) -> DataFrame:
-    """Unrepaired first plans: single bits with p = 1/2, or, for the other strategies, a random number of cells up to k."""
-    out = None
-    for (strategy, _), ids in _by_strategy(settings).items():
-        mine = settings.where(F.col("scenario_id").isin(ids))
-        if strategy == "random":
-            part = skipped(cells, numbered(mine, population), 0.5, seed, "start")
-        else:
-            solutions = numbered(mine, population).join(F.broadcast(mine.select("scenario_id", "k")), "scenario_id")
-            part = random_starts(cells, solutions, F.col("k"), seed, tuple(KEYS))
-        out = part if out is None else out.unionByName(part)
-    return out
+def repaired(decision: DataFrame, cells: DataFrame, settings: DataFrame, seed: int, solutions: DataFrame, choose: Callable = of_scenario) -> DataFrame:
+    """Every solution brought to its scenario's k cells by its scenario's strategy; a strategy from outside is checked."""
+
+    def one(strategy, mine, held, wanted):
+        if isinstance(strategy, (ByScore, Spread)):
+            return strategy.repair(mine(decision), held, wanted, seed)
+        return checked(stored(strategy.repair(mine(decision), held, wanted, seed), "plans"), held, wanted, type(strategy).__name__)
+
+    return _for_each(settings, cells, solutions, choose, one)
+
+
+def starts(cells: DataFrame, settings: DataFrame, solutions: DataFrame, seed: int, choose: Callable = of_scenario) -> DataFrame:
+    """Unrepaired first plans by each scenario's strategy."""
+    return _for_each(settings, cells, solutions, choose, lambda strategy, mine, held, wanted: strategy.sample(held, wanted, seed))
 
 
 def front_and_crowding(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +218,7 @@ def settings_of(cells: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | str], cost: str, population: int = 8, generations: int = 3, seed: int = 42,
-           prob_bit: float = 0.01, callback: Callable[[int, DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
+           prob_bit: float = 0.01, callback: Callable[[int, DataFrame], None] | None = None, strategy: Callable = of_scenario, evaluate: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """(decision, objective) of the last population's first front, for every scenario, all in the same jobs.
 
     `cells` has pixel_id, row_idx, col_idx, region_id, eligible, the layers and the cost; `scenarios` the
@@ -247,6 +227,10 @@ def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | st
     names by layer), weight shape and scale its scores and objectives.  Each generation's result is
     written to the shared folder, which cuts the lineage and survives the loss of an executor.
     `callback` is told each generation's number and objective values.
+
+    `strategy` gives the Strategy of a scenario (a row of scenarios with its k), by default the one that its
+    parameters ask for.  `evaluate` (plans, solutions, settings) may judge plans in other ways: a row a solution
+    with scenario_id, sol_id, the objectives (all minimised) and violation, 0 for plans that are allowed.
     """
     names = [*effects, cost]
     settings = stored(settings_of(cells, scenarios), "settings")
@@ -256,8 +240,19 @@ def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | st
     scored = stored(scored.select("scenario_id", "pixel_id", "row_idx", "col_idx", "region_id", "score"), "scores")
     ids = free.select("pixel_id")
     everyone = numbered(settings, population)
-    judged = lambda plans, who: objectives(cells, plans, effects, cost, shape=shape, scale=scale, settings=settings, solutions=who, k="k")
-    decision = stored(repaired(starts(ids, settings, population, seed), scored, settings, "score", seed, everyone), "decision")
+
+    def judged(plans: DataFrame, who: DataFrame) -> DataFrame:
+        if evaluate is None:
+            return objectives(cells, plans, effects, cost, shape=shape, scale=scale, settings=settings, solutions=who, k="k")
+        points = evaluate(plans, who, settings)
+        missing = [c for c in (*KEYS, "violation") if c not in points.columns]
+        if missing or len(points.columns) <= len(KEYS) + 1:
+            raise ValueError(f"an evaluation has {[*KEYS, 'violation']} and objectives, not {points.columns}")
+        return points
+
+    if evaluate is not None:
+        names = [c for c in judged(ids.select(F.lit(0).alias("scenario_id"), F.lit(0).alias("sol_id"), "pixel_id").limit(0), everyone).columns if c not in (*KEYS, "violation")]
+    decision = stored(repaired(stored(starts(scored, settings, everyone, seed, strategy), "starts"), scored, settings, seed, everyone, strategy), "decision")
     for g in range(generations):
         half = population // 2
         order = uniform(seed + g, F.lit("mate"), *map(F.col, KEYS))
@@ -267,7 +262,7 @@ def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | st
             mates.where(F.col("place") > half).select("scenario_id", (F.col("place") - 1 - half).alias("child_id"), F.col("sol_id").alias("father")), ["scenario_id", "child_id"]
         )
         young = stored(bit_flip(hux(decision, pairs, seed + g), ids, seed + 1000 + g, prob_bit, skip=True), "young")
-        children = repaired(young, scored, settings, "score", seed + 2000 + g, numbered(settings, 2 * half))
+        children = repaired(young, scored, settings, seed + 2000 + g, numbered(settings, 2 * half), strategy)
         every = stored(decision.unionByName(children.withColumn("sol_id", F.col("sol_id") + population)), "generation")
         points = stored(judged(every, numbered(settings, population + 2 * half)), "points")
         best = survive(points, names, population)

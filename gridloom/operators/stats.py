@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
 from .breaks import breaks_of, natural_breaks_by
 
 
@@ -44,6 +45,24 @@ def t_p_value(t: float | None, df: float) -> float | None:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
+def t_p(spark, t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t, for the rows of a summary."""
+    ship_package(spark)
+
+    @F.pandas_udf("double")
+    def p_of(values, degrees):
+        import pandas as pd
+
+        return pd.Series([t_p_value(None if pd.isna(v) else float(v), float(d)) for v, d in zip(values, degrees)], dtype="float64")
+
+    return p_of(t.cast("double"), df.cast("double"))
+
+
+def t_of_r(r: Column, n: Column) -> Column:
+    """The t of a correlation over n pairs; NULL for a perfect one."""
+    return r * F.sqrt((n - 2) / F.when(F.abs(r) < 1, 1 - r * r))
+
+
 def corr(a: str, b: str) -> Column:
     """Pearson correlation; NULL for constant input, which would divide by zero."""
     x = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a).cast("double"))

@@ -93,6 +93,19 @@ def q_sql(value: str, digits: int) -> str:
     return f"(floor(({value}) * 1e{digits} + 0.500001) / 1e{digits})"
 
 
+def p_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t for whole degrees of freedom: the finite series of even and of odd ones."""
+    angle, square = f"atan(abs({t}) / sqrt({df}))", f"({df} / ({df} + ({t}) * ({t})))"
+    half = "ln(sqrt(pi()))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, CAST({df} // 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - {half} + k * ln({square}))))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(1, CAST(({df} - 1) // 2 AS BIGINT) + 1), lambda k: cos({angle}) * exp(lgamma(k) + {half} - ln(2) - lgamma(k + 0.5) + (k - 1) * ln({square})))), 0))"
+    return f"greatest(1 - CASE WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END, 0.0)"
+
+
+def stars_sql(p: str) -> str:
+    return f"CASE WHEN {p} < 0.001 THEN '***' WHEN {p} < 0.01 THEN '**' WHEN {p} < 0.05 THEN '*' WHEN {p} IS NOT NULL THEN 'ns' END"
+
+
 def decisions_sql(fraction: float, n: int = 10) -> str:
     return f"""{ANOM},
 dec AS (SELECT 0 AS scenario_id, sol_id, pixel_id FROM (

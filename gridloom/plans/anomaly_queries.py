@@ -255,27 +255,46 @@ def cost_union_join(spark, sf):
 _IND = ", ".join(f"('{c}', '{kind}', '{eco}', {i})" for i, (c, kind, eco) in enumerate(((c, k, e) for (e, k), codes in catalog.INDICATORS.items() for c in codes), 1))
 
 
-@query(f"""WITH i(indicator, class, ecosystem, pos) AS (VALUES {_IND}), r AS (SELECT *, row_number() OVER (PARTITION BY ecosystem, class ORDER BY pos) id FROM i)
+_HOMES = {"Forest": "forest", "Agriculture": "agricultural", "Grassland": "grassland"}
+
+
+@query(f"""WITH {LONG}, i(indicator, class, ecosystem, pos) AS (VALUES {_IND}), homes(name, home) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _HOMES.items())}),
+there AS (SELECT DISTINCT variable, ecosystem AS e FROM long), r AS (SELECT i.*, row_number() OVER (PARTITION BY i.ecosystem, class ORDER BY pos) id FROM i JOIN homes ON name = i.ecosystem JOIN there ON variable = indicator AND e = home)
 SELECT ecosystem, CAST(id AS INT) AS id, max(indicator) FILTER (class = 'Abiotic') AS Abiotic, max(indicator) FILTER (class = 'Biotic') AS Biotic, max(indicator) FILTER (class = 'Landscape') AS Landscape FROM r GROUP BY 1, 2""")
 def indicator_class_table(spark, sf):
-    rows = catalog.indicator_rows(spark).withColumn("id", F.row_number().over(Window.partitionBy("ecosystem", "class").orderBy("input_pos")))
+    """The indicators by class, of those that the grid has values of in their ecosystem."""
+    there = _long(spark, sf).groupBy(F.col("variable").alias("indicator"), F.col("ecosystem").alias("home")).count().drop("count")
+    homes = F.create_map(*(F.lit(x) for pair in _HOMES.items() for x in pair))
+    rows = catalog.indicator_rows(spark).withColumn("home", homes[F.col("ecosystem")]).join(F.broadcast(there), ["indicator", "home"], "left_semi")
+    rows = rows.drop("home").withColumn("id", F.row_number().over(Window.partitionBy("ecosystem", "class").orderBy("input_pos")))
     return anomaly.to_wide(rows, ["ecosystem", "id"], "class", "indicator", ["Abiotic", "Biotic", "Landscape"])
 
 
 _T = 60
+_W = {x: f"least(greatest(exp(-abs({x})), 0.0), 1.0)" for x in ANOMALIES}
+_PART = " + ".join(_W.values())
 
 
-@query(f"""WITH g AS (SELECT CAST(a AS DOUBLE) / {_T - 1} AS w1, CAST(b AS DOUBLE) / {_T - 1} AS w2, a, b FROM (SELECT unnest(range({_T})) a), (SELECT unnest(range({_T})) b))
+@query(f"""WITH {ANOM}, g AS (SELECT CAST(a AS DOUBLE) / {_T - 1} AS w1, CAST(b AS DOUBLE) / {_T - 1} AS w2, a, b FROM (SELECT unnest(range({_T})) a), (SELECT unnest(range({_T})) b)),
+placed AS (SELECT CAST(floor({_W['abiotic']} / ({_PART}) * {_T - 1} + 0.5) AS INT) AS i, CAST(floor({_W['biotic']} / ({_PART}) * {_T - 1} + 0.5) AS INT) AS j FROM anom WHERE eligible),
+c AS (SELECT i, least(j, {_T - 1} - i) AS j, count(*) AS n FROM placed GROUP BY 1, 2)
 SELECT CAST(a AS INT) AS i, CAST(b AS INT) AS j, {q_sql('w2 + 0.5 * (1 - w1 - w2)', 6)} AS x, {q_sql('sqrt(CAST(3 AS DOUBLE)) / 2 * (1 - w1 - w2)', 6)} AS y,
-'#' || upper(lpad(to_hex(CAST(floor(w1 * 255.0 + 0.5) AS BIGINT)), 2, '0')) || upper(lpad(to_hex(CAST(floor(w2 * 255.0 + 0.5) AS BIGINT)), 2, '0')) || upper(lpad(to_hex(CAST(floor(greatest(1 - w1 - w2, 0.0) * 255.0 + 0.5) AS BIGINT)), 2, '0')) AS fill FROM g WHERE a + b <= {_T - 1}""")
+'#' || upper(lpad(to_hex(CAST(floor(w1 * 255.0 + 0.5) AS BIGINT)), 2, '0')) || upper(lpad(to_hex(CAST(floor(w2 * 255.0 + 0.5) AS BIGINT)), 2, '0')) || upper(lpad(to_hex(CAST(floor(greatest(1 - w1 - w2, 0.0) * 255.0 + 0.5) AS BIGINT)), 2, '0')) AS fill, coalesce(n, 0) AS n_cells
+FROM g LEFT JOIN c ON c.i = a AND c.j = b WHERE a + b <= {_T - 1}""")
 def tricolor_triangle(spark, sf):
+    """The colour triangle, with how many cells have each mixture of the three anomalies' weights."""
     n = _T
     axis = lambda name: spark.range(n).select(F.col("id").cast("int").alias(name))
     g = axis("i").crossJoin(F.broadcast(axis("j"))).where(F.col("i") + F.col("j") <= n - 1)
     w1, w2 = F.col("i").cast("double") / (n - 1), F.col("j").cast("double") / (n - 1)
     w3 = 1 - w1 - w2
     half = F.sqrt(F.lit(3.0)) / 2
-    return g.select("i", "j", N.quant(w2 + 0.5 * w3, 6).alias("x"), N.quant(half * w3, 6).alias("y"), N.hex_colour(w1, w2, F.greatest(w3, F.lit(0.0))).alias("fill"))
+    whole = N.weight(F.col("abiotic")) + N.weight(F.col("biotic")) + N.weight(F.col("landscape"))
+    step = lambda x: F.floor(N.weight(F.col(x)) / whole * (n - 1) + 0.5).cast("int")
+    placed = anomaly_cells(spark, sf).where("eligible").select(step("abiotic").alias("i"), step("biotic").alias("j"))
+    counts = placed.groupBy("i", F.least("j", F.lit(n - 1) - F.col("i")).alias("j")).agg(F.count("*").alias("n"))
+    g = g.join(F.broadcast(counts), ["i", "j"], "left")  # a row a place of the triangle
+    return g.select("i", "j", N.quant(w2 + 0.5 * w3, 6).alias("x"), N.quant(half * w3, 6).alias("y"), N.hex_colour(w1, w2, F.greatest(w3, F.lit(0.0))).alias("fill"), F.coalesce("n", F.lit(0)).alias("n_cells"))
 
 
 _KIND = "CASE WHEN variable IN ('smd','sbd','soc') THEN 'abiotic' WHEN variable IN ('uzl','tsd','ndvi') THEN 'biotic' WHEN variable IN ('snh','frag') THEN 'landscape' END"

@@ -26,21 +26,35 @@ _S = """s AS (SELECT CAST((((a * 2 + b) * 3 + c) * 3 + d) AS INT) AS scenario_id
  FROM (SELECT unnest(range(2)) a), (SELECT unnest(range(2)) b), (SELECT unnest(range(3)) c), (SELECT unnest(range(3)) d))"""
 
 
-@query(f"WITH {_S} SELECT * REPLACE ({q_sql('abiotic_effect', 6)} AS abiotic_effect, {q_sql('biotic_effect', 6)} AS biotic_effect) FROM s")
+_FREE = "(SELECT count(*) FILTER (eligible) FROM anom)"
+
+
+@query(f"WITH {ANOM}, {_S} SELECT * REPLACE ({q_sql('abiotic_effect', 6)} AS abiotic_effect, {q_sql('biotic_effect', 6)} AS biotic_effect), CAST(floor(max_restoration_fraction * {_FREE}) AS BIGINT) AS k FROM s")
 def scenario_grid(spark, sf):
-    held = scenario.scenario_grid(spark)
+    """All scenarios, with the number of cells that each may restore."""
+    held = evolve.settings_of(anomaly_cells(spark, sf), scenario.scenario_grid(spark))
     return held.withColumns({"abiotic_effect": N.quant(F.col("abiotic_effect"), 6), "biotic_effect": N.quant(F.col("biotic_effect"), 6)})
 
 
-@query(f"WITH {_S} SELECT scenario_id, max_restoration_fraction, spatial_clustering, {q_sql('abiotic_effect', 6)} AS abiotic_effect, {q_sql('biotic_effect', 6)} AS biotic_effect FROM s WHERE scenario_id = 17")
+@query(f"WITH {ANOM}, {_S} SELECT scenario_id, max_restoration_fraction, spatial_clustering, {q_sql('abiotic_effect', 6)} AS abiotic_effect, {q_sql('biotic_effect', 6)} AS biotic_effect FROM s WHERE scenario_id = {_FREE} % 36")
 def scenario_by_index(spark, sf):
-    held = scenario.scenario_by_index(scenario.scenario_grid(spark), 17)
+    """The scenario whose number is that of the eligible cells, modulo the number of scenarios."""
+    grid = scenario.scenario_grid(spark)
+    held = scenario.scenario_by_index(grid, anomaly_cells(spark, sf).where("eligible").count() % grid.count())
     return held.select("scenario_id", "max_restoration_fraction", "spatial_clustering", _q("abiotic_effect", 6), _q("biotic_effect", 6))
 
 
-@query("SELECT * FROM (VALUES ('max_restoration_fraction', CAST(2 AS BIGINT), '0.1,0.3'), ('spatial_clustering', 2, '0.0,0.3'), ('burden_sharing', 1, 'no'), ('abiotic_effect', 2, '0.005,0.02'), ('biotic_effect', 2, '0.005,0.02'), ('landscape_effect', 1, '0.01'), ('anomaly_weight_shape', 1, 'exponential'), ('anomaly_weight_scale', 1, '1.0')) t(parameter, n_values, sampled)")
+_S2 = """s AS (SELECT CAST((((a * 2 + b) * 2 + c) * 2 + d) AS INT) AS scenario_id, [0.1, 0.3][a + 1] AS max_restoration_fraction, CAST([0.0, 0.3][b + 1] AS DOUBLE) AS spatial_clustering, 'no' AS burden_sharing,
+ CAST([0.005, 0.02][c + 1] AS DOUBLE) AS abiotic_effect, CAST([0.005, 0.02][d + 1] AS DOUBLE) AS biotic_effect, CAST(0.01 AS DOUBLE) AS landscape_effect, 'exponential' AS anomaly_weight_shape, CAST(1.0 AS DOUBLE) AS anomaly_weight_scale
+ FROM (SELECT unnest(range(2)) a), (SELECT unnest(range(2)) b), (SELECT unnest(range(2)) c), (SELECT unnest(range(2)) d))"""
+
+
+@query(f"WITH {ANOM}, {_S2}, used AS (SELECT * FROM s WHERE scenario_id IN (SELECT region_id % 16 FROM anom)) " + " UNION ALL ".join(f"SELECT '{p}' AS parameter, count(DISTINCT {p}) AS n_values, string_agg(DISTINCT CAST({p} AS VARCHAR), ',' ORDER BY CAST({p} AS VARCHAR)) AS sampled FROM used" for p in scenario.PARAMETERS))
 def parameter_summary(spark, sf):
-    return scenario.parameter_summary(scenario.scenario_grid(spark, n=2))
+    """The values of every parameter in the scenarios that the regions are given by their numbers."""
+    held = scenario.scenario_grid(spark, n=2)
+    given = anomaly_cells(spark, sf).select((F.col("region_id") % 16).cast("int").alias("scenario_id")).distinct()
+    return scenario.parameter_summary(held.join(given, "scenario_id", "left_semi"))
 
 
 # --- effects and objectives -----------------------------------------------------------------------

@@ -13,7 +13,7 @@ from ..operators.anomaly import to_long
 from ..operators.quantiles import quantiles
 from ..shared import stored
 from ..sources.results import run_summary as summary_of
-from .adapter import ANOMALIES, COST, EFFECTS, OBJ_SQL, anomaly_cells, decisions, decisions_sql, q_sql
+from .adapter import ANOMALIES, COST, EFFECTS, OBJ_SQL, anomaly_cells, decisions, decisions_sql, p_sql, q_sql, stars_sql
 from .registry import query
 
 _N = 24
@@ -129,20 +129,6 @@ def param_effect_size(spark, sf):
     return long.groupBy("objective").agg(N.quant(effect, 4).alias("burden_effect"), N.quant(stats.corr("fraction", "v"), 4).alias("fraction_r"))
 
 
-@query()
-def param_effect_pvalues(spark, sf):
-    """Rows only: the incomplete beta function is not in SQL; t and r are."""
-    held = _objectives(spark, sf).withColumn("total_anomaly", (F.col("abiotic") + F.col("biotic") + F.col("landscape")).cast("double"))
-    long = to_long(held, list(_V), ["burden", "fraction"], "objective", "v")
-    rows = long.groupBy("objective").agg(stats.t_statistic("v", "burden", "no", "yes").alias("t"), stats.corr("fraction", "v").alias("r"), F.count("v").alias("n")).collect()  # a row an objective
-    out = []
-    for r in rows:
-        tr = r["r"] * ((r["n"] - 2) / (1 - r["r"] ** 2)) ** 0.5 if r["r"] is not None and abs(r["r"]) < 1 else None
-        out.append((r["objective"], r["t"], stats.t_p_value(r["t"], r["n"] - 2), r["r"], stats.t_p_value(tr, r["n"] - 2)))
-    found = spark.createDataFrame(out, "objective string, t double, burden_p double, r double, fraction_p double")
-    return found.withColumns({"burden_stars": N.stars(F.col("burden_p")), "fraction_stars": N.stars(F.col("fraction_p"))})
-
-
 @query(f"WITH {_O} SELECT scenario_id, count(*) AS n_solutions, " + ", ".join(f"{q_sql(f'min({x})', 2)} AS {x}_min, {q_sql(f'max({x})', 2)} AS {x}_max, {q_sql(f'avg({x})', 2)} AS {x}_mean" for x in _NAMES) + " FROM ob GROUP BY 1")
 def run_summary(spark, sf):
     held = summary_of(_objectives(spark, sf).select("scenario_id", "sol_id", *_NAMES))
@@ -191,3 +177,19 @@ def param_effect_statistics(spark, sf):
     long = to_long(held, list(_V), ["burden", "fraction"], "objective", "v")
     found = long.groupBy("objective").agg(stats.t_statistic("v", "burden", "no", "yes").alias("t"), stats.corr("fraction", "v").alias("r"), F.count("v").alias("n"))
     return found.select("objective", _q("t", 4), _q("r", 5), N.quant(F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))), 4).alias("t_of_r"))
+
+
+_P = f"""l AS ({' UNION ALL '.join(f"SELECT '{n}' AS objective, burden, fraction, {v} AS v FROM ob" for n, v in _V.items())}),
+st AS (SELECT objective, count(v) AS n, {_T} / sqrt({_POOLED} * (1.0 / count(v) FILTER (burden = 'no') + 1.0 / count(v) FILTER (burden = 'yes'))) AS t, corr(fraction, v) AS r FROM l GROUP BY 1),
+pv AS (SELECT *, {p_sql('t', '(n - 2)')} AS bp, {p_sql('(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)')} AS fp FROM st)"""
+
+
+@query(f"WITH {_O}, {_P} SELECT objective, {q_sql('t', 4)} AS t, {q_sql('bp', 6)} AS burden_p, {q_sql('r', 5)} AS r, {q_sql('fp', 6)} AS fraction_p, {stars_sql('bp')} AS burden_stars, {stars_sql('fp')} AS fraction_stars FROM pv")
+def param_effect_pvalues(spark, sf):
+    """Effects of burden sharing and of the fraction restored, with their significance."""
+    held = _objectives(spark, sf).withColumn("total_anomaly", (F.col("abiotic") + F.col("biotic") + F.col("landscape")).cast("double"))
+    long = to_long(held, list(_V), ["burden", "fraction"], "objective", "v")
+    found = long.groupBy("objective").agg(stats.t_statistic("v", "burden", "no", "yes").alias("t"), stats.corr("fraction", "v").alias("r"), F.count("v").alias("n"))
+    degrees = F.col("n") - 2
+    found = found.withColumns({"bp": stats.t_p(spark, F.col("t"), degrees), "fp": stats.t_p(spark, stats.t_of_r(F.col("r"), F.col("n")), degrees)})
+    return found.select("objective", _q("t"), N.quant(F.col("bp"), 6).alias("burden_p"), _q("r", 5), N.quant(F.col("fp"), 6).alias("fraction_p"), N.stars(F.col("bp")).alias("burden_stars"), N.stars(F.col("fp")).alias("fraction_stars"))

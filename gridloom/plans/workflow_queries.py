@@ -11,12 +11,12 @@ from ..operators import anomaly, catalog, selection
 from ..operators import cells as C
 from ..operators import effects as E
 from ..operators.breaks import natural_breaks_by
-from ..operators.stats import corr
+from ..operators.stats import corr, t_of_r, t_p
 from ..shared import session_folder, stored
 from ..sources import grid as G
 from ..sources import metadata, results
 from ..sources.geotiff import write_geotiff
-from .adapter import ANOM, ANOMALIES, CELL, COST, EFFECTS, GRID, LONG, OBJ_SQL, anomaly_cells, cells, decisions, decisions_sql, gain_sql, q_sql, table, u_sql, weight_sql, with_xy
+from .adapter import ANOM, ANOMALIES, CELL, COST, EFFECTS, GRID, LAYERS, LONG, OBJ_SQL, anomaly_cells, cells, decisions, decisions_sql, gain_sql, p_sql, q_sql, stars_sql, table, u_sql, weight_sql, with_xy
 from .decision_queries import _dv_sql, _pull_sql, _seeds
 from .registry import query
 
@@ -91,37 +91,46 @@ def saved_summary(spark, sf):
     return found.select(F.col("scenario_id").cast("int").alias("scenario_id"), "n_solutions", F.col("abiotic.min").alias("lo"), F.col("abiotic.max").alias("hi"), N.quant(F.col(f"{COST}.mean"), 2).alias("cost"))
 
 
-@query("SELECT * FROM (VALUES ('Bern', 'EPSG:2056', CAST(2556200 AS DOUBLE), CAST(1130600 AS DOUBLE), CAST(2677700 AS DOUBLE), CAST(1243700 AS DOUBLE), NULL, NULL), ('CH', 'EPSG:2056', 2480000, 1070000, 2834000, 1300000, 2300, 3600)) t(region, crs, xmin, ymin, xmax, ymax, n_rows, n_cols)")
+@query(f"""WITH {CELL}, g(region, crs, xmin, ymin, xmax, ymax, n_rows, n_cols) AS (SELECT * FROM (VALUES ('Bern', 'EPSG:2056', CAST(2556200 AS DOUBLE), CAST(1130600 AS DOUBLE), CAST(2677700 AS DOUBLE), CAST(1243700 AS DOUBLE), NULL, NULL), ('CH', 'EPSG:2056', 2480000, 1070000, 2834000, 1300000, 2300, 3600)) t)
+SELECT g.*, (SELECT count(*) FROM eco WHERE x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax) AS n_cells FROM g""")
 def region_references(spark, sf):
-    return catalog.region_rows(spark)
+    """The regions that are known, and how many of the cells lie within their bounds."""
+    held = with_xy(cells(spark, sf)).crossJoin(F.broadcast(catalog.region_rows(spark)))  # two regions
+    inside = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
+    return held.groupBy("region", "crs", "xmin", "ymin", "xmax", "ymax", "n_rows", "n_cols").agg(F.count_if(inside).alias("n_cells"))
 
 
 @query()
 def table_files(spark, sf):
     """Rows only: sizes of files, which SQL over the tables does not see."""
-    return metadata.file_sizes(spark, f"{sf}/nation.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "megabytes")
+    inside = F.regexp_extract("path", r"([^/]+\.parquet(?:/.*)?)$", 1)
+    return metadata.file_sizes(spark, sf).select(inside.alias("file"), "megabytes")
 
 
-def _sheet(spark):
-    """A metadata sheet with some of its columns, written as CSV."""
+def _sheet(spark, sf):
+    """A metadata sheet with some of its columns, written as CSV; Coverage counts the cells with a value."""
     path = f"{session_folder(spark, 'sheet')}/indicators"
     rows = catalog.indicator_rows(spark).groupBy(F.col("indicator").alias("code")).agg(F.min("class").alias("Class"), F.array_join(F.array_sort(F.collect_set("ecosystem")), " / ").alias("Ecosystems"))
+    long = anomaly.to_long(cells(spark, sf).where(catalog.ecosystem_of(F.col("lulc")).isNotNull()), LAYERS, ["pixel_id"])
+    there = long.groupBy(F.col("variable").alias("code")).agg(F.count("*").cast("string").alias("Coverage"))
+    rows = rows.join(F.broadcast(there), "code", "left")  # a row a variable
     rows.withColumn("Indicator", catalog.label_of(F.col("code"), catalog.LABELS)).coalesce(1).write.option("header", True).csv(path)
     return metadata.indicator_sheet(spark, path)
 
 
 _SHEET = f"""i(code, kind, ecosystem) AS (VALUES {', '.join(f"('{c}', '{k}', '{e}')" for (e, k), codes in catalog.INDICATORS.items() for c in codes)}), labels(code, label) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in catalog.LABELS.items())}),
-sheet AS (SELECT i.code, any_value(label) AS "Indicator", min(kind) AS "Class", string_agg(DISTINCT ecosystem, ' / ' ORDER BY ecosystem) AS "Ecosystems" FROM i LEFT JOIN labels ON labels.code = i.code GROUP BY 1)"""
+there AS (SELECT variable, CAST(count(*) AS VARCHAR) AS n FROM long GROUP BY 1),
+sheet AS (SELECT i.code, any_value(label) AS "Indicator", min(kind) AS "Class", string_agg(DISTINCT ecosystem, ' / ' ORDER BY ecosystem) AS "Ecosystems", any_value(there.n) AS "Coverage" FROM i LEFT JOIN labels ON labels.code = i.code LEFT JOIN there ON variable = i.code GROUP BY 1)"""
 
 
-@query(f'WITH {_SHEET} SELECT code, "Indicator", "Class", "Ecosystems", CAST(NULL AS VARCHAR) AS "Units" FROM sheet')
+@query(f'WITH {LONG}, {_SHEET} SELECT code, "Indicator", "Class", "Ecosystems", CAST(NULL AS VARCHAR) AS "Units", "Coverage" FROM sheet')
 def metadata_sheet(spark, sf):
-    return _sheet(spark).select("code", "Indicator", "Class", "Ecosystems", "Units")
+    return _sheet(spark, sf).select("code", "Indicator", "Class", "Ecosystems", "Units", "Coverage")
 
 
-@query(f'WITH {_SHEET}, n AS (SELECT *, CAST(row_number() OVER (ORDER BY code) AS INT) AS nr FROM sheet) SELECT nr AS row, "Indicator", "Class", "Ecosystems", CAST(NULL AS VARCHAR) AS "Time series", CAST(NULL AS VARCHAR) AS "Coverage", nr IN (1, 5, 16) AS line_after FROM n')
+@query(f'WITH {LONG}, {_SHEET}, n AS (SELECT *, CAST(row_number() OVER (ORDER BY code) AS INT) AS nr FROM sheet) SELECT nr AS row, "Indicator", "Class", "Ecosystems", CAST(NULL AS VARCHAR) AS "Time series", "Coverage", nr IN (1, 5, 16) AS line_after FROM n')
 def time_series_table(spark, sf):
-    return metadata.time_series_table(_sheet(spark))
+    return metadata.time_series_table(_sheet(spark, sf))
 
 
 # --- cell values ------------------------------------------------------------------------------------
@@ -136,10 +145,18 @@ def sanitised_layer(spark, sf):
     return held.select("pixel_id", N.quant(N.or_zero(F.col("odd")), 3).alias("v"), N.clean(F.col("odd")).isNull().alias("missing"))
 
 
-@query(f"WITH {CELL}, p AS (SELECT CASE WHEN pixel_id % 10 < 9 THEN (pixel_id % 90) / 1000.0 END AS p FROM cell) SELECT CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' WHEN p IS NOT NULL THEN 'ns' END AS stars, count(*) AS n FROM p GROUP BY 1")
+_R = "corr(smd, frag) FILTER (smd IS NOT NULL AND frag IS NOT NULL)"
+
+
+@query(f"""WITH {CELL}, c AS (SELECT region_id, count(*) FILTER (smd IS NOT NULL AND frag IS NOT NULL) AS n, {_R} AS r FROM cell GROUP BY 1),
+t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c), p AS (SELECT *, {p_sql('t', '(n - 2)')} AS p FROM t)
+SELECT region_id, n, {q_sql('r', 5)} AS r, {q_sql('p', 6)} AS p, {stars_sql('p')} AS stars FROM p""")
 def significance_stars(spark, sf):
-    p = F.when(F.col("pixel_id") % 10 < 9, (F.col("pixel_id") % 90) / 1000.0)
-    return cells(spark, sf).groupBy(N.stars(p).alias("stars")).agg(F.count("*").alias("n"))
+    """Correlation of moisture deficit and fragmentation in every region, with its significance."""
+    both = F.count_if(F.col("smd").isNotNull() & F.col("frag").isNotNull())
+    held = cells(spark, sf).groupBy("region_id").agg(both.alias("n"), corr("smd", "frag").alias("r"))
+    held = held.withColumn("p", t_p(spark, t_of_r(F.col("r"), F.col("n")), F.col("n") - 2))
+    return held.select("region_id", "n", _q("r", 5), _q("p", 6), N.stars(F.col("p")).alias("stars"))
 
 
 # --- regions --------------------------------------------------------------------------------------
