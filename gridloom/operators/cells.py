@@ -83,6 +83,23 @@ def in_polygons(cells: DataFrame, edges: DataFrame, x: str = "x", y: str = "y",
     return hits.where("n % 2 = 1").select("pixel_id", "region")
 
 
+def in_polygons_by_tiles(cells: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", band: float = 100.0, tile: int = 64) -> DataFrame:
+    """in_polygons, where tiles of `tile` bands a side that no edge comes near are decided as a whole, by their middle.
+
+    Only cells of the other tiles, along the edges, meet edges.
+    """
+    side = band * tile
+    at = lambda c: F.floor(F.col(c) / F.lit(side)).cast("long")
+    held = cells.select("pixel_id", F.col(x).alias("__x"), F.col(y).alias("__y")).withColumns({"__tx": at("__x"), "__ty": at("__y")})
+    spread = edges.select(*(F.sequence(F.least(at(f"{c}1"), at(f"{c}2")), F.greatest(at(f"{c}1"), at(f"{c}2"))).alias(f"__t{c}") for c in "xy"))
+    near = spread.select(F.explode("__tx").alias("__tx"), "__ty").select("__tx", F.explode("__ty").alias("__ty")).distinct()
+    tiles = held.select("__tx", "__ty").distinct().join(near, ["__tx", "__ty"], "left_anti")
+    middles = tiles.select(F.struct("__tx", "__ty").alias("pixel_id"), ((F.col("__tx") + 0.5) * side).alias("x"), ((F.col("__ty") + 0.5) * side).alias("y"))
+    whole = in_polygons(middles, edges, band=side).select("pixel_id.*", "region")
+    along = in_polygons(held.join(near, ["__tx", "__ty"], "left_semi"), edges, "__x", "__y", band)
+    return held.join(whole, ["__tx", "__ty"]).select("pixel_id", "region").unionByName(along)
+
+
 def polygon_mask(cells: DataFrame, edges: DataFrame, region: str, x: str = "x", y: str = "y") -> DataFrame:
     return cells.join(in_polygons(cells, edges.where(F.col("region") == region), x, y), "pixel_id", "left_semi")
 

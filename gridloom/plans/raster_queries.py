@@ -1,4 +1,4 @@
-"""Queries on rasters: GeoTIFF written and read, neighbourhoods, quantiles, other reference systems."""
+"""Queries on rasters: GeoTIFF written and read, neighbourhoods, quantiles, other reference systems, polygon files."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import projection as P
 from ..operators import catalog
+from ..operators import cells as C
 from ..operators.anomaly import to_long
 from ..operators.focal import focal
 from ..operators.quantiles import quantiles
 from ..shared import session_folder, stored
 from ..sources import grid as G
 from ..sources.geotiff import read_geotiff, write_geotiff
+from ..sources.shapefile import read_shapefile, write_shapefile
 from .adapter import ANOM, ANOMALIES, CELL, GRID, LAYERS, LONG, anomaly_cells, cells, q_sql, with_xy
 from .registry import query
 
@@ -119,3 +121,47 @@ def reprojected_grid(spark, sf):
     degrees = G.GridSpec(n_rows=(last + 1) * 9 // 10 + 10 if last is not None else 0, n_cols=150, x0=6.855, y0=47.345, res=0.001, crs="EPSG:4326")
     target = G.grid_cells(spark, degrees).withColumnRenamed("pixel_id", "target_id")
     return G.nearest_resample(target, held, degrees, GRID, ["pixel_id", "smd"]).select(F.col("target_id").cast("int").alias("target_id"), "pixel_id", *_quant("smd"))
+
+
+# --- polygon files ------------------------------------------------------------------------------------
+
+#: Rings as shares of the grid's width and height: A has a hole, B two parts, C lies in A's hole.
+_RINGS = {
+    "A": [[(0.13, 0.11), (0.82, 0.17), (0.91, 0.83), (0.21, 0.74)], [(0.37, 0.33), (0.63, 0.36), (0.58, 0.61)]],
+    "B": [[(0.03, 0.04), (0.31, 0.02), (0.17, 0.29)], [(0.71, 0.79), (0.97, 0.97), (0.44, 0.93)]],
+    "C": [[(0.42, 0.38), (0.55, 0.41), (0.53, 0.53)]],
+}
+_VERTICES = [(name, i, k, fx, fy) for name, rings in _RINGS.items() for i, ring in enumerate(rings) for k, (fx, fy) in enumerate(ring)]
+_EDGES = ", ".join(f"('{name}', {a[0]}, {a[1]}, {b[0]}, {b[1]})" for name, rings in _RINGS.items() for ring in rings for a, b in zip(ring, ring[1:] + ring[:1]))
+
+
+def _regions_sql(wanted: str) -> str:
+    point = lambda k: f"2556200 + CAST(x{k} AS DOUBLE) * 10000 AS x{k}, 1243700 - CAST(y{k} AS DOUBLE) * (last * 100) AS y{k}"
+    return f"""WITH {CELL}, f(region, x1, y1, x2, y2) AS (VALUES {_EDGES}), e AS (SELECT region, {point(1)}, {point(2)} FROM f, (SELECT CAST(max(row_idx) + 1 AS DOUBLE) AS last FROM cell) WHERE region IN ({wanted}))
+SELECT pixel_id, region FROM eco, e WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY pixel_id, region HAVING count(*) % 2 = 1"""
+
+
+def _polygon_file(spark, held) -> str:
+    """The regions, written as shapefiles."""
+    path = f"{session_folder(spark, 'polygons')}/regions"
+    shares = spark.createDataFrame(_VERTICES, "name string, ring_id int, seq int, fx double, fy double")
+    last = held.agg((F.max("row_idx") + 1).cast("double").alias("last"))
+    placed = shares.crossJoin(F.broadcast(last)).where("last is not null").withColumns({"x": F.lit(2556200) + F.col("fx") * 10000, "y": F.lit(1243700) - F.col("fy") * (F.col("last") * 100)})
+    write_shapefile(placed, path, files=2)
+    return path
+
+
+@query(_regions_sql("'A', 'B', 'C'"))
+def polygon_file_cells(spark, sf):
+    """Cells by the regions of a polygon file, with holes and several parts; inner tiles are decided as a whole."""
+    held = with_xy(stored(cells(spark, sf).select("pixel_id", "row_idx", "col_idx"), "places"))
+    shapes = read_shapefile(spark, _polygon_file(spark, held)).withColumnRenamed("NAME", "name")
+    return C.in_polygons_by_tiles(held, stored(C.ring_edges(shapes), "edges"), tile=8)
+
+
+@query(_regions_sql("'A'"))
+def polygon_file_region(spark, sf):
+    """Cells of one region, whose rings alone are read from the file."""
+    held = with_xy(stored(cells(spark, sf).select("pixel_id", "row_idx", "col_idx"), "places"))
+    shapes = read_shapefile(spark, _polygon_file(spark, held), "NAME", "A").withColumnRenamed("NAME", "name")
+    return C.in_polygons_by_tiles(held, stored(C.ring_edges(shapes), "edges"), tile=8)
