@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, lean, lean_group, prepare
+from .common import Scratch, connected_components, hot_join, lean, lean_group, prepare
 from .vectors import matrices, usable
 
 
@@ -220,7 +220,9 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, tables: int =
     spark = vectors.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "embedding-dedup")
-    good = usable(vectors).where(F.exists("v", lambda x: x != 0))
+    good = usable(vectors).where(F.exists("v", lambda x: x != 0)).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
+    # A row finds its class by 128 bits and the length of its vector, which so travels once, to be grouped.
+    digest = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1).cast("long"), "v").alias("k2"), F.size("v").alias("k3")]
     classes = scratch.save(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
     entered = scratch.save(
         classes.select("rep", "weight", "v").mapInArrow(lean(_enter(tables, probes, seed)), "space long, code long, rep long, weight long, vector binary, codes binary"), "entered"
@@ -242,10 +244,11 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9, tables: int =
     links = scratch.save(dealt.groupBy("space", "pack", "i", "j").applyInArrow(lean_group(_blocks(tables, probes, least)), _LINK_SCHEMA), "links")
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("id", "rep")
-    per_class = classes.join(counts, "rep", "left").join(parts, "rep", "left").select(
-        "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("component")
+    per_class = classes.select(*digest, "rep", "weight").join(counts, "rep", "left").join(parts, "rep", "left").select(
+        "k1", "k2", "k3", F.col("weight").alias("docs"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("component")
     )
-    joined = good.join(per_class, "v").select("vec_id", "n", "component")
+    per_class = scratch.save(per_class, "per-class")
+    joined = hot_join(scratch.save(good.select("vec_id", *digest), "keyed"), per_class, ["k1", "k2", "k3"]).select("vec_id", "n", "component")
     found = scratch.save(joined.groupBy("vec_id", "n", "component").agg(F.count("*").alias("c")), "found")
     # Rows of one id: components of an id's vectors meet.
     low = found.groupBy("vec_id").agg(F.min("component").alias("low"), F.max("component").alias("high"))
