@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, StringStartsWith
 from pyspark.sql.types import StructType
 
-from .common import lean, prepare, session_folder, small_enough
+from .common import Scratch, hot_join, lean, prepare, session_folder, small_enough
 
 SCHEMA = "record_id string, type string, uri string, date string, digest string, refers_to string, http_length long, payload binary"
 _HEADER = {"record_id": "warc-record-id", "type": "warc-type", "uri": "warc-target-uri", "date": "warc-date", "digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
@@ -132,9 +132,10 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 1000, date: str
     body = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long")})
-    narrow = rows.where((F.col("size") >= least_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    heads = narrow.groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "head")
-    revisits = narrow.join(heads, "digest").where("page_id < head").distinct()
+    scratch = Scratch(pages.sparkSession, "warc-digests")
+    narrow = scratch.save(rows.where((F.col("size") >= least_revisit) & F.col("page_id").isNotNull()).select("page_id", F.unhex("digest").alias("sha")), "digests")
+    heads = scratch.save(narrow.groupBy("sha").agg(F.max("page_id").alias("head"), F.count("*").alias("docs")).where("docs > 1"), "heads")
+    revisits = hot_join(narrow, heads, ["sha"]).where("page_id < head").select("page_id", F.lower(F.hex("sha")).alias("digest"), "head").distinct()
     if small_enough(revisits, broadcast_rows):
         revisits = F.broadcast(revisits)
     out = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "head", "digest", "size")

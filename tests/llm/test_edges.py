@@ -399,6 +399,24 @@ def test_a_hot_bucket_in_blocks_counts_every_link(spark):
         assert len(got) == 700 and {(r.n_links, r.component_id) for r in got} == {(699, 0)}
 
 
+def test_half_of_all_rows_are_equal(spark, monkeypatch):
+    """One vector, and one payload, that half of all rows have: what is known of it reaches them without a shuffle."""
+    from gridloom.llm import common, embedding_dedup, warc
+
+    kept = common.hot_join
+    tight = lambda rows, facts, on, most=20, share=20: kept(rows, facts, on, most, share)
+    monkeypatch.setattr(embedding_dedup, "hot_join", tight)
+    monkeypatch.setattr(warc, "hot_join", tight)
+    rng = np.random.default_rng(9)
+    one = rng.normal(size=16).tolist()
+    rows = [(i, one if i % 2 else rng.normal(size=16).tolist()) for i in range(600)] + [(600, [-0.0] + [1.0] * 15), (601, [0.0] + [1.0] * 15)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()}
+    assert all(got[i] == (299, 1) for i in range(1, 600, 2)) and got[600] == got[601] == (1, 600) and len(got) == 602
+    pages = [(i, f"http://x/{i}", "same page " * 200 if i % 2 else f"page {i} " * 200) for i in range(600)]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.warc_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {i: ("revisit", 599) if i % 2 and i < 599 else ("response", None) for i in range(600)}
+
+
 def test_vectors(spark):
     from gridloom.llm.embedding_dedup import near_duplicate_vectors
 
