@@ -112,12 +112,13 @@ def exact(decision: DataFrame, cells: DataFrame, settings: DataFrame, score: str
     settings = F.broadcast(settings.select("scenario_id", "k"))
     solutions = decision.select(*KEYS).distinct() if solutions is None else solutions.select(*KEYS)
     scored = cells.join(settings, "scenario_id") if "scenario_id" in cells.columns else cells.crossJoin(settings)
-    top = best_by(scored, F.col("k"), score, ("scenario_id",)).select("scenario_id", "pixel_id", score)
+    top = stored(best_by(scored, F.col("k"), score, ("scenario_id",)).select("scenario_id", "pixel_id", score), "best")
     spare = top.join(F.broadcast(solutions), "scenario_id").select(*KEYS, "pixel_id", F.lit(0).alias("x"), score)
     own = ["scenario_id", "pixel_id"] if "scenario_id" in cells.columns else ["pixel_id"]
     held = decision.select(*KEYS, "pixel_id", F.lit(1).alias("x")).join(cells.select(*own, score), own).select(*KEYS, "pixel_id", "x", score)
     held = held.unionByName(spare).groupBy(*KEYS, "pixel_id").agg(F.max("x").alias("x"), F.max(score).alias(score))
-    return best_by(held.join(settings, "scenario_id"), F.col("k"), score, tuple(KEYS), chosen="x").select(*KEYS, "pixel_id")
+    held = stored(held.join(settings, "scenario_id"), "candidates")
+    return best_by(held, F.col("k"), score, tuple(KEYS), chosen="x").select(*KEYS, "pixel_id")
 
 
 def _by_strategy(settings: DataFrame, choose: Callable) -> dict[Strategy, list[int]]:
@@ -137,7 +138,7 @@ def _for_each(settings: DataFrame, cells: DataFrame, solutions: DataFrame, choos
     for strategy, ids in _by_strategy(settings, choose).items():
         mine = lambda df: df.where(F.col("scenario_id").isin(ids))  # noqa: B023, E731
         wanted = mine(solutions).join(F.broadcast(mine(settings).select("scenario_id", "k")), "scenario_id").select(*KEYS, "k")
-        part = make(strategy, mine, mine(cells), wanted).select(*KEYS, "pixel_id")
+        part = stored(make(strategy, mine, mine(cells), stored(wanted, "wanted")).select(*KEYS, "pixel_id"), "plans")
         out = part if out is None else out.unionByName(part)
     return out
 

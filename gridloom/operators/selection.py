@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ordered_bits, uniform
@@ -57,6 +57,13 @@ def _inside(codes: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(c).between(F.col(f"__lo{c}"), F.col(f"__hi{c}")) for c in codes), F.col("__b") == F.col("__bin"))
 
 
+def _told(state: DataFrame, condition: Column) -> tuple[DataFrame, bool]:
+    """A written copy, and whether any of its rows meets a condition; both from one job."""
+    seen = Observation()
+    copy = stored(state.observe(seen, F.count_if(condition).alias("n")), "ranges")
+    return copy, bool(seen.get["n"])
+
+
 def kth_cells(held: DataFrame, keys: list[str], codes: list[str], ranked: int = RANKED) -> DataFrame:
     """(keys, __bin, codes of the k-th cell) of rows with __b, the range of their place, __need and codes.
 
@@ -65,10 +72,11 @@ def kth_cells(held: DataFrame, keys: list[str], codes: list[str], ranked: int =
     facts = lambda: [F.count("*").alias("__n"), F.max("__need").alias("__need"), *(f(c).alias(f"{e}{c}") for c in codes for e, f in (("__lo", F.min), ("__hi", F.max)))]
     sizes = held.groupBy(*keys, F.col("__b").alias("__at")).agg(*facts())
     state = _range_of_kth(sizes.withColumn("__bin", F.col("__at")), keys, codes, ["__bin"])
-    state = stored(state.withColumn("__whole", F.col("__need") == F.col("__n")), "ranges")
+    state = state.withColumn("__whole", F.col("__need") == F.col("__n"))
     differ = reduce(lambda a, b: a | b, (F.col(f"__lo{c}") < F.col(f"__hi{c}") for c in codes))
     large = (F.col("__n") > ranked) & (F.col("__need") < F.col("__n")) & differ
-    while not state.where(large).isEmpty():
+    state, any_large = _told(state, large)
+    while any_large:
         # The first column that tells cells of the range apart, and how many of its low bits may be left out.
         first = lambda e: F.coalesce(*(F.when(F.col(f"__lo{c}") < F.col(f"__hi{c}"), F.col(f"{e}{c}") if e else F.col(c)) for c in codes))
         wide = state.where(large).withColumns({"__l": first("__lo"), "__h": first("__hi")})
@@ -77,7 +85,7 @@ def kth_cells(held: DataFrame, keys: list[str], codes: list[str], ranked: int =
         rows = rows.withColumn("__at", F.expr("shiftright(__at, __shift) - shiftright(__l, __shift)"))
         sizes = rows.groupBy(*keys, "__at", "__bin").agg(*facts())
         split = _range_of_kth(sizes, keys, codes, ["__bin"]).withColumn("__whole", F.lit(False))
-        state = stored(state.where(~large).unionByName(split), "ranges")
+        state, any_large = _told(state.where(~large).unionByName(split), large)
     most = F.lit(2**63 - 1)
     done = state.where("__need = __n").select(*keys, "__bin", *(F.when(F.col("__whole"), most).otherwise(F.col(f"__hi{c}")).alias(f"__k{c}") for c in codes))
     part = _with(held.drop("__need"), state.where("__need < __n").drop("__n"), keys).where(_inside(codes))
@@ -91,9 +99,15 @@ def first_by(cells: DataFrame, k: int | Column, place: Column, order: list, keys
 
     `order` holds numbers, without NULLs, that together tell a key's cells apart.  With `flag` all cells, and
     in that column whether a cell is one of those.  What is broadcast has one row a key (a solution, a
-    region of a solution).  `cells` are read two or three times.
+    region of a solution).  `cells` are read two or three times.  Keys of no more than `ranked` cells each are
+    ranked as they are.
     """
     keys_, codes = list(keys), [f"__c{i}" for i in range(len(order))]
+    most = cells.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+    if most <= ranked:
+        line = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+        taken = F.row_number().over(line) <= (k if isinstance(k, Column) else F.lit(k))
+        return cells.withColumn(flag, taken) if flag else cells.withColumn("__taken", taken).where("__taken").drop("__taken")
     at = F.least(F.floor(place * ranges), F.lit(ranges - 1)).cast("int")
     need = F.greatest((k if isinstance(k, Column) else F.lit(k)).cast("long"), F.lit(0).cast("long"))
     held = cells.withColumns({"__need": need, "__b": at, **{c: _code(cells, o) for c, o in zip(codes, order)}})
@@ -229,11 +243,12 @@ def clustered(cells: DataFrame, plans: DataFrame, wanted: DataFrame, strength: f
         near = window_shares(cells, own, size, keys, -(-wanted.count() // _PLANS)).select(*keys, "pixel_id", F.col("share").alias("__f"))
     near = stored(near, "dense")
     found = near.groupBy(*keys).agg(F.count("*").alias("__n"))
-    short = stored(wanted.join(found, keys_, "left").where(F.coalesce("__n", F.lit(0)) < F.col("k")).select(*keys, F.least(F.col("k"), F.lit(1)).alias("__any")), "short")
+    short = wanted.join(found, keys_, "left").where(F.coalesce("__n", F.lit(0)) < F.col("k")).select(*keys)
     if not short.isEmpty():
-        others = cells.select("pixel_id").crossJoin(F.broadcast(short.select(*keys))).join(near.select(*keys, "pixel_id"), [*keys_, "pixel_id"], "left_anti")
+        others = cells.select("pixel_id").crossJoin(F.broadcast(short)).join(near.select(*keys, "pixel_id"), [*keys_, "pixel_id"], "left_anti")
         near = near.unionByName(others.select(*keys, "pixel_id", F.lit(0.0).alias("__f")))
     scored = near.join(F.broadcast(wanted.select(*keys, "k")), keys_).withColumn("__s", F.floor(F.col("__f") * 1e6 + 0.5) + uniform(seed, F.col("pixel_id")))
+    scored = stored(scored, "scored")
     return best_by(scored, F.col("k"), "__s", keys).select(*keys, "pixel_id")
 
 
@@ -251,7 +266,7 @@ def burdened(cells: DataFrame, plans: DataFrame, wanted: DataFrame, seed: int |
     short = quota.join(have, [*keys_, "region_id"], "left").where(F.coalesce("__n", F.lit(0)) < F.col("quota")).select(*keys, "region_id")
     others = cells.select("pixel_id", "region_id").join(F.broadcast(short), "region_id").join(held.select(*keys, "pixel_id"), [*keys_, "pixel_id"], "left_anti")
     every = held.select(*keys, "region_id", "pixel_id", "x").unionByName(others.select(*keys, "region_id", "pixel_id", F.lit(0).alias("x")))
-    every = every.join(F.broadcast(quota), [*keys_, "region_id"])
+    every = stored(every.join(F.broadcast(quota), [*keys_, "region_id"]), "shares")
     return random_repair(every, F.col("quota"), seed, (*keys, "region_id")).select(*keys, "pixel_id")
 
 

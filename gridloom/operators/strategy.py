@@ -8,6 +8,7 @@ from typing import Protocol, runtime_checkable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .selection import burdened, clustered, random_starts
 
 KEYS = ["scenario_id", "sol_id"]
@@ -33,7 +34,8 @@ class Strategy(Protocol):
 
 def _one_of(cells: DataFrame) -> DataFrame:
     """The cells once, without their scenarios."""
-    return cells.where(F.col("scenario_id") == cells.agg(F.min("scenario_id")).first()[0]).drop("scenario_id")
+    any_one = cells.select("scenario_id").first()
+    return cells.where(F.col("scenario_id") == (any_one[0] if any_one else None)).drop("scenario_id")
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,7 @@ class Spread:
     def repair(self, plans: DataFrame, cells: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
         cells = _one_of(cells)
         if self.burden:
-            plans = burdened(cells, plans, wanted, seed, tuple(KEYS))
+            plans = stored(burdened(cells, plans, wanted, seed, tuple(KEYS)), "plans")
         if self.strength > 0:
             plans = clustered(cells, plans, wanted, self.strength, F.col("sol_id"), tuple(KEYS))
         return plans.select(*KEYS, "pixel_id")
