@@ -71,27 +71,24 @@ def if_else(condition: Column, yes: Column, no: Column, na: str = "null") -> Col
     return F.when(condition.isNotNull(), rest) if na == "null" else rest
 
 
-def uniform(seed: int | Column, *parts: Column) -> Column:
-    """Portable uniform number in [0, 1) from md5: the same in every engine and partitioning."""
+def draw(seed: int | Column, *parts: Column) -> Column:
+    """Portable whole number of 32 bits from md5: the same in every engine and partitioning."""
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     text = F.concat_ws(":", seed.cast("string"), *(p.cast("string") for p in parts))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def ordered_bits(value: Column) -> Column:
-    """A long that rises with a double: its bits, negated below zero.  NULL and NaN give NULL.
+def uniform(seed: int | Column, *parts: Column) -> Column:
+    """Portable uniform number in [0, 1): a draw as a part of all 2 ** 32."""
+    return draw(seed, *parts).cast("double") / F.lit(4294967296.0)
 
-    Exponent and mantissa are taken by exact steps: powers of two, and divisions by them.
-    """
+
+def ordered_bits(value: Column) -> Column:
+    """A long that rises with a double: its bits, negated below zero.  NULL and NaN give NULL."""
     value = value.cast("double")
-    size = F.abs(value)
-    near = F.floor(F.log2(size)).cast("double")
-    exponent = F.when(F.pow(F.lit(2.0), near) > size, near - 1).when(F.pow(F.lit(2.0), near + 1) <= size, near + 1).otherwise(near)
-    exponent = F.greatest(exponent, F.lit(-1022.0))
-    part = size / F.pow(F.lit(2.0), exponent)  # in [1, 2), or below 1 for the smallest numbers
-    whole = (exponent + 1023).cast("long") * F.lit(2**52)
-    bits = F.when(part >= 1, whole + ((part - 1) * F.lit(2.0**52)).cast("long")).otherwise((part * F.lit(2.0**52)).cast("long"))
-    bits = F.when(size == 0, F.lit(0).cast("long")).when(size == F.lit(float("inf")), F.lit(2047 * 2**52)).when(~F.isnan(value), bits)
+    size = F.coalesce(F.abs(value), F.lit(0.0))
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), size).cast("long")
+    bits = F.when(value.isNotNull() & ~F.isnan(value), bits)
     return F.when(value < 0, -bits).otherwise(bits)
 
 

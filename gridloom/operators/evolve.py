@@ -16,12 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import uniform
+from ..functions.numeric import draw, uniform
 from ..shared import stored
 from ..shipping import ship_package
 from .effects import objectives, repair_scores
 from .pareto import pareto_front
-from .selection import best_by, first_by
+from .selection import best_by, first_drawn
 from .strategy import ByScore, Spread, Strategy, checked, of_scenario
 
 KEYS = ["scenario_id", "sol_id"]
@@ -79,11 +79,12 @@ def hux(parents: DataFrame, pairs: DataFrame, seed: int | Column) -> DataFrame:
     child = ("scenario_id", "child_id")
     mother = pairs.join(parents.withColumnRenamed("sol_id", "mother"), ["scenario_id", "mother"]).select(*child, "pixel_id", F.lit(1).alias("m"))
     father = pairs.join(parents.withColumnRenamed("sol_id", "father"), ["scenario_id", "father"]).select(*child, "pixel_id", F.lit(1).alias("f"))
-    both = mother.join(father, [*child, "pixel_id"], "full").withColumns({"m": F.coalesce("m", F.lit(0)), "f": F.coalesce("f", F.lit(0))})
+    both = stored(mother.join(father, [*child, "pixel_id"], "full").withColumns({"m": F.coalesce("m", F.lit(0)), "f": F.coalesce("f", F.lit(0))}), "parents")
     same = both.where("m = f")
-    differ = both.where("m <> f").withColumn("u", uniform(seed, F.col("scenario_id"), F.col("child_id"), F.col("pixel_id")))
+    differ = both.where("m <> f")
     half = differ.groupBy(*child).agg(F.floor(F.count("*") / 2).alias("half"))  # a row a pair of parents
-    swapped = first_by(differ.join(F.broadcast(half), list(child)), F.col("half"), F.col("u"), ["u", "pixel_id"], child, flag="swap")
+    order = draw(seed, F.col("scenario_id"), F.col("child_id"), F.col("pixel_id"))
+    swapped = first_drawn(differ.join(F.broadcast(half), list(child)), F.col("half"), order, child, flag="swap")
     first = swapped.where(F.when(F.col("swap"), F.col("f")).otherwise(F.col("m")) == 1).select("scenario_id", (F.col("child_id") * 2).alias("sol_id"), "pixel_id")
     second = swapped.where(F.when(F.col("swap"), F.col("m")).otherwise(F.col("f")) == 1).select("scenario_id", (F.col("child_id") * 2 + 1).alias("sol_id"), "pixel_id")
     kept = same.withColumn("sol_id", F.explode(F.array(F.col("child_id") * 2, F.col("child_id") * 2 + 1))).select("scenario_id", "sol_id", "pixel_id")

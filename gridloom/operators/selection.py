@@ -5,6 +5,9 @@ in [0, 1) that follows the order deals them into ranges, and ranges are counted.
 the k-th cell holds too many, as with outliers or ties, it is split by the bits of the order's columns,
 again and again, until few cells are left to rank.  What is then known of a key is the k-th cell; which
 cells come before it is a filter.
+
+Where the order is one of random draws, the k-th of n lies near k / n: one pass writes the cells up to a
+little beyond that, and only the few on both sides of it are ranked.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ordered_bits, uniform
+from ..functions.numeric import draw, ordered_bits, uniform
 from ..shared import stored
 from .focal import square_mean, window_shares
 from .quantiles import quantiles
@@ -121,10 +124,45 @@ def first_by(cells: DataFrame, k: int | Column, place: Column, order: list, keys
     return held.drop("__need", "__b", "__bin", *codes, *(f"__k{c}" for c in codes))
 
 
-def random_subset(cells: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = (), ranges: int = RANGES) -> DataFrame:
+def first_drawn(cells: DataFrame, k: int | Column, drawn: Column, keys: tuple[str, ...] = (), flag: str | None = None, ranked: int = RANKED) -> DataFrame:
+    """The k cells of each key with the smallest draws (see numeric.draw), ties by pixel_id; with `flag` all cells, see first_by.
+
+    Draws are even, so the k-th of n lies within a few standard deviations of k / n: cells up to there are written
+    in one pass, and those around it ranked.  Draws that are not even (as of cells that are there many times) show in
+    the counts and go to first_by.  `cells` are read twice: to be counted, and to be drawn.
+    """
+    keys_ = list(keys)
+    need = F.greatest((k if isinstance(k, Column) else F.lit(k)).cast("long"), F.lit(0).cast("long"))
+    sizes = cells.withColumn("__need", need).groupBy(*keys).agg(F.count("*").alias("__n"), F.max("__need").alias("__need"))
+    sizes = stored(sizes.withColumn("__need", F.least("__need", "__n")), "sizes")
+    held = cells.withColumn("__d", drawn)
+    if (sizes.agg(F.max("__n")).first()[0] or 0) <= ranked:
+        return first_by(held, k, F.lit(0.0), ["__d", "pixel_id"], keys, flag=flag, ranked=ranked).drop("__d")
+    spread = 6 * F.sqrt(F.col("__need") * (1 - F.col("__need") / F.col("__n"))) + 20
+    at = lambda place: F.greatest(F.least(place / F.col("__n"), F.lit(1.0)), F.lit(0.0)) * F.lit(2.0**32)
+    sizes = sizes.withColumns({"__low": F.floor(at(F.col("__need") - spread)), "__high": F.ceil(at(F.col("__need") + spread))})
+    wanted = sizes.where("__need > 0")
+    near = held if flag else _with(held, wanted.select(*keys, "__high"), keys_).where("__d <= __high").drop("__high")
+    near = stored(near, "draws")
+    found = _with(near.select(*keys, "__d"), wanted.select(*keys, "__low", "__high"), keys_)
+    found = found.groupBy(*keys).agg(F.count_if(F.col("__d") < F.col("__low")).alias("__below"), F.count_if(F.col("__d") <= F.col("__high")).alias("__upto"))
+    found = wanted.join(F.broadcast(found), keys_, "left") if keys else wanted.crossJoin(F.broadcast(found))
+    state, uneven = _told(found.fillna(0, ["__below", "__upto"]), ~F.col("__need").between(F.col("__below") + 1, F.col("__upto")))
+    if uneven:
+        return first_by(stored(held, "draws"), k, F.col("__d") / F.lit(2.0**32), ["__d", "pixel_id"], keys, flag=flag, ranked=ranked).drop("__d")
+    around = _with(near.select(*keys, "__d", "pixel_id"), state.select(*keys, "__low", "__high", (F.col("__need") - F.col("__below")).alias("__need")), keys_)
+    around = around.where("__d between __low and __high")
+    around = around.withColumn("__rank", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__d", "pixel_id")))
+    last = stored(around.where("__rank = __need").select(*keys, F.col("__d").alias("__kd"), F.col("pixel_id").alias("__kp")), "last")
+    taken = (F.col("__d") < F.col("__kd")) | ((F.col("__d") == F.col("__kd")) & (F.col("pixel_id") <= F.col("__kp")))
+    out = _with(near, last, keys_, "left" if flag else "inner")
+    out = out.withColumn(flag, F.coalesce(taken, F.lit(False))) if flag else out.where(taken)
+    return out.drop("__d", "__kd", "__kp")
+
+
+def random_subset(cells: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = (), ranked: int = RANKED) -> DataFrame:
     """k cells of each key with the smallest seeded random numbers."""
-    held = cells.withColumn("__u", uniform(seed, F.col("pixel_id")))
-    return first_by(held, k, F.col("__u"), ["__u", "pixel_id"], keys, ranges).drop("__u")
+    return first_drawn(cells, k, draw(seed, F.col("pixel_id")), keys, ranked=ranked)
 
 
 def best_by(cells: DataFrame, k: int | Column, score: str, keys: tuple[str, ...] = (), ranges: int = RANGES, chosen: str | None = None) -> DataFrame:
@@ -149,8 +187,13 @@ def repair(candidates: DataFrame, k: int | Column, score: str, keys: tuple[str,
 
 def random_repair(candidates: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
     """Exactly k cells a solution by random draws: of too many chosen (x = 1) some are dropped, of too few others are added."""
-    held = candidates.withColumn("__u", uniform(seed, *map(F.col, keys), F.col("pixel_id")))
-    return first_by(held, k, (F.col("__u") + 1 - F.col("x")) / 2, [1 - F.col("x"), "__u", "pixel_id"], keys).drop("__u")
+    k = (k if isinstance(k, Column) else F.lit(k)).cast("long")
+    ones = F.sum(F.col("x").cast("long"))
+    sizes = candidates.groupBy(*keys).agg(ones.alias("__ones"), F.max(k).alias("__k"))
+    sizes = stored(sizes.select(*keys, F.least("__k", "__ones").alias("__keep"), F.greatest(F.col("__k") - F.col("__ones"), F.lit(0)).alias("__add")), "sizes")
+    need = F.when(F.col("x") == 1, F.col("__keep")).otherwise(F.col("__add"))
+    held = _with(candidates, sizes, list(keys)).withColumn("__share", need).drop("__keep", "__add")
+    return first_drawn(held, F.col("__share"), draw(seed, *map(F.col, keys), F.col("pixel_id")), (*keys, "x")).select(*candidates.columns)
 
 
 def quotas(regions: DataFrame, k: int | Column, mode: str = "equal", keys: tuple[str, ...] = ()) -> DataFrame:
