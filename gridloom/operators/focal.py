@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..shipping import ship_package
 
@@ -50,6 +52,15 @@ def _top(values: np.ndarray, size: int) -> np.ndarray:
     return values
 
 
+def _shifted(values: np.ndarray, half: int, offsets: list[tuple[int, int]]) -> np.ndarray:
+    """Sums over given offsets from every cell of an array with a rim of `half`."""
+    high, wide = values.shape[0] - 2 * half, values.shape[1] - 2 * half
+    total = np.zeros((high, wide))
+    for r, c in offsets:
+        total += values[half + r : half + r + high, half + c : half + c + wide]
+    return total
+
+
 def _window(reducer, values: np.ndarray, there: np.ndarray, size: int, cells: np.ndarray | None) -> np.ndarray:
     """A reducer over the windows of an array with a rim of half a window; NaN where a window has no value."""
     zero = np.where(there, values, 0.0)
@@ -85,33 +96,42 @@ def _tiles(place: str, half: int, tile: int):
     return F.explode(F.sequence(F.floor((F.col(place) - half) / tile).cast("int"), F.floor((F.col(place) + half) / tile).cast("int")))
 
 
-def focal(cells: DataFrame, value: str, size: int, reducers: dict[str, str | Callable], keys: tuple[str, ...] = (), tile: int = TILE, whole: bool = True) -> DataFrame:
+def _tile_of(tile: int) -> dict:
+    return {"__r": F.floor(F.col("row_idx") / tile).cast("int"), "__c": F.floor(F.col("col_idx") / tile).cast("int")}
+
+
+def _rim(cells: DataFrame, half: int, tile: int) -> DataFrame:
+    """Copies of the cells within half a window of another tile, for that tile."""
+    at = _tile_of(tile)
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile))
+    near = lambda c: (edge(c) < half) | (edge(c) >= tile - half)
+    rim = cells.where(near("row_idx") | near("col_idx")).withColumn("__r", _tiles("row_idx", half, tile)).withColumn("__c", _tiles("col_idx", half, tile))
+    return rim.where((F.col("__r") != at["__r"]) | (F.col("__c") != at["__c"])).withColumn("__own", F.lit(False))
+
+
+def focal(cells: DataFrame, value: str, size: int, reducers: dict[str, str | Callable | list], keys: tuple[str, ...] = (), tile: int = TILE, whole: bool = True) -> DataFrame:
     """Adds columns (name -> reducer) over the size x size window around every cell, cut at edges, NULLs left out.
 
     Reducers are count, sum, mean, variance and sd (of the sample), max, min, or a function from an array of
-    windows (n, size * size), NaN where there is no value, to n numbers.  A window without what a reducer
-    needs gives NULL.  Cells that are there twice count twice in sums.  All of it takes one exchange.
+    windows (n, size * size), NaN where there is no value, to n numbers, or a list of offsets: the mean over these,
+    NULL where the cell itself or any of them has no single value.  A window without what a reducer needs gives NULL.  Cells that are there twice count twice in sums.  All of it takes one exchange.
     With whole=False (count, sum and mean) a window is followed along the cells that are there: a row counts only
     if it has a cell in the column of the window's middle.
     """
-    if not whole and not set(reducers.values()) <= {"count", "sum", "mean"}:
+    if not whole and not all(r in ("count", "sum", "mean") for r in reducers.values()):
         raise ValueError("only count, sum and mean follow the cells that are there")
     if size % 2 == 0 or size < 1:
         raise ValueError("a window has an odd number of cells a side")
-    unknown = [r for r in reducers.values() if not callable(r) and r not in ("count", "sum", "mean", "variance", "sd", "max", "min")]
+    unknown = [r for r in reducers.values() if not callable(r) and not isinstance(r, list) and r not in ("count", "sum", "mean", "variance", "sd", "max", "min")]
     if unknown:
         raise ValueError(f"unknown reducers {unknown}")
     ship_package(cells.sparkSession)
     half = size // 2
     tile = max(tile, size)
-    at = {"__r": F.floor(F.col("row_idx") / tile).cast("int"), "__c": F.floor(F.col("col_idx") / tile).cast("int")}
+    at = _tile_of(tile)
     own = cells.withColumns({**at, "__v": F.col(value).cast("double"), "__own": F.lit(True)})
     rim = (cells.where(F.col(value).isNotNull()) if whole else cells).select(*keys, "row_idx", "col_idx", F.col(value).cast("double").alias("__v"))
-    edge = lambda c: F.pmod(F.col(c), F.lit(tile))
-    near = lambda c: (edge(c) < half) | (edge(c) >= tile - half)
-    rim = rim.where(near("row_idx") | near("col_idx")).withColumn("__r", _tiles("row_idx", half, tile)).withColumn("__c", _tiles("col_idx", half, tile))
-    rim = rim.where((F.col("__r") != at["__r"]) | (F.col("__c") != at["__c"])).withColumn("__own", F.lit(False))
-    every = own.unionByName(rim, allowMissingColumns=True)
+    every = own.unionByName(_rim(rim, half, tile), allowMissingColumns=True)
     names = cells.columns
 
     def run(table: pa.Table) -> pa.Table:
@@ -137,7 +157,11 @@ def focal(cells: DataFrame, value: str, size: int, reducers: dict[str, str | Cal
         there = n > 0
         got = []
         for reducer in reducers.values():
-            if again and reducer in ("count", "sum", "mean"):
+            if isinstance(reducer, list):
+                total, number = _shifted(values, half, reducer), _shifted(n.astype(float), half, reducer)
+                centre = n[half : high - half, half : wide - half] > 0
+                out = np.where(centre & (number == len(reducer)), total / len(reducer), np.nan)
+            elif again and reducer in ("count", "sum", "mean"):
                 total, number = _sum(values, size, there_at), np.rint(_sum(n.astype(float), size, there_at))
                 with np.errstate(invalid="ignore", divide="ignore"):
                     out = {"count": number, "sum": np.where(number > 0, total, np.nan), "mean": np.where(number > 0, total / number, np.nan)}[reducer]
@@ -161,6 +185,53 @@ def square_mean(cells: DataFrame, value: str, size: int, out: str = "focal", key
     return focal(cells, value, size, {out: "mean"}, keys, whole=whole)
 
 
+def smoothed_draws(cells: DataFrame, seeds: list[int], size: int, wanted: str, out: str, tile: int = TILE) -> DataFrame:
+    """Adds an array with a whole number for every seed: 10 ** 9 times the mean of the seed's uniform numbers (see
+    numeric.uniform) over the size x size window around the cell, rounded half up; NULL where not `wanted`.
+
+    Cells are exchanged once for all seeds; draws are made in the task that holds the tile, and are sums of whole
+    numbers, so means are exact up to one division.
+    """
+    ship_package(cells.sparkSession)
+    half = size // 2
+    tile = max(tile, size)
+    own = cells.withColumns({**_tile_of(tile), "__own": F.lit(True)})
+    every = own.unionByName(_rim(cells.select("pixel_id", "row_idx", "col_idx"), half, tile), allowMissingColumns=True)
+    names = cells.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        is_own = table.column("__own").to_numpy()
+        mine = table.filter(table.column("__own"))
+        r0, c0 = table.column("__r")[0].as_py() * tile, table.column("__c")[0].as_py() * tile
+        r, c = table.column("row_idx").to_numpy() - r0 + half, table.column("col_idx").to_numpy() - c0 + half
+        high, wide = int(r.max()) + 1 + half, int(c.max()) + 1 + half
+        spot = r * wide + c
+        n = np.bincount(spot, minlength=high * wide).reshape(high, wide)
+        kept = np.flatnonzero(mine.column(wanted).fill_null(False).to_numpy(zero_copy_only=False))
+        r, c = r[is_own][kept] - half, c[is_own][kept] - half
+        room = np.rint(_sum(n.astype(float), size))[r, c]
+        texts = [b":%d" % p for p in table.column("pixel_id").to_pylist()]
+        got = np.empty((len(kept), len(seeds)), np.int32)
+        for k, seed in enumerate(seeds):
+            head = md5(b"%d" % seed)
+            raw = bytearray()
+            for text in texts:
+                one = head.copy()
+                one.update(text)
+                raw += one.digest()[:4]
+            grid = np.bincount(spot, weights=np.frombuffer(raw, ">u4").astype(float), minlength=high * wide).reshape(high, wide)
+            got[:, k] = np.floor(_sum(grid, size)[r, c] / 4294967296.0 / room * 1e9 + 0.5)
+        there = np.zeros(mine.num_rows, bool)
+        there[kept] = True
+        ends = np.concatenate([[0], np.cumsum(there) * len(seeds)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends[:-1].tolist() + [int(ends[-1])], pa.int32()), pa.array(got.ravel()))
+        lists = pa.compute.if_else(pa.array(there), lists, pa.scalar(None, lists.type))
+        return pa.Table.from_arrays([mine.column(x) for x in names] + [lists], names=[*names, out])
+
+    schema = StructType([*cells.schema.fields, StructField(out, ArrayType(IntegerType()))])
+    return every.groupBy("__r", "__c").applyInArrow(run, schema)
+
+
 def square_variance(cells: DataFrame, value: str, size: int, out: str = "noise", keys: tuple[str, ...] = ()) -> DataFrame:
     """Sample variance in the window around every cell, NULLs left out."""
     return focal(cells, value, size, {out: "variance"}, keys)
@@ -222,13 +293,8 @@ def disc(radius: float, res: float = 1.0) -> list[tuple[int, int]]:
 
 def offset_sum(cells: DataFrame, value: str, offsets: list[tuple[int, int]], out: str = "influence", keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean over the offsets (equal weights that sum to 1); NULL where the centre or any cell of the window is missing."""
-    n = len(offsets)
-    moves = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in offsets)))
-    sent = cells.where(F.col(value).isNotNull()).select(*keys, "row_idx", "col_idx", F.col(value).alias("__v"), moves.alias("__o"))
-    sent = sent.select(*keys, (F.col("row_idx") - F.col("__o.r")).alias("row_idx"), (F.col("col_idx") - F.col("__o.c")).alias("col_idx"), "__v")
-    got = sent.groupBy(*keys, "row_idx", "col_idx").agg(F.sum("__v").alias("__s"), F.count("*").alias("__n"))
-    joined = cells.join(got, [*keys, "row_idx", "col_idx"], "left")
-    return joined.withColumn(out, F.when((F.col("__n") == n) & F.col(value).isNotNull(), F.col("__s") / F.lit(float(n)))).drop("__s", "__n")
+    reach = max((max(abs(r), abs(c)) for r, c in offsets), default=0)
+    return focal(cells, value, 2 * reach + 1, {out: list(offsets)}, keys)
 
 
 def ring(selected: DataFrame, keys: tuple[str, ...] = (), radius: int = 1) -> DataFrame:

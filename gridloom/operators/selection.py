@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import draw, ordered_bits, uniform
 from ..shared import stored
-from .focal import square_mean, window_shares
+from .focal import smoothed_draws, square_mean, window_shares
 from .quantiles import quantiles
 
 RANGES = 256
@@ -347,15 +347,22 @@ def quantile_by(cells: DataFrame, value: str, p: float, keys: tuple[str, ...], r
 
 
 def decision_layers(cells: DataFrame, seeds: DataFrame, p: float, size: int | None, inside: Column) -> DataFrame:
-    """(dv_id, cells, dv): seeded noise, smoothed if a window is given, cut at the 1 - p quantile of the cells inside.
+    """(cells, dv_id, dv): seeded noise, smoothed if a window is given, cut at the 1 - p quantile of the cells inside.
 
-    dv is 1 at or above the cut, 0 below, NULL outside the decision area.  Only keys and noise go through
-    the windows; noise is written once, since it is read for the quantile and for the layer.
+    dv is 1 at or above the cut, 0 below, NULL outside the decision area.  Cells go through the windows once for all
+    seeds, and noise is written once, a row a cell with a whole number a seed; rows a seed are made where it is read.
     """
-    held = cells.select("pixel_id", "row_idx", "col_idx", inside.alias("__in")).crossJoin(F.broadcast(seeds)).withColumn("noise", uniform(F.col("dv_id"), F.col("pixel_id")))
+    ids = [r[0] for r in seeds.select("dv_id").collect()]  # a number a layer
+    held = cells.withColumn("__in", inside)
     if size:
-        held = square_mean(held, "noise", size, "__m", ("dv_id",)).withColumn("noise", F.floor(F.col("__m") * 1e9 + 0.5) / 1e9)
-    held = stored(held.select("dv_id", "pixel_id", "__in", "noise"), "noise")
-    cut = quantile_by(held.where("__in"), "noise", 1 - p, ("dv_id",))
-    layer = held.join(F.broadcast(cut), "dv_id").select("dv_id", "pixel_id", F.when(F.col("__in"), (F.col("noise") >= F.col("cut")).cast("int")).alias("dv"))
-    return cells.join(layer, "pixel_id")
+        unit, held = 1e9, smoothed_draws(held, ids, size, "__in", "__noise")
+    else:
+        unit, held = 2.0**32, held.withColumn("__noise", F.when(F.col("__in"), F.array(*(draw(i, F.col("pixel_id")) for i in ids))))
+    held = stored(held, "noise")
+    long = held.where("__in").select(F.posexplode("__noise").alias("__layer", "__c"))
+    cut = quantiles(long.withColumn("noise", F.col("__c") / F.lit(unit)), "noise", [1 - p], ("__layer",), code="__c").select("__layer", F.col("q").alias("__cut"))
+    number = F.element_at(F.array(*map(F.lit, ids)), F.col("__layer") + 1)
+    cut = stored(cut.select("__layer", number.alias("dv_id"), "__cut"), "cuts")
+    noise = F.get(F.col("__noise"), F.col("__layer")) / F.lit(unit)
+    layer = held.crossJoin(F.broadcast(cut))  # a row a layer
+    return layer.withColumn("dv", F.when(F.col("__in"), (noise >= F.col("__cut")).cast("int"))).drop("__in", "__noise", "__layer", "__cut")

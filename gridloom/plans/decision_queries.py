@@ -258,13 +258,13 @@ def dv_smoothed(spark, sf):
 
 @query(f"WITH {_dv_sql(20, 3)} SELECT dv_id, count(*) FILTER (dv = 1) AS n1, count(*) FILTER (dv = 0) AS n0, count(*) FILTER (dv IS NULL) AS n_out FROM dv GROUP BY 1")
 def dv_ensemble(spark, sf):
-    held = selection.decision_layers(_dv_cells(spark, sf), _seeds(spark, 20), 0.2, 3, _inside())
+    held = selection.decision_layers(_dv_cells(spark, sf).select("pixel_id", "row_idx", "col_idx", "ecosystem"), _seeds(spark, 20), 0.2, 3, _inside())
     return held.groupBy("dv_id").agg(F.count_if(F.col("dv") == 1).alias("n1"), F.count_if(F.col("dv") == 0).alias("n0"), F.count_if(F.col("dv").isNull()).alias("n_out"))
 
 
 @query(f"WITH {_dv_sql(100, 3)} SELECT dv_id, count(*) FILTER (dv = 1) AS n1, count(*) FILTER (dv = 0) AS n0, count(*) FILTER (dv IS NULL) AS n_out FROM dv GROUP BY 1")
 def dv_ensemble_100(spark, sf):
-    held = selection.decision_layers(_dv_cells(spark, sf), _seeds(spark, 100), 0.2, 3, _inside())
+    held = selection.decision_layers(_dv_cells(spark, sf).select("pixel_id", "row_idx", "col_idx", "ecosystem"), _seeds(spark, 100), 0.2, 3, _inside())
     return held.groupBy("dv_id").agg(F.count_if(F.col("dv") == 1).alias("n1"), F.count_if(F.col("dv") == 0).alias("n0"), F.count_if(F.col("dv").isNull()).alias("n_out"))
 
 

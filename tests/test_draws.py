@@ -56,3 +56,35 @@ def test_bits_of_doubles_rise(spark):
     rows = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").select(ordered_bits(F.col("v")).alias("b")).collect()
     bits = [r["b"] for r in rows]
     assert bits[:11] == sorted(bits[:11]) and bits[4] == bits[5] == 0 and bits[11:] == [None, None] and len(set(bits[:11])) == 10
+
+
+def test_noise_of_all_layers_takes_a_row_a_cell(spark):
+    """Smoothed noise, cell by cell, against brute force; tiles of 8 cells, holes, and cells outside the area."""
+    from gridloom.operators.focal import smoothed_draws
+
+    cells = [(r * 20 + c, r, c, (r + c) % 3 != 0) for r in range(23) for c in range(20) if (r * 7 + c) % 11]
+    df = spark.createDataFrame(cells, "pixel_id long, row_idx int, col_idx int, wanted boolean")
+    seeds = [4, 9]
+    got = smoothed_draws(df, seeds, 3, "wanted", "noise", tile=8).collect()
+    at = {(r, c): p for p, r, c, _ in cells}
+    assert len(got) == len(cells)
+    for row in got:
+        if not row["wanted"]:
+            assert row["noise"] is None
+            continue
+        near = [at[q] for q in ((row["row_idx"] + a, row["col_idx"] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)) if q in at]
+        assert row["noise"] == [int(sum(_number(s, p) for p in near) / 2**32 / len(near) * 1e9 + 0.5) for s in seeds]
+
+
+def test_offset_means_go_by_tiles(spark):
+    """No join, and no row an offset: one exchange, whatever the number of offsets."""
+    from gridloom.operators.focal import disc, focal, offset_sum
+
+    cells = [(r, c, None if (r * 5 + c) % 13 == 0 else float(r * c % 7)) for r in range(20) for c in range(20)]
+    df = spark.createDataFrame(cells, "row_idx int, col_idx int, v double")
+    assert "Join" not in offset_sum(df, "v", disc(2.0))._jdf.queryExecution().optimizedPlan().toString()
+    known = {(r, c): v for r, c, v in cells}
+    for row in focal(df, "v", 5, {"m": disc(2.0)}, tile=8).collect():
+        near = [known.get((row["row_idx"] + a, row["col_idx"] + b)) for a, b in disc(2.0)]
+        wanted = None if row["v"] is None or None in near else sum(near) / len(near)
+        assert (row["m"] is None) == (wanted is None) and (wanted is None or abs(row["m"] - wanted) < 1e-12)
