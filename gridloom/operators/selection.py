@@ -267,7 +267,7 @@ def smoothed_score(held: DataFrame, value: str, strength: float, seed: Column, k
 
 def clustering_repair(candidates: DataFrame, k: int | Column, strength: float, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
     """Exactly k cells a solution by the smoothed density of its chosen ones (x = 1)."""
-    held = smoothed_score(candidates, "x", strength, F.col(keys[-1]), keys)
+    held = stored(smoothed_score(candidates, "x", strength, F.col(keys[-1]), keys), "scored")  # read several times
     return best_by(held, k, "__s", keys).drop("__s")
 
 

@@ -88,3 +88,10 @@ def test_offset_means_go_by_tiles(spark):
         near = [known.get((row["row_idx"] + a, row["col_idx"] + b)) for a, b in disc(2.0)]
         wanted = None if row["v"] is None or None in near else sum(near) / len(near)
         assert (row["m"] is None) == (wanted is None) and (wanted is None or abs(row["m"] - wanted) < 1e-12)
+
+
+def test_windows_of_a_repair_are_taken_once(spark):
+    held = _plans(spark, 400, 2).withColumns({"row_idx": (F.col("pixel_id") / 20).cast("int"), "col_idx": (F.col("pixel_id") % 20).cast("int"), "x": (F.col("pixel_id") % 7 == 0).cast("int")})
+    found = selection.clustering_repair(held, 50, 0.3)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 100
