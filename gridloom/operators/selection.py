@@ -7,18 +7,24 @@ again and again, until few cells are left to rank.  What is then known of a key
 cells come before it is a filter.
 
 Where the order is one of random draws, the k-th of n lies near k / n: one pass writes the cells up to a
-little beyond that, and only the few on both sides of it are ranked.
+little beyond that, and only the few on both sides of it are ranked.  Plans of the same cells draw them
+together: a task takes a block of cells, and a cell becomes a row only in plans that may take it.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.draws import Texts
 from ..functions.numeric import draw, ordered_bits, uniform
 from ..shared import stored
+from ..shipping import ship_package
 from .focal import smoothed_draws, square_mean, window_shares
 from .quantiles import quantiles
 
@@ -26,6 +32,7 @@ RANGES = 256
 RANKED = 10_000  # cells of a key that a window may rank
 _SPLIT = 1024
 _PLANS = 16  # plans that are smoothed beside one copy of the cells
+_BLOCK = 65_536  # cells that are drawn at once
 
 
 def truncated(fraction: float, n: Column) -> Column:
@@ -138,28 +145,93 @@ def first_drawn(cells: DataFrame, k: int | Column, drawn: Column, keys: tuple[st
     held = cells.withColumn("__d", drawn)
     if (sizes.agg(F.max("__n")).first()[0] or 0) <= ranked:
         return first_by(held, k, F.lit(0.0), ["__d", "pixel_id"], keys, flag=flag, ranked=ranked).drop("__d")
-    spread = 6 * F.sqrt(F.col("__need") * (1 - F.col("__need") / F.col("__n"))) + 20
-    at = lambda place: F.greatest(F.least(place / F.col("__n"), F.lit(1.0)), F.lit(0.0)) * F.lit(2.0**32)
-    sizes = sizes.withColumns({"__low": F.floor(at(F.col("__need") - spread)), "__high": F.ceil(at(F.col("__need") + spread))})
-    wanted = sizes.where("__need > 0")
+    wanted = _bounds(sizes).where("__need > 0")
     near = held if flag else _with(held, wanted.select(*keys, "__high"), keys_).where("__d <= __high").drop("__high")
     near = stored(near, "draws")
-    found = _with(near.select(*keys, "__d"), wanted.select(*keys, "__low", "__high"), keys_)
-    found = found.groupBy(*keys).agg(F.count_if(F.col("__d") < F.col("__low")).alias("__below"), F.count_if(F.col("__d") <= F.col("__high")).alias("__upto"))
-    found = wanted.join(F.broadcast(found), keys_, "left") if keys else wanted.crossJoin(F.broadcast(found))
-    state, uneven = _told(found.fillna(0, ["__below", "__upto"]), ~F.col("__need").between(F.col("__below") + 1, F.col("__upto")))
-    if uneven:
+    last = _last_drawn(near, wanted, keys_)
+    if last is None:
         return first_by(stored(held, "draws"), k, F.col("__d") / F.lit(2.0**32), ["__d", "pixel_id"], keys, flag=flag, ranked=ranked).drop("__d")
-    around = _with(near.select(*keys, "__d", "pixel_id"), state.select(*keys, "__low", "__high", (F.col("__need") - F.col("__below")).alias("__need")), keys_)
-    around = around.where("__d between __low and __high")
-    around = around.withColumn("__rank", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__d", "pixel_id")))
-    last = stored(around.where("__rank = __need").select(*keys, F.col("__d").alias("__kd"), F.col("pixel_id").alias("__kp")), "last")
     taken = (F.col("__d") < F.col("__kd")) | ((F.col("__d") == F.col("__kd")) & (F.col("pixel_id") <= F.col("__kp")))
     out = _with(near, last, keys_, "left" if flag else "inner")
     out = out.withColumn(flag, F.coalesce(taken, F.lit(False))) if flag else out.where(taken)
     return out.drop("__d", "__kd", "__kp")
 
 
+def _bounds(sizes: DataFrame) -> DataFrame:
+    """Adds the draws, __low and __high, between which the __need-th of __n draws lies."""
+    spread = 6 * F.sqrt(F.col("__need") * (1 - F.col("__need") / F.col("__n"))) + 20
+    at = lambda place: F.greatest(F.least(place / F.col("__n"), F.lit(1.0)), F.lit(0.0)) * F.lit(2.0**32)
+    return sizes.withColumns({"__low": F.floor(at(F.col("__need") - spread)), "__high": F.ceil(at(F.col("__need") + spread))})
+
+
+def _last_drawn(near: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, __kd, __kp): draw and number of the __need-th cell of each key, from written draws; None if bounds do not hold it."""
+    found = _with(near.select(*keys, "__d"), wanted.select(*keys, "__low", "__high"), keys)
+    found = found.groupBy(*keys).agg(F.count_if(F.col("__d") < F.col("__low")).alias("__below"), F.count_if(F.col("__d") <= F.col("__high")).alias("__upto"))
+    found = wanted.join(F.broadcast(found), keys, "left") if keys else wanted.crossJoin(F.broadcast(found))
+    state, uneven = _told(found.fillna(0, ["__below", "__upto"]), ~F.col("__need").between(F.col("__below") + 1, F.col("__upto")))
+    if uneven:
+        return None
+    around = _with(near.select(*keys, "__d", "pixel_id"), state.select(*keys, "__low", "__high", (F.col("__need") - F.col("__below")).alias("__need")), keys)
+    around = around.where("__d between __low and __high")
+    around = around.withColumn("__rank", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__d", "pixel_id")))
+    return stored(around.where("__rank = __need").select(*keys, F.col("__d").alias("__kd"), F.col("pixel_id").alias("__kp")), "last")
+
+
+def _low_draws(cells: DataFrame, solutions: DataFrame) -> DataFrame:
+    """(sol_id, columns of cells, __d) of the cells whose draw, seeded by a solution's number, is no more than their __high."""
+    ship_package(cells.sparkSession)
+    ids = [r[0] for r in solutions.select("sol_id").collect()]  # a number a solution
+    schema = StructType([solutions.schema["sol_id"], *(f for f in cells.schema if f.name != "__high"), StructField("__d", LongType())])
+    kept = schema.names[1:-1]
+    kind = pa.int32() if schema["sol_id"].dataType.simpleString() == "int" else pa.int64()
+
+    def drawn(cells: pa.Table) -> pa.RecordBatch:
+        texts, high = Texts(cells.column("pixel_id").combine_chunks()), cells.column("__high").to_numpy()
+        rows, draws = [], []
+        for i in ids:
+            d = texts.draws(str(i))
+            rows.append(np.flatnonzero(d <= high))
+            draws.append(d[rows[-1]])
+        held = cells.select(kept).take(pa.array(np.concatenate(rows))).combine_chunks()
+        who = pa.array(np.repeat(ids, [len(r) for r in rows]), kind)
+        return pa.RecordBatch.from_arrays([who, *(held.column(c).combine_chunks() for c in kept), pa.array(np.concatenate(draws))], names=schema.names)
+
+    def run(batches):
+        block, size = [], 0
+        for batch in batches:
+            block, size = [*block, batch], size + batch.num_rows
+            if size >= _BLOCK:
+                yield drawn(pa.Table.from_batches(block))
+                block, size = [], 0
+        if size and ids:
+            yield drawn(pa.Table.from_batches(block))
+
+    return cells.mapInArrow(run, schema)
+
+
+def random_plans(cells: DataFrame, solutions: DataFrame, k: int | Column, by: tuple[str, ...] = (), ranked: int = RANKED) -> DataFrame:
+    """(sol_id, by, pixel_id): for every solution k cells, of each `by` if given, with the smallest draws seeded by sol_id.
+
+    Same as random_subset over all cells of every solution, for solutions few enough that each task goes
+    through them.  k may be a column of the cells.  Cells are read twice: to be counted, and to be drawn.
+    """
+    keys = ["sol_id", *by]
+    need = F.greatest((k if isinstance(k, Column) else F.lit(k)).cast("long"), F.lit(0).cast("long"))
+    sizes = cells.withColumn("__need", need).groupBy(*by).agg(F.count("*").alias("__n"), F.max("__need").alias("__need"))
+    sizes = stored(sizes.withColumn("__need", F.least("__need", "__n")), "sizes")
+    if (sizes.agg(F.max("__n")).first()[0] or 0) > ranked:
+        wanted = _bounds(sizes).where("__need > 0")
+        near = _low_draws(_with(cells.select("pixel_id", *by), wanted.select(*by, "__high"), list(by)), solutions)
+        near = stored(near, "draws")
+        last = _last_drawn(near, wanted.crossJoin(F.broadcast(solutions.select("sol_id"))), keys)
+        if last is not None:
+            out = _with(near, last, keys).where("__d < __kd or (__d = __kd and pixel_id <= __kp)")
+            return out.select(*keys, "pixel_id")
+    every = cells.withColumn("__k", need).select("pixel_id", *by, "__k").crossJoin(F.broadcast(solutions.select("sol_id")))
+    return random_subset(every, F.col("__k"), F.col("sol_id"), tuple(keys), ranked).select(*keys, "pixel_id")
+
+
 def random_subset(cells: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = (), ranked: int = RANKED) -> DataFrame:
     """k cells of each key with the smallest seeded random numbers."""
     return first_drawn(cells, k, draw(seed, F.col("pixel_id")), keys, ranked=ranked)
@@ -236,8 +308,8 @@ def burden_repair(candidates: DataFrame, k: int | Column, seed: int | Column, ke
 def burden_plans(cells: DataFrame, solutions: DataFrame, k: int, mode: str = "equal") -> DataFrame:
     """(sol_id, pixel_id) of k cells for every solution, each within the regions' quotas."""
     sizes = quotas(cells.groupBy("region_id").agg(F.count("*").alias("n")), k, mode).select("region_id", "quota")
-    held = cells.select("pixel_id", "region_id").join(F.broadcast(sizes), "region_id").crossJoin(F.broadcast(solutions.select("sol_id")))
-    return random_subset(held, F.col("quota"), F.col("sol_id"), ("sol_id", "region_id")).select("sol_id", "pixel_id")
+    held = cells.select("pixel_id", "region_id").join(F.broadcast(sizes), "region_id")
+    return random_plans(held, solutions, F.col("quota"), ("region_id",)).select("sol_id", "pixel_id")
 
 
 def random_starts(cells: DataFrame, solutions: DataFrame, k: int | Column, seed: int, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
@@ -325,7 +397,7 @@ def sampled_plans(cells: DataFrame, solutions: DataFrame, k: int, clustering: fl
     if burden == "yes":
         plans = burden_plans(cells, solutions, k)
     else:
-        plans = random_subset(cells.select("pixel_id").crossJoin(F.broadcast(solutions.select("sol_id"))), k, F.col("sol_id"), ("sol_id",)).select("sol_id", "pixel_id")
+        plans = random_plans(cells, solutions, k)
     return clustered_plans(cells, plans, clustering, k) if clustering > 0 else plans
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.anomaly import with_anomalies
-from ..operators.selection import random_subset
+from ..operators.selection import random_plans
 from ..shared import stored
 from ..sources.grid import GridSpec
 
@@ -55,9 +55,9 @@ def anomaly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decisions(held: DataFrame, fraction: float, n: int = 10) -> DataFrame:
     """n seeded random plans, each of floor(fraction * eligible) cells: scenario_id, sol_id, pixel_id."""
-    k = int(fraction * held.where("eligible").count())
-    plans = held.where("eligible").select("pixel_id").crossJoin(F.broadcast(held.sparkSession.range(n).select(F.col("id").cast("int").alias("sol_id"))))
-    return random_subset(plans, k, F.col("sol_id"), ("sol_id",)).select(F.lit(0).alias("scenario_id"), "sol_id", "pixel_id")
+    free = held.where("eligible").select("pixel_id")
+    solutions = held.sparkSession.range(n).select(F.col("id").cast("int").alias("sol_id"))
+    return random_plans(free, solutions, int(fraction * free.count())).select(F.lit(0).alias("scenario_id"), "sol_id", "pixel_id")
 
 
 # --- the same views as SQL ------------------------------------------------------------------------

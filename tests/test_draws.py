@@ -95,3 +95,32 @@ def test_windows_of_a_repair_are_taken_once(spark):
     found = selection.clustering_repair(held, 50, 0.3)
     assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 100
+
+
+def test_draws_of_arrays_are_those_of_columns():
+    """Numbers of every length, negative and missing ones, seeds of any length, texts of more than a block."""
+    import pyarrow as pa
+
+    from gridloom.functions.draws import Texts
+
+    numbers = [0, 7, 10, 99, 100, -5, None, 123456, 10**9, 2**63 - 1, -(2**63)]
+    for seed in ("", "3", "41:start:7", "s" * 50, "t" * 70):
+        wanted = [_number(seed) if n is None else _number(seed, n) for n in numbers]
+        assert Texts(pa.array(numbers, pa.int64())).draws(seed).tolist() == wanted
+    assert Texts(pa.array([5, 6, 7], pa.int64()).slice(1)).draws("1").tolist() == [_number(1, 6), _number(1, 7)]
+
+
+@pytest.mark.parametrize("k", [0, 400, 3999, 9000])
+def test_plans_draw_their_cells_together(spark, k):
+    """Rows are cells, not cells x solutions, until they are drawn; regions have their own k."""
+    cells = spark.range(4000).select(F.col("id").alias("pixel_id"), (F.col("id") % 2).alias("region_id"), (F.lit(k) + F.col("id") % 2).alias("k"))
+    solutions = spark.range(3).select(F.col("id").cast("int").alias("sol_id"))
+    draws = selection._low_draws(cells.select("pixel_id", F.lit(2**32).alias("__high")), solutions)
+    assert "Join" not in draws._jdf.queryExecution().optimizedPlan().toString() and draws.count() == 12000
+    found = selection.random_plans(cells, solutions, k, ranked=50)
+    assert found.columns == ["sol_id", "pixel_id"] and found.schema["sol_id"].dataType.simpleString() == "int"
+    wanted = {(s, p) for s in range(3) for _, p in sorted((_number(s, p), p) for p in range(4000))[:k]}
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    found = selection.random_plans(cells, solutions, F.col("k"), ("region_id",), ranked=50)
+    wanted = {(s, r, p) for s in range(3) for r in range(2) for _, p in sorted((_number(s, p), p) for p in range(r, 4000, 2))[: k + r]}
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
