@@ -86,7 +86,7 @@ def saved_summary(spark, sf):
     held = anomaly_cells(spark, sf)
     plans = decisions(held, 0.1, 6)
     path = f"{session_folder(spark, 'summary')}/run"
-    results.save_run(plans, E.objectives(held, plans, EFFECTS, COST), spark.createDataFrame([(0, 0.1)], "scenario_id int, fraction double"), path)
+    results.save_run(plans, stored(E.objectives(held, plans, EFFECTS, COST), "points"), spark.createDataFrame([(0, 0.1)], "scenario_id int, fraction double"), path)
     found = spark.read.json(f"{path}/summary")
     return found.select(F.col("scenario_id").cast("int").alias("scenario_id"), "n_solutions", F.col("abiotic.min").alias("lo"), F.col("abiotic.max").alias("hi"), N.quant(F.col(f"{COST}.mean"), 2).alias("cost"))
 
@@ -381,6 +381,7 @@ def burden_start(spark, sf):
     held, k = _eligible(spark, sf)
     solutions = spark.range(3).select(F.col("id").cast("int").alias("sol_id"))
     every = selection.dense(held.select("pixel_id", "region_id"), selection.random_starts(held, solutions, k, 19), solutions)
+    every = stored(every, "dense")  # read several times
     return selection.burden_repair(every, k, 19).select("sol_id", "pixel_id", "x")
 
 
@@ -401,10 +402,17 @@ def parameter_illustration(spark, sf):
     """Eight maps: four fractions at one clustering strength, four strengths at one fraction."""
     held = anomaly_cells(spark, sf).where("eligible").select("pixel_id", "row_idx", "col_idx")
     n, out = held.count(), None
-    for number, fraction, strength in _MAPS:
-        k = int(fraction * n)
-        one = selection.cluster(held, selection.random_subset(held, k, 42), strength, k, 42).select(F.lit(number).alias("map_id"), "pixel_id")
-        out = one if out is None else out.unionByName(one)
+    # One seed for all maps, so each cell is drawn once; maps of a strength are clustered together.
+    drawn = stored(held.select("pixel_id", N.draw(42, F.col("pixel_id")).alias("drawn")), "draws")
+    wanted = spark.createDataFrame([(number, strength, int(fraction * n)) for number, fraction, strength in _MAPS], "map_id int, strength double, k long")
+    plans = drawn.crossJoin(F.broadcast(wanted.select("k").distinct()))
+    plans = selection.first_drawn(plans, F.col("k"), F.col("drawn"), ("k",)).select("k", "pixel_id")
+    for strength in sorted({s for _, _, s in _MAPS}):
+        mine = wanted.where(F.col("strength") == strength).select("map_id", "k")
+        part = plans.join(F.broadcast(mine), "k").select("map_id", "pixel_id")
+        if strength > 0:
+            part = selection.clustered(held, part, mine, strength, F.lit(42), ("map_id",))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

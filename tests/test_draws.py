@@ -124,3 +124,34 @@ def test_plans_draw_their_cells_together(spark, k):
     found = selection.random_plans(cells, solutions, F.col("k"), ("region_id",), ranked=50)
     wanted = {(s, r, p) for s in range(3) for r in range(2) for _, p in sorted((_number(s, p), p) for p in range(r, 4000, 2))[: k + r]}
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_maps_of_a_strength_are_clustered_together(spark, monkeypatch):
+    """Eight maps of four strengths, of which 0 needs no clustering."""
+    from gridloom.plans import workflow_queries
+
+    calls, real = [], selection.clustered
+    monkeypatch.setattr(selection, "clustered", lambda *a, **k: calls.append(a[3]) or real(*a, **k))
+    assert workflow_queries.parameter_illustration(spark, SF).select("map_id").distinct().count() == 8
+    assert sorted(calls) == [0.3, 0.6, 1.0]
+
+
+def test_candidates_of_a_start_are_written_once(spark, monkeypatch):
+    from gridloom.plans import workflow_queries
+
+    seen, real = [], selection.burden_repair
+    monkeypatch.setattr(selection, "burden_repair", lambda held, *a: seen.append(held) or real(held, *a))
+    assert workflow_queries.burden_start(spark, SF).count() > 0
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_of_a_saved_run_are_written_once(spark, monkeypatch):
+    from gridloom.plans import workflow_queries
+
+    seen, real = [], workflow_queries.results.save_run
+    monkeypatch.setattr(workflow_queries.results, "save_run", lambda plans, points, *a: seen.append(points) or real(plans, points, *a))
+    assert workflow_queries.saved_summary(spark, SF).count() > 0
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
