@@ -22,14 +22,16 @@ def quantiles(df: DataFrame, value: str, shares: list[float], keys: tuple[str, .
     NULL and NaN are left out; a key without values has no rows.  Values are counted by the bits of their
     doubles, first by sign and exponent, then, in the ranges that hold a rank that is looked for, by ever
     lower bits, until a range holds one value or few.  No task holds the values of a key: what is
-    broadcast has a row a key and share.  `df` is read a few times, so it should be a written table.  `code` names
-    a column of whole numbers that rise with the values, which saves taking their bits.
+    broadcast has a row a key and share.  Values are written once with their bits.  `code` names a column of whole
+    numbers that rise with the values, which saves both; then `df` is read a few times, so it should be a written table.
     """
     if any(not 0 <= p <= 1 for p in shares):
         raise ValueError("shares lie between 0 and 1")
     keys_, bare = list(keys), Window.partitionBy(*(keys or [F.lit(0)]))
     bits = ordered_bits(F.col(value)) if code is None else F.col(code).cast("long")
     held = df.select(*keys, clean(F.col(value)).alias("__v"), bits.alias("__c")).where("__v is not null")
+    if code is None:
+        held = stored(held, "values")
     facts = (F.count("*").alias("__n"), F.min("__c").alias("__lo"), F.max("__c").alias("__hi"), F.min("__v").alias("__least"))
     first = held.groupBy(*keys, F.shiftright("__c", 52).alias("__at")).agg(*facts)
     upto = lambda family: F.coalesce(F.sum("__n").over(family.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -92,7 +92,7 @@ _SHARES = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
 def layer_quantiles(spark, sf):
     """Quantiles of every layer, whatever its range."""
     held = cells(spark, sf).withColumn("ecosystem", catalog.ecosystem_of(F.col("lulc"))).where("ecosystem IS NOT NULL")
-    long = stored(to_long(held, LAYERS, ["pixel_id"], "variable", "value"), "long")
+    long = to_long(held, LAYERS, [], "variable", "value")
     return quantiles(long, "value", list(_SHARES), ("variable",)).select("variable", "p", *_quant("q", digits=4))
 
 

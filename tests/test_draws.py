@@ -155,3 +155,18 @@ def test_points_of_a_saved_run_are_written_once(spark, monkeypatch):
     monkeypatch.setattr(workflow_queries.results, "save_run", lambda plans, points, *a: seen.append(points) or real(plans, points, *a))
     assert workflow_queries.saved_summary(spark, SF).count() > 0
     assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bits_of_values_are_taken_once(spark):
+    """What refines quantiles reads written bits, and gives the same numbers."""
+    from gridloom.operators.quantiles import quantiles
+
+    df = spark.range(3000).select((F.col("id") % 2).alias("key"), ((F.col("id") * 7919) % 3001 - 1500.5).alias("v"))
+    found = quantiles(df, "v", [0.0, 0.3, 1.0], ("key",), ranked=50)
+    assert "doubleToLongBits" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for row in found.collect():
+        values = sorted(i * 7919 % 3001 - 1500.5 for i in range(row["key"], 3000, 2))
+        at = row["p"] * (len(values) - 1)
+        low = int(at)
+        wanted = values[low] * (1 - at + low) + values[min(low + 1, len(values) - 1)] * (at - low)
+        assert abs(row["q"] - wanted) < 1e-9
