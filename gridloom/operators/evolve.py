@@ -10,21 +10,26 @@ import logging
 import math
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions.numeric import draw, uniform
 from ..shared import stored
 from ..shipping import ship_package
 from .effects import objectives, repair_scores
 from .pareto import pareto_front
-from .selection import best_by, first_drawn
+from .selection import KNOWN, best_by, first_drawn
 from .strategy import ByScore, Spread, Strategy, checked, of_scenario
 
 KEYS = ["scenario_id", "sol_id"]
+_STRATEGIES = 4  # whose jobs run side by side
 
 
 def initial(cells: DataFrame, scenarios: DataFrame, population: int, seed: int) -> DataFrame:
@@ -33,16 +38,16 @@ def initial(cells: DataFrame, scenarios: DataFrame, population: int, seed: int)
     return held.where(uniform(seed, F.col("scenario_id"), F.col("sol_id"), F.col("pixel_id")) < 0.5).select(*KEYS, "pixel_id")
 
 
-def skipped(cells: DataFrame, solutions: DataFrame, p: float, seed: int | Column, tag: str = "skip") -> DataFrame:
+def skipped(cells: DataFrame, solutions: DataFrame, p: float, seed: int | Column, tag: str = "skip", last: int | None = None) -> DataFrame:
     """Cells of every solution (KEYS) with probability p each, by seeded skips: KEYS and pixel_id.
 
     Pixel numbers are cut into stretches of about a thousand hits.  In each the number of pixels up to the
     next hit is geometric, floor(ln(1 - u) / ln(1 - p)), u being the draw's seeded number: draws are made for
-    hits alone, not for cells.  Hits on numbers without a cell are dropped.
+    hits alone, not for cells.  Hits on numbers without a cell are dropped.  `last` is the greatest number, where known.
     """
     if not 0 <= p < 1:
         raise ValueError("p lies in [0, 1)")
-    last = cells.agg(F.max("pixel_id")).first()[0]
+    last = cells.agg(F.max("pixel_id")).first()[0] if last is None else last
     if last is None or p == 0:
         return solutions.select(*KEYS).crossJoin(cells.select("pixel_id").limit(0))
     length = stretch(p)
@@ -70,11 +75,11 @@ def numbered(scenarios: DataFrame, population: int) -> DataFrame:
     return scenarios.select("scenario_id").distinct().withColumn("sol_id", F.explode(F.sequence(F.lit(0), F.lit(population - 1))))
 
 
-def hux(parents: DataFrame, pairs: DataFrame, seed: int | Column) -> DataFrame:
+def hux(parents: DataFrame, pairs: DataFrame, seed: int | Column, most: int | None = None) -> DataFrame:
     """Children of paired parents (scenario_id, child_id, mother, father): half of the differing cells are swapped.
 
     Each pair gives two children, 2 * child_id and 2 * child_id + 1; the swapped half of the
-    symmetric difference is chosen by seeded order.
+    symmetric difference is chosen by seeded order.  `most` is a bound on its cells, where known (see first_by).
     """
     child = ("scenario_id", "child_id")
     mother = pairs.join(parents.withColumnRenamed("sol_id", "mother"), ["scenario_id", "mother"]).select(*child, "pixel_id", F.lit(1).alias("m"))
@@ -84,42 +89,44 @@ def hux(parents: DataFrame, pairs: DataFrame, seed: int | Column) -> DataFrame:
     differ = both.where("m <> f")
     half = differ.groupBy(*child).agg(F.floor(F.count("*") / 2).alias("half"))  # a row a pair of parents
     order = draw(seed, F.col("scenario_id"), F.col("child_id"), F.col("pixel_id"))
-    swapped = first_drawn(differ.join(F.broadcast(half), list(child)), F.col("half"), order, child, flag="swap")
+    swapped = first_drawn(differ.join(F.broadcast(half), list(child)), F.col("half"), order, child, flag="swap", most=most)
     first = swapped.where(F.when(F.col("swap"), F.col("f")).otherwise(F.col("m")) == 1).select("scenario_id", (F.col("child_id") * 2).alias("sol_id"), "pixel_id")
     second = swapped.where(F.when(F.col("swap"), F.col("m")).otherwise(F.col("f")) == 1).select("scenario_id", (F.col("child_id") * 2 + 1).alias("sol_id"), "pixel_id")
     kept = same.withColumn("sol_id", F.explode(F.array(F.col("child_id") * 2, F.col("child_id") * 2 + 1))).select("scenario_id", "sol_id", "pixel_id")
     return kept.unionByName(first).unionByName(second)
 
 
-def bit_flip(decision: DataFrame, cells: DataFrame, seed: int, prob_bit: float, prob_ind: float = 1.0, skip: bool = False) -> DataFrame:
+def bit_flip(decision: DataFrame, cells: DataFrame, seed: int, prob_bit: float, prob_ind: float = 1.0, skip: bool = False, last: int | None = None) -> DataFrame:
     """Flips bits of mutated solutions by seeded draws.
 
     With `skip` draws are made for flips alone (see skipped); else each cell of each mutated solution is
     drawn by its own number, in a filter without a shuffle.  Only flipped cells and the sparse decision are joined.
     """
     solutions = decision.select(*KEYS).distinct().where(uniform(seed, F.lit("ind"), *map(F.col, KEYS)) < prob_ind)
-    flips = skipped(cells, solutions, prob_bit, seed) if skip else cells.select("pixel_id").crossJoin(F.broadcast(solutions)).where(uniform(seed, F.lit("bit"), *map(F.col, KEYS), F.col("pixel_id")) < prob_bit)
+    flips = skipped(cells, solutions, prob_bit, seed, last=last) if skip else cells.select("pixel_id").crossJoin(F.broadcast(solutions)).where(uniform(seed, F.lit("bit"), *map(F.col, KEYS), F.col("pixel_id")) < prob_bit)
     both = decision.select(*KEYS, "pixel_id", F.lit(1).alias("x")).join(flips.withColumn("y", F.lit(1)), [*KEYS, "pixel_id"], "full")
     return both.where(F.coalesce("x", F.lit(0)) != F.coalesce("y", F.lit(0))).select(*KEYS, "pixel_id")
 
 
-def exact(decision: DataFrame, cells: DataFrame, settings: DataFrame, score: str, solutions: DataFrame | None = None) -> DataFrame:
+def exact(decision: DataFrame, cells: DataFrame, settings: DataFrame, score: str, solutions: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Repairs every solution to exactly its scenario's k cells, by score.
 
     `cells` has pixel_id and the score, by scenario if it has a scenario_id; `settings` scenario_id and k.
     The best k cells of a scenario are ranked once: a solution that is short of cells finds what it
-    lacks among them, so only those and its own cells become rows, never the whole grid.
+    lacks among them, so only those and its own cells become rows, never the whole grid.  `most` is the
+    number of cells, where known (see first_by).
     """
     settings = F.broadcast(settings.select("scenario_id", "k"))
     solutions = decision.select(*KEYS).distinct() if solutions is None else solutions.select(*KEYS)
     scored = cells.join(settings, "scenario_id") if "scenario_id" in cells.columns else cells.crossJoin(settings)
-    top = stored(best_by(scored, F.col("k"), score, ("scenario_id",)).select("scenario_id", "pixel_id", score), "best")
+    top = best_by(scored, F.col("k"), score, ("scenario_id",), most=most).select("scenario_id", "pixel_id", score)
+    top = top if most is not None else stored(top, "best")
     spare = top.join(F.broadcast(solutions), "scenario_id").select(*KEYS, "pixel_id", F.lit(0).alias("x"), score)
     own = ["scenario_id", "pixel_id"] if "scenario_id" in cells.columns else ["pixel_id"]
     held = decision.select(*KEYS, "pixel_id", F.lit(1).alias("x")).join(cells.select(*own, score), own).select(*KEYS, "pixel_id", "x", score)
     held = held.unionByName(spare).groupBy(*KEYS, "pixel_id").agg(F.max("x").alias("x"), F.max(score).alias(score))
     held = stored(held.join(settings, "scenario_id"), "candidates")
-    return best_by(held, F.col("k"), score, tuple(KEYS), chosen="x").select(*KEYS, "pixel_id")
+    return best_by(held, F.col("k"), score, tuple(KEYS), chosen="x", most=most).select(*KEYS, "pixel_id")
 
 
 def _by_strategy(settings: DataFrame, choose: Callable) -> dict[Strategy, list[int]]:
@@ -133,18 +140,33 @@ def _by_strategy(settings: DataFrame, choose: Callable) -> dict[Strategy, list[i
     return groups
 
 
-def _for_each(settings: DataFrame, cells: DataFrame, solutions: DataFrame, choose: Callable, make: Callable) -> DataFrame:
-    """What `make` gives for each strategy's cells and wanted solutions, together."""
-    out = None
-    for strategy, ids in _by_strategy(settings, choose).items():
-        mine = lambda df: df.where(F.col("scenario_id").isin(ids))  # noqa: B023, E731
-        wanted = mine(solutions).join(F.broadcast(mine(settings).select("scenario_id", "k")), "scenario_id").select(*KEYS, "k")
-        part = stored(make(strategy, mine, mine(cells), stored(wanted, "wanted")).select(*KEYS, "pixel_id"), "plans")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _for_each(settings: DataFrame, cells: DataFrame, solutions: DataFrame, choose: Callable, make: Callable, most: int | None = None) -> DataFrame:
+    """What `make` gives for each strategy's cells and wanted solutions, together; the strategies' jobs run side by side.
+
+    `most` is the number of cells, where known.
+    """
+    if "k" not in solutions.columns:
+        solutions = wanted_of(solutions, settings)
+    session = settings.sparkSession
+
+    def part(strategy: Strategy, ids: list[int]) -> DataFrame:
+        mine = lambda df: df.where(F.col("scenario_id").isin(ids))
+        if isinstance(strategy, (ByScore, Spread)):
+            strategy = replace(strategy, most=most)
+        return stored(make(strategy, mine, mine(cells), mine(solutions)).select(*KEYS, "pixel_id"), "plans")
+
+    groups = _by_strategy(settings, choose)
+    with ThreadPoolExecutor(max(1, min(len(groups), _STRATEGIES))) as pool:
+        parts = list(pool.map(inheritable_thread_target(session)(part), groups, groups.values()))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def wanted_of(solutions: DataFrame, settings: DataFrame) -> DataFrame:
+    """(scenario_id, sol_id, k) of every solution, written once."""
+    return stored(solutions.join(F.broadcast(settings.select("scenario_id", "k")), "scenario_id").select(*KEYS, "k"), "wanted")
 
 
-def repaired(decision: DataFrame, cells: DataFrame, settings: DataFrame, seed: int, solutions: DataFrame, choose: Callable = of_scenario) -> DataFrame:
+def repaired(decision: DataFrame, cells: DataFrame, settings: DataFrame, seed: int, solutions: DataFrame, choose: Callable = of_scenario, most: int | None = None) -> DataFrame:
     """Every solution brought to its scenario's k cells by its scenario's strategy; a strategy from outside is checked."""
 
     def one(strategy, mine, held, wanted):
@@ -152,12 +174,12 @@ def repaired(decision: DataFrame, cells: DataFrame, settings: DataFrame, seed: i
             return strategy.repair(mine(decision), held, wanted, seed)
         return checked(stored(strategy.repair(mine(decision), held, wanted, seed), "plans"), held, wanted, type(strategy).__name__)
 
-    return _for_each(settings, cells, solutions, choose, one)
+    return _for_each(settings, cells, solutions, choose, one, most)
 
 
-def starts(cells: DataFrame, settings: DataFrame, solutions: DataFrame, seed: int, choose: Callable = of_scenario) -> DataFrame:
+def starts(cells: DataFrame, settings: DataFrame, solutions: DataFrame, seed: int, choose: Callable = of_scenario, most: int | None = None) -> DataFrame:
     """Unrepaired first plans by each scenario's strategy."""
-    return _for_each(settings, cells, solutions, choose, lambda strategy, mine, held, wanted: strategy.sample(held, wanted, seed))
+    return _for_each(settings, cells, solutions, choose, lambda strategy, mine, held, wanted: strategy.sample(held, wanted, seed), most)
 
 
 def front_and_crowding(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +263,9 @@ def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | st
     scored = repair_scores(free.crossJoin(F.broadcast(settings)), effects, cost, shape, scale)
     scored = stored(scored.select("scenario_id", "pixel_id", "row_idx", "col_idx", "region_id", "score"), "scores")
     ids = free.select("pixel_id")
-    everyone = numbered(settings, population)
+    everyone = wanted_of(numbered(settings, population), settings)
+    n, last = ids.agg(F.count("*"), F.max("pixel_id")).first()
+    most = n if n <= KNOWN else None
 
     def judged(plans: DataFrame, who: DataFrame) -> DataFrame:
         if evaluate is None:
@@ -254,7 +278,7 @@ def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | st
 
     if evaluate is not None:
         names = [c for c in judged(ids.select(F.lit(0).alias("scenario_id"), F.lit(0).alias("sol_id"), "pixel_id").limit(0), everyone).columns if c not in (*KEYS, "violation")]
-    decision = stored(repaired(stored(starts(scored, settings, everyone, seed, strategy), "starts"), scored, settings, seed, everyone, strategy), "decision")
+    decision = repaired(starts(scored, settings, everyone, seed, strategy, most), scored, settings, seed, everyone, strategy, most)
     for g in range(generations):
         half = population // 2
         order = uniform(seed + g, F.lit("mate"), *map(F.col, KEYS))
@@ -263,9 +287,10 @@ def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | st
         pairs = mates.where(F.col("place") <= half).select("scenario_id", (F.col("place") - 1).alias("child_id"), F.col("sol_id").alias("mother")).join(
             mates.where(F.col("place") > half).select("scenario_id", (F.col("place") - 1 - half).alias("child_id"), F.col("sol_id").alias("father")), ["scenario_id", "child_id"]
         )
-        young = stored(bit_flip(hux(decision, pairs, seed + g), ids, seed + 1000 + g, prob_bit, skip=True), "young")
-        children = repaired(young, scored, settings, seed + 2000 + g, numbered(settings, 2 * half), strategy)
-        every = stored(decision.unionByName(children.withColumn("sol_id", F.col("sol_id") + population)), "generation")
+        born = stored(hux(decision, pairs, seed + g, most), "children")
+        young = stored(bit_flip(born, ids, seed + 1000 + g, prob_bit, skip=True, last=last), "young")
+        children = repaired(young, scored, settings, seed + 2000 + g, everyone.where(F.col("sol_id") < 2 * half), strategy, most)
+        every = decision.unionByName(children.withColumn("sol_id", F.col("sol_id") + population))
         points = stored(judged(every, numbered(settings, population + 2 * half)), "points")
         best = survive(points, names, population)
         decision = stored(every.join(F.broadcast(best), KEYS).select("scenario_id", (F.col("place") - 1).cast("int").alias("sol_id"), "pixel_id"), "decision")

@@ -30,6 +30,7 @@ from .quantiles import quantiles
 
 RANGES = 256
 RANKED = 10_000  # cells of a key that a window may rank
+KNOWN = 1_000_000  # the same where the caller knows a bound, so that nothing has to be counted
 _SPLIT = 1024
 _PLANS = 16  # plans that are smoothed beside one copy of the cells
 _BLOCK = 65_536  # cells that are drawn at once
@@ -104,17 +105,21 @@ def kth_cells(held: DataFrame, keys: list[str], codes: list[str], ranked: int =
     return done.unionByName(part)
 
 
-def first_by(cells: DataFrame, k: int | Column, place: Column, order: list, keys: tuple[str, ...] = (), ranges: int = RANGES, flag: str | None = None, ranked: int = RANKED) -> DataFrame:
+def _few(most: int | None) -> bool:
+    """Whether no key has more cells, by a bound that the caller knows, than a window may rank."""
+    return most is not None and most <= KNOWN
+
+
+def first_by(cells: DataFrame, k: int | Column, place: Column, order: list, keys: tuple[str, ...] = (), ranges: int = RANGES, flag: str | None = None, ranked: int = RANKED, most: int | None = None) -> DataFrame:
     """The first k cells of each key in ascending `order`; `place` in [0, 1) never falls along that order.
 
     `order` holds numbers, without NULLs, that together tell a key's cells apart.  With `flag` all cells, and
     in that column whether a cell is one of those.  What is broadcast has one row a key (a solution, a
     region of a solution).  `cells` are read two or three times.  Keys of no more than `ranked` cells each are
-    ranked as they are.
+    ranked as they are; so are keys of no more than KNOWN cells, without any job, if `most`, a bound of the caller's, says so.
     """
     keys_, codes = list(keys), [f"__c{i}" for i in range(len(order))]
-    most = cells.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
-    if most <= ranked:
+    if _few(most) or (cells.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0) <= ranked:
         line = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
         taken = F.row_number().over(line) <= (k if isinstance(k, Column) else F.lit(k))
         return cells.withColumn(flag, taken) if flag else cells.withColumn("__taken", taken).where("__taken").drop("__taken")
@@ -131,14 +136,16 @@ def first_by(cells: DataFrame, k: int | Column, place: Column, order: list, keys
     return held.drop("__need", "__b", "__bin", *codes, *(f"__k{c}" for c in codes))
 
 
-def first_drawn(cells: DataFrame, k: int | Column, drawn: Column, keys: tuple[str, ...] = (), flag: str | None = None, ranked: int = RANKED) -> DataFrame:
+def first_drawn(cells: DataFrame, k: int | Column, drawn: Column, keys: tuple[str, ...] = (), flag: str | None = None, ranked: int = RANKED, most: int | None = None) -> DataFrame:
     """The k cells of each key with the smallest draws (see numeric.draw), ties by pixel_id; with `flag` all cells, see first_by.
 
     Draws are even, so the k-th of n lies within a few standard deviations of k / n: cells up to there are written
     in one pass, and those around it ranked.  Draws that are not even (as of cells that are there many times) show in
-    the counts and go to first_by.  `cells` are read twice: to be counted, and to be drawn.
+    the counts and go to first_by.  `cells` are read twice: to be counted, and to be drawn; with `most` see first_by.
     """
     keys_ = list(keys)
+    if _few(most):
+        return first_by(cells.withColumn("__d", drawn), k, F.lit(0.0), ["__d", "pixel_id"], keys, flag=flag, most=most).drop("__d")
     need = F.greatest((k if isinstance(k, Column) else F.lit(k)).cast("long"), F.lit(0).cast("long"))
     sizes = cells.withColumn("__need", need).groupBy(*keys).agg(F.count("*").alias("__n"), F.max("__need").alias("__need"))
     sizes = stored(sizes.withColumn("__need", F.least("__need", "__n")), "sizes")
@@ -232,16 +239,21 @@ def random_plans(cells: DataFrame, solutions: DataFrame, k: int | Column, by: tu
     return random_subset(every, F.col("__k"), F.col("sol_id"), tuple(keys), ranked).select(*keys, "pixel_id")
 
 
-def random_subset(cells: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = (), ranked: int = RANKED) -> DataFrame:
+def random_subset(cells: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = (), ranked: int = RANKED, most: int | None = None) -> DataFrame:
     """k cells of each key with the smallest seeded random numbers."""
-    return first_drawn(cells, k, draw(seed, F.col("pixel_id")), keys, ranked=ranked)
+    return first_drawn(cells, k, draw(seed, F.col("pixel_id")), keys, ranked=ranked, most=most)
 
 
-def best_by(cells: DataFrame, k: int | Column, score: str, keys: tuple[str, ...] = (), ranges: int = RANGES, chosen: str | None = None) -> DataFrame:
+def best_by(cells: DataFrame, k: int | Column, score: str, keys: tuple[str, ...] = (), ranges: int = RANGES, chosen: str | None = None, most: int | None = None) -> DataFrame:
     """k cells of each key: those with `chosen` = 1 first (if given), then by score from the highest; ties by pixel_id.
 
-    A missing score counts as the lowest.
+    A missing score counts as the lowest.  With `most` see first_by.
     """
+    if _few(most):
+        lowest = F.broadcast(cells.agg(F.min(score).cast("double").alias("__low")))
+        held = cells.crossJoin(lowest).withColumn("__s", F.coalesce(F.col(score).cast("double"), F.col("__low"), F.lit(0.0))).drop("__low")
+        order = [*([1 - F.col(chosen)] if chosen else []), -F.col("__s"), F.col("pixel_id")]
+        return first_by(held, k, F.lit(0.0), order, keys, most=most).drop("__s")
     low, high = cells.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
     held = cells.withColumn("__s", F.coalesce(F.col(score).cast("double"), F.lit(low), F.lit(0.0)))
     wide = None if low is None or not high > low else high - low
@@ -257,15 +269,16 @@ def repair(candidates: DataFrame, k: int | Column, score: str, keys: tuple[str,
     return best_by(candidates, k, score, keys, chosen="x")
 
 
-def random_repair(candidates: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
+def random_repair(candidates: DataFrame, k: int | Column, seed: int | Column, keys: tuple[str, ...] = ("sol_id",), most: int | None = None) -> DataFrame:
     """Exactly k cells a solution by random draws: of too many chosen (x = 1) some are dropped, of too few others are added."""
     k = (k if isinstance(k, Column) else F.lit(k)).cast("long")
     ones = F.sum(F.col("x").cast("long"))
     sizes = candidates.groupBy(*keys).agg(ones.alias("__ones"), F.max(k).alias("__k"))
-    sizes = stored(sizes.select(*keys, F.least("__k", "__ones").alias("__keep"), F.greatest(F.col("__k") - F.col("__ones"), F.lit(0)).alias("__add")), "sizes")
+    sizes = sizes.select(*keys, F.least("__k", "__ones").alias("__keep"), F.greatest(F.col("__k") - F.col("__ones"), F.lit(0)).alias("__add"))
+    sizes = sizes if _few(most) else stored(sizes, "sizes")
     need = F.when(F.col("x") == 1, F.col("__keep")).otherwise(F.col("__add"))
     held = _with(candidates, sizes, list(keys)).withColumn("__share", need).drop("__keep", "__add")
-    return first_drawn(held, F.col("__share"), draw(seed, *map(F.col, keys), F.col("pixel_id")), (*keys, "x")).select(*candidates.columns)
+    return first_drawn(held, F.col("__share"), draw(seed, *map(F.col, keys), F.col("pixel_id")), (*keys, "x"), most=most).select(*candidates.columns)
 
 
 def quotas(regions: DataFrame, k: int | Column, mode: str = "equal", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -312,7 +325,7 @@ def burden_plans(cells: DataFrame, solutions: DataFrame, k: int, mode: str = "eq
     return random_plans(held, solutions, F.col("quota"), ("region_id",)).select("sol_id", "pixel_id")
 
 
-def random_starts(cells: DataFrame, solutions: DataFrame, k: int | Column, seed: int, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
+def random_starts(cells: DataFrame, solutions: DataFrame, k: int | Column, seed: int, keys: tuple[str, ...] = ("sol_id",), most: int | None = None) -> DataFrame:
     """(keys, pixel_id) of a random number of cells, 0 to k, for every solution; one of 0 cells has no rows.
 
     k may be a column of the solutions.
@@ -321,7 +334,7 @@ def random_starts(cells: DataFrame, solutions: DataFrame, k: int | Column, seed:
     k = k if isinstance(k, Column) else F.lit(k)
     count = F.floor(uniform(seed, F.lit("start"), *names) * (k + 1)).cast("long")
     held = cells.select("pixel_id").crossJoin(F.broadcast(solutions.select(*keys, count.alias("__c"))))
-    return random_subset(held, F.col("__c"), F.concat_ws(":", F.lit(seed), *names), keys).select(*keys, "pixel_id")
+    return random_subset(held, F.col("__c"), F.concat_ws(":", F.lit(seed), *names), keys, most=most).select(*keys, "pixel_id")
 
 
 def dense(cells: DataFrame, plans: DataFrame, solutions: DataFrame, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
@@ -343,7 +356,7 @@ def clustering_repair(candidates: DataFrame, k: int | Column, strength: float, k
     return best_by(held, k, "__s", keys).drop("__s")
 
 
-def clustered(cells: DataFrame, plans: DataFrame, wanted: DataFrame, strength: float, seed: Column, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
+def clustered(cells: DataFrame, plans: DataFrame, wanted: DataFrame, strength: float, seed: Column, keys: tuple[str, ...] = ("sol_id",), most: int | None = None) -> DataFrame:
     """(keys, pixel_id): every plan pulled together to its k cells by the smoothed density of its own cells.
 
     `wanted` has the keys and k, a row a solution; `cells` pixel_id, row_idx and col_idx.  Same as
@@ -363,11 +376,13 @@ def clustered(cells: DataFrame, plans: DataFrame, wanted: DataFrame, strength: f
         others = cells.select("pixel_id").crossJoin(F.broadcast(short)).join(near.select(*keys, "pixel_id"), [*keys_, "pixel_id"], "left_anti")
         near = near.unionByName(others.select(*keys, "pixel_id", F.lit(0.0).alias("__f")))
     scored = near.join(F.broadcast(wanted.select(*keys, "k")), keys_).withColumn("__s", F.floor(F.col("__f") * 1e6 + 0.5) + uniform(seed, F.col("pixel_id")))
+    if _few(most):
+        return first_by(scored, F.col("k"), F.lit(0.0), [-F.col("__s"), F.col("pixel_id")], keys, most=most).select(*keys, "pixel_id")
     scored = stored(scored, "scored")
     return best_by(scored, F.col("k"), "__s", keys).select(*keys, "pixel_id")
 
 
-def burdened(cells: DataFrame, plans: DataFrame, wanted: DataFrame, seed: int | Column, keys: tuple[str, ...] = ("sol_id",), mode: str = "equal") -> DataFrame:
+def burdened(cells: DataFrame, plans: DataFrame, wanted: DataFrame, seed: int | Column, keys: tuple[str, ...] = ("sol_id",), mode: str = "equal", most: int | None = None) -> DataFrame:
     """(keys, pixel_id): every plan brought to its k cells within the regions' quotas, at random.
 
     Same as burden_repair over all cells of every solution, but cells that are not chosen become rows only in
@@ -382,7 +397,7 @@ def burdened(cells: DataFrame, plans: DataFrame, wanted: DataFrame, seed: int |
     others = cells.select("pixel_id", "region_id").join(F.broadcast(short), "region_id").join(held.select(*keys, "pixel_id"), [*keys_, "pixel_id"], "left_anti")
     every = held.select(*keys, "region_id", "pixel_id", "x").unionByName(others.select(*keys, "region_id", "pixel_id", F.lit(0).alias("x")))
     every = stored(every.join(F.broadcast(quota), [*keys_, "region_id"]), "shares")
-    return random_repair(every, F.col("quota"), seed, (*keys, "region_id")).select(*keys, "pixel_id")
+    return random_repair(every, F.col("quota"), seed, (*keys, "region_id"), most).select(*keys, "pixel_id")
 
 
 def clustered_plans(cells: DataFrame, plans: DataFrame, strength: float, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame
@@ -40,7 +40,12 @@ def _one_of(cells: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ByScore:
-    """Bits at random; too many or too few are dropped or added by score."""
+    """Bits at random; too many or too few are dropped or added by score.
+
+    `most` is the number of cells, where it is known: few are ranked without being counted (see first_by).
+    """
+
+    most: int | None = field(default=None, compare=False)
 
     def sample(self, cells: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
         from .evolve import skipped
@@ -51,7 +56,7 @@ class ByScore:
         from .evolve import exact
 
         settings = wanted.groupBy("scenario_id").agg(F.max("k").alias("k"))
-        return exact(plans, cells.select("scenario_id", "pixel_id", "score"), settings, "score", wanted)
+        return exact(plans, cells.select("scenario_id", "pixel_id", "score"), settings, "score", wanted, self.most)
 
 
 @dataclass(frozen=True)
@@ -60,16 +65,17 @@ class Spread:
 
     burden: bool
     strength: float
+    most: int | None = field(default=None, compare=False)  # as in ByScore
 
     def sample(self, cells: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-        return random_starts(_one_of(cells), wanted, F.col("k"), seed, tuple(KEYS))
+        return random_starts(_one_of(cells), wanted, F.col("k"), seed, tuple(KEYS), self.most)
 
     def repair(self, plans: DataFrame, cells: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
         cells = _one_of(cells)
         if self.burden:
-            plans = stored(burdened(cells, plans, wanted, seed, tuple(KEYS)), "plans")
+            plans = stored(burdened(cells, plans, wanted, seed, tuple(KEYS), most=self.most), "plans")
         if self.strength > 0:
-            plans = clustered(cells, plans, wanted, self.strength, F.col("sol_id"), tuple(KEYS))
+            plans = clustered(cells, plans, wanted, self.strength, F.col("sol_id"), tuple(KEYS), self.most)
         return plans.select(*KEYS, "pixel_id")
 
 

@@ -145,3 +145,29 @@ def test_skips_hit_as_often_as_draws(spark):
     assert evolve.skipped(cells, who, 0.0, 5).count() == 0 and evolve.skipped(cells.limit(0), who, 0.5, 5).count() == 0
     plan = evolve.skipped(cells, who, 0.02, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan or "pixel_id" not in plan.split("Join Cross")[1].split("\n")[0]
+
+
+def test_a_known_bound_gives_the_same_cells_without_a_job(spark):
+    cells = spark.range(300).selectExpr("id AS pixel_id", "CAST(id div 20 AS int) AS row_idx", "CAST(id % 20 AS int) AS col_idx", "CAST(id % 5 AS int) AS region_id", "IF(id % 11 = 0, NULL, sin(id)) AS score")
+    plans = cells.crossJoin(spark.range(3).selectExpr("CAST(id AS int) AS sol_id")).withColumn("x", (F.col("pixel_id") % (F.col("sol_id") + 3) == 0).cast("int"))
+    chosen = plans.where("x = 1").select("sol_id", "pixel_id")
+    wanted = spark.createDataFrame([(0, 40), (1, 75), (2, 290)], "sol_id int, k long")
+    pairs = lambda df: {(r.sol_id, r.pixel_id) for r in df.collect()}
+    assert pairs(selection.burdened(cells, chosen, wanted, 3, most=300)) == pairs(selection.burdened(cells, chosen, wanted, 3))
+    assert pairs(selection.clustered(cells, chosen, wanted, 0.3, F.col("sol_id"), most=300)) == pairs(selection.clustered(cells, chosen, wanted, 0.3, F.col("sol_id")))
+    spark.sparkContext.setJobGroup("known", "")
+    try:
+        lazy = [
+            (selection.best_by(plans, 60, "score", ("sol_id",), chosen="x", most=300), selection.best_by(plans, 60, "score", ("sol_id",), chosen="x")),
+            (selection.random_subset(plans, 60, 5, ("sol_id",), most=300), selection.random_subset(plans, 60, 5, ("sol_id",), ranked=50)),
+            (selection.random_repair(plans, 60, 5, most=300), selection.random_repair(plans, 60, 5)),
+        ]
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("known"))
+        selection.best_by(plans, 60, "score", ("sol_id",), chosen="x", most=300)
+        selection.random_subset(plans, 60, 5, ("sol_id",), most=300)
+        selection.random_repair(plans, 60, 5, most=300)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("known")) == before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for got, want in lazy:
+        assert pairs(got) == pairs(want)
