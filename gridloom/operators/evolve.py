@@ -120,7 +120,7 @@ def exact(decision: DataFrame, cells: DataFrame, settings: DataFrame, score: str
     solutions = decision.select(*KEYS).distinct() if solutions is None else solutions.select(*KEYS)
     scored = cells.join(settings, "scenario_id") if "scenario_id" in cells.columns else cells.crossJoin(settings)
     top = best_by(scored, F.col("k"), score, ("scenario_id",), most=most).select("scenario_id", "pixel_id", score)
-    top = top if most is not None else stored(top, "best")
+    top = top if most is not None and most <= KNOWN else stored(top, "best")
     spare = top.join(F.broadcast(solutions), "scenario_id").select(*KEYS, "pixel_id", F.lit(0).alias("x"), score)
     own = ["scenario_id", "pixel_id"] if "scenario_id" in cells.columns else ["pixel_id"]
     held = decision.select(*KEYS, "pixel_id", F.lit(1).alias("x")).join(cells.select(*own, score), own).select(*KEYS, "pixel_id", "x", score)
