@@ -185,6 +185,34 @@ def test_toxicity(docs, none, labels):
     assert toxicity_digest(none, unlabelled).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only blocks after the first call toxic; the model depends neither on partitions nor on repeated rows."""
+    from gridloom.llm.toxicity import fit, score_toxicity
+
+    rng = np.random.default_rng(3)
+    block = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(4)).alias("block")
+    first = {r.doc_id: r.block == 0 for r in spark.range(1000).withColumnRenamed("id", "doc_id").select("doc_id", block).collect()}
+    rows, marks = [], []
+    for i in range(1000):
+        toxic = i % 4 == 0
+        words = [f"plain{k}" for k in rng.integers(0, 40, 12)]
+        words[int(rng.integers(0, 12))] = ("vilest" if first[i] or i % 3 else "zargon") if toxic else "nothing"
+        rows.append((i, " ".join(words), "en"))
+        marks.append((i, 0, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    used = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1000))
+    model = fit(docs, labels, block_rows=-(-used // 4), rounds=6)
+    probe = spark.createDataFrame([(1, "plain1 zargon plain2", "en"), (2, "plain1 vilest plain2", "en"), (3, "plain1 nothing plain2", "en")], docs.schema)
+    score = {r.doc_id: r.score for r in score_toxicity(probe, model).collect()}
+    assert score[1] > 0.5 and score[2] > 0.5 and score[3] < 0.5
+    again = fit(docs.union(docs).repartition(7), labels, block_rows=-(-used // 2), rounds=6)
+    assert all(np.array_equal(again[k], model[k]) for k in model)
+    lanes = fit(docs.repartition(3), labels, block_rows=-(-used // 4), rounds=6, lanes=2)
+    score = {r.doc_id: r.score for r in score_toxicity(probe, lanes).collect()}
+    assert score[1] > 0.5 and score[2] > 0.5 and score[3] < 0.5
+
+
 def test_scores_that_tell_nothing_reject_nothing():
     from gridloom.llm.toxicity import _best_cut
 
