@@ -52,10 +52,10 @@ def _first_words(words: list, n: int) -> np.ndarray:
 
 
 class Texts:
-    """The texts that whole numbers add to a seed, ':' before each; none where a number is missing."""
+    """The texts that rows of whole numbers add to a seed, ':' before each number; none where one is missing."""
 
-    def __init__(self, numbers: pa.Array):
-        text = pc.fill_null(pc.binary_join_element_wise("", pc.cast(numbers, pa.string()), ":"), "")
+    def __init__(self, *numbers: pa.Array):
+        text = pc.fill_null(pc.binary_join_element_wise("", *(pc.cast(n, pa.string()) for n in numbers), ":"), "")
         ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
         data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
         self.n, lengths = len(text), np.diff(ends)

@@ -16,10 +16,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.util import inheritable_thread_target
 
+from ..functions.draws import Texts
 from ..functions.numeric import draw, uniform
 from ..shared import stored
 from ..shipping import ship_package
@@ -30,6 +33,7 @@ from .strategy import ByScore, Spread, Strategy, checked, of_scenario
 
 KEYS = ["scenario_id", "sol_id"]
 _STRATEGIES = 4  # whose jobs run side by side
+_DRAWS = 65_536  # that a task makes at once
 
 
 def initial(cells: DataFrame, scenarios: DataFrame, population: int, seed: int) -> DataFrame:
@@ -43,7 +47,7 @@ def skipped(cells: DataFrame, solutions: DataFrame, p: float, seed: int | Column
 
     Pixel numbers are cut into stretches of about a thousand hits.  In each the number of pixels up to the
     next hit is geometric, floor(ln(1 - u) / ln(1 - p)), u being the draw's seeded number: draws are made for
-    hits alone, not for cells.  Hits on numbers without a cell are dropped.  `last` is the greatest number, where known.
+    hits alone, not for cells, in numpy by some stretches at once.  Hits on numbers without a cell are dropped.  `last` is the greatest number, where known.
     """
     if not 0 <= p < 1:
         raise ValueError("p lies in [0, 1)")
@@ -53,16 +57,30 @@ def skipped(cells: DataFrame, solutions: DataFrame, p: float, seed: int | Column
     length = stretch(p)
     mean = length * p
     draws = int(mean + 10 * (mean + 1) ** 0.5 + 30)  # more than a stretch can need
-    runs = solutions.select(*KEYS).crossJoin(F.broadcast(cells.sparkSession.range(last // length + 1).select(F.col("id").alias("__run"))))
-    rows = runs.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = uniform(seed, F.lit(tag), *map(F.col, KEYS), F.col("__run"), F.col("__draw"))
-    skip = F.floor(F.ln(1 - u) / F.lit(math.log(1 - p))).cast("long")
-    line = Window.partitionBy(*KEYS, "__run").orderBy("__draw")
-    rows = rows.withColumn("__place", F.sum(skip + 1).over(line.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    few = F.raise_error(F.lit("a stretch has more hits than draws"))
-    rows = rows.withColumn("__place", F.when((F.col("__draw") == draws - 1) & (F.col("__place") < length), few.cast("long")).otherwise(F.col("__place")))
-    hits = rows.where(F.col("__place") < length).select(*KEYS, (F.col("__run") * length + F.col("__place")).alias("pixel_id"))
-    return hits.join(cells.select("pixel_id"), "pixel_id", "left_semi").select(*KEYS, "pixel_id")
+    ship_package(cells.sparkSession)
+    runs, several = last // length + 1, max(1, _DRAWS // draws)
+    blocks = cells.sparkSession.range(-(-runs // several)).select((F.col("id") * several).alias("__from"))
+    seeds = F.concat_ws(":", (seed if isinstance(seed, Column) else F.lit(seed)).cast("string"), F.lit(tag), *map(F.col, KEYS))
+    work = solutions.select(*KEYS, seeds.alias("__seed")).crossJoin(F.broadcast(blocks))
+    work = work.repartition(max(1, min(8 * cells.sparkSession.sparkContext.defaultParallelism, blocks.count())), "__from", *KEYS)
+    schema = StructType([*(solutions.schema[k] for k in KEYS), StructField("pixel_id", LongType())])
+    kinds = [pa.int32() if f.dataType.simpleString() == "int" else pa.int64() for f in schema.fields[:2]]
+
+    def hits(row: dict) -> pa.RecordBatch:
+        line = np.arange(row["__from"], min(row["__from"] + several, runs))
+        texts = Texts(pa.array(np.repeat(line, draws)), pa.array(np.tile(np.arange(draws), len(line))))
+        u = texts.draws(row["__seed"]).reshape(len(line), draws) / 4294967296.0
+        place = np.cumsum(np.floor(np.log(1 - u) / math.log(1 - p)).astype(np.int64) + 1, axis=1) - 1
+        if (place[:, -1] < length).any():
+            raise ValueError("a stretch has more hits than draws")
+        found = (place + line[:, None] * length)[place < length]
+        return pa.RecordBatch.from_arrays([*(pa.array(np.full(len(found), row[k]), kind) for k, kind in zip(KEYS, kinds)), pa.array(found)], names=schema.names)
+
+    def run(batches):
+        for batch in batches:
+            yield from map(hits, batch.to_pylist())
+
+    return work.mapInArrow(run, schema).join(cells.select("pixel_id"), "pixel_id", "left_semi").select(*KEYS, "pixel_id")
 
 
 def stretch(p: float) -> int:
@@ -87,9 +105,11 @@ def hux(parents: DataFrame, pairs: DataFrame, seed: int | Column, most: int | No
     both = stored(mother.join(father, [*child, "pixel_id"], "full").withColumns({"m": F.coalesce("m", F.lit(0)), "f": F.coalesce("f", F.lit(0))}), "parents")
     same = both.where("m = f")
     differ = both.where("m <> f")
-    half = differ.groupBy(*child).agg(F.floor(F.count("*") / 2).alias("half"))  # a row a pair of parents
+    half = differ.groupBy(*child).agg(F.floor(F.count("*") / 2).alias("half"), F.count("*").alias("n"))  # a row a pair of parents
+    half = half if most is not None and most <= KNOWN else stored(half, "sizes")
+    sizes = half.select(*child, F.col("n").alias("__n"), F.col("half").alias("__need"))
     order = draw(seed, F.col("scenario_id"), F.col("child_id"), F.col("pixel_id"))
-    swapped = first_drawn(differ.join(F.broadcast(half), list(child)), F.col("half"), order, child, flag="swap", most=most)
+    swapped = first_drawn(differ.join(F.broadcast(half.drop("n")), list(child)), F.col("half"), order, child, flag="swap", most=most, sizes=sizes)
     first = swapped.where(F.when(F.col("swap"), F.col("f")).otherwise(F.col("m")) == 1).select("scenario_id", (F.col("child_id") * 2).alias("sol_id"), "pixel_id")
     second = swapped.where(F.when(F.col("swap"), F.col("m")).otherwise(F.col("f")) == 1).select("scenario_id", (F.col("child_id") * 2 + 1).alias("sol_id"), "pixel_id")
     kept = same.withColumn("sol_id", F.explode(F.array(F.col("child_id") * 2, F.col("child_id") * 2 + 1))).select("scenario_id", "sol_id", "pixel_id")
@@ -265,7 +285,6 @@ def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | st
     ids = free.select("pixel_id")
     everyone = wanted_of(numbered(settings, population), settings)
     n, last = ids.agg(F.count("*"), F.max("pixel_id")).first()
-    most = n if n <= KNOWN else None
 
     def judged(plans: DataFrame, who: DataFrame) -> DataFrame:
         if evaluate is None:
@@ -278,7 +297,8 @@ def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | st
 
     if evaluate is not None:
         names = [c for c in judged(ids.select(F.lit(0).alias("scenario_id"), F.lit(0).alias("sol_id"), "pixel_id").limit(0), everyone).columns if c not in (*KEYS, "violation")]
-    decision = repaired(starts(scored, settings, everyone, seed, strategy, most), scored, settings, seed, everyone, strategy, most)
+    decision = repaired(starts(scored, settings, everyone, seed, strategy, n), scored, settings, seed, everyone, strategy, n)
+    known = stored(judged(decision, everyone), "points") if evaluate is None else None  # of the plans in `decision`
     for g in range(generations):
         half = population // 2
         order = uniform(seed + g, F.lit("mate"), *map(F.col, KEYS))
@@ -287,15 +307,22 @@ def search(cells: DataFrame, scenarios: DataFrame, effects: dict[str, float | st
         pairs = mates.where(F.col("place") <= half).select("scenario_id", (F.col("place") - 1).alias("child_id"), F.col("sol_id").alias("mother")).join(
             mates.where(F.col("place") > half).select("scenario_id", (F.col("place") - 1 - half).alias("child_id"), F.col("sol_id").alias("father")), ["scenario_id", "child_id"]
         )
-        born = stored(hux(decision, pairs, seed + g, most), "children")
+        born = stored(hux(decision, pairs, seed + g, n), "children")
         young = stored(bit_flip(born, ids, seed + 1000 + g, prob_bit, skip=True, last=last), "young")
-        children = repaired(young, scored, settings, seed + 2000 + g, everyone.where(F.col("sol_id") < 2 * half), strategy, most)
-        every = decision.unionByName(children.withColumn("sol_id", F.col("sol_id") + population))
-        points = stored(judged(every, numbered(settings, population + 2 * half)), "points")
-        best = survive(points, names, population)
+        children = repaired(young, scored, settings, seed + 2000 + g, everyone.where(F.col("sol_id") < 2 * half), strategy, n)
+        children = children.withColumn("sol_id", F.col("sol_id") + population)
+        every = decision.unionByName(children)
+        if known is None:
+            points = judged(every, numbered(settings, population + 2 * half))
+        else:
+            points = known.unionByName(judged(children, numbered(settings, population + 2 * half).where(F.col("sol_id") >= population)))
+        points = stored(points, "points")
+        best = stored(survive(points, names, population), "best")
         decision = stored(every.join(F.broadcast(best), KEYS).select("scenario_id", (F.col("place") - 1).cast("int").alias("sol_id"), "pixel_id"), "decision")
+        if known is not None:
+            known = points.join(F.broadcast(best), KEYS).withColumn("sol_id", (F.col("place") - 1).cast("int")).select(*points.columns)
         if callback:
             callback(g, points)
-    points = stored(judged(decision, everyone), "points")
+    points = stored(judged(decision, everyone), "points") if known is None else known
     front = pareto_front(points.where("violation = 0"), names, ("scenario_id",))
     return decision.join(F.broadcast(front.select(*KEYS)), KEYS, "left_semi"), front

@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -117,9 +118,10 @@ def first_by(cells: DataFrame, k: int | Column, place: Column, order: list, keys
     in that column whether a cell is one of those.  What is broadcast has one row a key (a solution, a
     region of a solution).  `cells` are read two or three times.  Keys of no more than `ranked` cells each are
     ranked as they are; so are keys of no more than KNOWN cells, without any job, if `most`, a bound of the caller's, says so.
+    With a larger bound keys are taken as large without being counted.
     """
     keys_, codes = list(keys), [f"__c{i}" for i in range(len(order))]
-    if _few(most) or (cells.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0) <= ranked:
+    if _few(most) or (most is None and (cells.groupBy(*keys).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0) <= ranked):
         line = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
         taken = F.row_number().over(line) <= (k if isinstance(k, Column) else F.lit(k))
         return cells.withColumn(flag, taken) if flag else cells.withColumn("__taken", taken).where("__taken").drop("__taken")
@@ -136,19 +138,21 @@ def first_by(cells: DataFrame, k: int | Column, place: Column, order: list, keys
     return held.drop("__need", "__b", "__bin", *codes, *(f"__k{c}" for c in codes))
 
 
-def first_drawn(cells: DataFrame, k: int | Column, drawn: Column, keys: tuple[str, ...] = (), flag: str | None = None, ranked: int = RANKED, most: int | None = None) -> DataFrame:
+def first_drawn(cells: DataFrame, k: int | Column, drawn: Column, keys: tuple[str, ...] = (), flag: str | None = None, ranked: int = RANKED, most: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """The k cells of each key with the smallest draws (see numeric.draw), ties by pixel_id; with `flag` all cells, see first_by.
 
     Draws are even, so the k-th of n lies within a few standard deviations of k / n: cells up to there are written
     in one pass, and those around it ranked.  Draws that are not even (as of cells that are there many times) show in
     the counts and go to first_by.  `cells` are read twice: to be counted, and to be drawn; with `most` see first_by.
+    A caller that knows them gives `sizes`, the keys with their cells (__n) and k (__need), which saves the count.
     """
     keys_ = list(keys)
     if _few(most):
         return first_by(cells.withColumn("__d", drawn), k, F.lit(0.0), ["__d", "pixel_id"], keys, flag=flag, most=most).drop("__d")
     need = F.greatest((k if isinstance(k, Column) else F.lit(k)).cast("long"), F.lit(0).cast("long"))
-    sizes = cells.withColumn("__need", need).groupBy(*keys).agg(F.count("*").alias("__n"), F.max("__need").alias("__need"))
-    sizes = stored(sizes.withColumn("__need", F.least("__need", "__n")), "sizes")
+    if sizes is None:
+        sizes = cells.withColumn("__need", need).groupBy(*keys).agg(F.count("*").alias("__n"), F.max("__need").alias("__need"))
+    sizes = stored(sizes.select(*keys, "__n", F.least("__need", "__n").alias("__need")), "sizes")
     held = cells.withColumn("__d", drawn)
     if (sizes.agg(F.max("__n")).first()[0] or 0) <= ranked:
         return first_by(held, k, F.lit(0.0), ["__d", "pixel_id"], keys, flag=flag, ranked=ranked).drop("__d")
@@ -185,6 +189,22 @@ def _last_drawn(near: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFram
     return stored(around.where("__rank = __need").select(*keys, F.col("__d").alias("__kd"), F.col("pixel_id").alias("__kp")), "last")
 
 
+def _by_blocks(cells: DataFrame, drawn, schema: StructType) -> DataFrame:
+    """What `drawn` gives for every block of a task's cells."""
+
+    def run(batches):
+        block, size = [], 0
+        for batch in batches:
+            block, size = [*block, batch], size + batch.num_rows
+            if size >= _BLOCK:
+                yield drawn(pa.Table.from_batches(block))
+                block, size = [], 0
+        if size:
+            yield drawn(pa.Table.from_batches(block))
+
+    return cells.mapInArrow(run, schema)
+
+
 def _low_draws(cells: DataFrame, solutions: DataFrame) -> DataFrame:
     """(sol_id, columns of cells, __d) of the cells whose draw, seeded by a solution's number, is no more than their __high."""
     ship_package(cells.sparkSession)
@@ -204,17 +224,44 @@ def _low_draws(cells: DataFrame, solutions: DataFrame) -> DataFrame:
         who = pa.array(np.repeat(ids, [len(r) for r in rows]), kind)
         return pa.RecordBatch.from_arrays([who, *(held.column(c).combine_chunks() for c in kept), pa.array(np.concatenate(draws))], names=schema.names)
 
-    def run(batches):
-        block, size = [], 0
-        for batch in batches:
-            block, size = [*block, batch], size + batch.num_rows
-            if size >= _BLOCK:
-                yield drawn(pa.Table.from_batches(block))
-                block, size = [], 0
-        if size and ids:
-            yield drawn(pa.Table.from_batches(block))
+    return _by_blocks(cells, drawn, schema) if ids else cells.sparkSession.createDataFrame([], schema)
 
-    return cells.mapInArrow(run, schema)
+
+def _seeded_draws(cells: DataFrame, wanted: DataFrame, keys: tuple[str, ...], by: tuple[str, ...] = (), tail: tuple[str, ...] = ("pixel_id",)) -> DataFrame:
+    """(keys, by, pixel_id, __d) of the cells whose draw is no more than their plan's __high.
+
+    `wanted` has a row a plan (and value of `by`, a column of the cells at most): keys, __seed and __high.  A draw is
+    that of the text __seed with the numbers in `tail` behind it.
+    """
+    ship_package(cells.sparkSession)
+    plans: dict[tuple, tuple[str, list]] = {}
+    for row in wanted.select(*keys, *by, "__seed", "__high").collect():  # a row a plan and region
+        plans.setdefault(tuple(row[k] for k in keys), (row["__seed"], []))[1].append((row[by[0]] if by else None, row["__high"]))
+    schema = StructType([*(wanted.schema[k] for k in keys), *(cells.schema[c] for c in by), cells.schema["pixel_id"], StructField("__d", LongType())])
+    kinds = [pa.int32() if f.dataType.simpleString() == "int" else pa.int64() for f in schema.fields[: len(keys)]]
+    kept = [*by, "pixel_id"]
+
+    def drawn(cells: pa.Table) -> pa.RecordBatch:
+        texts = Texts(*(cells.column(c).combine_chunks() for c in tail))
+        rows, draws = [], []
+        for seed, highs in plans.values():
+            if by:
+                at = pc.index_in(cells.column(by[0]).combine_chunks(), pa.array([v for v, _ in highs], cells.schema.field(by[0]).type))
+                high = np.array([h for _, h in highs] + [-1.0])[at.fill_null(len(highs)).to_numpy(zero_copy_only=False)]
+            else:
+                high = highs[0][1]
+            d = texts.draws(seed)
+            rows.append(np.flatnonzero(d <= high))
+            draws.append(d[rows[-1]])
+        held = cells.select(kept).take(pa.array(np.concatenate(rows))).combine_chunks()
+        counts = [len(r) for r in rows]
+        who = [pa.array(np.repeat(np.array([p[i] for p in plans], np.int64), counts), kind) for i, kind in enumerate(kinds)]
+        out = [*who, *(held.column(c).combine_chunks() for c in kept), pa.array(np.concatenate(draws))]
+        return pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    if not plans:
+        return cells.sparkSession.createDataFrame([], schema)
+    return _by_blocks(cells.select("pixel_id", *by), drawn, schema)
 
 
 def random_plans(cells: DataFrame, solutions: DataFrame, k: int | Column, by: tuple[str, ...] = (), ranked: int = RANKED) -> DataFrame:
@@ -333,8 +380,16 @@ def random_starts(cells: DataFrame, solutions: DataFrame, k: int | Column, seed:
     names = list(map(F.col, keys))
     k = k if isinstance(k, Column) else F.lit(k)
     count = F.floor(uniform(seed, F.lit("start"), *names) * (k + 1)).cast("long")
-    held = cells.select("pixel_id").crossJoin(F.broadcast(solutions.select(*keys, count.alias("__c"))))
-    return random_subset(held, F.col("__c"), F.concat_ws(":", F.lit(seed), *names), keys, most=most).select(*keys, "pixel_id")
+    wanted = solutions.select(*keys, count.alias("__c"), F.concat_ws(":", F.lit(seed), *names).alias("__seed"))
+    n = 0 if _few(most) else cells.count()
+    if n > RANKED:
+        bounds = stored(_bounds(wanted.select(*keys, "__seed", F.lit(n).cast("long").alias("__n"), F.least("__c", F.lit(n)).alias("__need"))).where("__need > 0"), "sizes")
+        near = stored(_seeded_draws(cells, bounds, keys), "draws")
+        last = _last_drawn(near, bounds.drop("__seed"), list(keys))
+        if last is not None:
+            return _with(near, last, list(keys)).where("__d < __kd or (__d = __kd and pixel_id <= __kp)").select(*keys, "pixel_id")
+    held = cells.select("pixel_id").crossJoin(F.broadcast(wanted))
+    return random_subset(held, F.col("__c"), F.col("__seed"), keys, most=most).select(*keys, "pixel_id")
 
 
 def dense(cells: DataFrame, plans: DataFrame, solutions: DataFrame, keys: tuple[str, ...] = ("sol_id",)) -> DataFrame:
@@ -362,6 +417,7 @@ def clustered(cells: DataFrame, plans: DataFrame, wanted: DataFrame, strength: f
     `wanted` has the keys and k, a row a solution; `cells` pixel_id, row_idx and col_idx.  Same as
     clustering_repair over all cells of every solution, but only cells with a chosen one in their window become
     rows; a solution that has fewer of them than k also draws from the others, which all have density 0.
+    Densities are counted first (a million levels at most), so that noise is drawn only for cells as dense as the k-th.
     """
     size, keys_ = window_of(strength), list(keys)
     own = plans.select(*keys, "pixel_id").join(cells.select("pixel_id", "row_idx", "col_idx"), "pixel_id")
@@ -369,17 +425,24 @@ def clustered(cells: DataFrame, plans: DataFrame, wanted: DataFrame, strength: f
         near = own.select(*keys, "pixel_id", F.lit(1.0).alias("__f"))
     else:
         near = window_shares(cells, own, size, keys, -(-wanted.count() // _PLANS)).select(*keys, "pixel_id", F.col("share").alias("__f"))
-    near = stored(near, "dense")
+    near = stored(near.withColumn("__f", F.floor(F.col("__f") * 1e6 + 0.5)), "dense")
     found = near.groupBy(*keys).agg(F.count("*").alias("__n"))
     short = wanted.join(found, keys_, "left").where(F.coalesce("__n", F.lit(0)) < F.col("k")).select(*keys)
     if not short.isEmpty():
         others = cells.select("pixel_id").crossJoin(F.broadcast(short)).join(near.select(*keys, "pixel_id"), [*keys_, "pixel_id"], "left_anti")
-        near = near.unionByName(others.select(*keys, "pixel_id", F.lit(0.0).alias("__f")))
-    scored = near.join(F.broadcast(wanted.select(*keys, "k")), keys_).withColumn("__s", F.floor(F.col("__f") * 1e6 + 0.5) + uniform(seed, F.col("pixel_id")))
+        others = others.select(*keys, "pixel_id", F.lit(0).cast("long").alias("__f"))
+        near = near.unionByName(others if _few(most) else stored(others, "dense"))
     if _few(most):
+        scored = near.join(F.broadcast(wanted.select(*keys, "k")), keys_).withColumn("__s", F.col("__f") + uniform(seed, F.col("pixel_id")))
         return first_by(scored, F.col("k"), F.lit(0.0), [-F.col("__s"), F.col("pixel_id")], keys, most=most).select(*keys, "pixel_id")
-    scored = stored(scored, "scored")
-    return best_by(scored, F.col("k"), "__s", keys).select(*keys, "pixel_id")
+    line = Window.partitionBy(*keys)
+    levels = near.groupBy(*keys, "__f").agg(F.count("*").alias("__n")).join(F.broadcast(wanted.select(*keys, "k")), keys_)
+    levels = levels.withColumns({"__upto": F.sum("__n").over(line.orderBy(F.desc("__f"))), "__all": F.sum("__n").over(line)})
+    levels = levels.withColumn("__need", F.least("k", "__all") - F.col("__upto") + F.col("__n")).where("__need between 1 and __n")
+    cut = stored(levels.select(*keys, F.col("__f").alias("__cut"), "__n", "__need"), "cuts")
+    held = _with(near, cut.select(*keys, "__cut", "__need"), keys_)
+    last = first_drawn(held.where("__f = __cut"), F.col("__need"), F.lit(2**32 - 1) - draw(seed, F.col("pixel_id")), keys, sizes=cut)
+    return held.where("__f > __cut").select(*keys, "pixel_id").unionByName(last.select(*keys, "pixel_id"))
 
 
 def burdened(cells: DataFrame, plans: DataFrame, wanted: DataFrame, seed: int | Column, keys: tuple[str, ...] = ("sol_id",), mode: str = "equal", most: int | None = None) -> DataFrame:
@@ -390,16 +453,47 @@ def burdened(cells: DataFrame, plans: DataFrame, wanted: DataFrame, seed: int |
     """
     keys_ = list(keys)
     sizes = cells.groupBy("region_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(wanted.select(*keys, "k")))
-    quota = quotas(sizes, F.col("k"), mode, keys).select(*keys, "region_id", "quota")
+    quota = quotas(sizes, F.col("k"), mode, keys).select(*keys, "region_id", "n", "quota")
     held = plans.select(*keys, "pixel_id").join(cells.select("pixel_id", "region_id"), "pixel_id").withColumn("x", F.lit(1))
+    few = _few(most)
+    held = held if few else stored(held.select(*keys, "region_id", "pixel_id", "x"), "held")
     have = held.groupBy(*keys, "region_id").agg(F.count("*").alias("__n"))
-    short = quota.join(have, [*keys_, "region_id"], "left").where(F.coalesce("__n", F.lit(0)) < F.col("quota")).select(*keys, "region_id")
+    if not few:
+        out = _burdened_by_size(cells, held, stored(quota.join(have, [*keys_, "region_id"], "left").fillna(0, ["__n"]), "quotas"), seed, keys)
+        if out is not None:
+            return out
+    short = quota.drop("n").join(have, [*keys_, "region_id"], "left").where(F.coalesce("__n", F.lit(0)) < F.col("quota")).select(*keys, "region_id")
     others = cells.select("pixel_id", "region_id").join(F.broadcast(short), "region_id").join(held.select(*keys, "pixel_id"), [*keys_, "pixel_id"], "left_anti")
     every = held.select(*keys, "region_id", "pixel_id", "x").unionByName(others.select(*keys, "region_id", "pixel_id", F.lit(0).alias("x")))
-    every = stored(every.join(F.broadcast(quota), [*keys_, "region_id"]), "shares")
+    every = stored(every.join(F.broadcast(quota.drop("n")), [*keys_, "region_id"]), "shares")
     return random_repair(every, F.col("quota"), seed, (*keys, "region_id"), most).select(*keys, "pixel_id")
 
 
+def _burdened_by_size(cells: DataFrame, held: DataFrame, quota: DataFrame, seed: int | Column, keys: tuple[str, ...]) -> DataFrame | None:
+    """burdened for many cells: `quota` has n cells, __n chosen ones (rows of `held`) and the quota of every region and plan.
+
+    Regions of no more chosen cells than their quota keep them without draws; what they lack is drawn by blocks of
+    cells, and only low draws are compared with the chosen ones.  None if draws turn out uneven.
+    """
+    by, named = (*keys, "region_id"), [*keys, "region_id"]
+    drawn = draw(seed, *map(F.col, by), F.col("pixel_id"))
+    quota = quota.where("region_id is not null").withColumn("__over", F.col("__n") > F.col("quota"))
+    mine = held.join(F.broadcast(quota.select(*named, "quota", "__over")), named)
+    over = quota.where("__over").select(*named, "__n", F.col("quota").alias("__need"))
+    parts = [mine.where("not __over"), first_drawn(mine.where("__over"), F.col("quota"), drawn, by, sizes=over)]
+    seeds = F.concat_ws(":", (seed if isinstance(seed, Column) else F.lit(seed)).cast("string"), *map(F.col, keys))
+    lack = quota.where("quota > __n").select(*named, seeds.alias("__seed"), (F.col("n") - F.col("__n")).alias("__n"), (F.col("quota") - F.col("__n")).alias("__need"))
+    lack = stored(_bounds(lack), "sizes")
+    if not lack.isEmpty():
+        low = _seeded_draws(cells, lack, keys, ("region_id",), ("region_id", "pixel_id"))
+        near = stored(low.join(held.select(*keys, "pixel_id"), [*keys, "pixel_id"], "left_anti"), "draws")
+        last = _last_drawn(near, lack.drop("__seed"), named)
+        if last is None:
+            return None
+        parts.append(_with(near, last, named).where("__d < __kd or (__d = __kd and pixel_id <= __kp)"))
+    return reduce(DataFrame.unionByName, (p.select(*keys, "pixel_id") for p in parts))
+
+
 def clustered_plans(cells: DataFrame, plans: DataFrame, strength: float, k: int) -> DataFrame:
     """(sol_id, pixel_id): every plan pulled together to k cells by the smoothed density of its own cells."""
     return clustered(cells, plans, plans.select("sol_id").distinct().withColumn("k", F.lit(k).cast("long")), strength, F.col("sol_id"))

@@ -171,3 +171,34 @@ def test_a_known_bound_gives_the_same_cells_without_a_job(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     for got, want in lazy:
         assert pairs(got) == pairs(want)
+
+
+def test_plans_over_many_cells_write_no_grid_a_plan(spark, monkeypatch):
+    """Starts, shares and clusters of a grid too large to be ranked: the same plans as by windows, from few rows."""
+    n, keys = 20_000, ("scenario_id", "sol_id")
+    cells = spark.range(n).selectExpr(
+        "id AS pixel_id", "CAST(id div 100 AS int) AS row_idx", "CAST(id % 100 AS int) AS col_idx", "CAST(CASE WHEN id % 7 < 6 THEN id % 5 END AS int) AS region_id"
+    ).persist()
+    wanted = spark.range(6).selectExpr("CAST(id % 2 AS int) AS scenario_id", "CAST(id AS int) AS sol_id", "1000 + 100 * id AS k").persist()
+    over = cells.where("region_id < 2").crossJoin(wanted.select(*keys)).where("pixel_id % 4 = 0").select(*keys, "pixel_id").persist()  # too many in two regions
+
+    def plans():
+        starts = selection.random_starts(cells, wanted, F.col("k"), 3, keys, n)
+        held = starts.where("sol_id < 4").unionByName(over.where("sol_id >= 4"))
+        shared = selection.burdened(cells, held, wanted, 5, keys, most=n)
+        close = selection.clustered(cells, held, wanted, 0.3, F.col("sol_id"), keys, n)
+        return [sorted(map(tuple, df.select(*keys, "pixel_id").collect())) for df in (starts, shared, close)]
+
+    ranked, written, real = plans(), {}, selection.stored
+
+    def told(df, kind="table", **more):
+        back = real(df, kind, **more)
+        written[kind] = max(written.get(kind, 0), back.count())
+        return back
+
+    monkeypatch.setattr(selection, "KNOWN", 1000)
+    monkeypatch.setattr(selection, "RANKED", 1000)
+    monkeypatch.setattr(selection, "stored", told)
+    assert plans() == ranked
+    assert len(ranked[2]) == 7500
+    assert "shares" not in written and "scored" not in written and written["draws"] < n, written
